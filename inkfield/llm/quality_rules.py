@@ -8,19 +8,20 @@ document is kept if its posterior probability of being good reaches the threshol
 failures are never kept.
 
 The main path is DataFrame expressions only. Counts need no shuffle: repeated windows are
-found inside each row by sorting hashes of its 3-word windows (64 bits; within one text).
+found inside each row by sorting 64-bit hashes of its 3-word windows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, stash, table
+from .common import SPACES, WORD_GAP, stash, table
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-DIGITS = "0123456789"
 #: Common short words of the four languages (fixed values).
 STOPWORDS = (
     "the", "of", "and", "to", "in", "is", "that", "for", "was", "on", "as", "with", "be", "by", "are",
@@ -55,28 +56,35 @@ def document_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """The id and the counts that rules look at. A null text counts as empty; all counts are long."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     longs = lambda c: c.cast("long")
-    less = lambda t, chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    n_of = lambda char: F.length("_k") - F.length(F.replace("_k", F.lit(char), F.lit("")))
+    # One pass maps each class of characters to one of its own, so that each count is a cheap replace.
+    classes = F.translate("_t", SYMBOLS + CAPITALS + SPACES, "#" * len(SYMBOLS) + "A" * len(CAPITALS) + " " * len(SPACES))
     a = docs.select(F.col(id_column), text.alias("_t"))
-    b = a.select(id_column, "_t", word_array(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
-    hashed = F.transform("_w", lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")))
-    windows = F.when(F.size("_w") >= 3, F.sort_array(F.slice(hashed, F.lit(1), F.size("_w") - 2))).otherwise(F.slice(hashed, 1, 0))
+    b = a.select(id_column, classes.alias("_k"), word_array(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
+    hashes = F.transform("_w", lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)))
     c = b.select(
         id_column,
         longs(F.size("_w")).alias("n_words"),
-        longs(F.length(F.translate("_t", " \t\n\x0b\x0c\r", ""))).alias("word_chars"),
-        longs(less(F.col("_t"), SYMBOLS)).alias("n_symbols"),
+        longs(F.length("_k") - n_of(" ")).alias("word_chars"),
+        longs(n_of("#")).alias("n_symbols"),
         longs(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         longs(F.size("_l")).alias("n_lines"),
         longs(F.size(F.filter("_w", lambda w: w.isin(*STOPWORDS)))).alias("n_stop"),
-        longs(less(F.col("_t"), CAPITALS)).alias("n_caps"),
-        longs(less(F.col("_t"), "!")).alias("n_bang"),
-        windows.alias("_s"),
-    )
-    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-    starts = F.array_sort(
-        F.filter(F.transform("_s", lambda x, k: F.when(same(x, F.get("_s", k - 1)) | same(x, F.get("_s", k + 1)), x["i"])), lambda i: i.isNotNull())
+        longs(n_of("A")).alias("n_caps"),
+        longs(n_of("!")).alias("n_bang"),
+        F.slice(hashes, F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0))).alias("_h"),
+        F.length(F.bin(F.size("_w").cast("long"))).alias("_b"),
     )
-    d = c.withColumn("_r", starts).drop("_s")
+    # Leading bits of the hash and, below them, the place: sorting these longs brings equal windows together.
+    packed = F.expr("sort_array(transform(_h, (h, i) -> shiftleft(shiftright(h, _b), _b) | i))")
+    near = F.expr("filter(transform(_p, (x, k) -> if(shiftright(x ^ get(_p, k + 1), _b) = 0, k, null)), k -> k is not null)")
+    d = c.withColumn("_p", packed).withColumn("_k", near)
+    d = d.withColumn("_m", F.expr("shiftleft(1L, _b) - 1"))
+    # The whole hashes decide; both ends of each pair of neighbours are starts of a repeated window.
+    pairs = F.expr("transform(_k, k -> struct(cast(get(_p, k) & _m as int) as x, cast(get(_p, k + 1) & _m as int) as y))")
+    d = d.withColumn("_e", F.filter(pairs, lambda e: F.get("_h", e["x"]) == F.get("_h", e["y"])))
+    starts = F.sort_array(F.array_distinct(F.concat(F.transform("_e", lambda e: e["x"]), F.transform("_e", lambda e: e["y"]))))
+    d = d.withColumn("_r", starts).drop("_h", "_p", "_k", "_m", "_e", "_b")
     # A window covers three words; a window that starts d < 3 words before the next one adds d.
     covered = F.aggregate(
         F.transform("_r", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_r", k + 1) - p, F.lit(3)))), F.lit(0), lambda acc, x: acc + x
@@ -94,8 +102,6 @@ BASE_FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
 
 def fit(histogram: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float, float, float]]]:
     """EM over (vote pattern, documents). Returns the prior and per rule P(+|good), P(-|good), P(+|bad), P(-|bad) among its votes."""
-    import math
-
     m = len(RULES)
     posterior = [FIRST_GUESS[min(2, sum(v < 0 for v in votes_))] for votes_, _ in histogram]
     prior, rates = 0.5, [(0.5, 0.5, 0.5, 0.5)] * m
@@ -125,8 +131,6 @@ def fit(histogram: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> t
 
 def posterior_column(prior: float, rates: list[tuple[float, float, float, float]]) -> Column:
     """P(good) from the vote columns _v0, _v1, ..."""
-    import math
-
     z = F.lit(math.log(prior / (1 - prior)))
     for j, (gp, gm, bp, bm) in enumerate(rates):
         v = F.col(f"_v{j}")
@@ -166,7 +170,7 @@ def oracle() -> str:
     m = len(RULES)
     p, q2 = repr(PSEUDO), repr(2 * PSEUDO)
     stop = ", ".join(f"'{w}'" for w in STOPWORDS)
-    n_of = lambda chars: f"length(t) - length(translate(t, '{chars}', ''))"
+    n_in = lambda chars: f"length(t) - length(translate(t, '{chars}', ''))"
     sql = f"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT *, row_number() OVER () AS rid, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
@@ -175,8 +179,8 @@ tri AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM b WHERE len(w) >=
 tri2 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i+1], w[i+2]) AS c FROM tri),
 rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM tri2, (VALUES (0), (1), (2)) o(k) WHERE c > 1 GROUP BY rid),
 counted AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
-  ({n_of(SYMBOLS)})::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
-  len(list_filter(w, lambda x: x IN ({stop})))::BIGINT AS n_stop, ({n_of(CAPITALS)})::BIGINT AS n_caps, ({n_of("!")})::BIGINT AS n_bang,
+  ({n_in(SYMBOLS)})::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
+  len(list_filter(w, lambda x: x IN ({stop})))::BIGINT AS n_stop, ({n_in(CAPITALS)})::BIGINT AS n_caps, ({n_in("!")})::BIGINT AS n_bang,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM b LEFT JOIN rep USING (rid)),
 voted AS (SELECT *, {", ".join(f"{v} AS v{j}" for j, v in enumerate(votes()))} FROM counted),
 hist AS MATERIALIZED (SELECT {", ".join(f"v{j}" for j in range(m))}, count(*)::DOUBLE AS n FROM voted GROUP BY ALL),
