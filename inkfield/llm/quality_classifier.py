@@ -28,7 +28,7 @@ FEATURES = (
 )
 DIM = len(FEATURES)
 #: Share of the pooled covariance in each class's, then of its diagonal, then of the identity.
-TO_POOLED, TO_DIAGONAL, RIDGE = 0.10, 0.05, 1e-3
+TO_POOLED, TO_DIAGONAL, RIDGE = 0.80, 0.01, 1e-3
 #: Rows of pseudo-count in the class shares, so that a missing class gives a defined score.
 PSEUDO = 1.0
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import quality_rules, sharding
+from . import license_scan, pii, quality_classifier, quality_rules, sharding, simhash_dedup
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_pii": pii.op1_pii,
+        "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_sharding": sharding.op5_sharding,
+        "op9_license_scan": license_scan.op9_license_scan,
     }
 
 
