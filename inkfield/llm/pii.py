@@ -31,7 +31,11 @@ from .common import as_batch, batches, stash, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ADD_FROM = 0.9
-ROUNDS, PSEUDO = 15, 1.0
+ROUNDS = 15
+#: The share of true spans among candidates is given, not estimated: with few labelers it could not be told from their reliability.
+BALANCE = 0.5
+#: Pseudo-votes of the accuracy that each labeler starts from.
+START, PSEUDO = 0.8, 10
 CONTEXT = 40
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -208,13 +212,12 @@ class SpanModel:
             w, v = n[of], votes[of]
             q = 1 / (1 + np.exp(-(1.5 * (v == 2).sum(axis=1) - 2.5 * (v == 0).sum(axis=1))))
             for _ in range(ROUNDS):
-                prior = np.clip((w @ q + PSEUDO) / (w.sum() + 2 * PSEUDO), 0.02, 0.98)
-                z = np.full(len(w), math.log(prior / (1 - prior)))
+                z = np.full(len(w), math.log(BALANCE / (1 - BALANCE)))
                 own = []
                 for j in range(4):
                     said = v[:, j] != 1
                     right = (w * np.where(v[:, j] == 2, q, 1 - q))[said].sum()
-                    a = float(np.clip((right + 0.8 * 10) / (w[said].sum() + 10), 0.55, 0.99))
+                    a = float(np.clip((right + START * PSEUDO) / (w[said].sum() + PSEUDO), 0.55, 0.99))
                     own.append(a)
                     z += (v[:, j] - 1) * math.log(a / (1 - a))
                 q = 1 / (1 + np.exp(-z))
