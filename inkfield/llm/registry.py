@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import license_scan, pii, quality_classifier, quality_rules, sharding, simhash_dedup
+from . import ann, license_scan, packing, pii, quality_classifier, quality_rules, sharding, simhash_dedup
 
 
 def queries() -> dict[str, Callable]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable]:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_sharding": sharding.op5_sharding,
+        "op8_ann": ann.op8_ann,
         "op9_license_scan": license_scan.op9_license_scan,
+        "op10_packing": packing.op10_packing,
     }
 
 
