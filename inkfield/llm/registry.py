@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ann, lattice_sampling, license_scan, packing, pii, quality_classifier, quality_rules, sharding, simhash_dedup
+from . import ann, lattice_sampling, license_scan, packing, pii, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable]:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_sharding": sharding.op5_sharding,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_lattice_sampling": lattice_sampling.op7_lattice_sampling,
         "op8_ann": ann.op8_ann,
         "op9_license_scan": license_scan.op9_license_scan,
