@@ -17,7 +17,6 @@ import os
 import random
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,8 +34,8 @@ ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 6, 10, 2
 WELL_FILLED = 0.998
 MOST_ROUNDS = 8
 SEED = 10_007
-#: Strings that a worker process remembers.
-CACHE = 600_000
+#: Strings in each generation of a worker process's cache.
+CACHE = 450_000
 
 
 def tokenizer_path() -> str:
@@ -48,7 +47,9 @@ def tokenizer_path() -> str:
 class CachedTokenizer:
     """Ids of whole texts, string by string between spaces and line ends. White space separates tokens, so this equals encoding the text at once.
 
-    Strings not met before are encoded together. The cache is emptied when full: it bounds memory and never changes a result.
+    New strings are reduced before they are encoded, together: a last full stop or comma after a
+    letter is a token of its own, and ASCII letters are lower-cased anyway. The cache has two
+    generations of bounded size; it never changes a result.
     """
 
     def __init__(self, path: str):
@@ -57,19 +58,47 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self._encode([".", ","])
+        self.stops = {c: self.cache[c] for c in ".,"}
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > CACHE:
-            self.cache = {"": b""}
+            self.older, self.cache = self.cache, {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.cache
-        new = list(set(chain.from_iterable(split)).difference(known))
-        for at in range(0, len(new), 4096):
-            self._learn(new[at : at + 4096])
+        new = set().union(*split).difference(known)
+        if new:
+            self._learn(new)
         end = np.array([END], dtype="<u4").tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, words)) + end, dtype="<u4") for words in split]
 
-    def _learn(self, strings: list[str]) -> None:
+    def _learn(self, strings: set[str]) -> None:
+        known, older = self.cache, self.older
+        reduced = []
+        for s in strings:
+            ids = older.get(s)
+            if ids is not None:
+                known[s] = ids
+                continue
+            stop = s[-1] if s[-1] in ".," and s[-2:-1].isalpha() else ""
+            core = s[:-1] if stop else s
+            if core.isascii() and core.isalpha():
+                core = core.lower()
+            reduced.append((s, core, stop))
+        need = []
+        for core in {c for _, c, _ in reduced}.difference(known):
+            ids = older.get(core)
+            if ids is None:
+                need.append(core)
+            else:
+                known[core] = ids
+        for at in range(0, len(need), 4096):
+            self._encode(need[at : at + 4096])
+        for s, core, stop in reduced:
+            known[s] = known[core] + self.stops[stop] if stop else known[core]
+
+    def _encode(self, strings: list[str]) -> None:
         got = self.tokenizer.encode(" ".join(strings), add_special_tokens=False)
         ids = np.array(got.ids, dtype="<u4").tobytes()
         begins = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
