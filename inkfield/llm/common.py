@@ -55,12 +55,10 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(keep: int = 0) -> None:
-    """Delete the scratch tables made so far but for the newest ``keep``."""
-    gone = _live[: len(_live) - keep]
-    del _live[: len(gone)]
-    for spark, path in gone:
-        drop_path(spark, path)
+def release() -> None:
+    """Delete the scratch tables made so far. Only for callers whose earlier results are written elsewhere."""
+    while _live:
+        drop_path(*_live.pop())
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -69,14 +67,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop_stash(df_paths: list[str]) -> None:
-    for spark, path in [x for x in _live if x[1] in df_paths]:
-        drop_path(spark, path)
-        _live.remove((spark, path))
-
-
-def last_stash() -> str:
-    return _live[-1][1]
+def keep_table(df: DataFrame, label: str) -> DataFrame:
+    """Like ``stash``, but not deleted by ``release``."""
+    out = stash(df, label)
+    _live.pop()
+    return out
 
 
 def pieces(n_rows: int, per_piece: int, least: int) -> int:

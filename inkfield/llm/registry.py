@@ -8,7 +8,10 @@ from . import ann, lattice_sampling, license_scan, packing, pii, quality_classif
 
 
 def queries() -> dict[str, Callable]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_pii": pii.op1_pii,
         "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,

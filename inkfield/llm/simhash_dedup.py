@@ -279,7 +279,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").withColumn("_nth_", F.row_number().over(first)).filter("_nth_ = 1").select(*docs.columns)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_batch, pieces, shuffle_width, stash, table, text_or_empty
 from .induced_sorting import suffix_order
@@ -348,6 +349,8 @@ def repeats(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFr
                 raw = text.encode("utf-8", "surrogatepass")
                 runs = covered([(x["a"], x["z"]) for x in found], len(raw))
                 left = without(raw, runs)
+                if with_text:
+                    left = left.decode("utf-8", "ignore").encode()
                 rows.append((k1, k2, sum(z - a for a, z in runs), len(runs), left if with_text else hashlib.sha256(left).digest()))
             if rows:
                 yield as_batch(dict(zip(_CUTS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _CUTS_SCHEMA)
@@ -377,5 +380,43 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Columns that hold a text's key beside a table's own.
+KEYS = ("_text_key_1_", "_text_key_2_")
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` without the repeated bytes, n_chars following; null texts stay null.
+
+    A character that loses some of its bytes goes whole. Texts are looked up by their key, so copies lose alike.
+    """
+    _, classes, cuts = repeats(docs, with_text=True)
+    gone = classes.filter("copies > 1").select("k1", "k2", F.lit(None).cast("binary").alias("kept"))
+    lost = cuts.select("k1", "k2", "kept").join(gone.select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(gone).dropDuplicates(["k1", "k2"])
+    lost = stash(lost.select(F.col("k1").alias(KEYS[0]), F.col("k2").alias(KEYS[1]), F.col("kept").alias("_kept_"), F.lit(True).alias("_hit_")), "op6-lost")
+    names = docs.columns
+    joined = keys_of(docs).join(lost, list(KEYS), "left")
+    # A hit without bytes is a copy: from a window's length on, nothing is left of it.
+    chars = F.decode(F.col("_kept_"), "UTF-8")
+    text = F.when(F.col("_hit_").isNull() | F.col("text").isNull(), F.col("text")).when(F.col("_kept_").isNull(), F.when(F.octet_length("text") >= WINDOW, F.lit("")).otherwise(F.col("text"))).otherwise(chars)
+    done = joined.withColumn("_old_", F.col("text")).withColumn("text", text)
+    if "n_chars" in names:
+        done = done.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("_old_")), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return done.select(*names)
+
+
+def keys_of(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of the text (null as empty)."""
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(k, T.LongType()) for k in KEYS)])
+
+    def run(it):
+        for b in it:
+            keys = [text_key(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(at)]
+            more = [pa.array([k for k, _ in keys], type=pa.int64()), pa.array([k for _, k in keys], type=pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *KEYS])
+
+    return docs.mapInArrow(run, schema)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_bytes(table(spark, sf_dir, "documents"))
