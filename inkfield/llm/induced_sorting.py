@@ -192,3 +192,69 @@ def _induce(text, small, seeds, given, common, ascending: bool, in_memory: int):
     prefix.reverse()
     return out, [0, *prefix[:-1]]
 
+
+def repeated_around(lefts: list[bytes], rights: list[bytes], window: int, in_memory: int = IN_MEMORY) -> list[list[int]]:
+    """Repeats among texts left + core + right whose cores are equal and count as one symbol.
+
+    For each text, the numbers d of symbols before the core at which a ``window``-symbol string
+    starts that another of the texts has too, at the same d. The suffixes at the cores are the seeds,
+    ordered by what follows; those d symbols before them are induced from those d - 1 before, level by
+    level, by the queue's tuples (d, symbol, turn, text, common prefix). A suffix that shares nothing
+    with its neighbours in the order is not carried on: nothing further left can repeat.
+    """
+    found: list[list[int]] = [[] for _ in lefts]
+    order = sorted(range(len(rights)), key=rights.__getitem__)
+    queue = DiskQueue(in_memory)
+    before = b""
+    for turn, k in enumerate(order):
+        queue.push((0, 0, turn, k, 1 + _shared(before, rights[k], window)))
+        before = rights[k]
+    least, turn, last_push = _Least(), 0, {}
+    held = None  # the suffix taken out last, put on once its right neighbour is known
+    level = symbol = -1
+    while True:
+        item = queue.pop() if len(queue) else None
+        value = 0
+        if item is not None and item[0] == level and item[1] == symbol:
+            value = item[4]
+        if held is not None and (held[1] or value):
+            k, _ = held
+            d = level + 1
+            if len(lefts[k]) >= d:
+                c = lefts[k][-d]
+                seen = last_push.get(c)
+                queue.push((d, c, turn, k, 0 if seen is None else 1 + least.since(seen)))
+                last_push[c] = turn
+                if item is not None and queue.heap and item > queue.heap[0]:
+                    queue.push(item)
+                    item = queue.pop()
+                    value = item[4] if item[0] == level and item[1] == symbol else 0
+        if item is None:
+            if not len(queue):
+                break
+            held = None
+            continue
+        if item[0] != level:
+            last_push = {}
+        if value >= window:
+            if not found[held[0]] or found[held[0]][-1] != item[0]:
+                found[held[0]].append(item[0])
+            found[item[3]].append(item[0])
+        level, symbol = item[0], item[1]
+        turn += 1
+        least.add(turn, value)
+        held = (item[3], value)
+    queue.close()
+    return found
+
+
+def _shared(a: bytes, b: bytes, most: int) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b), most) + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low

@@ -11,8 +11,10 @@ can repeat:
 3. Windows whose anchor repeats are cut out as *items*: up to 128 neighbouring starts that share
    an anchor. All windows of an item share 273 bytes; their hash is the item's key, and
    equal windows always meet under one key. Equal items are pre-aggregated.
-4. Items under one key that differ are suffix-sorted by external induced sorting, which carries
-   common prefixes: neighbours that share 400 bytes mark both starts.
+4. Items under one key that differ are sorted by external induced sorting. The shared bytes are one
+   symbol of the reduced string: suffixes that begin with it are ordered by what follows, and those
+   further left are induced from them, carrying common prefixes; neighbours that share a whole
+   window mark both starts. (``repeated_starts`` sorts all suffixes of any strings the same way.)
 
 A passage that a third of all documents share is one item by then, so no key is hot. Texts
 move once: those with repeated anchors, to be cut.
@@ -21,7 +23,6 @@ move once: those with repeated anchors, to be cut.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_batch, pieces, shuffle_width, stash, table, text_or_empty
-from .induced_sorting import suffix_order
+from .induced_sorting import repeated_around, suffix_order
 
 WINDOW = 400
 GRAM = 64
 GRAMS = WINDOW - GRAM + 1
 BUCKET = 128
+#: Bytes that all windows of an item share.
+SHARED = WINDOW - BUCKET + 1
 #: Places in one piece of text; longer texts are scanned in pieces that overlap by a window.
 _PLACE_BITS = 24
 _PIECE = 1 << 22
-#: Bytes of items sorted at once, and in one task.
-SHARD_BYTES, TASK_BYTES = 1 << 20, 16 << 20
+#: Bytes of items sorted in one task.
+TASK_BYTES = 16 << 20
 
 
 # ---------------------------------------------------------------- anchors
@@ -158,7 +161,7 @@ def text_facts(docs: DataFrame) -> DataFrame:
 
 
 def items_of(raw: bytes, repeated: np.ndarray):
-    """(key, first start, bytes) of a text's items. ``repeated``: the numbers of its anchors that the corpus has more than once."""
+    """(key, first start, bytes, place of the shared bytes in them) of a text's items. ``repeated``: the numbers of its anchors that the corpus has more than once."""
     h, place, first, last = anchors([raw])[0]
     ok = np.zeros(len(h), dtype=bool)
     ok[repeated[repeated < len(h)]] = True
@@ -170,15 +173,15 @@ def items_of(raw: bytes, repeated: np.ndarray):
             a, z = max(lo, p - zone - BUCKET + 1), min(hi, p - zone)
             if a <= z:
                 shared = raw[p - zone : p - zone - BUCKET + 1 + WINDOW]
-                yield xxhash.xxh3_64_intdigest(shared + name + bytes([bucket])) - (1 << 63), a, raw[a : z + WINDOW]
+                yield xxhash.xxh3_64_intdigest(shared + name + bytes([bucket])) - (1 << 63), a, raw[a : z + WINDOW], p - zone - a
 
 
-_ITEMS = "key long, digest long, content binary, k1 long, k2 long, first int"
-_ITEMS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("content", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32())])
+_ITEMS = "key long, digest long, left binary, right binary, k1 long, k2 long, first int"
+_ITEMS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32())])
 
 
 def cut_items(texts: DataFrame) -> DataFrame:
-    """Items of texts (k1, k2, text, numbers)."""
+    """Items of texts (k1, k2, text, numbers), as what is left and right of the shared bytes; the digest stands for all of it."""
 
     def run(it):
         for b in it:
@@ -186,8 +189,8 @@ def cut_items(texts: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 raw = b.column(2)[i].as_buffer().to_pybytes()
                 k1, k2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                for key, first, content in items_of(raw, np.asarray(b.column(3)[i].as_py(), dtype=np.int64)):
-                    rows.append((key, xxhash.xxh3_64_intdigest(content) - (1 << 63), content, k1, k2, first))
+                for key, first, content, core in items_of(raw, np.asarray(b.column(3)[i].as_py(), dtype=np.int64)):
+                    rows.append((key, xxhash.xxh3_64_intdigest(content) - (1 << 63), content[:core], content[core + SHARED :], k1, k2, first))
                 if len(rows) > 4000 or (rows and i == b.num_rows - 1):
                     yield as_batch(dict(zip(_ITEMS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _ITEMS_SCHEMA)
                     rows = []
@@ -248,38 +251,42 @@ _MARKS = "key long, digest long, a int, z int"
 _MARKS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("a", pa.int32()), ("z", pa.int32())])
 
 
+def marks_of(group: list[tuple]) -> list[tuple]:
+    """(key, digest, a, z) of one key's items (key, digest, left, right, count)."""
+    copies: dict[int, int] = {}
+    for _, digest, _, _, count in group:
+        copies[digest] = copies.get(digest, 0) + count
+    rows = []
+    found = repeated_around([g[2] for g in group], [g[3] for g in group], BUCKET) if len(group) > 1 else [[]]
+    for (key, digest, left, right, _), before in zip(group, found, strict=True):
+        if copies[digest] > 1:
+            rows.append((key, digest, 0, len(left) + SHARED + len(right) - WINDOW))
+        else:
+            rows += [(key, digest, a, z) for a, z in as_ranges(sorted({len(left) - d for d in before}))]
+    return rows
+
+
 def mark_repeats(counted: DataFrame) -> DataFrame:
-    """(key, digest, a, z): repeated starts a to z of each item. ``counted`` rows (key, digest, content, count) lie together by key, in order."""
+    """(key, digest, a, z): repeated starts a to z of each item. ``counted`` rows (key, digest, left, right, count) lie together by key, in order."""
 
     def run(it):
-        def flush(groups):
-            rows = []
-            single = [g for g in groups if len(g) == 1]
-            for ((key, digest, content, count),) in single:
-                if count > 1:
-                    rows.append((key, digest, 0, len(content) - WINDOW))
-            mixed = [x for g in groups if len(g) > 1 for x in g]
-            if mixed:
-                for (key, digest, content, count), starts in zip(mixed, repeated_starts([c for _, _, c, _ in mixed]), strict=True):
-                    found = [(0, len(content) - WINDOW)] if count > 1 else as_ranges(starts)
-                    rows += [(key, digest, a, z) for a, z in found]
-            if rows:
-                yield as_batch(dict(zip(_MARKS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _MARKS_SCHEMA)
-
-        groups: list[list] = []
-        size = 0
+        group: list[tuple] = []
+        rows: list[tuple] = []
         for b in it:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not groups or groups[-1][0][0] != row[0]:
-                    if size > SHARD_BYTES:
-                        yield from flush(groups)
-                        groups, size = [], 0
-                    groups.append([])
-                groups[-1].append(row)
-                size += len(row[2])
-        yield from flush(groups)
+                if group and group[0][0] != row[0]:
+                    rows += marks_of(group)
+                    group = []
+                group.append(row)
+            if len(rows) > 10_000:
+                yield as_batch(dict(zip(_MARKS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _MARKS_SCHEMA)
+                rows = []
+        if group:
+            rows += marks_of(group)
+        if rows:
+            yield as_batch(dict(zip(_MARKS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _MARKS_SCHEMA)
 
-    return counted.select("key", "digest", "content", "count").mapInArrow(run, _MARKS)
+    return counted.select("key", "digest", "left", "right", "count").mapInArrow(run, _MARKS)
 
 
 # ---------------------------------------------------------------- the operator
@@ -334,10 +341,10 @@ def repeats(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFr
 
     texts = stash(wanted.join(some, "rep").select("k1", "k2", "text", "numbers").mapInArrow(sound, "k1 long, k2 long, text string, numbers array<int>"), "op6-texts")
     items = stash(cut_items(texts), "op6-items")
-    counted = items.groupBy("key", "digest", "content").count()
-    volume = items.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+    counted = items.groupBy("key", "digest", "left", "right").count()
+    volume = items.agg(F.coalesce(F.sum(F.octet_length("left") + F.octet_length("right")), F.lit(0))).first()[0]
     parts = pieces(volume, TASK_BYTES, shuffle_width(spark))
-    marks = stash(mark_repeats(counted.repartition(parts, "key").sortWithinPartitions("key", "digest")), "op6-marks")
+    marks = stash(mark_repeats(counted.repartition(parts, "key").sortWithinPartitions("key", "digest")), "op6-marks").distinct()
     ranges = (
         items.select("key", "digest", "k1", "k2", "first").join(marks, ["key", "digest"]).groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("z")).alias("z"))).alias("ranges"))
     )
