@@ -67,11 +67,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def keep_table(df: DataFrame, label: str) -> DataFrame:
-    """Like ``stash``, but not deleted by ``release``."""
+def write_kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Like ``stash``, but not deleted by ``release``; returns the path too, for ``drop_path``."""
     out = stash(df, label)
-    _live.pop()
-    return out
+    return out, _live.pop()[1]
+
+
+def keep_table(df: DataFrame, label: str) -> DataFrame:
+    return write_kept(df, label)[0]
 
 
 def pieces(n_rows: int, per_piece: int, least: int) -> int:
