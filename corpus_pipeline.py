@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.keep_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = common.write_kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            common.drop_path(spark, before)
+        before = path
+    common.release()
     return docs
