@@ -367,9 +367,10 @@ def test_templates_match_with_lost_words_but_not_without_their_phrases():
 
 def test_tokens_equal_the_tokenizer(texts):
     tok = packing.CachedTokenizer(packing.tokenizer_path())
-    some = [*list(texts.values())[:80], "A<|endoftext|>b <|ENDOFTEXT|> ", "a b\x85c\x1cd née. é. ́x. \t y'S. don't, 12'll, 's. x's, I'M.", "", ".", "ΣΑΣ. İI, ²."]
+    some = [*list(texts.values())[:80], "x<|startoftext|>y <|startoftext|> <|StartOfText|>", "A<|endoftext|>b <|ENDOFTEXT|> ", "a b\x85c\x1cd née. é. ́x. \t y'S. don't, 12'll, 's. x's, I'M.", "", ".", "ΣΑΣ. İI, ²."]
     want = [e.ids + [1] for e in tok.tokenizer.encode_batch(some, add_special_tokens=False)]
     assert [a.tolist() for a in tok.many(some)] == want
+    assert tok.many(["q<|startoftext|>q"])[0].tolist() == tok.tokenizer.encode("q<|startoftext|>q", add_special_tokens=False).ids + [1]
 
 
 def test_packing_query_and_its_bound(spark):
