@@ -180,3 +180,51 @@ def ranked_versions(versions: DataFrame) -> DataFrame:
     """Versions of a text by a weighted sum of age, completeness, source and rarity (weights .4, .3, .2, .1)."""
     score = F.round(0.4 * F.col("age") + 0.3 * F.col("completeness") + 0.2 * F.col("authority") + 0.1 * F.col("rarity"), 6)
     return versions.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("work").orderBy(F.desc("score"), "version")))
+
+
+# ---- Fixed values: kinship and name words that stand before a name.
+KIN_PREFIXES = (("祖父", "PATERNAL_GRANDFATHER"), ("祖母", "PATERNAL_GRANDMOTHER"), ("父", "FATHER"), ("母", "MOTHER"), ("字", "COURTESY_NAME"), ("号", "ART_NAME"))
+# ---- End of fixed values.
+
+
+def prefix_relations(docs: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """(key, src, dst, type, confidence) of "父Y", "字Y" and the like where no Chinese character stands before the word.
+
+    The source is the nearest stored name in the 50 characters before (of those that end at the same
+    place, the longest): candidates are the runs of characters there, met with the names by an equi-join.
+    """
+    words = "|".join(p for p, _ in KIN_PREFIXES)
+    kinds = F.create_map(*[F.lit(x) for pair in KIN_PREFIXES for x in pair])
+    # Pieces begin at a word, but for the first of a text; what lies before a piece is found by its place.
+    pieces = docs.select(key, F.posexplode(F.split("text", f"(?<![{HAN}])(?=(?:{words})[{HAN}]{{2}})")).alias("n", "part"))
+    by = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    seen = pieces.withColumn("before", F.substring(F.array_join(F.collect_list("part").over(by), ""), -50, 50))
+    found = seen.filter(F.col("part").rlike(f"^(?:{words})[{HAN}]{{2}}") & (F.length("before") > 0)).select(
+        key, "n", F.regexp_extract("part", f"^({words})", 1).alias("word"), F.regexp_extract("part", f"^(?:{words})([{HAN}]{{2,4}})", 1).alias("dst"), "before"
+    )
+    spots = found.select(key, "n", "word", "dst", "before", F.explode(F.sequence(F.lit(1), F.length("before"))).alias("i"))
+    runs = spots.select(key, "n", "word", "dst", "i", F.explode(F.sequence(F.lit(2), F.lit(5))).alias("k"), "before").filter(F.col("i") + F.col("k") - 1 <= F.length("before"))
+    cand = runs.select(key, "n", "word", "dst", (F.col("i") + F.col("k")).alias("end"), "k", F.substring(F.col("before"), F.col("i"), F.col("k")).alias("src"))
+    known = names.select(F.col("name").alias("src")).distinct()
+    best = cand.join(known, "src", "left_semi").groupBy(key, "n", "word", "dst").agg(F.max_by("src", F.struct("end", "k")).alias("src"))
+    return best.select(key, "src", "dst", kinds[F.col("word")].alias("type"), F.lit(0.8).alias("confidence")).distinct()
+
+
+def life_years(text: Column, name: Column) -> tuple[Column, Column]:
+    """Years of birth and death that follow a name; the death year is read as well as the birth year."""
+    year = lambda words: F.nullif(F.call_function("regexp_extract", text, F.concat(F.lit("\\Q"), name, F.lit(f"\\E[^字]*?(?:{words})于?([0-9]{{4}})年?")), F.lit(1)), F.lit("")).cast("int")
+    return year("生"), year("卒|殁")
+
+
+def anti_merge(rules: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """Rule rows, and those of a model that have no rule row of the same keys."""
+    return rules.unionByName(model.join(rules.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+
+
+def entity_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Weighted likeness of two people: name .3, years .25, place .25, title .2; years by their overlap over their union."""
+    overlap = F.greatest(F.lit(0), F.least(a["to"], b["to"]) - F.greatest(a["from"], b["from"]))
+    union = F.greatest(a["to"], b["to"]) - F.least(a["from"], b["from"])
+    years = F.when(union > 0, overlap / union).otherwise(F.lit(0.0))
+    same = lambda f: F.when(a[f] == b[f], 1.0).otherwise(0.0)
+    return F.round(0.3 * similarity(a["name"], b["name"]) + 0.25 * years + 0.25 * same("place") + 0.2 * same("title"), 6)

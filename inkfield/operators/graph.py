@@ -104,3 +104,32 @@ def importance_cut(degree: DataFrame, percent: int, least: int = 100, from_nodes
     ranked = degree.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "uri")))
     n = degree.agg(F.count(F.lit(1)).alias("n"))
     return ranked.crossJoin(F.broadcast(n)).filter((F.col("n") <= from_nodes) | (F.col("rank") <= F.greatest(F.lit(least), F.floor(F.col("n") * percent / 100)))).select("uri", "degree", "rank")
+
+
+def unit_coordinates(points: DataFrame) -> DataFrame:
+    """Coordinates from their minimum on, over the largest range of any axis."""
+    s = points.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    most = F.greatest(*[F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"])
+    span = F.when(most > 0, most).otherwise(F.lit(1.0))
+    return points.crossJoin(F.broadcast(s)).select("uri", *[((F.col(c) - F.col(f"lo{c}")) / span).alias(c) for c in "xyz"])
+
+
+def stand_in_layout(nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Clustered positions for nodes without a layout: cluster and place follow from a hash of the uri, so they never change."""
+    k = max(8, min(40, n // 80))
+    h = lambda salt: F.pmod(F.xxhash64("uri", F.lit(seed + salt)), F.lit(1_000_000)) / 1_000_000.0
+    cluster = F.floor(h(1) * k)
+    angle = cluster * (2 * 3.141592653589793 / k)
+    return nodes.select("uri", cluster.cast("int").alias("cluster"), (F.cos(angle) * 60 + (h(2) - 0.5) * 20).alias("x"), (F.sin(angle) * 60 + (h(3) - 0.5) * 20).alias("y"), ((h(4) - 0.5) * 40).alias("z"))
+
+
+def graph_page(edges: DataFrame, people: DataFrame, limit: int, offset: int = 0, keep=None) -> tuple[DataFrame, DataFrame]:
+    """A slice of edges, the people at their ends that pass ``keep``, and the slice's edges among those."""
+    part = edges.orderBy("src", "dst", "relation").offset(offset).limit(limit)
+    ends = part.select(F.col("src").alias("uri")).union(part.select("dst")).distinct()
+    nodes = people.join(ends, "uri", "left_semi")
+    if keep is not None:
+        nodes = nodes.filter(keep)
+    ids = nodes.select("uri")
+    inside = part.join(ids.withColumnRenamed("uri", "src"), "src", "left_semi").join(ids.withColumnRenamed("uri", "dst"), "dst", "left_semi")
+    return nodes, inside

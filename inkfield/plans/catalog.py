@@ -563,3 +563,123 @@ def ingest_counts(spark, d):
     docs = load(spark, d, "documents")
     chunks = tx.sliding_windows(docs.filter("length(text) > 0"), "doc_id", 500, 20).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return docs.select("doc_id").join(chunks, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("chunks"))
+
+
+# ------------------------------------------------------------------ further operators
+
+
+@query(f"SELECT (SELECT count(*) FROM {P}) AS persons, (SELECT count(*) FROM {R}) AS relations")
+def graph_stats(spark, d):
+    return people(spark, d).agg(F.count(F.lit(1)).alias("persons")).crossJoin(relations(spark, d).agg(F.count(F.lit(1)).alias("relations")))
+
+
+@query(f"SELECT count(*) AS total, sum(enabled)::BIGINT AS enabled, (count(*) - sum(enabled))::BIGINT AS disabled, string_agg(name, ',' ORDER BY name) FILTER (enabled = 1) AS names FROM {fx.values(fx.SOURCES, ('name', 'label', 'enabled'))}")
+def source_audit(spark, d):
+    s = fx.rows(spark, fx.SOURCES, ("name", "label", "enabled"))
+    return s.agg(F.count(F.lit(1)).alias("total"), F.sum("enabled").alias("enabled"), (F.count(F.lit(1)) - F.sum("enabled")).alias("disabled"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("enabled") == 1, F.col("name")))), ",").alias("names"))
+
+
+def _everyone(spark, d):
+    name = F.when(F.col("s_nationkey") % 3 == 0, "BUILDING").when(F.col("s_nationkey") % 3 == 1, "").otherwise("HOUSEHOLD")
+    makers = load(spark, d, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("uri"), name.alias("family_name"))
+    return people(spark, d).select("uri", "family_name").unionByName(makers)
+
+
+@query(f"WITH e AS (SELECT * FROM {R} ORDER BY src, dst, relation LIMIT 200 OFFSET 50), n AS (SELECT uri FROM {_PS} WHERE family_name <> 'HOUSEHOLD' AND uri IN (SELECT src FROM e UNION SELECT dst FROM e)) SELECT src, dst, relation FROM e WHERE src IN (FROM n) AND dst IN (FROM n)")
+def graph_page(spark, d):
+    return graph.graph_page(relations(spark, d), _everyone(spark, d), 200, 50, F.col("family_name") != "HOUSEHOLD")[1].select("src", "dst", "relation")
+
+
+@query(f"WITH s AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS r FROM {_PT}) SELECT uri, round((x - lx) / r, 9) AS x, round((y - ly) / r, 9) AS y, round((z - lz) / r, 9) AS z FROM {_PT}, s")
+def unit_coordinates(spark, d):
+    return graph.unit_coordinates(_points(spark, d)).select("uri", *[F.round(c, 9).alias(c) for c in "xyz"])
+
+
+@query(None)
+def stand_in_layout(spark, d):
+    return graph.stand_in_layout(people(spark, d).select("uri"), 5000)
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY n DESC, family_name) AS surname_rank FROM (SELECT family_name, count(*) AS n FROM {P} WHERE family_name <> '' GROUP BY ALL) QUALIFY surname_rank <= 200) SELECT uri, n, surname_rank FROM {P} LEFT JOIN r USING (family_name)")
+def surname_rank(spark, d):
+    from pyspark.sql import Window
+
+    p = people(spark, d)
+    r = insights.top_surnames(p, 200).withColumn("surname_rank", F.row_number().over(Window.orderBy(F.desc("n"), "family_name")))
+    return p.join(F.broadcast(r), "family_name", "left").select("uri", "n", "surname_rank")
+
+
+_U7A, _U7B = fx.RELATIONS[:2], (("甲", "乙", "FATHER", 0.5), ("丁", "戊", "SON", 0.6))
+
+
+@query(f"SELECT * FROM {fx.values(_U7A, fx.RELATION_COLUMNS)} UNION ALL SELECT * FROM {fx.values(_U7B, fx.RELATION_COLUMNS)} b WHERE NOT EXISTS (SELECT 1 FROM {fx.values(_U7A, fx.RELATION_COLUMNS)} a WHERE (a.src, a.dst, a.type) = (b.src, b.dst, b.type))")
+def anti_merge(spark, d):
+    return kin.anti_merge(fx.rows(spark, _U7A, fx.RELATION_COLUMNS), fx.rows(spark, _U7B, fx.RELATION_COLUMNS), ["src", "dst", "type"])
+
+
+@query(f"SELECT DISTINCT src, dst, type FROM {_RELS}")
+def distinct_links(spark, d):
+    return fx.rows(spark, fx.RELATIONS, fx.RELATION_COLUMNS).select("src", "dst", "type").distinct()
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, '王安石', '介甫', 'COURTESY_NAME', 8e-1), (1, '王安石', '半山', 'ART_NAME', 8e-1), (2, '苏辙', '苏洵', 'FATHER', 8e-1), (4, '苏序', '某某甲', 'PATERNAL_GRANDFATHER', 8e-1)) v(id, src, dst, type, confidence)")
+def prefix_relations(spark, d):
+    names = spark.createDataFrame([(n,) for n in ("王安石", "苏轼", "苏辙", "苏序")], "name string")
+    return kin.prefix_relations(fx.rows(spark, fx.PREFIX_TEXTS, fx.TEXT_COLUMNS), names, "id")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 1037, 1101), (2, 1021, NULL), (3, NULL, NULL)) v(id, birth_year, death_year)")
+def life_years(spark, d):
+    born, died = kin.life_years(F.col("text"), F.col("name"))
+    return fx.rows(spark, fx.LIVES, ("id", "text", "name")).select("id", born.alias("birth_year"), died.alias("death_year"))
+
+
+@query(f"SELECT id, round(3e-1 * (CASE WHEN greatest(length(n1), length(n2)) = 0 THEN 1 ELSE 1 - levenshtein(n1, n2) / greatest(length(n1), length(n2)) END) + 25e-2 * (CASE WHEN greatest(t1, t2) > least(f1, f2) THEN greatest(0, least(t1, t2) - greatest(f1, f2)) / (greatest(t1, t2) - least(f1, f2)) ELSE 0 END) + 25e-2 * (p1 = p2)::INT + 2e-1 * (o1 = o2)::INT, 6) AS similarity FROM {fx.values(fx.LIKE, fx.LIKE_COLUMNS)} WHERE id > 1")
+def entity_similarity(spark, d):
+    side = lambda k: {"name": F.col(f"n{k}"), "from": F.col(f"f{k}"), "to": F.col(f"t{k}"), "place": F.col(f"p{k}"), "title": F.col(f"o{k}")}
+    return fx.rows(spark, fx.LIKE, fx.LIKE_COLUMNS).filter("id > 1").select("id", kin.entity_similarity(side(1), side(2)).alias("similarity"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 0, '玄武', 7e-1, 1, 2, 11, 7), (1, 1, '', 4e-1, 0, 0, 0, 0), (2, 0, '一行', 8e-1, 0, 0, 0, 0)) v(id, n, text, confidence, x0, y0, x1, y1)")
+def ocr_service_lines(spark, d):
+    from ..functions import ocr
+
+    return ocr.service_lines(fx.rows(spark, fx.SERVICE, ("id", "reply")), "id")
+
+
+@query(f"""SELECT page, line, (i - 1)::INT AS pos, text[i] AS ch, variant_of, taboo_for FROM {_OCR} o, unnest(range(1, length(text) + 1)) t(i)
+LEFT JOIN (SELECT variant AS ch, standard AS variant_of FROM {_VAR} WHERE length(variant) = 1) v ON v.ch = text[i] LEFT JOIN (SELECT ch, replacement AS taboo_for FROM {_TAB} WHERE dynasty = 'qing') b ON b.ch = text[i]""")
+def char_flags(spark, d):
+    from ..functions import ocr
+
+    v, o = fx.rows(spark, fx.VARIANTS, fx.VARIANT_COLUMNS), fx.rows(spark, fx.OCR, fx.OCR_COLUMNS)
+    out = ocr.character_flags(tx.characters(o, ["page", "line"]), tx.normal_forms(v), v, fx.rows(spark, fx.TABOO, fx.TABOO_COLUMNS), "qing")
+    return out.select("page", "line", "pos", "ch", "variant_of", "taboo_for")
+
+
+@query(f"SELECT dynasty, emperor, replacement FROM {_TAB} WHERE ch = '弘'")
+def taboo_lookup(spark, d):
+    from ..functions import ocr
+
+    return ocr.taboo_rules(fx.rows(spark, fx.TABOO, fx.TABOO_COLUMNS), "弘")
+
+
+@query(f"SELECT standard, string_agg(variant, ',' ORDER BY variant) AS variants FROM {_VAR} GROUP BY ALL ORDER BY standard LIMIT 3")
+def variant_listing(spark, d):
+    v = fx.rows(spark, fx.VARIANTS, fx.VARIANT_COLUMNS)
+    return v.groupBy("standard").agg(F.array_join(F.sort_array(F.collect_set("variant")), ",").alias("variants")).orderBy("standard").limit(3)
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 0, 0, 0, 'same'), (1, 1, 1, -1, 'deleted'), (1, 2, 2, 1, 'same'), (1, 3, -1, 2, 'inserted'), (2, 0, 0, 0, 'changed'), (3, 0, -1, 0, 'inserted')) v(id, n, i, j, kind)")
+def version_alignment(spark, d):
+    from ..operators import alignment
+
+    a, b = (fx.rows(spark, x, ("id", "n", "text")) for x in (fx.VERSION_A, fx.VERSION_B))
+    return alignment.align_versions(a, b, "id")
+
+
+@query(f"WITH {_BM25}, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 3) SELECT item_id, string_agg(source, '; ' ORDER BY rank) AS answer FROM r JOIN documents USING (doc_id) GROUP BY ALL")
+def extractive_answer(spark, d):
+    top = rt.top_k(_scores(spark, d).withColumn("score", F.round("score", 6)), "item_id", "doc_id", 3)
+    named = top.join(load(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return named.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]), "; ").alias("answer"))

@@ -47,3 +47,14 @@ def values(data, columns) -> str:
     show = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else f"{x}::BIGINT"
     body = ", ".join("(" + ", ".join(map(show, r)) + ")" for r in data)
     return f"(SELECT * FROM (VALUES {body}) v({', '.join(columns)}))"
+PREFIX_TEXTS = ((1, "王安石，父益，字介甫，号半山，临川人"), (2, "苏轼苏辙，父苏洵。"), (3, "字无人"), (4, "其祖父苏序，祖父某某甲"))
+LIVES = ((1, "苏轼生于1037年，卒于1101年", "苏轼"), (2, "王安石生1021年", "王安石"), (3, "无年", "无"))
+SERVICE = (
+    (1, '{"success":true,"data":{"results":[{"text":"玄武","rect":{"x":1,"y":2,"width":10,"height":5},"probability":{"average":0.7}},{"text":"","probability":{"max":0.4}}]}}'),
+    (2, '{"success":true,"data":{"text":"一行","probability":{"average":0.8}}}'), (3, '{"success":false,"error_code":"x"}'), (4, "broken"),
+)
+VERSION_A = ((1, 0, "一"), (1, 1, "二"), (1, 2, "三"), (2, 0, "甲"))
+VERSION_B = ((1, 0, "一"), (1, 1, "三"), (1, 2, "四"), (2, 0, "乙"), (3, 0, "新"))
+SOURCES = (("genealogy", "persons", 1), ("chronicle", "texts", 0), ("poems", "texts", 0))
+LIKE = ((1, "苏轼", 1037, 1101, "眉山", "学士", "苏辙", 1039, 1112, "眉山", "侍郎"), (2, "王安石", 1021, 1086, "临川", "相", "王安石", 1021, 1086, "临川", "相"), (3, "abcd", 900, 950, "a", "b", "abxd", 940, 990, "c", "b"))
+LIKE_COLUMNS = ("id", "n1", "f1", "t1", "p1", "o1", "n2", "f2", "t2", "p2", "o2")

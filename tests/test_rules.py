@@ -133,3 +133,40 @@ def test_streamed_chunks_arrive_once(spark, tmp_path):
     q = ingest.append_chunks(ingest.chunk_stream(stream, "doc_id", 100, 0, ".!?;"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_alignment_is_global_and_optimal():
+    from inkfield.operators.alignment import align
+
+    assert align(list("abc"), list("abc")) == [(0, 0), (1, 1), (2, 2)]
+    assert align([], ["x"]) == [(None, 0)] and align([], []) == []
+    assert [p for p in align(list("axbc"), list("abc")) if None in p] == [(1, None)]
+
+
+def test_images_are_read_whatever_their_case(spark, tmp_path):
+    from inkfield.functions import ocr
+
+    for name in ("a.jpg", "b.PNG", "c.txt"):
+        (tmp_path / name).write_bytes(b"123")
+    assert ocr.image_files(spark, str(tmp_path)).count() == 2
+
+
+def test_stand_in_layout_is_stable(spark):
+    from inkfield.operators import graph as g
+
+    nodes = spark.createDataFrame([(f"c:{i}",) for i in range(50)], "uri string")
+    a, b = (sorted(map(tuple, g.stand_in_layout(nodes.repartition(k), 5000).collect())) for k in (1, 4))
+    assert a == b
+
+
+def test_layout_sink_keeps_edges_between_nodes(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 1.0)], "uri string, x double, y double")
+    edges = spark.createDataFrame([("a", "b"), ("a", "z")], "src string, dst string")
+    src.write_layout(nodes, edges, str(tmp_path / "l"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "l" / "edges")).select("src", "dst").collect()] == [("a", "b")]
+
+
+def test_graph_json(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{"persons":[{"name":"甲","stub":true}],"relations":[{"from":"甲","to":"乙","type":"FATHER","confidence":0.9}]}')
+    persons, rels = src.read_graph_json(spark, str(tmp_path / "g.json"))
+    assert persons.count() == 1 and [r["to"] for r in rels.collect()] == ["乙"]
