@@ -286,7 +286,7 @@ def test_induction_around_shared_cores():
 
 def test_encoding_equals_the_library_and_decodes(texts):
     lat = lattice_sampling.Lattices(lattice_sampling.model_path())
-    some = [*list(texts.values())[:80], "", " ", "  ", "a  b", "  a ", "a   b  ", "Ünï\tx\n\ny 梦 ▁ x"]
+    some = [*list(texts.values())[:80], "", " ", "  ", "a  b", "  a ", "a   b  ", "Ünï\tx\n\ny 梦 ▁ x", "\n", " \n", "a \nb", "\na", "a\n", "x.\ny, z.", "a.. b., c", "e\0f g", "a  \n\n  b"]
     us = [lattice_sampling.units(t) for t in some]
     for k, (t, u, r) in enumerate(zip(some, us, lat.rows(us), strict=True)):
         draws = [(np.frombuffer(d[1], "<u2").tolist(), d) for d in lattice_sampling.segmentations(lat, k, u, r)]
