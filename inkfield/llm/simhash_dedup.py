@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_batch, batches, pieces, shuffle_width, stash, table, text_or_empty
 
@@ -260,7 +261,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, fp (signed long) and component_id, one row for each row of ``docs``.
+    """doc_id, fp (signed long), component_id and root (the component's least fingerprint), one row for each row of ``docs``.
 
     Texts without words have fingerprint 0 and link like any other. Null text: as empty.
     Repeated rows give repeated rows. A null doc_id never becomes a component's id unless all
@@ -270,16 +271,31 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = stash(fp_of.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     tied = components(trie_links(classes.select("fp")))
     rooted = classes.join(tied, classes.fp == tied.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fp_of.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return fp_of.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest doc_id's; of repeated rows of that id, the first by text."""
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_nth_", F.row_number().over(first)).filter("_nth_ = 1").select(*docs.columns)
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id's (null only if all are), of rows with that id the first by text.
+
+    Rows are told apart by id and fingerprint, so other rows of an id stay unless they are near-duplicates too.
+    """
+    first_id = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("fp").alias("f"))
+    found = near_duplicates(docs).groupBy("root").agg(F.min(first_id).alias("k"))
+    kept = stash(found.select(F.col("k.i").alias("_id_"), F.col("k.f").alias("_fp_")), "simhash-kept")
+    names = docs.columns
+    at = names.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_own_fp_", T.LongType())])
+
+    def run(it):
+        for b in batches(it, 256):
+            fps = np.array([fingerprint(t or "") for t in b.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "_own_fp_"])
+
+    near = docs.join(kept.select("_id_").distinct(), docs["doc_id"].eqNullSafe(F.col("_id_")), "left_semi").mapInArrow(run, schema)
+    chosen = near.join(kept, near["doc_id"].eqNullSafe(kept["_id_"]) & (near["_own_fp_"] == kept["_fp_"]), "left_semi")
+    first = Window.partitionBy("doc_id", "_own_fp_").orderBy(F.xxhash64("text"), "text")
+    return chosen.withColumn("_nth_", F.row_number().over(first)).filter("_nth_ = 1").select(*names)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,13 @@ def test_filters_keep_columns(spark, docs, labels):
     assert quality_classifier.keep_good(docs, labels).columns == docs.columns
     kept = simhash_dedup.keep_one(docs)
     ids = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == docs.columns and ids.count(4) == 1 and 8 not in ids and 2 not in ids
+    assert kept.columns == docs.columns and ids.count(4) == 1 and 8 not in ids and 2 not in ids and None in ids
+
+
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    rows = [(5, "one two three four five six"), (5, "seven eight nine ten eleven twelve"), (5, "one two three four five six"), (None, "a b c d e"), (None, "k l m n o p"), (9, "a b c d e")]
+    kept = simhash_dedup.keep_one(table(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("5", "one two three four five six"), ("5", "seven eight nine ten eleven twelve"), ("9", "a b c d e"), ("None", "k l m n o p")]
 
 
 def test_packing_places_every_piece_once(spark, docs):
