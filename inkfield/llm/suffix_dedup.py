@@ -126,8 +126,8 @@ def text_key(raw: bytes) -> tuple[int, int]:
     return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
-_FACTS = "doc_id long, k1 long, k2 long, n_bytes long, whole binary, anchors array<long>"
-_FACTS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("whole", pa.binary()), ("anchors", pa.list_(pa.int64()))])
+_FACTS = "doc_id long, k1 long, k2 long, n_bytes long, whole binary, once array<long>, more array<long>"
+_FACTS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("whole", pa.binary()), ("once", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
 
 
 def _portions(b: pa.RecordBatch, column: int, most: int = 4 << 20):
@@ -143,14 +143,16 @@ def _portions(b: pa.RecordBatch, column: int, most: int = 4 << 20):
 
 
 def text_facts(docs: DataFrame) -> DataFrame:
+    """Ids, keys, sizes, digests and the hashes of anchors that a text has once, and more than once (text of a short period has one many times)."""
+
     def run(it):
         for batch in it:
             for b in _portions(batch, 1):
                 raw = [x.as_buffer().to_pybytes() for x in b.column(1)]
                 keys = [text_key(x) for x in raw]
-                hashes = [a[0].view(np.int64) for a in anchors(raw)]
+                hashes = [np.unique(a[0].view(np.int64), return_counts=True) for a in anchors(raw)]
                 yield as_batch(
-                    {"doc_id": b.column(0), "k1": [k for k, _ in keys], "k2": [k for _, k in keys], "n_bytes": list(map(len, raw)), "whole": [hashlib.sha256(x).digest() for x in raw], "anchors": hashes},
+                    {"doc_id": b.column(0), "k1": [k for k, _ in keys], "k2": [k for _, k in keys], "n_bytes": list(map(len, raw)), "whole": [hashlib.sha256(x).digest() for x in raw], "once": [h[n == 1] for h, n in hashes], "more": [h[n > 1] for h, n in hashes]},
                     _FACTS_SCHEMA,
                 )
 
@@ -161,10 +163,9 @@ def text_facts(docs: DataFrame) -> DataFrame:
 
 
 def items_of(raw: bytes, repeated: np.ndarray):
-    """(key, first start, bytes, place of the shared bytes in them) of a text's items. ``repeated``: the numbers of its anchors that the corpus has more than once."""
+    """(key, first start, bytes, place of the shared bytes in them) of a text's items. ``repeated``: the hashes of its anchors that the corpus has more than once."""
     h, place, first, last = anchors([raw])[0]
-    ok = np.zeros(len(h), dtype=bool)
-    ok[repeated[repeated < len(h)]] = True
+    ok = np.isin(h.view(np.int64), repeated)
     for k in np.flatnonzero(ok).tolist():
         p, lo, hi, name = int(place[k]), int(first[k]), int(last[k]), int(h[k]).to_bytes(8, "little")
         # Starts p - d with d in [zone, zone + BUCKET): all of their windows hold the bytes from p - zone.
@@ -181,7 +182,7 @@ _ITEMS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("left",
 
 
 def cut_items(texts: DataFrame) -> DataFrame:
-    """Items of texts (k1, k2, text, numbers), as what is left and right of the shared bytes; the digest stands for all of it."""
+    """Items of texts (k1, k2, text, hashes), as what is left and right of the shared bytes; the digest stands for all of it."""
 
     def run(it):
         for b in it:
@@ -195,7 +196,7 @@ def cut_items(texts: DataFrame) -> DataFrame:
                     yield as_batch(dict(zip(_ITEMS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _ITEMS_SCHEMA)
                     rows = []
 
-    return texts.select("k1", "k2", "text", "numbers").mapInArrow(run, _ITEMS)
+    return texts.select("k1", "k2", "text", "hashes").mapInArrow(run, _ITEMS)
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -325,12 +326,15 @@ def repeats(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFr
     spark = docs.sparkSession
     facts = stash(text_facts(docs), "op6-facts")
     classes = facts.groupBy("k1", "k2").agg(F.min(F.coalesce("doc_id", F.lit(_NULL_ID))).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    met = facts.select("k1", "k2", F.posexplode("anchors").alias("number", "anchor"))
-    # An anchor repeats if its least and largest place differ; both combine before the shuffle.
-    spot = F.struct("k1", "k2", "number")
-    often = met.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("anchor")
-    numbers = met.join(often, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set("number").alias("numbers"))
-    wanted = numbers.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+    # Copies of a text count as one, so that their anchors are not counted, nor joined, again and again.
+    one_each = facts.groupBy("k1", "k2").agg(F.first("once").alias("once"), F.first("more").alias("more"))
+    tagged = lambda name, flag: F.transform(name, lambda h: F.struct(h.alias("anchor"), F.lit(flag).alias("more")))
+    met = stash(one_each.select("k1", "k2", F.explode(F.concat(tagged("once", False), tagged("more", True))).alias("a")).select("k1", "k2", "a.anchor", "a.more"), "op6-anchors")
+    # An anchor repeats if a text has it twice, or if the least and largest text that have it differ; all combine before the shuffle.
+    spot = F.struct("k1", "k2")
+    often = met.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.max("more").alias("more")).filter("a <> b OR more").select("anchor")
+    hashes = met.join(often, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_list("anchor").alias("hashes"))
+    wanted = hashes.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
     some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("rep"), text_or_empty(docs).alias("text"))
 
     def sound(it):  # ids may repeat: the key tells which row was meant
@@ -339,7 +343,7 @@ def repeats(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFr
             same = [(a.as_py(), z.as_py()) == k for a, z, k in zip(b.column(0), b.column(1), keys, strict=True)]
             yield b.filter(pa.array(same, type=pa.bool_()))
 
-    texts = stash(wanted.join(some, "rep").select("k1", "k2", "text", "numbers").mapInArrow(sound, "k1 long, k2 long, text string, numbers array<int>"), "op6-texts")
+    texts = stash(wanted.join(some, "rep").select("k1", "k2", "text", "hashes").mapInArrow(sound, "k1 long, k2 long, text string, hashes array<long>"), "op6-texts")
     items = stash(cut_items(texts), "op6-items")
     counted = items.groupBy("key", "digest", "left", "right").count()
     volume = items.agg(F.coalesce(F.sum(F.octet_length("left") + F.octet_length("right")), F.lit(0))).first()[0]
@@ -362,8 +366,8 @@ def repeats(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFr
             if rows:
                 yield as_batch(dict(zip(_CUTS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _CUTS_SCHEMA)
 
-    one_each = texts.select("k1", "k2", "text").join(ranges, ["k1", "k2"]).select("k1", "k2", "text", "ranges")
-    cuts = one_each.mapInArrow(cut, _CUTS).dropDuplicates(["k1", "k2"]) if not with_text else one_each.mapInArrow(cut, _CUTS)
+    marked = texts.select("k1", "k2", "text").join(ranges, ["k1", "k2"]).select("k1", "k2", "text", "ranges")
+    cuts = marked.mapInArrow(cut, _CUTS).dropDuplicates(["k1", "k2"]) if not with_text else marked.mapInArrow(cut, _CUTS)
     return facts.select("doc_id", "k1", "k2", "n_bytes", "whole"), classes.select("k1", "k2", "copies"), cuts
 
 
