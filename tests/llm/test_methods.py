@@ -335,6 +335,26 @@ def test_nearest_recall_and_scores(spark):
     assert hit >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("kind", ["outlier", "one of norm 2", "log-normal", "uniform", "two large bands"])
+def test_nearest_recall_with_uneven_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    norms = {"log-normal": np.exp(rng.normal(size=3000) * 0.5), "uniform": rng.uniform(0.5, 1, 3000), "two large bands": np.where(np.arange(3000) < 1500, 1.0, 1.5)}.get(kind, np.ones(3000))
+    norms[7] = {"outlier": 10.0, "one of norm 2": 2.0, "two large bands": 10.0}.get(kind, norms[7])
+    x *= norms[:, None]
+    found = defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id % 30 = 0").collect():
+        found[r["query_id"]].add(r["vec_id"])
+    assert len(found) == 100
+    hit = 0
+    for q in found:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & found[q])
+    assert hit >= 0.9 * 20 * len(found)
+
+
 def test_rotation_is_orthonormal_and_seeded():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1)) and (ann.rotate(x, 3) == ann.rotate(x, 3)).all()
