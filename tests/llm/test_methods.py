@@ -355,6 +355,16 @@ def test_nearest_recall_with_uneven_norms(spark, kind):
     assert hit >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("n, tables, probes", [(5, 12, 12), (10, 12, 12), (20, 12, 12), (1100, 1, 2)])
+def test_a_query_that_meets_few_rows_is_compared_with_all(spark, n, tables, probes):
+    x = np.random.default_rng(4).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), f"vec_id % {max(1, n // 20)} = 0", tables=tables, probes=probes).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    assert len(found) >= min(n, 20) and all(len(v) == min(20, n - 1) for v in found.values())
+
+
 def test_rotation_is_orthonormal_and_seeded():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1)) and (ann.rotate(x, 3) == ann.rotate(x, 3)).all()
