@@ -2,13 +2,14 @@
 
 A text splits into units (line ends, and runs of spaces with the word after them); no piece of the
 vocabulary spans a unit's border, so its lattice is the chain of its units' lattices. The plain encoding
-of a unit is the library's. For sampling, each unit's lattice is cut down to its ``NBEST`` best
-segmentations under ``ALPHA`` times the sum of piece scores, and the text's distribution is the
-product of these.
+of a unit is the library's. Sampling is from the whole lattice: a segmentation's probability is
+the exponential of ``ALPHA`` times the sum of its piece scores over that sum for all
+segmentations. Sums from the end of each unit turn this into a choice of the next edge at each
+node, so that a text is drawn edge by edge, all its units at once.
 
 Gumbel top-k: the largest perturbed log-probability of the whole space is drawn top-down; its
 argument is one sampled segmentation. What remains splits into disjoint regions (the same up
-to a unit, another choice there, anything after), whose maxima are Gumbels truncated at the
+to an edge, another edge there, anything after), whose maxima are Gumbels truncated at the
 value just emitted. A queue of regions by these maxima is the perturbed A* frontier: each pop
 emits the next segmentation, always a new one, in falling order. The value after the last one
 wanted is the threshold from which each sample's inclusion probability follows. All draws
@@ -21,6 +22,7 @@ import heapq
 import math
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,15 @@ from pyspark.sql import types as T
 from .common import as_batch, batches, table, text_or_empty
 
 SAMPLES = 2
-NBEST = 4
 #: Nats for each point of a piece's score (scores are minus the rank of the merge).
 ALPHA = 0.001
 #: Points lost for each byte of a character that is spelled out in bytes.
 BYTE_COST = 32_000.0
 SEED = 70_007
-#: Units that a worker process remembers; the cache is emptied when full and never changes a result.
-CACHE = 500_000
+#: Units, and edges of their lattices, that a worker process remembers; the cache is emptied when full and never changes a result.
+CACHE, CACHED_EDGES = 500_000, 4_000_000
+#: Walks under this number go edge by edge, more of them side by side.
+FEW_WALKS = 4
 
 SPACE = "▁"
 _UNITS = re.compile(r" *[^ \n]+| +|\n")
@@ -59,8 +62,81 @@ def units(text: str) -> list[str]:
     return _UNITS.findall(" " + text)
 
 
+class Edges:
+    """Edges by node, the likeliest first: next node (-1: the end), content, log-probability at the node, and that of all others there."""
+
+    def __init__(self):
+        self.n_nodes = self.n_edges = 0
+        self.first = np.zeros(1025, dtype=np.int64)  # of each node, and after the last one
+        self.next, self.content = np.zeros(4096, dtype=np.int64), np.zeros(4096, dtype=np.int32)
+        self.cum, self.logp, self.others = np.zeros(4096), np.zeros(4096), np.zeros(4096)
+
+    def add(self, node: np.ndarray, after: np.ndarray, content: np.ndarray, logp: np.ndarray, n_nodes: int) -> None:
+        """More nodes, numbered on from ``n_nodes``; every new node has an edge."""
+        order = np.lexsort((-logp, node))
+        node, logp = node[order] - self.n_nodes, logp[order]
+        degree = np.bincount(node, minlength=n_nodes)
+        start = np.cumsum(degree) - degree
+        at = np.arange(len(node)) - start[node]
+        p = np.zeros((n_nodes, int(degree.max())))
+        p[node, at] = np.exp(logp)
+        left = np.cumsum(p, axis=1)
+        right = np.cumsum(p[:, ::-1], axis=1)[:, ::-1]
+        others = np.zeros_like(p)  # sums of both sides: differences from 1 would lose small ones
+        others[:, 1:] += left[:, :-1]
+        others[:, :-1] += right[:, 1:]
+        cum = (left / left[:, -1:])[node, at]
+        cum[start + degree - 1] = np.inf
+        a, b = self.n_edges, self.n_edges + len(node)
+        self._room(b, self.n_nodes + n_nodes)
+        with np.errstate(divide="ignore"):
+            self.others[a:b] = np.log(others[node, at])
+        self.cum[a:b], self.logp[a:b], self.next[a:b], self.content[a:b] = cum, logp, after[order], content[order]
+        self.first[self.n_nodes : self.n_nodes + n_nodes] = a + start
+        self.n_nodes, self.n_edges = self.n_nodes + n_nodes, b
+        self.first[self.n_nodes] = b
+
+    def _room(self, edges: int, nodes: int) -> None:
+        for name, need in (("first", nodes + 1), ("next", edges), ("content", edges), ("cum", edges), ("logp", edges), ("others", edges)):
+            old = getattr(self, name)
+            if len(old) < need:
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), dtype=old.dtype)]))
+
+    def walk(self, starts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Edges drawn from each start to its end, start by start, and the number of each one's start."""
+        own, edges = [], []
+        which, node = np.arange(len(starts)), starts
+        while len(which) > FEW_WALKS:
+            u = rng.random(len(which))
+            e = self.first[node]
+            on = np.flatnonzero(u >= self.cum[e])
+            while len(on):
+                e[on] += 1
+                on = on[u[on] >= self.cum[e[on]]]
+            own.append(which)
+            edges.append(e)
+            node = self.next[e]
+            going = np.flatnonzero(node >= 0)
+            which, node = which[going], node[going]
+        for w, n in zip(which.tolist(), node.tolist(), strict=True):
+            path = []
+            while n >= 0:
+                e, u = int(self.first[n]), rng.random()
+                while u >= self.cum[e]:
+                    e += 1
+                path.append(e)
+                n = int(self.next[e])
+            own.append(np.full(len(path), w))
+            edges.append(np.array(path, dtype=np.int64))
+        if not own:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        own, edges = np.concatenate(own), np.concatenate(edges)
+        order = np.argsort(own, kind="stable")
+        return own[order], edges[order]
+
+
 class Lattices:
-    """Segmentations of units, with caches: a row number for each known unit, and arrays by row."""
+    """Lattices of units, with caches: row numbers for each known unit (two if a stop ends it), and tables by row."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -83,43 +159,28 @@ class Lattices:
             raise ValueError("a piece of this vocabulary spans a line end")
         self.stops = [c for c in ".," if c in self.cost and not any(c in p and re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.cost)]
         self.byte = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.contents = [np.array([i], dtype="<u2").tobytes() for i in range(n)]
+        self.spelled: dict[tuple[int, ...], int] = {}
         self._clear()
 
     def _clear(self):
-        self.row: dict[str, int] = {}
+        self.row: dict[str, tuple[int, ...]] = {}
         self.plain: list[bytes] = []
-        self.blob: list[tuple[bytes, ...]] = []
-        self.logp = np.full((1024, NBEST), -np.inf)
-
-    def best(self, unit: str, n: int = NBEST) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` cheapest segmentations (cost, ids), cheapest first, ties by ids: an n-best dynamic program from the end.
-
-        Edges are pieces, and bytes where no piece is the one character.
-        """
-        s = unit.replace(" ", SPACE)
-        size, find = len(s), self.cost.get
-        tail: list = [None] * size + [[(0.0, ())]]
-        for i in range(size - 1, -1, -1):
-            here = []
-            for j in range(i + 1, size + 1):
-                hit = find(s[i:j], ...)
-                if hit is ... and j > i + 1:
-                    break  # nothing in the vocabulary goes on like this
-                if hit and hit is not ...:
-                    own, ids = hit
-                elif j == i + 1:
-                    raw = s[i].encode("utf-8", "surrogatepass")
-                    own, ids = BYTE_COST * ALPHA * len(raw), tuple(self.byte[b] for b in raw)
-                else:
-                    continue
-                here += [(own + c, ids + x) for c, x in tail[j]]
-            here.sort()
-            tail[i] = here[:n]
-        return tail[0]
+        self.roots: list[int] = []
+        self.edges = Edges()
+
+    def _content(self, ids: tuple[int, ...]) -> int:
+        """The number of an edge's ids: a piece's own, further ones for characters in bytes."""
+        if len(ids) == 1:
+            return ids[0]
+        if ids not in self.spelled:
+            self.spelled[ids] = len(self.contents)
+            self.contents.append(np.array(ids, dtype="<u2").tobytes())
+        return self.spelled[ids]
 
     def rows(self, texts_units: list[list[str]]) -> list[np.ndarray]:
-        """The row of every unit, new ones learned first."""
-        if len(self.row) > CACHE:
+        """The rows of every text's units, new ones learned first."""
+        if len(self.row) > CACHE or self.edges.n_edges > CACHED_EDGES:
             self._clear()
         known = self.row
         new = dict.fromkeys(u for us in texts_units for u in us if u not in known)
@@ -127,36 +188,72 @@ class Lattices:
         for u in ended:
             del new[u]
         self._learn([*new, *dict.fromkeys(u[:-1] for u in ended if u[:-1] not in known and u[:-1] not in new)])
-        self._make_room(len(ended))
+        stops = {c: "\0" + c for c in self.stops}  # no unit: a stop without the encoder's space
         for u in ended:
-            core, stop = known[u[:-1]], np.array(self.cost[u[-1]][1], dtype="<u2").tobytes()
-            self.logp[len(known)] = self.logp[core]
-            known[u] = len(known)
-            self.plain.append(self.plain[core] + stop)
-            self.blob.append(tuple(b + stop for b in self.blob[core]))
-        return [np.fromiter(map(known.__getitem__, us), dtype=np.int64, count=len(us)) for us in texts_units]
-
-    def _make_room(self, more: int) -> None:
-        while len(self.logp) < len(self.row) + more:
-            self.logp = np.concatenate([self.logp, np.full_like(self.logp, -np.inf)])
+            if stops[u[-1]] not in known:
+                self._learn_stop(u[-1], stops[u[-1]])
+            known[u] = known[u[:-1]] + known[stops[u[-1]]]
+        return [np.fromiter(chain.from_iterable(map(known.__getitem__, us)), dtype=np.int64) for us in texts_units]
+
+    def _learn_stop(self, stop: str, name: str) -> None:
+        ids = self.cost[stop][1]
+        self.row[name] = (len(self.plain),)
+        self.plain.append(np.array(ids, dtype="<u2").tobytes())
+        self.roots.append(self.edges.n_nodes)
+        self.edges.add(np.array([self.edges.n_nodes]), np.array([-1]), np.array([self._content(ids)]), np.zeros(1), 1)
 
     def _learn(self, new: list[str]) -> None:
-        """Plain encodings and n-best lists of units. The encoder puts a space before what it is given: a unit without one is encoded after a line end."""
-        known = self.row
-        self._make_room(len(new))
+        """Plain encodings and lattices of units. The encoder puts a space before what it is given: a unit without one is encoded after a line end."""
+        if not new:
+            return
+        find = self.cost.get
+        node: list[int] = []
+        after: list[int] = []
+        content: list[int] = []
+        weight: list[float] = []
+        sums: list[float] = []
+        base = self.edges.n_nodes
         given = [u[1:] if u[0] == " " else "\n" + u for u in new]
-        for u, ids in zip(new, self.model.encode(given, num_threads=1) if given else (), strict=True):
-            best = self.best(u)
+        for u, ids in zip(new, self.model.encode(given, num_threads=1), strict=True):
+            s = u.replace(" ", SPACE)
+            size = len(s)
+            tail = [0.0] * (size + 1)
+            for i in range(size - 1, -1, -1):
+                own = []
+                for j in range(i + 1, size + 1):
+                    hit = find(s[i:j], ...)
+                    if hit is ... and j > i + 1:
+                        break  # nothing in the vocabulary goes on like this
+                    if hit and hit is not ...:
+                        cost, edge = hit
+                    elif j == i + 1:  # bytes, where no piece is the one character
+                        raw = s[i].encode("utf-8", "surrogatepass")
+                        cost, edge = BYTE_COST * ALPHA * len(raw), tuple(self.byte[b] for b in raw)
+                    else:
+                        continue
+                    own.append(tail[j] - cost)
+                    node.append(base + i)
+                    after.append(base + j if j < size else -1)
+                    content.append(edge[0] if len(edge) == 1 else self._content(edge))
+                top = max(own)
+                tail[i] = top + math.log(sum([math.exp(w - top) for w in own])) if len(own) > 1 else top
+                weight += own
             if u == " ":  # a last space, which the encoder would drop if it stood alone
-                ids = best[0][1]
+                ids = self.cost[SPACE][1]
             elif u[0] != " ":
                 ids = ids[2:]
-            z = [best[0][0] - c for c, _ in best]
-            total = math.log(sum(map(math.exp, z)))
-            self.logp[len(known), : len(z)] = [x - total for x in z]
-            known[u] = len(known)
+            self.row[u] = (len(self.plain),)
             self.plain.append(np.array(ids, dtype="<u2").tobytes())
-            self.blob.append(tuple(np.array(b, dtype="<u2").tobytes() for _, b in best))
+            self.roots.append(base)
+            sums += tail[:size]
+            base += size
+        node_ = np.array(node)
+        self.edges.add(node_, np.array(after), np.array(content), np.array(weight) - np.array(sums)[node_ - self.edges.n_nodes], len(sums))
+
+    def ids(self, path: np.ndarray) -> bytes:
+        """The ids of a path's edges as little-endian shorts."""
+        c = self.edges.content[path]
+        return c.astype("<u2").tobytes() if not len(c) or c.max() < len(self.pieces) else b"".join(map(self.contents.__getitem__, c.tolist()))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces, with bytes joined to characters and the dummy space taken away."""
@@ -174,60 +271,68 @@ def lattices(path: str) -> Lattices:
     return _lattices[path]
 
 
-def gumbel_top_k(logp: np.ndarray, k: int, rng: np.random.Generator) -> tuple[list[tuple[float, float, np.ndarray]], float]:
-    """k distinct draws from a product of choices, without replacement.
+def top_paths(edges: Edges, roots: np.ndarray, k: int, rng: np.random.Generator) -> tuple[list[tuple[float, float, np.ndarray]], float]:
+    """k distinct chains of paths, one from each root, without replacement.
 
-    ``logp[u]`` are the log-probabilities of unit u's choices (-inf: no such choice). Returns
-    (perturbed value, log-probability, choices), in falling order, and the value after the last (-inf:
-    there are no more).
+    Returns (perturbed value, log-probability, edges), in falling order, and the value after
+    the last (-inf: there are no more).
     """
-    m = len(logp)
-    p = np.exp(logp)
-    cum = np.cumsum(p, axis=1)
-    unit = np.arange(m)
-
-    def draw(frm: int) -> np.ndarray:
-        return np.minimum((rng.random(m - frm)[:, None] >= cum[frm:] / cum[frm:, -1:]).sum(axis=1), (p[frm:] > 0).sum(axis=1) - 1)
 
     def regions(path: np.ndarray, frm: int, closed: frozenset, bound: float) -> list[tuple[float, int, frozenset]]:
-        """The best regions left beside ``path``, that itself came from the region at ``frm`` with ``closed`` choices there."""
-        own = logp[unit, path]
-        before = np.concatenate(([0.0], np.cumsum(own)[:-1]))[frm:]
-        rest = 1.0 - p[unit[frm:], path[frm:]]
-        if m > frm:
-            rest[0] = 1.0 - p[frm, list(closed | {int(path[frm])})].sum()
-            options = (p[frm:] > 0).sum(axis=1)
-            taken = np.ones(m - frm, dtype=np.int64)
-            taken[0] = len(closed) + 1
-            rest[options <= taken] = 0.0
+        """The best regions left beside ``path``, that itself came from the region at ``frm`` with ``closed`` edges there."""
+        if frm >= len(path):
+            return []
+        mass = (np.cumsum(edges.logp[path]) - edges.logp[path])[frm:] + edges.others[path[frm:]]
+        shut = closed | {int(path[frm])}
+        if closed:
+            left = open_edges(path[frm], shut)[1].sum()
+            mass[0] = edges.logp[path[:frm]].sum() + math.log(left) if left > 0 else -np.inf
         with np.errstate(divide="ignore"):
-            mass = before + np.log(np.maximum(rest, 0.0))
-        top = np.where(np.isfinite(mass), mass - np.log(np.exp(np.minimum(mass - bound, 700)) - np.log(rng.random(m - frm))), -np.inf)
-        some = np.argsort(-top, kind="stable")[: k + 1]
-        return [(float(top[i]), frm + int(i), (closed | {int(path[frm])}) if i == 0 else frozenset({int(path[frm + i])})) for i in some if np.isfinite(top[i])]
+            top = np.where(np.isfinite(mass), mass - np.log(np.exp(np.minimum(mass - bound, 700)) - np.log(rng.random(len(mass)))), -np.inf)
+        some = np.argsort(-top, kind="stable")[: k + 1] if len(top) < 64 else (lambda c: c[np.argsort(-top[c], kind="stable")])(np.argpartition(-top, k)[: k + 1])
+        return [(float(top[i]), frm + int(i), shut if i == 0 else frozenset({int(path[frm + i])})) for i in some if np.isfinite(top[i])]
+
+    def open_edges(edge: int, closed: frozenset) -> tuple[np.ndarray, np.ndarray]:
+        node = np.searchsorted(edges.first[: edges.n_nodes + 1], edge, side="right") - 1
+        every = np.arange(edges.first[node], edges.first[node + 1])
+        every = every[[int(e) not in closed for e in every]]
+        return every, np.exp(edges.logp[every])
 
-    first = draw(0)
+    own, first = edges.walk(roots, rng)
     value = float(-np.log(-np.log(rng.random())))
-    out = [(value, float(logp[unit, first].sum()), first)]
+    out = [(value, float(edges.logp[first].sum()), first)]
     order = 0
     queue: list = []
     for top, at, closed in regions(first, 0, frozenset(), value):
-        heapq.heappush(queue, (-top, order, first, at, closed))
+        heapq.heappush(queue, (-top, order, own, first, at, closed))
         order += 1
     while queue and len(out) < k:
-        value, _, base, at, closed = heapq.heappop(queue)
+        value, _, own, base, at, closed = heapq.heappop(queue)
         value = -value
-        open_ = np.array([0.0 if c in closed else p[at, c] for c in range(p.shape[1])])
-        path = base.copy()
-        path[at] = min(int((rng.random() * open_.sum() >= np.cumsum(open_)).sum()), int(np.flatnonzero(open_)[-1]))
-        path[at + 1 :] = draw(at + 1)
-        out.append((value, float(logp[unit, path].sum()), path))
+        every, p = open_edges(base[at], closed)
+        edge = every[min(int((rng.random() * p.sum() >= np.cumsum(p)).sum()), int(np.flatnonzero(p)[-1]))]
+        unit, mid = int(own[at]), int(edges.next[edge])
+        starts, numbers = roots[unit + 1 :], np.arange(unit + 1, len(roots))
+        if mid >= 0:
+            starts, numbers = np.concatenate(([mid], starts)), np.concatenate(([unit], numbers))
+        which, more = edges.walk(starts, rng)
+        own, path = np.concatenate((own[:at], [unit], numbers[which])), np.concatenate((base[:at], [edge], more))
+        out.append((value, float(edges.logp[path].sum()), path))
         for top, j, shut in regions(path, at, closed, value):
-            heapq.heappush(queue, (-top, order, path, j, shut))
+            heapq.heappush(queue, (-top, order, own, path, j, shut))
             order += 1
     return out, (-queue[0][0] if queue else -math.inf)
 
 
+def gumbel_top_k(logp: np.ndarray, k: int, rng: np.random.Generator) -> tuple[list[tuple[float, float, np.ndarray]], float]:
+    """k distinct draws from a product of choices: ``logp[u]`` are the log-probabilities of unit u's choices (-inf: no such choice)."""
+    unit, choice = np.nonzero(np.isfinite(logp))
+    edges = Edges()
+    edges.add(unit, np.full(len(unit), -1), choice, logp[unit, choice], len(logp))
+    got, threshold = top_paths(edges, np.arange(len(logp)), k, rng)
+    return [(value, lp, edges.content[path]) for value, lp, path in got], threshold
+
+
 def inclusion(log_prob: float, threshold: float) -> float:
     """The probability that a segmentation's perturbed value exceeds the threshold; 1 if nothing was left out."""
     return 1.0 if threshold == -math.inf else float(-np.expm1(-np.exp(min(log_prob - threshold, 700.0))))
@@ -247,10 +352,9 @@ def segmentations(lat: Lattices, key: int | None, text_units: list[str], rows: n
     if not len(rows):
         yield 1, b"", 0.0, float(-np.log(-np.log(rng.random()))), 1.0
         return
-    got, threshold = gumbel_top_k(lat.logp[rows], k, rng)
-    blob = lat.blob
+    got, threshold = top_paths(lat.edges, np.array([lat.roots[r] for r in rows.tolist()]), k, rng)
     for i, (value, logp, path) in enumerate(got, 1):
-        yield i, b"".join([blob[r][c] for r, c in zip(rows.tolist(), path.tolist(), strict=True)]), logp, value, inclusion(logp, threshold)
+        yield i, lat.ids(path), logp, value, inclusion(logp, threshold)
 
 
 def sample_segmentations(docs: DataFrame, path: str | None = None, k: int = SAMPLES, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -314,6 +314,37 @@ def test_draws_without_replacement_have_the_right_law():
     assert len({tuple(g[2]) for g in got}) == 6 and threshold == -math.inf
 
 
+def test_words_are_drawn_from_their_whole_lattices():
+    lat = lattice_sampling.Lattices(lattice_sampling.model_path())
+
+    def every(s):
+        out = [] if s else [((), 0.0)]
+        for j in range(1, len(s) + 1):
+            if lat.cost.get(s[:j]):
+                cost, ids = lat.cost[s[:j]]
+                out += [(ids + rest, lp - cost) for rest, lp in every(s[j:])]
+        return out
+
+    for word in ("information", "international"):
+        law = dict(every("▁" + word))
+        total = math.log(sum(map(math.exp, law.values())))
+        us = lattice_sampling.units(word)
+        (rows,) = lat.rows([us])
+        got = [(tuple(np.frombuffer(d[1], "<u2").tolist()), *d[2:]) for d in lattice_sampling.segmentations(lat, 1, us, rows, 9000)][1:]
+        assert len(law) > 1000 and {g[0] for g in got} == set(law) and all(g[3] == 1 for g in got)
+        assert all(math.isclose(g[1], law[g[0]] - total, abs_tol=1e-9) for g in got)
+    seen, draws, n = Counter(), Counter(), 2000
+    for k in range(n):
+        one, two = [(tuple(np.frombuffer(d[1], "<u2").tolist()), d[4]) for d in lattice_sampling.segmentations(lat, k, us, rows, 2)][1:]
+        draws[one[0]] += 1
+        for ids, incl in (one, two):
+            seen[ids] += 1 / incl / n
+    best = sorted(law, key=law.get)[-4:]
+    assert all(abs(draws[b] / n - math.exp(law[b] - total)) < 0.05 for b in best)
+    assert abs(sum(draws[b] for b in best) / n - sum(math.exp(law[b] - total) for b in best)) < 0.05
+    assert all(abs(seen[b] - 1) < 0.25 for b in best)
+
+
 # ---- 8
 
 
