@@ -159,6 +159,7 @@ class Lattices:
             raise ValueError("a piece of this vocabulary spans a line end")
         self.stops = [c for c in ".," if c in self.cost and not any(c in p and re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.cost)]
         self.byte = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.raw = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.encode() for i, p in enumerate(self.pieces)]
         self.contents = [np.array([i], dtype="<u2").tobytes() for i in range(n)]
         self.spelled: dict[tuple[int, ...], int] = {}
         self._clear()
@@ -257,8 +258,7 @@ class Lattices:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces, with bytes joined to characters and the dummy space taken away."""
-        raw = b"".join(bytes([int(self.pieces[i][3:5], 16)]) if self.model.is_byte(i) else self.pieces[i].encode() for i in ids)
-        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -338,8 +338,8 @@ def inclusion(log_prob: float, threshold: float) -> float:
     return 1.0 if threshold == -math.inf else float(-np.expm1(-np.exp(min(log_prob - threshold, 700.0))))
 
 
-_OUT = "doc_id long, draw int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, inclusion double"
-_OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("draw", pa.int32()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
+_OUT = "doc_id long, draw int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, inclusion double, decoded_crc32 long, round_trip boolean"
+_OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("draw", pa.int32()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("decoded_crc32", pa.int64()), ("round_trip", pa.bool_())])
 #: With ids, for callers that want the sequences themselves.
 _IDS_OUT = _OUT + ", ids array<int>"
 _IDS_SCHEMA = _OUT_SCHEMA.append(pa.field("ids", pa.list_(pa.int32())))
@@ -362,7 +362,8 @@ def sample_segmentations(docs: DataFrame, path: str | None = None, k: int = SAMP
 
     Null text: as empty, which has one segmentation (no tokens). A text with fewer than ``k``
     segmentations has that many draws, each with inclusion 1. Rows with the same id and text
-    are drawn alike. Empty table: no rows.
+    are drawn alike. Empty table: no rows. The ids of every draw are decoded: ``decoded_crc32`` is of
+    the decoded text in UTF-8, ``round_trip`` whether it is the text (a "▁" in it decodes as a space).
     """
     path = path or model_path()
     schema = _IDS_SCHEMA if with_ids else _OUT_SCHEMA
@@ -370,12 +371,14 @@ def sample_segmentations(docs: DataFrame, path: str | None = None, k: int = SAMP
     def run(it):
         lat = lattices(path)
         for b in batches(it, 64):
-            keys, texts = b.column(0).to_pylist(), [units(t) for t in b.column(1).to_pylist()]
+            keys, whole = b.column(0).to_pylist(), b.column(1).to_pylist()
+            texts = [units(t) for t in whole]
             out: dict[str, list] = {n: [] for n in schema.names}
-            for key, us, rows in zip(keys, texts, lat.rows(texts), strict=True):
+            for key, text, us, rows in zip(keys, whole, texts, lat.rows(texts), strict=True):
                 for draw, raw, logp, value, incl in segmentations(lat, key, us, rows, k):
                     ids = np.frombuffer(raw, dtype="<u2").astype("<u4")
-                    row = (key, draw, len(ids), zlib.crc32(ids.tobytes()), logp, value, incl) + ((ids.astype(np.int32),) if with_ids else ())
+                    decoded = lat.decode(ids.tolist())
+                    row = (key, draw, len(ids), zlib.crc32(ids.tobytes()), logp, value, incl, zlib.crc32(decoded.encode()), decoded == text) + ((ids.astype(np.int32),) if with_ids else ())
                     for name, x in zip(schema.names, row, strict=True):
                         out[name].append(x)
             if keys:
@@ -400,5 +403,5 @@ def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op7_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain encoding and two sampled segmentations of every whole text."""
+    """Plain encoding and two sampled segmentations of every whole text, with what each decodes to."""
     return sample_segmentations(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -345,6 +346,14 @@ def test_words_are_drawn_from_their_whole_lattices():
     assert all(abs(seen[b] - 1) < 0.25 for b in best)
 
 
+def test_query_decodes_every_draw(spark, texts):
+    rows = registry.queries()["op7_lattice_sampling"](spark, SF).collect()
+    assert {(r["doc_id"], r["draw"]) for r in rows} >= {(d, 0) for d in texts}
+    for r in rows:
+        t = texts[r["doc_id"]] or ""
+        assert r["round_trip"] == ("▁" not in t) and r["decoded_crc32"] == zlib.crc32(t.replace("▁", " ").encode())
+
+
 # ---- 8
 
 
