@@ -92,26 +92,44 @@ def named_entities(docs: DataFrame, key: str) -> DataFrame:
     return every.filter(~is_noise(F.col("name"))).select(key, "type", "name").distinct()
 
 
-def kin_relations(docs: DataFrame, names: DataFrame, key: str) -> DataFrame:
+def kin_relations(docs: DataFrame, names: DataFrame, key: str, look_back: bool = True) -> DataFrame:
     """(key, src, dst, type, confidence) of "X之父Y" for stored names X.
 
-    Every place where Chinese characters precede a kinship suffix is a candidate; its endings of 2 to 4
-    characters meet the names by an equi-join, so texts and names are never crossed. Y runs to the
-    next stop character, 2 to 4 characters long; stored names that are longer or shorter do not
-    change it. Y is not a dynasty, an era, or a proper part of a stored name.
+    Every place of a kinship suffix is a candidate, with the 14 characters before and the 8 after it;
+    the endings of 2 to 4 characters before it meet the names by an equi-join, so texts and names are
+    never crossed. Y is the nearest stored name in the 10 characters before X (of those that end at the
+    same place, the longest; not one that stands where X does), as in "Y，X之子". Without one, and without
+    ``look_back``, Y follows: "Y年" of 2 or 3 characters, or else 2 to 4 characters to the next stop
+    character, less a leading 后裔 or 后. Y is not a dynasty, an era, or a proper part of a stored name.
     """
-    head = F.explode(F.regexp_extract_all("text", F.lit(f"([{HAN}]{{2,4}}(?:{_SUFFIX_PATTERN})[^{HAN}]{{0,8}}[{HAN}]{{0,4}})"), F.lit(1)))
-    hit = docs.select(key, head.alias("m"))
-    parts = hit.select(
+    place = rf"(?<=(\A[\s\S]{{0,13}}|[\s\S]{{14}}))({_SUFFIX_PATTERN})(?=([\s\S]{{0,8}}))"
+    group = lambda i: F.regexp_extract_all("text", F.lit(place), F.lit(i))
+    hit = docs.select(key, F.explode(F.arrays_zip(group(1).alias("before"), group(2).alias("suffix"), group(3).alias("after"))).alias("m")).select(key, "m.*").distinct()
+    rest = F.regexp_extract("after", rf"^[^{HAN}]*([\s\S]*)", 1)
+    year = F.regexp_extract(rest, f"^([{HAN}]{{2,3}})年", 1)
+    run = F.regexp_extract(rest, f"^[^{STOP_CHARS}]*", 0)
+    plain = F.regexp_extract(F.when(run == "", F.substring(rest, 1, 4)).otherwise(run), f"^[{HAN}]{{2,4}}", 0)
+    kinds = F.create_map(*[F.lit(x) for pair in KIN_SUFFIXES for x in pair])
+    long = F.length("before")
+    ends = hit.filter(long >= 2).select(
         key,
-        F.regexp_extract("m", f"^([{HAN}]{{2,4}}?)(?:{_SUFFIX_PATTERN})", 1).alias("before"),
-        F.regexp_extract("m", f"^[{HAN}]{{2,4}}?({_SUFFIX_PATTERN})", 1).alias("suffix"),
-        F.regexp_extract("m", f"^[{HAN}]{{2,4}}?(?:{_SUFFIX_PATTERN})[^{HAN}]*([^{STOP_CHARS}]*)", 1).alias("dst"),
+        F.explode(F.sequence(F.lit(2), F.least(F.lit(4), long))).alias("k"),
+        "before",
+        F.concat("suffix", "after").alias("tail"),
+        kinds[F.col("suffix")].alias("type"),
+        F.when(year != "", year).otherwise(F.regexp_replace(plain, "^(后裔|后)", "")).alias("dst"),
     )
-    kinds = F.create_map(*[F.lit(x) for pair in KIN_SUFFIXES for x in pair])
-    ends = parts.select(key, F.explode(F.transform(F.sequence(F.lit(2), F.length("before")), lambda k: F.substring(F.col("before"), F.length("before") - k + 1, k))).alias("src"), kinds[F.col("suffix")].alias("type"), "dst")
+    ends = ends.select(key, F.substring(F.col("before"), long - F.col("k") + 1, F.col("k")).alias("src"), F.substring(F.col("before"), F.greatest(F.lit(1), long - F.col("k") - 9), F.least(F.lit(10), long - F.col("k"))).alias("window"), "tail", "type", "dst")
     known = names.select(F.col("name").alias("src")).distinct()
-    found = ends.join(known, "src", "left_semi").filter((F.length("dst") >= 2) & ~F.col("dst").isin(*DYNASTIES, *ERAS)).distinct()
+    found = ends.join(known, "src", "left_semi").withColumn("end", F.lit(0)).withColumn("k", F.lit(0))
+    if look_back:
+        wide = F.length("window")
+        spots = found.filter(wide >= 2).select(key, "src", "window", "tail", "type", F.explode(F.sequence(F.lit(1), wide - 1)).alias("i"))
+        spots = spots.select("*", F.explode(F.sequence(F.lit(2), wide - F.col("i") + 1)).alias("k"))
+        spots = spots.select(key, "src", "window", "tail", "type", F.substring(F.col("window"), F.col("i"), F.col("k")).alias("dst"), (F.col("i") + F.col("k")).alias("end"), "k")
+        spots = spots.filter(~F.concat("src", "tail").startswith(F.col("dst"))).join(known.select(F.col("src").alias("dst")), "dst", "left_semi")
+        found = found.unionByName(spots).groupBy(key, "src", "window", "tail", "type").agg(F.max_by("dst", F.struct("end", "k")).alias("dst"))
+    found = found.select(key, "src", "type", "dst").filter((F.length("dst") >= 2) & ~F.col("dst").startswith("之") & ~F.col("dst").isin(*DYNASTIES, *ERAS)).distinct()
     # Proper parts of stored names, by their character runs rather than by comparing all pairs.
     runs = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("i")).select("name", "i", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("i") + 1)).alias("k"))
     inner = runs.select("name", F.substring(F.col("name"), F.col("i"), F.col("k")).alias("dst")).filter("dst <> name").select("dst").distinct()

@@ -87,6 +87,16 @@ def test_kinship_is_found_across_long_texts_and_repeats_count_once(spark):
     assert [(r["id"], r["src"], r["dst"], r["type"]) for r in kin.kin_relations(docs, names, "id").collect()] == [(1, "苏辙", "苏洵", "FATHER")]
 
 
+def test_kinship_looks_back_and_every_suffix_counts(spark):
+    texts = [(1, "苏轼之母王氏，苏辙之姐也。"), (2, "苏辙之父苏洵之父苏序"), (3, "苏轼之弟，苏洵之子苏辙"), (4, "苏洵之孙后裔苏籥"), (5, "苏洵之师嘉祐二年"), (6, "苏洵，一二三四五六七八九苏轼之子苏过")]
+    docs = spark.createDataFrame(texts, "id int, text string")
+    names = spark.createDataFrame([(n,) for n in ("苏辙", "苏洵", "苏轼", "王氏")], "name string")
+    rows = lambda **o: {(r["id"], r["src"], r["dst"], r["type"]) for r in kin.kin_relations(docs, names, "id", **o).collect()}
+    both = {(1, "苏轼", "王氏", "MOTHER"), (2, "苏辙", "苏洵", "FATHER"), (4, "苏洵", "苏籥", "GRANDSON"), (5, "苏洵", "嘉祐二", "TEACHER"), (6, "苏轼", "苏过", "SON")}
+    assert rows() == both | {(1, "苏辙", "王氏", "ELDER_SISTER"), (2, "苏洵", "苏辙", "FATHER"), (3, "苏轼", "苏洵", "YOUNGER_BROTHER"), (3, "苏洵", "苏轼", "SON")}
+    assert rows(look_back=False) == both | {(2, "苏洵", "苏序", "FATHER"), (3, "苏轼", "苏洵", "YOUNGER_BROTHER"), (3, "苏洵", "苏辙", "SON")}
+
+
 def test_no_query_plans_a_cartesian_product_for_names(spark):
     docs = src.load(spark, SF, "documents").select(F.col("doc_id").alias("id"), "text")
     plan = kin.kin_relations(docs, spark.createDataFrame([("苏辙",)], "name string"), "id")._jdf.queryExecution().executedPlan().toString()
