@@ -115,7 +115,7 @@ def hybrid_rrf(spark, d):
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM few QUALIFY rank <= 5""")
 def per_collection_topk(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "source")
-    return rt.per_collection(_scores(spark, d).withColumn("score", F.round("score", 6)), "item_id", "doc_id", docs, 5, 20)
+    return rt.per_collection(_scores(spark, d).withColumn("score", F.round("score", 6)), "item_id", "doc_id", docs, 5, docs.select("source").distinct().count())
 
 
 @query("SELECT source AS collection, count(*) AS n FROM documents GROUP BY ALL")

@@ -1,6 +1,7 @@
 """Invariants and sequential models that SQL does not state."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from inkfield.functions import people as kin
 from inkfield.functions import text as tx
 from inkfield.operators import graph, relational
+from inkfield.plans import catalog
 from inkfield.plans import retrieval as rt
 from inkfield.sources import tables as src
 
@@ -66,6 +68,13 @@ def test_clusters_are_connected_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 7: 7, 8: 1, 9: 1, 10: 1}
 
 
+def test_few_collections_give_more_of_each(spark, tmp_path):
+    spark.createDataFrame([(i, f"word{i % 3} common text", "ab"[i % 2]) for i in range(12)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "common text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = catalog.QUERIES["per_collection_topk"](spark, str(tmp_path)).collect()
+    assert sorted(Counter(r["source"] for r in rows).values()) == [2, 3]
+
+
 def test_bounded_subgraph_has_its_centre_once_and_keeps_the_cap(spark):
     nodes, edges = graph.bounded_subgraph(src.relations(spark, SF), "c:7", 2, 30)
     rows = nodes.collect()
