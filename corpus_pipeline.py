@@ -14,32 +14,32 @@ from inkfield.llm import common, packing, pii, quality_classifier, simhash_dedup
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from ``labels`` of the documents given."""
-    common.release()
-    return quality_classifier.keep_good(docs, common.table(spark, sf_dir, "labels"))
+    with common.scope("pipeline"):
+        return quality_classifier.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
-    common.release()
-    return simhash_dedup.keep_one(docs)
+    with common.scope("pipeline"):
+        return simhash_dedup.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that repeat go; a character that loses some of its bytes goes whole. Documents stay, even if empty."""
-    common.release()
-    return suffix_dedup.cut_documents(docs)
+    with common.scope("pipeline"):
+        return suffix_dedup.cut_documents(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become the name of their kind in brackets."""
-    common.release()
-    return pii.mask_pii(docs)
+    with common.scope("pipeline"):
+        return pii.mask_pii(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens in sequences."""
-    common.release()
-    return packing.packed_documents(docs)
+    with common.scope("pipeline"):
+        return packing.packed_documents(docs)
 
 
 STAGES = [
@@ -61,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             common.drop_path(spark, before)
         before = path
-    common.release()
-    return docs
+    with common.scope("pipeline"):  # drops the last stage's tables
+        return docs

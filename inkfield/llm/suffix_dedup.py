@@ -1,11 +1,11 @@
 """Operator 6: removal of repeated passages by suffix sorting.
 
-Every byte under a 400-byte string that starts more than once in the corpus goes. Sorting every
-suffix of the corpus would move many times its size, so exact steps first cut it down to what
-can repeat:
+Every byte under a window (a string of 400 bytes) that starts more than once in the corpus goes. Sorting
+every suffix of the corpus would move many times its size, so exact steps first cut it down to
+what can repeat (sizes for 400 bytes):
 
 1. Equal texts are one text with a count.
-2. Anchors: of the 337 64-byte strings inside a 400-byte window, the one with the least hash
+2. Anchors: of the 337 64-byte strings inside a window, the one with the least hash
    (leftmost of ties). Equal windows have equal anchors. Anchors of every text are counted over the
    corpus; an anchor met once belongs to no repeated window.
 3. Windows whose anchor repeats are cut out as *items*: up to 128 neighbouring starts that share
@@ -16,43 +16,68 @@ can repeat:
    further left are induced from them, carrying common prefixes; neighbours that share a whole
    window mark both starts. (``repeated_starts`` sorts all suffixes of any strings the same way.)
 
-A passage that a third of all documents share is one item by then, so no key is hot. Texts
-move once: those with repeated anchors, to be cut.
+A key with more than ``CROWDED`` items (the edges of a passage that very many texts share, say) is not
+sorted by one task: each of its windows is hashed and the hashes are counted over all tasks.
+
+Sizes are a parameter (``Windows``). *Passages* are stretches of at least ``PASSAGE_WORDS`` words that repeat,
+found with windows of 200 bytes; the query finds them first, and as every 400-byte window that repeats lies in a
+repeated stretch of 200-byte windows, only stretches from 400 bytes on are searched for those.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import as_batch, pieces, shuffle_width, stash, table, text_or_empty
+from .common import as_batch, hot_from, join_counted, pieces, shuffle_width, stash, table, text_or_empty
 from .induced_sorting import repeated_around, suffix_order
 
-WINDOW = 400
-GRAM = 64
-GRAMS = WINDOW - GRAM + 1
-BUCKET = 128
-#: Bytes that all windows of an item share.
-SHARED = WINDOW - BUCKET + 1
+
+@dataclass(frozen=True)
+class Windows:
+    """Bytes of a window, of an anchor (a power of two), and starts in an item at most."""
+
+    size: int
+    gram: int
+    bucket: int
+
+    @property
+    def grams(self) -> int:
+        return self.size - self.gram + 1
+
+    @property
+    def shared(self) -> int:
+        """Bytes that all windows of an item share."""
+        return self.size - self.bucket + 1
+
+
+EXACT = Windows(400, 64, 128)
+PASSAGE = Windows(200, 32, 64)
+WINDOW = EXACT.size
+#: Whole words from which on a repeated stretch is a passage; at 4 bytes a word, spaces included, it fills a window of ``PASSAGE``.
+PASSAGE_WORDS = 50
 #: Places in one piece of text; longer texts are scanned in pieces that overlap by a window.
 _PLACE_BITS = 24
 _PIECE = 1 << 22
 #: Bytes of items sorted in one task.
 TASK_BYTES = 16 << 20
+#: Items of one key that are sorted together; more are compared by the hashes of their windows. Their tasks, for each key.
+CROWDED, SALTS = 512, 64
 
 
 # ---------------------------------------------------------------- anchors
 
 
-def _gram_hashes(b: np.ndarray) -> np.ndarray:
+def _gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
     cur, size, base = b.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    while size < GRAM:
+    while size < gram:
         cur = cur[:-size] * np.uint64(pow(base, size, 1 << 64)) + cur[size:]
         size *= 2
     cur ^= cur >> np.uint64(33)
@@ -72,21 +97,21 @@ def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors(texts: list[bytes], w: Windows = EXACT) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text: (hash, place, first start, last start) of its anchors, by start; the starts are those of the windows an anchor stands for."""
     empty = tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64))
     out: list = [empty] * len(texts)
     segments = []  # text, offset, bytes
     for k, t in enumerate(texts):
-        if len(t) >= WINDOW:
-            for at in range(0, len(t) - WINDOW + 1, _PIECE):
-                segments.append((k, at, t[at : at + _PIECE + WINDOW - 1]))
+        if len(t) >= w.size:
+            for at in range(0, len(t) - w.size + 1, _PIECE):
+                segments.append((k, at, t[at : at + _PIECE + w.size - 1]))
     group: list = []
     size = 0
     found: dict[int, list] = {}
     for seg in [*segments, None]:
         if group and (seg is None or size + len(seg[2]) > 2 * _PIECE):
-            for k, part in _anchors_of(group):
+            for k, part in _anchors_of(group, w):
                 found.setdefault(k, []).append(part)
             group, size = [], 0
         if seg is not None:
@@ -97,16 +122,16 @@ def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
     return out
 
 
-def _anchors_of(group):
+def _anchors_of(group, w):
     b = np.frombuffer(b"".join(s for _, _, s in group), dtype=np.uint8)
     ends = np.cumsum([len(s) for _, _, s in group])
     begins = np.concatenate(([0], ends[:-1]))
-    h = _gram_hashes(b)
+    h = _gram_hashes(b, w.gram)
     low = np.uint64((1 << _PLACE_BITS) - 1)
-    least = _sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), GRAMS)
+    least = _sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), w.grams)
     step = np.zeros(len(b) + 1, dtype=np.int8)
     step[begins] += 1
-    step[ends - WINDOW + 1] -= 1
+    step[ends - w.size + 1] -= 1
     starts = np.flatnonzero(np.cumsum(step[: len(least)]) > 0)
     place = (least[starts] & low).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1))))
@@ -120,14 +145,13 @@ def _anchors_of(group):
         yield k, (h[place[a:z]], place[a:z] + shift, first[a:z] + shift, last[a:z] + shift)
 
 
-def text_key(raw: bytes) -> tuple[int, int]:
-    """128 bits that stand for a text."""
-    x = xxhash.xxh3_128_intdigest(raw)
-    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
+def text_keys(text) -> list:
+    """Columns k1 and k2: 128 bits that stand for a text or a string of bytes."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-_FACTS = "doc_id long, k1 long, k2 long, n_bytes long, whole binary, once array<long>, more array<long>"
-_FACTS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("whole", pa.binary()), ("once", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
+_FACTS = "row long, k1 long, k2 long, wordy boolean, once array<long>, more array<long>"
+_FACTS_SCHEMA = pa.schema([("row", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("wordy", pa.bool_()), ("once", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
 
 
 def _portions(b: pa.RecordBatch, column: int, most: int = 4 << 20):
@@ -142,47 +166,48 @@ def _portions(b: pa.RecordBatch, column: int, most: int = 4 << 20):
         yield b.slice(at)
 
 
-def text_facts(docs: DataFrame) -> DataFrame:
-    """Ids, keys, sizes, digests and the hashes of anchors that a text has once, and more than once (text of a short period has one many times)."""
+def text_facts(rows: DataFrame, w: Windows) -> DataFrame:
+    """Row numbers, keys, whether the whole text would be a passage, and the hashes of anchors that a text has once, and more than once (text of a short period has one many times)."""
 
     def run(it):
         for batch in it:
-            for b in _portions(batch, 1):
-                raw = [x.as_buffer().to_pybytes() for x in b.column(1)]
-                keys = [text_key(x) for x in raw]
-                hashes = [np.unique(a[0].view(np.int64), return_counts=True) for a in anchors(raw)]
-                yield as_batch(
-                    {"doc_id": b.column(0), "k1": [k for k, _ in keys], "k2": [k for _, k in keys], "n_bytes": list(map(len, raw)), "whole": [hashlib.sha256(x).digest() for x in raw], "once": [h[n == 1] for h, n in hashes], "more": [h[n > 1] for h, n in hashes]},
-                    _FACTS_SCHEMA,
-                )
+            for b in _portions(batch, 3):
+                raw = [x.as_buffer().to_pybytes() for x in b.column(3)]
+                hashes = [np.unique(a[0].view(np.int64), return_counts=True) for a in anchors(raw, w)]
+                wordy = [len(x) >= PASSAGE.size and len(x.split(None, PASSAGE_WORDS)) >= PASSAGE_WORDS for x in raw]
+                yield as_batch({"row": b.column(0), "k1": b.column(1), "k2": b.column(2), "wordy": wordy, "once": [h[n == 1] for h, n in hashes], "more": [h[n > 1] for h, n in hashes]}, _FACTS_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty(docs).alias("t")).mapInArrow(run, _FACTS)
+    return rows.select("row", "k1", "k2", "raw").mapInArrow(run, _FACTS)
 
 
 # ---------------------------------------------------------------- items
 
 
-def items_of(raw: bytes, repeated: np.ndarray):
+def items_of(raw: bytes, repeated: np.ndarray, w: Windows = EXACT):
     """(key, first start, bytes, place of the shared bytes in them) of a text's items. ``repeated``: the hashes of its anchors that the corpus has more than once."""
-    h, place, first, last = anchors([raw])[0]
+    h, place, first, last = anchors([raw], w)[0]
     ok = np.isin(h.view(np.int64), repeated)
     for k in np.flatnonzero(ok).tolist():
         p, lo, hi, name = int(place[k]), int(first[k]), int(last[k]), int(h[k]).to_bytes(8, "little")
-        # Starts p - d with d in [zone, zone + BUCKET): all of their windows hold the bytes from p - zone.
-        for bucket in range((p - hi) // BUCKET, (p - lo) // BUCKET + 1):
-            zone = bucket * BUCKET
-            a, z = max(lo, p - zone - BUCKET + 1), min(hi, p - zone)
+        # Starts p - d with d in [zone, zone + w.bucket): all of their windows hold the bytes from p - zone.
+        for bucket in range((p - hi) // w.bucket, (p - lo) // w.bucket + 1):
+            zone = bucket * w.bucket
+            a, z = max(lo, p - zone - w.bucket + 1), min(hi, p - zone)
             if a <= z:
-                shared = raw[p - zone : p - zone - BUCKET + 1 + WINDOW]
-                yield xxhash.xxh3_64_intdigest(shared + name + bytes([bucket])) - (1 << 63), a, raw[a : z + WINDOW], p - zone - a
+                shared = raw[p - zone : p - zone - w.bucket + 1 + w.size]
+                yield xxhash.xxh3_64_intdigest(shared + name + bytes([bucket])) - (1 << 63), a, raw[a : z + w.size], p - zone - a
 
 
 _ITEMS = "key long, digest long, left binary, right binary, k1 long, k2 long, first int"
 _ITEMS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32())])
 
 
-def cut_items(texts: DataFrame) -> DataFrame:
-    """Items of texts (k1, k2, text, hashes), as what is left and right of the shared bytes; the digest stands for all of it."""
+def _listed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return as_batch(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
+
+
+def cut_items(texts: DataFrame, w: Windows) -> DataFrame:
+    """Items of texts (k1, k2, raw, hashes), as what is left and right of the shared bytes; the digest stands for all of it."""
 
     def run(it):
         for b in it:
@@ -190,13 +215,13 @@ def cut_items(texts: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 raw = b.column(2)[i].as_buffer().to_pybytes()
                 k1, k2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                for key, first, content, core in items_of(raw, np.asarray(b.column(3)[i].as_py(), dtype=np.int64)):
-                    rows.append((key, xxhash.xxh3_64_intdigest(content) - (1 << 63), content[:core], content[core + SHARED :], k1, k2, first))
+                for key, first, content, core in items_of(raw, np.asarray(b.column(3)[i].as_py(), dtype=np.int64), w):
+                    rows.append((key, xxhash.xxh3_64_intdigest(content) - (1 << 63), content[:core], content[core + w.shared :], k1, k2, first))
                 if len(rows) > 4000 or (rows and i == b.num_rows - 1):
-                    yield as_batch(dict(zip(_ITEMS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _ITEMS_SCHEMA)
+                    yield _listed(rows, _ITEMS_SCHEMA)
                     rows = []
 
-    return texts.select("k1", "k2", "text", "hashes").mapInArrow(run, _ITEMS)
+    return texts.select("k1", "k2", "raw", "hashes").mapInArrow(run, _ITEMS)
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -248,27 +273,27 @@ def as_ranges(starts: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_MARKS = "key long, digest long, a int, z int"
-_MARKS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("a", pa.int32()), ("z", pa.int32())])
+_MARKS = "key long, digest long, n long, ranges array<struct<a:int,z:int>>"
+_MARKS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))])
 
 
-def marks_of(group: list[tuple]) -> list[tuple]:
-    """(key, digest, a, z) of one key's items (key, digest, left, right, count)."""
+def marks_of(group: list[tuple], w: Windows = EXACT) -> list[tuple]:
+    """(key, digest, n, ranges) of one key's items (key, digest, left, right, count)."""
     copies: dict[int, int] = {}
     for _, digest, _, _, count in group:
         copies[digest] = copies.get(digest, 0) + count
     rows = []
-    found = repeated_around([g[2] for g in group], [g[3] for g in group], BUCKET) if len(group) > 1 else [[]]
+    found = repeated_around([g[2] for g in group], [g[3] for g in group], w.bucket) if len(group) > 1 else [[]]
     for (key, digest, left, right, _), before in zip(group, found, strict=True):
-        if copies[digest] > 1:
-            rows.append((key, digest, 0, len(left) + SHARED + len(right) - WINDOW))
-        else:
-            rows += [(key, digest, a, z) for a, z in as_ranges(sorted({len(left) - d for d in before}))]
+        whole = copies[digest] > 1
+        ranges = [(0, len(left) + w.shared + len(right) - w.size)] if whole else as_ranges(sorted({len(left) - d for d in before}))
+        if ranges:
+            rows.append((key, digest, copies[digest], [{"a": a, "z": z} for a, z in ranges]))
     return rows
 
 
-def mark_repeats(counted: DataFrame) -> DataFrame:
-    """(key, digest, a, z): repeated starts a to z of each item. ``counted`` rows (key, digest, left, right, count) lie together by key, in order."""
+def mark_repeats(counted: DataFrame, w: Windows) -> DataFrame:
+    """(key, digest, n, ranges): repeated starts a to z of each item that has any. ``counted`` rows (key, digest, left, right, count) lie together by key, in order."""
 
     def run(it):
         group: list[tuple] = []
@@ -276,28 +301,55 @@ def mark_repeats(counted: DataFrame) -> DataFrame:
         for b in it:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and group[0][0] != row[0]:
-                    rows += marks_of(group)
+                    rows += marks_of(group, w)
                     group = []
                 group.append(row)
             if len(rows) > 10_000:
-                yield as_batch(dict(zip(_MARKS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _MARKS_SCHEMA)
+                yield _listed(rows, _MARKS_SCHEMA)
                 rows = []
         if group:
-            rows += marks_of(group)
+            rows += marks_of(group, w)
         if rows:
-            yield as_batch(dict(zip(_MARKS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _MARKS_SCHEMA)
+            yield _listed(rows, _MARKS_SCHEMA)
 
     return counted.select("key", "digest", "left", "right", "count").mapInArrow(run, _MARKS)
 
 
+_WINDOWS = "key long, digest long, count long, a int, h1 long, h2 long"
+_WINDOWS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("count", pa.int64()), ("a", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+
+def mark_crowded(counted: DataFrame, w: Windows) -> DataFrame:
+    """Like ``mark_repeats``, for items of crowded keys, lying anywhere: windows are hashed (128 bits, the key among them) and counted."""
+
+    def run(it):
+        for b in it:
+            for at in range(0, b.num_rows, 256):
+                rows = []
+                for key, digest, left, right, count in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
+                    name = key.to_bytes(8, "little", signed=True)
+                    for d in range(max(0, w.bucket - 1 - len(right)), min(len(left), w.bucket - 1) + 1):
+                        x = xxhash.xxh3_128_intdigest(name + bytes([d]) + left[len(left) - d :] + right[: w.bucket - 1 - d])
+                        rows.append((key, digest, count, len(left) - d, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)))
+                if rows:
+                    yield _listed(rows, _WINDOWS_SCHEMA)
+
+    windows = stash(counted.select("key", "digest", "left", "right", "count").mapInArrow(run, _WINDOWS), "op6-windows")
+    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("all")).filter(F.col("all") > 1).select("h1", "h2", "n")
+    met = join_counted(windows, stash(twice, "op6-twice"), ["h1", "h2"], "n", windows.count(), "left_semi")
+    own = met.groupBy("key", "digest").agg(F.max("count").alias("n"), F.sort_array(F.collect_set("a")).alias("s"))
+    edge = lambda step: F.filter("s", lambda x: ~F.array_contains("s", x + step))
+    return own.select("key", "digest", "n", F.arrays_zip(edge(-1).alias("a"), edge(1).alias("z")).alias("ranges"))
+
+
 # ---------------------------------------------------------------- the operator
 
 
-def covered(ranges: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+def covered(ranges: list[tuple[int, int]], size: int, window: int = WINDOW) -> list[tuple[int, int]]:
     """Maximal runs [from, to) of the bytes under windows whose first to last starts are given."""
     out: list[list[int]] = []
     for a, z in sorted(ranges):
-        to = min(z + WINDOW, size)
+        to = min(z + window, size)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], to)
         else:
@@ -313,120 +365,175 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(keep) + raw[at:]
 
 
-_CUTS = "k1 long, k2 long, n_removed long, n_spans long, kept binary"
-_CUTS_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-_NULL_ID = -(1 << 63)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def repeats(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Facts of every row (doc_id, k1, k2, n_bytes, whole), copies of each text, and the cuts of texts that lose something but not as copies.
+def passages(raw: bytes, runs: list[tuple[int, int]], least: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
+    """The runs that hold at least so many whole words of the text."""
+    out = []
+    for a, b in runs:
+        cut = (a > 0 and not raw[a - 1 : a].isspace() and not raw[a : a + 1].isspace()) + (b < len(raw) and not raw[b - 1 : b].isspace() and not raw[b : b + 1].isspace())
+        if sum(1 for _ in _WORD.finditer(raw, a, b)) - cut >= least:
+            out.append((a, b))
+    return out
+
 
-    ``kept`` of a cut is the SHA-256 of what is left, or what is left itself (``with_text``).
+def repeated_ranges(rows: DataFrame, w: Windows, label: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal texts (k1, k2, copies, wordy: they would be a passage as a whole), and the texts that share windows with others or repeat their own: (k1, k2, raw, ranges).
+
+    ``rows``: (row, k1, k2, raw); rows of one number and key are copies. Null numbers are allowed. ``ranges`` are
+    the starts of repeated windows; of a class of several copies, those that repeat in other texts too.
     """
-    spark = docs.sparkSession
-    facts = stash(text_facts(docs), "op6-facts")
-    classes = facts.groupBy("k1", "k2").agg(F.min(F.coalesce("doc_id", F.lit(_NULL_ID))).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    facts = text_facts(rows, w)
+    classes = stash(
+        facts.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.max("wordy").alias("wordy"), F.first("once").alias("once"), F.first("more").alias("more")),
+        f"{label}-classes",
+    )
     # Copies of a text count as one, so that their anchors are not counted, nor joined, again and again.
-    one_each = facts.groupBy("k1", "k2").agg(F.first("once").alias("once"), F.first("more").alias("more"))
     tagged = lambda name, flag: F.transform(name, lambda h: F.struct(h.alias("anchor"), F.lit(flag).alias("more")))
-    met = stash(one_each.select("k1", "k2", F.explode(F.concat(tagged("once", False), tagged("more", True))).alias("a")).select("k1", "k2", "a.anchor", "a.more"), "op6-anchors")
-    # An anchor repeats if a text has it twice, or if the least and largest text that have it differ; all combine before the shuffle.
-    spot = F.struct("k1", "k2")
-    often = met.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.max("more").alias("more")).filter("a <> b OR more").select("anchor")
-    hashes = met.join(often, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_list("anchor").alias("hashes"))
-    wanted = hashes.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
-    some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("rep"), text_or_empty(docs).alias("text"))
-
-    def sound(it):  # ids may repeat: the key tells which row was meant
+    met = classes.select("k1", "k2", F.explode(F.concat(tagged("once", False), tagged("more", True))).alias("a")).select("k1", "k2", "a.anchor", "a.more")
+    n_met = classes.agg(F.coalesce(F.sum(F.size("once") + F.size("more")), F.lit(0))).first()[0]
+    often = stash(met.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).filter("n > 1 OR more").select("anchor", "n"), f"{label}-often")
+    hashes = join_counted(met.select("k1", "k2", "anchor"), often, ["anchor"], "n", n_met, "left_semi").groupBy("k1", "k2").agg(F.collect_list("anchor").alias("hashes"))
+    wanted = hashes.join(classes.select("k1", "k2", "row"), ["k1", "k2"])
+    # Rows without a number are looked up by their text alone, each text once.
+    numbered = rows.filter("row IS NOT NULL").join(wanted.filter("row IS NOT NULL"), ["row", "k1", "k2"])
+    others = rows.filter("row IS NULL").dropDuplicates(["k1", "k2"]).join(wanted.filter("row IS NULL").drop("row"), ["k1", "k2"])
+    kept = ["k1", "k2", "raw", "hashes"]
+    # Repeated rows may be met twice here; they are copies, which are told by their class.
+    texts = stash(numbered.select(*kept).unionByName(others.select(*kept)), f"{label}-texts")
+    items = stash(cut_items(texts, w), f"{label}-items")
+    counted = items.groupBy("key", "digest", "left", "right").count()
+    n_items, volume = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("left") + F.octet_length("right")), F.lit(0))).first()
+    crowded = items.groupBy("key").count().filter(F.col("count") > CROWDED).select("key")
+    parts = pieces(volume, TASK_BYTES, shuffle_width(rows.sparkSession))
+    sort = lambda some: mark_repeats(some.repartition(parts, "key").sortWithinPartitions("key", "digest"), w)
+    if crowded.isEmpty():
+        marks = sort(counted)
+    else:
+        salted = counted.withColumn("salt", F.pmod("digest", F.lit(SALTS)))
+        tasks = crowded.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        marks = sort(salted.join(tasks, ["key", "salt"], "left_anti")).unionByName(mark_crowded(salted.join(tasks, ["key", "salt"], "left_semi"), w))
+    marks = stash(marks, f"{label}-marks")
+    hits = join_counted(items.select("key", "digest", "k1", "k2", "first"), marks, ["key", "digest"], "n", n_items)
+    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["z"] + F.col("first")).alias("z")))
+    ranges = hits.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list(moved))).alias("ranges"))
+    return classes.select("k1", "k2", "copies", "wordy"), texts.select("k1", "k2", "raw").join(ranges, ["k1", "k2"])
+
+
+def document_rows(docs: DataFrame) -> DataFrame:
+    """Rows for ``repeated_ranges``: null texts as empty."""
+    text = text_or_empty(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("row"), *text_keys(text), text.cast("binary").alias("raw"))
+
+
+_RUNS = "k1 long, k2 long, raw binary, n_passage long, stretches array<struct<at:int,raw:binary>>"
+_RUNS_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("raw", pa.binary()), ("n_passage", pa.int64()), ("stretches", pa.list_(pa.struct([("at", pa.int32()), ("raw", pa.binary())])))])
+_CUTS = "k1 long, k2 long, n_removed long, n_spans long, kept binary"
+_CUTS_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+
+
+def _pairs(found) -> list[tuple[int, int]]:
+    return [(x["a"], x["z"]) for x in found]
+
+
+def stretches(found: DataFrame) -> DataFrame:
+    """Of texts with repeated ``PASSAGE`` windows: the bytes under passages, and the stretches that can hold an ``EXACT`` window."""
+
+    def run(it):
         for b in it:
-            keys = [text_key(x.as_buffer().to_pybytes()) for x in b.column(2)]
-            same = [(a.as_py(), z.as_py()) == k for a, z, k in zip(b.column(0), b.column(1), keys, strict=True)]
-            yield b.filter(pa.array(same, type=pa.bool_()))
+            for part in _portions(b, 2):
+                rows = []
+                for k1, k2, raw, ranges in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    runs = covered(_pairs(ranges), len(raw), PASSAGE.size)
+                    long = [{"at": a, "raw": raw[a:z]} for a, z in runs if z - a >= EXACT.size]
+                    rows.append((k1, k2, raw if long else b"", sum(z - a for a, z in passages(raw, runs)), long))
+                if rows:
+                    yield _listed(rows, _RUNS_SCHEMA)
 
-    texts = stash(wanted.join(some, "rep").select("k1", "k2", "text", "hashes").mapInArrow(sound, "k1 long, k2 long, text string, hashes array<long>"), "op6-texts")
-    items = stash(cut_items(texts), "op6-items")
-    counted = items.groupBy("key", "digest", "left", "right").count()
-    volume = items.agg(F.coalesce(F.sum(F.octet_length("left") + F.octet_length("right")), F.lit(0))).first()[0]
-    parts = pieces(volume, TASK_BYTES, shuffle_width(spark))
-    marks = stash(mark_repeats(counted.repartition(parts, "key").sortWithinPartitions("key", "digest")), "op6-marks").distinct()
-    ranges = (
-        items.select("key", "digest", "k1", "k2", "first").join(marks, ["key", "digest"]).groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("z")).alias("z"))).alias("ranges"))
-    )
+    return found.select("k1", "k2", "raw", "ranges").mapInArrow(run, _RUNS)
+
+
+def exact_ranges(runs: DataFrame) -> DataFrame:
+    """(k1, k2, ranges): starts of repeated ``EXACT`` windows of texts, from their ``stretches``."""
+    at = stash(runs.select("k1", "k2", F.explode("stretches").alias("s")).select("k1", "k2", "s.at", "s.raw"), "op6-stretches")
+    named = at.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "at", F.octet_length("raw").alias("n"), *text_keys(F.col("raw")))
+    rows = at.select(F.xxhash64("k1", "k2", "at").alias("row"), *text_keys(F.col("raw")), "raw")
+    classes, found = repeated_ranges(rows, EXACT, "op6-exact")
+    # A stretch of several texts repeats as a whole.
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - EXACT.size).alias("z")))
+    copied = classes.join(found.select("k1", "k2", "ranges"), ["k1", "k2"], "left").filter("copies > 1 OR ranges IS NOT NULL")
+    got = join_counted(named, stash(copied, "op6-found"), ["k1", "k2"], "copies", named.count())
+    own = F.transform(F.when(F.col("copies") > 1, whole).otherwise(F.col("ranges")), lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["z"] + F.col("at")).alias("z")))
+    return got.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2")).agg(F.flatten(F.collect_list(own)).alias("ranges"))
 
-    def cut(it):
+
+def cuts_of(found: DataFrame, runs_of, digest: bool) -> DataFrame:
+    """What texts (k1, k2, raw, ranges) lose: ``runs_of`` gives the runs; ``kept`` is the SHA-256 of what is left, or that itself, without broken characters."""
+
+    def run(it):
         for b in it:
-            rows = []
-            for k1, k2, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                runs = covered([(x["a"], x["z"]) for x in found], len(raw))
-                left = without(raw, runs)
-                if with_text:
-                    left = left.decode("utf-8", "ignore").encode()
-                rows.append((k1, k2, sum(z - a for a, z in runs), len(runs), left if with_text else hashlib.sha256(left).digest()))
-            if rows:
-                yield as_batch(dict(zip(_CUTS_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)), _CUTS_SCHEMA)
+            for part in _portions(b, 2):
+                rows = []
+                for k1, k2, raw, ranges in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if runs := runs_of(raw, _pairs(ranges)):
+                        left = without(raw, runs)
+                        rows.append((k1, k2, sum(z - a for a, z in runs), len(runs), hashlib.sha256(left).digest() if digest else left.decode("utf-8", "ignore").encode()))
+                if rows:
+                    yield _listed(rows, _CUTS_SCHEMA)
 
-    marked = texts.select("k1", "k2", "text").join(ranges, ["k1", "k2"]).select("k1", "k2", "text", "ranges")
-    cuts = marked.mapInArrow(cut, _CUTS).dropDuplicates(["k1", "k2"]) if not with_text else marked.mapInArrow(cut, _CUTS)
-    return facts.select("doc_id", "k1", "k2", "n_bytes", "whole"), classes.select("k1", "k2", "copies"), cuts
+    return found.select("k1", "k2", "raw", "ranges").mapInArrow(run, _CUTS).dropDuplicates(["k1", "k2"])
 
 
 def removed_bytes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage: one row for each row of ``docs``.
 
+    ``n_passage``: bytes of passages (at least ``PASSAGE_WORDS`` words under repeated 200-byte windows), shorter ones than 400 bytes too.
     Null text: as empty. Texts under 400 bytes lose nothing. Copies of a text, repeated rows
     included, lose all of it (from 400 bytes on), as each of its windows starts elsewhere. Null
     and repeated ids are allowed. Empty table: no rows.
     """
-    facts, classes, cuts = repeats(docs)
-    joined = facts.join(classes, ["k1", "k2"]).join(stash(cuts, "op6-cuts"), ["k1", "k2"], "left")
+    classes, found = repeated_ranges(document_rows(docs), PASSAGE, "op6")
+    runs = stash(stretches(found), "op6-runs")
+    cuts = cuts_of(runs.select("k1", "k2", "raw").join(exact_ranges(runs), ["k1", "k2"]), lambda raw, ranges: covered(ranges, len(raw)), True)
+    lost = runs.select("k1", "k2", "n_passage").dropDuplicates(["k1", "k2"]).join(cuts, ["k1", "k2"], "left")
+    known = stash(classes.join(lost, ["k1", "k2"], "left").filter("copies > 1 OR n_passage IS NOT NULL"), "op6-cuts")
+    text = text_or_empty(docs)
+    facts = docs.select(F.col("doc_id").cast("long"), *text_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    facts = stash(facts, "op6-facts")
+    joined = join_counted(facts, known, ["k1", "k2"], "copies", facts.count(), "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)
+    passage = (F.col("copies") > 1) & F.col("wordy")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
+    none = F.lit(0).cast("long")
     return joined.select(
         "doc_id",
         "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, empty).otherwise(F.lower(F.hex(F.coalesce("kept", "whole")))).alias("kept_sha256"),
+        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", none)).cast("long").alias("n_spans"),
+        F.when(gone, empty).when(F.col("kept").isNotNull(), F.lower(F.hex("kept"))).otherwise(F.col("whole")).alias("kept_sha256"),
+        F.when(passage, F.col("n_bytes")).otherwise(F.coalesce("n_passage", none)).alias("n_passage"),
     )
 
 
-#: Columns that hold a text's key beside a table's own.
-KEYS = ("_text_key_1_", "_text_key_2_")
-
-
 def cut_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated bytes, n_chars following; null texts stay null.
+    """``docs`` without the bytes of passages, n_chars following; null texts stay null.
 
-    A character that loses some of its bytes goes whole. Texts are looked up by their key, so copies lose alike.
+    A character that loses some of its bytes goes whole. Texts are looked up by their key, so copies lose alike:
+    of a text that is there more than once, whatever its length, all from ``PASSAGE_WORDS`` words on.
     """
-    _, classes, cuts = repeats(docs, with_text=True)
-    gone = classes.filter("copies > 1").select("k1", "k2", F.lit(None).cast("binary").alias("kept"))
-    lost = cuts.select("k1", "k2", "kept").join(gone.select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(gone).dropDuplicates(["k1", "k2"])
-    lost = stash(lost.select(F.col("k1").alias(KEYS[0]), F.col("k2").alias(KEYS[1]), F.col("kept").alias("_kept_"), F.lit(True).alias("_hit_")), "op6-lost")
-    names = docs.columns
-    joined = keys_of(docs).join(lost, list(KEYS), "left")
-    # A hit without bytes is a copy: from a window's length on, nothing is left of it.
-    chars = F.decode(F.col("_kept_"), "UTF-8")
-    text = F.when(F.col("_hit_").isNull() | F.col("text").isNull(), F.col("text")).when(F.col("_kept_").isNull(), F.when(F.octet_length("text") >= WINDOW, F.lit("")).otherwise(F.col("text"))).otherwise(chars)
-    done = joined.withColumn("_old_", F.col("text")).withColumn("text", text)
-    if "n_chars" in names:
+    classes, found = repeated_ranges(document_rows(docs), PASSAGE, "op6")
+    cuts = cuts_of(found, lambda raw, ranges: passages(raw, covered(ranges, len(raw), PASSAGE.size)), False)
+    known = classes.join(cuts.select("k1", "k2", "kept"), ["k1", "k2"], "left").filter("copies > 1 OR kept IS NOT NULL")
+    known = stash(known.select(F.col("k1").alias("_k1_"), F.col("k2").alias("_k2_"), F.col("copies").alias("_copies_"), ((F.col("copies") > 1) & F.col("wordy")).alias("_gone_"), F.col("kept").alias("_kept_")), "op6-lost")
+    one, two = text_keys(text_or_empty(docs))
+    keyed = docs.withColumns({"_k1_": one, "_k2_": two, "_old_": F.col("text")})
+    joined = join_counted(keyed, known, ["_k1_", "_k2_"], "_copies_", classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0], "left")
+    text = F.when(F.col("_copies_").isNull() | F.col("_old_").isNull(), F.col("_old_")).when(F.col("_gone_"), F.lit("")).when(F.col("_kept_").isNotNull(), F.decode(F.col("_kept_"), "UTF-8")).otherwise(F.col("_old_"))
+    done = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("_old_")), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return done.select(*names)
-
-
-def keys_of(docs: DataFrame) -> DataFrame:
-    """``docs`` with the key of the text (null as empty)."""
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(k, T.LongType()) for k in KEYS)])
-
-    def run(it):
-        for b in it:
-            keys = [text_key(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(at)]
-            more = [pa.array([k for k, _ in keys], type=pa.int64()), pa.array([k for _, k in keys], type=pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *KEYS])
-
-    return docs.mapInArrow(run, schema)
+    return done.select(*docs.columns)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

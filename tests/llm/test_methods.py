@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from inkfield.llm import ann, induced_sorting, lattice_sampling, license_scan, packing, pii, quality_classifier, quality_rules, registry, sharding, simhash_dedup, suffix_dedup
+from inkfield.llm import ann, common, induced_sorting, lattice_sampling, license_scan, packing, pii, quality_classifier, quality_rules, registry, sharding, simhash_dedup, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,35 +210,68 @@ def test_sharding_is_exact_and_uniform(spark):
 # ---- 6
 
 
-def plain_removed(texts, window=400):
+def plain_runs(texts, window):
+    """For each text its bytes and the maximal runs under repeated windows."""
     raw = {i: t.encode() for i, t in texts.items()}
     seen = Counter(b[k : k + window] for b in raw.values() for k in range(len(b) - window + 1))
-    out = {}
     for i, b in raw.items():
         gone = bytearray(len(b))
         for k in range(len(b) - window + 1):
             if seen[b[k : k + window]] > 1:
                 gone[k : k + window] = b"\1" * window
-        runs = len(re.findall(rb"\x01+", bytes(gone)))
-        out[i] = (len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
-    return out
+        yield i, b, [m.span() for m in re.finditer(rb"\x01+", bytes(gone))]
+
+
+def plain_removed(texts, window=400):
+    return {i: (len(b), sum(z - a for a, z in runs), len(runs), hashlib.sha256(suffix_dedup.without(b, runs)).hexdigest()) for i, b, runs in plain_runs(texts, window)}
+
+
+def whole_words(b, a, z):
+    """Words of a text that lie wholly between two places."""
+    return sum(m.start() >= a and m.end() <= z for m in re.finditer(rb"[^\x20\x09-\x0D]+", b))
+
+
+def plain_passages(texts):
+    return {i: (b, [(a, z) for a, z in runs if whole_words(b, a, z) >= 50]) for i, b, runs in plain_runs(texts, 200)}
+
+
+def check_suffixes(df, docs):
+    rows = suffix_dedup.removed_bytes(df).collect()
+    assert {r["doc_id"]: tuple(r[1:5]) for r in rows} == plain_removed(docs)
+    want = plain_passages(docs)
+    assert {r["doc_id"]: r["n_passage"] for r in rows} == {i: sum(z - a for a, z in runs) for i, (_, runs) in want.items()}
+    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_documents(df.withColumn("n_chars", df.doc_id)).collect()}
+    assert cut == {i: suffix_dedup.without(b, runs).decode("utf-8", "ignore") for i, (b, runs) in want.items()}
 
 
 def test_suffix_query(spark, texts):
     rows = registry.queries()["op6_suffix_dedup"](spark, SF).collect()
-    assert {r["doc_id"]: tuple(r[1:]) for r in rows} == plain_removed(texts)
+    assert {r["doc_id"]: tuple(r[1:5]) for r in rows} == plain_removed(texts)
+    assert {r["doc_id"]: r["n_passage"] for r in rows} == {i: sum(z - a for a, z in runs) for i, (_, runs) in plain_passages(texts).items()}
 
 
-def test_planted_passages(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_planted_passages(spark, monkeypatch, hot):
+    if hot:  # every key is hot or crowded
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+        monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+        monkeypatch.setattr(suffix_dedup, "CROWDED", 1)
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdefgh é\n") for _ in range(n))
-    shared, edge = text(900), text(400)
-    docs = {k: text(rng.randint(0, 900)) + (shared[rng.randint(0, 200) : rng.randint(500, 900)] if k % 2 else "") + text(rng.randint(0, 300)) for k in range(40)}
-    docs |= {50: edge, 51: text(100) + edge, 52: edge[1:] + "z", 53: "ab" * 900, 54: shared + shared, 55: shared, 56: shared}
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    assert {r["doc_id"]: tuple(r[1:]) for r in suffix_dedup.removed_bytes(df).collect()} == plain_removed(docs)
-    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_documents(df.withColumn("n_chars", df.doc_id)).collect()}
-    assert cut[55] == "" and cut[50] == "" and len(cut) == len(docs)
+    shared, edge, short = text(900), text(400), text(330)
+    docs = {k: text(rng.randint(0, 900)) + (shared[rng.randint(0, 200) : rng.randint(500, 900)] if k % 2 else short if k % 4 else "") + text(rng.randint(0, 300)) for k in range(40)}
+    docs |= {50: edge, 51: text(100) + edge, 52: edge[1:] + "z", 53: "ab" * 900, 54: shared + shared, 55: shared, 56: shared, 57: short, 58: short[:220] + text(500), 59: "x " * 60, 60: "x " * 60}
+    check_suffixes(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), docs)
+
+
+def test_suffixes_of_rows_without_ids(spark):
+    rng = random.Random(41)
+    text = lambda n: "".join(rng.choice("abcdefgh é\n") for _ in range(n))
+    shared = text(700)
+    rows = [shared + text(50), *[text(40) + shared[:600]] * 3, text(30) + shared[100:], text(500), "", None]
+    df = spark.createDataFrame([(None, t) for t in rows] + [(7, rows[0]), (7, rows[4]), (7, rows[5])], "doc_id long, text string")
+    got = Counter(tuple(r)[1:5] for r in suffix_dedup.removed_bytes(df).collect())
+    assert got == Counter(plain_removed({k: t or "" for k, t in enumerate([*rows, rows[0], rows[4], rows[5]])}).values())
 
 
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
@@ -487,9 +520,6 @@ def test_pipeline_stages(spark):
             want = plain_components({i: plain_fingerprint(t) for i, t in old.items()})
             assert set(texts) == set(want.values())
         if name == "repeated_passages":
-            lost = plain_removed(old)
-            for i, t in texts.items():
-                assert (lost[i][1] == 0) == (t == old[i])
-                assert lost[i][0] - lost[i][1] - 6 <= len(t.encode()) <= lost[i][0] - lost[i][1]
+            assert texts == {i: suffix_dedup.without(b, runs).decode("utf-8", "ignore") for i, (b, runs) in plain_passages(old).items()}
         if name == "personal_data":
             assert all(not plain_spans(t) for t in texts.values())
