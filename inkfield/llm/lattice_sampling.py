@@ -13,7 +13,10 @@ to an edge, another edge there, anything after), whose maxima are Gumbels trunca
 value just emitted. A queue of regions by these maxima is the perturbed A* frontier: each pop
 emits the next segmentation, always a new one, in falling order. The value after the last one
 wanted is the threshold from which each sample's inclusion probability follows. All draws
-come from the row's key.
+come from the row's key; how rows lie in batches changes nothing.
+
+Work inside a task is by arrays: the distinct units of a batch are looked up once, new ones are walked through
+a trie of all pieces together, and so are the paths of all texts of a batch.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +43,11 @@ ALPHA = 0.001
 BYTE_COST = 32_000.0
 SEED = 70_007
 #: Units, and edges of their lattices, that a worker process remembers; the cache is emptied when full and never changes a result.
-CACHE, CACHED_EDGES = 500_000, 4_000_000
+CACHE, CACHED_EDGES = 500_000, 8_000_000
 #: Walks under this number go edge by edge, more of them side by side.
 FEW_WALKS = 4
+#: Texts, and bytes of texts, of one batch.
+BATCH, BATCH_BYTES = 256, 1 << 21
 
 SPACE = "▁"
 _UNITS = re.compile(r" *[^ \n]+| +|\n")
@@ -63,37 +69,43 @@ def units(text: str) -> list[str]:
 
 
 class Edges:
-    """Edges by node, the likeliest first: next node (-1: the end), content, log-probability at the node, and that of all others there."""
+    """Edges by node: next node (-1: the end), content, log-probability at the node, and that of all others there."""
 
     def __init__(self):
         self.n_nodes = self.n_edges = 0
         self.first = np.zeros(1025, dtype=np.int64)  # of each node, and after the last one
-        self.next, self.content = np.zeros(4096, dtype=np.int64), np.zeros(4096, dtype=np.int32)
+        self.next, self.content = np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.int32)
         self.cum, self.logp, self.others = np.zeros(4096), np.zeros(4096), np.zeros(4096)
 
-    def add(self, node: np.ndarray, after: np.ndarray, content: np.ndarray, logp: np.ndarray, n_nodes: int) -> None:
-        """More nodes, numbered on from ``n_nodes``; every new node has an edge."""
-        order = np.lexsort((-logp, node))
-        node, logp = node[order] - self.n_nodes, logp[order]
-        degree = np.bincount(node, minlength=n_nodes)
+    def add(self, degree: np.ndarray, after: np.ndarray, content: np.ndarray, logp: np.ndarray) -> None:
+        """More nodes, numbered on, by their numbers of edges (one at least), and these edges, node by node."""
         start = np.cumsum(degree) - degree
-        at = np.arange(len(node)) - start[node]
-        p = np.zeros((n_nodes, int(degree.max())))
-        p[node, at] = np.exp(logp)
-        left = np.cumsum(p, axis=1)
-        right = np.cumsum(p[:, ::-1], axis=1)[:, ::-1]
-        others = np.zeros_like(p)  # sums of both sides: differences from 1 would lose small ones
-        others[:, 1:] += left[:, :-1]
-        others[:, :-1] += right[:, 1:]
-        cum = (left / left[:, -1:])[node, at]
+        p = np.exp(logp)
+        left, right, cum = np.empty_like(p), np.empty_like(p), np.empty_like(p)
+        with_edge, some = [], np.arange(len(degree))
+        for j in range(int(degree.max())):
+            some = some[degree[some] > j]
+            with_edge.append(some)
+        # Sums of the edges on both sides: differences from 1 would lose small ones.
+        sums = np.zeros(len(degree))
+        for j, some in enumerate(with_edge):
+            e = start[some] + j
+            left[e] = before = sums[some]
+            sums[some] = cum[e] = before + p[e]
+        total, sums = sums, np.zeros(len(degree))
+        for j, some in reversed(list(enumerate(with_edge))):
+            e = start[some] + j
+            right[e] = behind = sums[some]
+            sums[some] = behind + p[e]
+        cum /= np.repeat(total, degree)
         cum[start + degree - 1] = np.inf
-        a, b = self.n_edges, self.n_edges + len(node)
-        self._room(b, self.n_nodes + n_nodes)
+        a, b = self.n_edges, self.n_edges + len(p)
+        self._room(b, self.n_nodes + len(degree))
         with np.errstate(divide="ignore"):
-            self.others[a:b] = np.log(others[node, at])
-        self.cum[a:b], self.logp[a:b], self.next[a:b], self.content[a:b] = cum, logp, after[order], content[order]
-        self.first[self.n_nodes : self.n_nodes + n_nodes] = a + start
-        self.n_nodes, self.n_edges = self.n_nodes + n_nodes, b
+            self.others[a:b] = np.log(left + right)
+        self.cum[a:b], self.logp[a:b], self.next[a:b], self.content[a:b] = cum, logp, after, content
+        self.first[self.n_nodes : self.n_nodes + len(degree)] = a + start
+        self.n_nodes, self.n_edges = self.n_nodes + len(degree), b
         self.first[self.n_nodes] = b
 
     def _room(self, edges: int, nodes: int) -> None:
@@ -102,37 +114,89 @@ class Edges:
             if len(old) < need:
                 setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), dtype=old.dtype)]))
 
-    def walk(self, starts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Edges drawn from each start to its end, start by start, and the number of each one's start."""
-        own, edges = [], []
+    def walk(self, starts: np.ndarray, shift: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges drawn from each start to its end, start by start, and the number of each one's start.
+
+        ``u[shift + node]`` is the random number that a walk uses at a node.
+        """
+        own, edges, paths = [], [], []
         which, node = np.arange(len(starts)), starts
         while len(which) > FEW_WALKS:
-            u = rng.random(len(which))
+            x = u[shift[which] + node]
             e = self.first[node]
-            on = np.flatnonzero(u >= self.cum[e])
+            on = np.flatnonzero(x >= self.cum[e])
             while len(on):
                 e[on] += 1
-                on = on[u[on] >= self.cum[e[on]]]
+                on = on[x[on] >= self.cum[e[on]]]
             own.append(which)
             edges.append(e)
             node = self.next[e]
             going = np.flatnonzero(node >= 0)
             which, node = which[going], node[going]
         for w, n in zip(which.tolist(), node.tolist(), strict=True):
-            path = []
+            path, at = [], int(shift[w])
             while n >= 0:
-                e, u = int(self.first[n]), rng.random()
-                while u >= self.cum[e]:
+                e, x = int(self.first[n]), u[at + n]
+                while x >= self.cum[e]:
                     e += 1
                 path.append(e)
                 n = int(self.next[e])
-            own.append(np.full(len(path), w))
-            edges.append(np.array(path, dtype=np.int64))
-        if not own:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        own, edges = np.concatenate(own), np.concatenate(edges)
-        order = np.argsort(own, kind="stable")
-        return own[order], edges[order]
+            paths.append((w, path))
+        size = np.zeros(len(starts), dtype=np.int64)
+        for w in own:
+            size[w] += 1
+        for w, path in paths:
+            size[w] += len(path)
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), dtype=np.int64)
+        for level, (w, e) in enumerate(zip(own, edges, strict=True)):
+            out[at[w] + level] = e
+        for w, path in paths:
+            out[at[w] + len(own) : at[w] + size[w]] = path
+        return np.repeat(np.arange(len(starts)), size), out
+
+
+class Pool:
+    """Byte strings end to end, for gathering many of them at once."""
+
+    def __init__(self, strings=()):
+        self.bytes = np.zeros(1 << 16, dtype=np.uint8)
+        self.start, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.n = self.used = 0
+        self.add(list(strings))
+
+    def add(self, strings: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+        raw = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        for name, need in (("bytes", self.used + len(raw)), ("start", self.n + len(sizes)), ("size", self.n + len(sizes))):
+            old = getattr(self, name)
+            if len(old) < need:
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), dtype=old.dtype)]))
+        self.bytes[self.used : self.used + len(raw)] = raw
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = self.n + len(sizes), self.used + len(raw)
+
+    def take(self, which: np.ndarray) -> bytes:
+        size = self.size[which]
+        shift = self.start[which] - (np.cumsum(size) - size)
+        return self.bytes[np.repeat(shift, size) + np.arange(int(size.sum()))].tobytes()
+
+
+class Numbers:
+    """A growing array of integers."""
+
+    def __init__(self):
+        self.n, self.all = 0, np.zeros(1024, dtype=np.int64)
+
+    def add(self, more) -> None:
+        if self.n + len(more) > len(self.all):
+            self.all = np.concatenate([self.all, np.zeros(max(len(more), len(self.all)), dtype=np.int64)])
+        self.all[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def __getitem__(self, which):
+        return self.all[which]
 
 
 class Lattices:
@@ -150,10 +214,6 @@ class Lattices:
             if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i)) and s > -1e8:
                 self.cost[p] = (-s * ALPHA, (i,))
         self.cost.setdefault(SPACE, (BYTE_COST * ALPHA, (self.model.piece_to_id(SPACE),)))
-        for p in list(self.cost):  # beginnings of pieces that are none themselves
-            for j in range(len(p) - 1, 0, -1):
-                if self.cost.setdefault(p[:j], None) is not None:
-                    break
         # Line ends never lie inside a piece; nor, as it happens, a full stop or comma after a letter, which then part lattices too.
         if any("\n" in p for p in self.cost):
             raise ValueError("a piece of this vocabulary spans a line end")
@@ -162,12 +222,39 @@ class Lattices:
         self.raw = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.encode() for i, p in enumerate(self.pieces)]
         self.contents = [np.array([i], dtype="<u2").tobytes() for i in range(n)]
         self.spelled: dict[tuple[int, ...], int] = {}
+        self.shown = Pool(b.replace(SPACE.encode(), b" ") for b in self.raw)
+        self._make_trie({p: hit[1][0] for p, hit in self.cost.items() if hit})
+        self.points = np.zeros(n)
+        for cost, (i,) in filter(None, self.cost.values()):
+            self.points[i] = cost
+        self.line_end = self.byte[10]
         self._clear()
 
+    def _make_trie(self, pieces: dict[str, int]) -> None:
+        """Tables of the trie of all pieces: its nodes are their beginnings, 0 is none, 1 the root; characters of longer pieces have classes."""
+        letters = sorted({c for p in pieces if len(p) > 1 for c in p})
+        self.classes = np.zeros(0x110000, dtype=np.int16)
+        self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.alone = np.full(0x110000, -1, dtype=np.int32)  # the piece that a character is
+        number = {"": 1}
+        for p in pieces:
+            if len(p) > 1:
+                for j in range(1, len(p) + 1):
+                    number.setdefault(p[:j], len(number) + 1)
+            else:
+                self.alone[ord(p)] = pieces[p]
+        self.width = len(letters) + 1
+        self.step = np.zeros((len(number) + 1) * self.width, dtype=np.uint16 if len(number) < 65_535 else np.int32)
+        self.piece_at = np.full(len(number) + 1, -1, dtype=np.int32)
+        for p, k in number.items():
+            if p:
+                self.step[number[p[:-1]] * self.width + int(self.classes[ord(p[-1])])] = k
+                self.piece_at[k] = pieces.get(p, -1)
+
     def _clear(self):
-        self.row: dict[str, tuple[int, ...]] = {}
-        self.plain: list[bytes] = []
-        self.roots: list[int] = []
+        self.row: dict[str, tuple[int, int]] = {}
+        self.plain = Pool()
+        self.roots, self.sizes = Numbers(), Numbers()
         self.edges = Edges()
 
     def _content(self, ids: tuple[int, ...]) -> int:
@@ -181,80 +268,143 @@ class Lattices:
 
     def rows(self, texts_units: list[list[str]]) -> list[np.ndarray]:
         """The rows of every text's units, new ones learned first."""
+        flat = pa.array(list(chain.from_iterable(texts_units)), type=pa.string())
+        return self.rows_of(flat, np.fromiter(map(len, texts_units), dtype=np.int64, count=len(texts_units)))
+
+    def rows_of(self, flat: pa.Array, n_units: np.ndarray) -> list[np.ndarray]:
+        """``flat`` are the units of texts, end to end."""
         if len(self.row) > CACHE or self.edges.n_edges > CACHED_EDGES:
             self._clear()
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._know(distinct)
+        of = np.fromiter(chain.from_iterable(map(self.row.__getitem__, distinct)), dtype=np.int64, count=2 * len(distinct)).reshape(-1, 2)[coded.indices.to_numpy()]
+        two = of[:, 1] >= 0
+        every = of.ravel()[np.flatnonzero(np.stack([np.ones(len(two), dtype=bool), two], axis=1))]
+        cuts = np.concatenate(([0], np.cumsum(1 + two)))[np.cumsum(n_units)]
+        return np.split(every, cuts[:-1])
+
+    def _know(self, units: list[str]) -> None:
+        """Rows for units: one, or two if a stop ends it (else -1)."""
         known = self.row
-        new = dict.fromkeys(u for us in texts_units for u in us if u not in known)
-        ended = [u for u in new if u[-1] in self.stops and u[-2:-1].isalpha()]
-        for u in ended:
-            del new[u]
-        self._learn([*new, *dict.fromkeys(u[:-1] for u in ended if u[:-1] not in known and u[:-1] not in new)])
+        new = [u for u in units if u not in known]
         stops = {c: "\0" + c for c in self.stops}  # no unit: a stop without the encoder's space
+        ended = [u for u in new if u[-1] in stops and u[-2:-1].isalpha()]
+        whole = set(new).difference(ended)
+        whole.update(u[:-1] for u in ended if u[:-1] not in known)
+        self._learn(sorted(whole))
         for u in ended:
             if stops[u[-1]] not in known:
                 self._learn_stop(u[-1], stops[u[-1]])
-            known[u] = known[u[:-1]] + known[stops[u[-1]]]
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, us)), dtype=np.int64) for us in texts_units]
+            known[u] = known[u[:-1]][0], known[stops[u[-1]]][0]
 
     def _learn_stop(self, stop: str, name: str) -> None:
         ids = self.cost[stop][1]
-        self.row[name] = (len(self.plain),)
-        self.plain.append(np.array(ids, dtype="<u2").tobytes())
-        self.roots.append(self.edges.n_nodes)
-        self.edges.add(np.array([self.edges.n_nodes]), np.array([-1]), np.array([self._content(ids)]), np.zeros(1), 1)
+        self.row[name] = (self.plain.n, -1)
+        self.plain.add([np.array(ids, dtype="<u2").tobytes()])
+        self.roots.add([self.edges.n_nodes])
+        self.sizes.add([1])
+        self.edges.add(np.ones(1, dtype=np.int64), np.array([-1]), np.array([self._content(ids)]), np.zeros(1))
+
+    def _learn_line_end(self) -> None:
+        raw = np.array([self.line_end], dtype="<u2").tobytes()
+        self.row["\n"] = (self.plain.n, -1)
+        self.plain.add([raw])
+        self.roots.add([self.edges.n_nodes])
+        self.sizes.add([1])
+        self.edges.add(np.ones(1, dtype=np.int64), np.array([-1]), np.array([self.line_end]), np.zeros(1))
 
     def _learn(self, new: list[str]) -> None:
-        """Plain encodings and lattices of units. The encoder puts a space before what it is given: a unit without one is encoded after a line end."""
+        """Plain encodings and lattices of new units."""
+        if "\n" in new:
+            new = [u for u in new if u != "\n"]
+            self._learn_line_end()
         if not new:
             return
-        find = self.cost.get
-        node: list[int] = []
-        after: list[int] = []
-        content: list[int] = []
-        weight: list[float] = []
-        sums: list[float] = []
+        # Characters of all units, each unit closed by a line end, which no piece has. A unit that is a line end comes alone.
+        size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        joined = "\n".join(new).replace(" ", SPACE) + "\n"
+        point = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        of = self.classes[point].astype(np.int64)
+        close = np.cumsum(size + 1) - 1
+        inner = np.ones(len(point), dtype=bool)
+        inner[close] = False
+        chars = np.flatnonzero(inner)
+        node = np.cumsum(inner) - 1  # of each character
+        # Pieces from each character on, by their length.
+        first = self.alone[point[chars]]
+        spelled = np.flatnonzero(first < 0)  # in bytes, where no piece is the one character
+        cost = self.points[first]
+        for k in spelled.tolist():
+            raw = chr(point[chars[k]]).encode("utf-8", "surrogatepass")
+            first[k] = self._content(tuple(self.byte[b] for b in raw))
+            cost[k] = BYTE_COST * ALPHA * len(raw)
+        found = [(chars, first, cost)]
+        at, state = chars, self.step[self.width + of[chars]].astype(np.int64)
+        while len(at):
+            on = np.flatnonzero(state)
+            at = at[on]
+            state = self.step[state[on] * self.width + of[at + len(found)]].astype(np.int64)
+            piece = self.piece_at[state]
+            hit = np.flatnonzero(piece >= 0)
+            found.append((at[hit], piece[hit], self.points[piece[hit]]))
+        degree = np.bincount(np.concatenate([node[f] for f, _, _ in found]), minlength=len(chars))
+        free = np.cumsum(degree) - degree
+        m = int(degree.sum())
+        start, end, piece, cost = (np.empty(m, dtype=t) for t in (np.int64, np.int64, np.int32, np.float64))
+        for length in range(len(found), 0, -1):  # long ones, which are likely, first
+            f, c, w = found[length - 1]
+            e = free[node[f]]
+            free[node[f]] += 1
+            start[e], end[e], piece[e], cost[e] = f, f + length, c, w
+        # Sums from each unit's end, all units at once, by the distance from the end.
+        far = np.repeat(close, size + 1) - np.arange(len(point))
+        by = far[start]
+        order = np.argsort(by.astype(np.int16) if far.max() < 32_000 else by, kind="stable")
+        tail = np.zeros(len(point))
+        weight = np.empty(m)
+        from_, to, paid = start[order], end[order], cost[order]
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(by[order]) != 0, [True])))
+        head = np.flatnonzero(np.concatenate(([True], np.diff(from_) != 0)))
+        heads = np.searchsorted(head, cut)
+        for a, z, ha, hz in zip(cut[:-1].tolist(), cut[1:].tolist(), heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+            w = tail[to[a:z]] - paid[a:z]
+            weight[order[a:z]] = w
+            tail[from_[head[ha:hz]]] = np.logaddexp.reduceat(w, head[ha:hz] - a)
         base = self.edges.n_nodes
-        given = [u[1:] if u[0] == " " else "\n" + u for u in new]
-        for u, ids in zip(new, self.model.encode(given, num_threads=1), strict=True):
-            s = u.replace(" ", SPACE)
-            size = len(s)
-            tail = [0.0] * (size + 1)
-            for i in range(size - 1, -1, -1):
-                own = []
-                for j in range(i + 1, size + 1):
-                    hit = find(s[i:j], ...)
-                    if hit is ... and j > i + 1:
-                        break  # nothing in the vocabulary goes on like this
-                    if hit and hit is not ...:
-                        cost, edge = hit
-                    elif j == i + 1:  # bytes, where no piece is the one character
-                        raw = s[i].encode("utf-8", "surrogatepass")
-                        cost, edge = BYTE_COST * ALPHA * len(raw), tuple(self.byte[b] for b in raw)
-                    else:
-                        continue
-                    own.append(tail[j] - cost)
-                    node.append(base + i)
-                    after.append(base + j if j < size else -1)
-                    content.append(edge[0] if len(edge) == 1 else self._content(edge))
-                top = max(own)
-                tail[i] = top + math.log(sum([math.exp(w - top) for w in own])) if len(own) > 1 else top
-                weight += own
-            if u == " ":  # a last space, which the encoder would drop if it stood alone
-                ids = self.cost[SPACE][1]
-            elif u[0] != " ":
-                ids = ids[2:]
-            self.row[u] = (len(self.plain),)
-            self.plain.append(np.array(ids, dtype="<u2").tobytes())
-            self.roots.append(base)
-            sums += tail[:size]
-            base += size
-        node_ = np.array(node)
-        self.edges.add(node_, np.array(after), np.array(content), np.array(weight) - np.array(sums)[node_ - self.edges.n_nodes], len(sums))
-
-    def ids(self, path: np.ndarray) -> bytes:
-        """The ids of a path's edges as little-endian shorts."""
+        after = np.where(inner[end], base + node[end], -1)
+        self.edges.add(degree, after, piece, weight - tail[start])
+        for k, u in enumerate(new):
+            self.row[u] = (self.plain.n + k, -1)
+        self.plain.add(self._encoded(new))
+        self.roots.add(base + np.cumsum(size) - size)
+        self.sizes.add(size)
+
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        """The library's ids of units, encoded together with line ends between them; it puts a space before the first, as the units have one."""
+        out: dict[str, bytes] = {" ": np.array(self.cost[SPACE][1], dtype="<u2").tobytes()}
+        for own in ([u for u in new if u[0] == " " and u != " "], [u for u in new if u[0] not in " \n"]):
+            if own:
+                text = "\n".join(own)
+                ids = np.array(self.model.encode(text[1:] if own[0][0] == " " else "\n" + text), dtype="<u2")
+                ends = np.flatnonzero(ids == self.line_end)
+                starts = np.concatenate(([0], ends + 1)) if own[0][0] == " " else ends + 1
+                ends = np.concatenate((ends, [len(ids)]))[-len(own) :]
+                raw = ids.tobytes()
+                out.update((u, raw[2 * a : 2 * z]) for u, a, z in zip(own, starts.tolist(), ends.tolist(), strict=True))
+        return [out[u] for u in new]
+
+    def ids(self, path: np.ndarray) -> np.ndarray:
+        """The ids of a path's edges."""
         c = self.edges.content[path]
-        return c.astype("<u2").tobytes() if not len(c) or c.max() < len(self.pieces) else b"".join(map(self.contents.__getitem__, c.tolist()))
+        if not len(c) or c.max() < len(self.pieces):
+            return c.astype("<u2")
+        return np.frombuffer(b"".join(map(self.contents.__getitem__, c.tolist())), dtype="<u2")
+
+    def shown_bytes(self, ids: np.ndarray) -> bytes:
+        """What ids of an encoding decode to, in UTF-8: pieces without the dummy space."""
+        raw = self.shown.take(ids)
+        return raw[1:] if raw[:1] == b" " else raw
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces, with bytes joined to characters and the dummy space taken away."""
@@ -271,66 +421,106 @@ def lattices(path: str) -> Lattices:
     return _lattices[path]
 
 
-def top_paths(edges: Edges, roots: np.ndarray, k: int, rng: np.random.Generator) -> tuple[list[tuple[float, float, np.ndarray]], float]:
-    """k distinct chains of paths, one from each root, without replacement.
-
-    Returns (perturbed value, log-probability, edges), in falling order, and the value after
-    the last (-inf: there are no more).
-    """
-
-    def regions(path: np.ndarray, frm: int, closed: frozenset, bound: float) -> list[tuple[float, int, frozenset]]:
-        """The best regions left beside ``path``, that itself came from the region at ``frm`` with ``closed`` edges there."""
+class Chain:
+    """The search for one text's best perturbed paths: a chain of lattices by their roots and numbers of nodes."""
+
+    def __init__(self, edges: Edges, roots: np.ndarray, sizes: np.ndarray, k: int, rng: np.random.Generator):
+        self.edges, self.roots, self.k, self.rng = edges, roots, k, rng
+        self.shift = np.cumsum(sizes) - sizes - roots  # from a node to its own random number
+        self.nodes = int(sizes.sum())
+        self.queue: list = []
+        self.found: list[tuple[float, float, np.ndarray]] = []
+        self.pushed = 0
+        # What the next path shares with one before, its first edge of its own, and where the walk goes on.
+        self.kept = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        self.at, self.closed = 0, frozenset()
+        self.value = float(-np.log(-np.log(rng.random())))
+        self.starts, self.units = roots, np.arange(len(roots))
+
+    def next_start(self) -> bool:
+        """Take the best region that is left, and its first edge; false if there is none or enough are found."""
+        if len(self.found) >= self.k or not self.queue:
+            return False
+        value, _, own, base, at, closed = heapq.heappop(self.queue)
+        every, p = self._open(base[at], closed)
+        edge = every[min(int((self.rng.random() * p.sum() >= np.cumsum(p)).sum()), int(np.flatnonzero(p)[-1]))]
+        unit, mid = int(own[at]), int(self.edges.next[edge])
+        self.value, self.at, self.closed = -value, at, closed
+        self.kept = np.concatenate((own[:at], [unit])), np.concatenate((base[:at], [edge]))
+        inside = mid >= 0
+        self.starts = np.concatenate(([mid], self.roots[unit + 1 :])) if inside else self.roots[unit + 1 :]
+        self.units = np.arange(unit if inside else unit + 1, len(self.roots))
+        return True
+
+    def add(self, which: np.ndarray, walked: np.ndarray) -> None:
+        """The path whose rest was walked; the regions beside it go into the queue."""
+        own, path = np.concatenate((self.kept[0], self.units[which])), np.concatenate((self.kept[1], walked))
+        self.found.append((self.value, float(self.edges.logp[path].sum()), path))
+        for top, at, shut in self._regions(path):
+            heapq.heappush(self.queue, (-top, self.pushed, own, path, at, shut))
+            self.pushed += 1
+
+    def _regions(self, path: np.ndarray) -> list[tuple[float, int, frozenset]]:
+        """The best regions beside ``path`` in the region that it came from."""
+        frm, closed, edges, k = self.at, self.closed, self.edges, self.k
         if frm >= len(path):
             return []
-        mass = (np.cumsum(edges.logp[path]) - edges.logp[path])[frm:] + edges.others[path[frm:]]
+        own = edges.logp[path]
+        mass = (np.cumsum(own) - own)[frm:] + edges.others[path[frm:]]
         shut = closed | {int(path[frm])}
         if closed:
-            left = open_edges(path[frm], shut)[1].sum()
-            mass[0] = edges.logp[path[:frm]].sum() + math.log(left) if left > 0 else -np.inf
-        with np.errstate(divide="ignore"):
-            top = np.where(np.isfinite(mass), mass - np.log(np.exp(np.minimum(mass - bound, 700)) - np.log(rng.random(len(mass)))), -np.inf)
-        some = np.argsort(-top, kind="stable")[: k + 1] if len(top) < 64 else (lambda c: c[np.argsort(-top[c], kind="stable")])(np.argpartition(-top, k)[: k + 1])
-        return [(float(top[i]), frm + int(i), shut if i == 0 else frozenset({int(path[frm + i])})) for i in some if np.isfinite(top[i])]
-
-    def open_edges(edge: int, closed: frozenset) -> tuple[np.ndarray, np.ndarray]:
+            left = self._open(path[frm], shut)[1].sum()
+            mass[0] = own[:frm].sum() + math.log(left) if left > 0 else -np.inf
+        top = mass - np.log(np.exp(np.minimum(mass - self.value, 700)) + self.rng.standard_exponential(len(mass)))
+        # Only so many can still be taken, or be the threshold.
+        few = k - len(self.found) + 1
+        if few < 4:
+            some = []
+            for _ in range(min(few, len(top))):
+                i = int(top.argmax())
+                some.append((float(top[i]), i))
+                top[i] = -np.inf
+        else:
+            best = np.argpartition(-top, few - 1)[:few] if few < len(top) else np.arange(len(top))
+            some = [(top[i], int(i)) for i in best[np.argsort(-top[best], kind="stable")]]
+        return [(float(v), frm + i, shut if i == 0 else frozenset({int(path[frm + i])})) for v, i in some if v > -np.inf]
+
+    def _open(self, edge: int, closed: frozenset) -> tuple[np.ndarray, np.ndarray]:
+        edges = self.edges
         node = np.searchsorted(edges.first[: edges.n_nodes + 1], edge, side="right") - 1
         every = np.arange(edges.first[node], edges.first[node + 1])
         every = every[[int(e) not in closed for e in every]]
         return every, np.exp(edges.logp[every])
 
-    own, first = edges.walk(roots, rng)
-    value = float(-np.log(-np.log(rng.random())))
-    out = [(value, float(edges.logp[first].sum()), first)]
-    order = 0
-    queue: list = []
-    for top, at, closed in regions(first, 0, frozenset(), value):
-        heapq.heappush(queue, (-top, order, own, first, at, closed))
-        order += 1
-    while queue and len(out) < k:
-        value, _, own, base, at, closed = heapq.heappop(queue)
-        value = -value
-        every, p = open_edges(base[at], closed)
-        edge = every[min(int((rng.random() * p.sum() >= np.cumsum(p)).sum()), int(np.flatnonzero(p)[-1]))]
-        unit, mid = int(own[at]), int(edges.next[edge])
-        starts, numbers = roots[unit + 1 :], np.arange(unit + 1, len(roots))
-        if mid >= 0:
-            starts, numbers = np.concatenate(([mid], starts)), np.concatenate(([unit], numbers))
-        which, more = edges.walk(starts, rng)
-        own, path = np.concatenate((own[:at], [unit], numbers[which])), np.concatenate((base[:at], [edge], more))
-        out.append((value, float(edges.logp[path].sum()), path))
-        for top, j, shut in regions(path, at, closed, value):
-            heapq.heappush(queue, (-top, order, own, path, j, shut))
-            order += 1
-    return out, (-queue[0][0] if queue else -math.inf)
+
+def top_paths(edges: Edges, chains: list[Chain]) -> None:
+    """Fill ``found`` of each chain with its distinct paths, by falling perturbed value; all chains take each step together."""
+    going = chains
+    while going:
+        u = np.concatenate([c.rng.random(c.nodes) for c in going])
+        begin = np.cumsum([0] + [c.nodes for c in going])
+        shift = np.concatenate([c.shift[c.units] + b for c, b in zip(going, begin[:-1].tolist(), strict=True)])
+        which, walked = edges.walk(np.concatenate([c.starts for c in going]), shift, u)
+        first = np.cumsum([0] + [len(c.starts) for c in going])
+        cuts = np.searchsorted(which, first)
+        for c, f, a, z in zip(going, first[:-1].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            c.add(which[a:z] - f, walked[a:z])
+        going = [c for c in going if c.next_start()]
+
+
+def threshold_of(chain_: Chain) -> float:
+    """The perturbed value after the last path found (-inf: there are no more)."""
+    return -chain_.queue[0][0] if chain_.queue else -math.inf
 
 
 def gumbel_top_k(logp: np.ndarray, k: int, rng: np.random.Generator) -> tuple[list[tuple[float, float, np.ndarray]], float]:
     """k distinct draws from a product of choices: ``logp[u]`` are the log-probabilities of unit u's choices (-inf: no such choice)."""
     unit, choice = np.nonzero(np.isfinite(logp))
     edges = Edges()
-    edges.add(unit, np.full(len(unit), -1), choice, logp[unit, choice], len(logp))
-    got, threshold = top_paths(edges, np.arange(len(logp)), k, rng)
-    return [(value, lp, edges.content[path]) for value, lp, path in got], threshold
+    edges.add(np.bincount(unit, minlength=len(logp)), np.full(len(unit), -1), choice, logp[unit, choice])
+    c = Chain(edges, np.arange(len(logp)), np.ones(len(logp), dtype=np.int64), k, rng)
+    top_paths(edges, [c])
+    return [(value, lp, edges.content[path]) for value, lp, path in c.found], threshold_of(c)
 
 
 def inclusion(log_prob: float, threshold: float) -> float:
@@ -345,16 +535,35 @@ _IDS_OUT = _OUT + ", ids array<int>"
 _IDS_SCHEMA = _OUT_SCHEMA.append(pa.field("ids", pa.list_(pa.int32())))
 
 
-def segmentations(lat: Lattices, key: int | None, text_units: list[str], rows: np.ndarray, k: int = SAMPLES):
-    """(draw, ids as bytes of little-endian shorts, log-probability, perturbed value, inclusion): draw 0 is the plain encoding, then the samples."""
-    yield 0, b"".join(map(lat.plain.__getitem__, rows.tolist())), None, None, None
-    rng = np.random.Generator(np.random.PCG64([SEED, (key or 0) & (2**64 - 1)]))
-    if not len(rows):
-        yield 1, b"", 0.0, float(-np.log(-np.log(rng.random()))), 1.0
-        return
-    got, threshold = top_paths(lat.edges, np.array([lat.roots[r] for r in rows.tolist()]), k, rng)
-    for i, (value, logp, path) in enumerate(got, 1):
-        yield i, lat.ids(path), logp, value, inclusion(logp, threshold)
+def segmentations(lat: Lattices, keys: list[int | None], rows: list[np.ndarray], k: int = SAMPLES) -> list[list[tuple]]:
+    """For each text (draw, ids, log-probability, perturbed value, inclusion): draw 0 is the plain encoding, then the samples."""
+    chains = []
+    for key, own in zip(keys, rows, strict=True):
+        rng = np.random.Generator(np.random.PCG64([SEED, (key or 0) & (2**64 - 1)]))
+        chains.append(Chain(lat.edges, lat.roots[own], lat.sizes[own], k, rng))
+    top_paths(lat.edges, [c for c in chains if len(c.roots)])
+    out = []
+    for c, own in zip(chains, rows, strict=True):
+        plain = np.frombuffer(lat.plain.take(own), dtype="<u2")
+        if len(own):
+            least = threshold_of(c)
+            out.append([(0, plain, None, None, None), *((i, lat.ids(path), logp, value, inclusion(logp, least)) for i, (value, logp, path) in enumerate(c.found, 1))])
+        else:
+            out.append([(0, plain, None, None, None), (1, plain, 0.0, c.value, 1.0)])
+    return out
+
+
+def portions(it, column: int):
+    """Arrow batches of at most ``BATCH`` rows and, but for single rows, about ``BATCH_BYTES`` of text."""
+    for b in batches(it, BATCH):
+        at = size = 0
+        for i, n in enumerate(pc.binary_length(b.column(column)).to_pylist()):
+            if size and size + n > BATCH_BYTES:
+                yield b.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if at < b.num_rows:
+            yield b.slice(at)
 
 
 def sample_segmentations(docs: DataFrame, path: str | None = None, k: int = SAMPLES, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -370,19 +579,18 @@ def sample_segmentations(docs: DataFrame, path: str | None = None, k: int = SAMP
 
     def run(it):
         lat = lattices(path)
-        for b in batches(it, 64):
+        for b in portions(it, 1):
             keys, whole = b.column(0).to_pylist(), b.column(1).to_pylist()
-            texts = [units(t) for t in whole]
+            rows = lat.rows([units(t) for t in whole])
             out: dict[str, list] = {n: [] for n in schema.names}
-            for key, text, us, rows in zip(keys, whole, texts, lat.rows(texts), strict=True):
-                for draw, raw, logp, value, incl in segmentations(lat, key, us, rows, k):
-                    ids = np.frombuffer(raw, dtype="<u2").astype("<u4")
-                    decoded = lat.decode(ids.tolist())
-                    row = (key, draw, len(ids), zlib.crc32(ids.tobytes()), logp, value, incl, zlib.crc32(decoded.encode()), decoded == text) + ((ids.astype(np.int32),) if with_ids else ())
+            for key, text, own in zip(keys, whole, segmentations(lat, keys, rows, k), strict=True):
+                raw = text.encode()
+                for draw, ids, logp, value, incl in own:
+                    decoded = lat.shown_bytes(ids)
+                    row = (key, draw, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, value, incl, zlib.crc32(decoded), decoded == raw) + ((ids.astype(np.int32),) if with_ids else ())
                     for name, x in zip(schema.names, row, strict=True):
                         out[name].append(x)
-            if keys:
-                yield as_batch(out, schema)
+            yield as_batch(out, schema)
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(docs, text_column).alias("t")).mapInArrow(run, _IDS_OUT if with_ids else _OUT)
 

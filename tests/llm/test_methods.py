@@ -318,19 +318,33 @@ def test_induction_around_shared_cores():
 # ---- 7
 
 
+def drawn(lat, texts, keys=None, k=lattice_sampling.SAMPLES):
+    rows = lat.rows([lattice_sampling.units(t) for t in texts])
+    return lattice_sampling.segmentations(lat, keys or list(range(len(texts))), rows, k)
+
+
 def test_encoding_equals_the_library_and_decodes(texts):
     lat = lattice_sampling.Lattices(lattice_sampling.model_path())
-    some = [*list(texts.values())[:80], "", " ", "  ", "a  b", "  a ", "a   b  ", "Ünï\tx\n\ny 梦 ▁ x", "\n", " \n", "a \nb", "\na", "a\n", "x.\ny, z.", "a.. b., c", "e\0f g", "a  \n\n  b"]
-    us = [lattice_sampling.units(t) for t in some]
-    for k, (t, u, r) in enumerate(zip(some, us, lat.rows(us), strict=True)):
-        draws = [(np.frombuffer(d[1], "<u2").tolist(), d) for d in lattice_sampling.segmentations(lat, k, u, r)]
+    some = [*list(texts.values())[:80], "", " ", "  ", "a  b", "  a ", "a   b  ", "Ünï\tx\n\ny 梦 ▁ x", "\n", " \n", "a \nb", "\na", "a\n", "x.\ny, z.", "a.. b., c", "e\0f g", "a  \n\n  b", "x" * 40_000, "😀 \U000e0001é"]
+    for t, own in zip(some, drawn(lat, some), strict=True):
+        draws = [(d[1].tolist(), d) for d in own]
         assert draws[0][0] == lat.model.encode(t)
         assert all(lat.decode(i) == t.replace("▁", " ") for i, _ in draws)
+        assert all(lat.shown_bytes(d[1]) == t.replace("▁", " ").encode() for _, d in draws)
         assert len({tuple(i) for i, _ in draws[1:]}) == len(draws) - 1
         values = [d[3] for _, d in draws[1:]]
         assert values == sorted(values, reverse=True)
 
 
+def test_draws_do_not_depend_on_batches_or_cache(texts):
+    some = list(texts.values())[:60]
+    once = drawn(lattice_sampling.Lattices(lattice_sampling.model_path()), some)
+    lat = lattice_sampling.Lattices(lattice_sampling.model_path())
+    for k in reversed(range(len(some))):
+        (own,) = drawn(lat, some[k : k + 1], [k])
+        assert [(d[0], d[1].tolist(), *d[2:]) for d in own] == [(d[0], d[1].tolist(), *d[2:]) for d in once[k]]
+
+
 def test_draws_without_replacement_have_the_right_law():
     lp = np.log(np.array([[0.6, 0.4, 0], [0.5, 0.3, 0.2]]) + 1e-300)
     lp[lp < -600] = -np.inf
@@ -362,14 +376,12 @@ def test_words_are_drawn_from_their_whole_lattices():
     for word in ("information", "international"):
         law = dict(every("▁" + word))
         total = math.log(sum(map(math.exp, law.values())))
-        us = lattice_sampling.units(word)
-        (rows,) = lat.rows([us])
-        got = [(tuple(np.frombuffer(d[1], "<u2").tolist()), *d[2:]) for d in lattice_sampling.segmentations(lat, 1, us, rows, 9000)][1:]
+        got = [(tuple(d[1].tolist()), *d[2:]) for d in drawn(lat, [word], [1], 9000)[0]][1:]
         assert len(law) > 1000 and {g[0] for g in got} == set(law) and all(g[3] == 1 for g in got)
         assert all(math.isclose(g[1], law[g[0]] - total, abs_tol=1e-9) for g in got)
     seen, draws, n = Counter(), Counter(), 2000
     for k in range(n):
-        one, two = [(tuple(np.frombuffer(d[1], "<u2").tolist()), d[4]) for d in lattice_sampling.segmentations(lat, k, us, rows, 2)][1:]
+        one, two = [(tuple(d[1].tolist()), d[4]) for d in drawn(lat, [word], [k])[0]][1:]
         draws[one[0]] += 1
         for ids, incl in (one, two):
             seen[ids] += 1 / incl / n
