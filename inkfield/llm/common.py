@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 #: A key is hot with more than this many rows, and more than a HOT_KEYS-th of all: there are fewer than HOT_KEYS hot keys, whatever the table.
 HOT_ROWS, HOT_KEYS = 2_000, 10_000
 
+#: Texts, and bytes of texts, that ``portions`` puts in one batch.
+BATCH, BATCH_BYTES = 256, 1 << 22
+
 _own_root: str | None = None
 _scope: str | None = None
 _tables: dict[str, list[tuple[SparkSession, str]]] = {}
@@ -130,5 +134,18 @@ def batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]
             yield b.slice(at, size)
 
 
+def portions(it: Iterator[pa.RecordBatch], column: int, rows: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most ``rows`` rows and, but for single rows, about ``BATCH_BYTES`` of text in a column."""
+    for b in batches(it, rows):
+        at = size = 0
+        for i, n in enumerate(pc.binary_length(b.column(column)).to_numpy().tolist()):
+            if size and size + n > BATCH_BYTES:
+                yield b.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if at < b.num_rows:
+            yield b.slice(at)
+
+
 def as_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

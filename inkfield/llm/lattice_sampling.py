@@ -29,12 +29,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_batch, batches, table, text_or_empty
+from .common import as_batch, portions, table, text_or_empty
 
 SAMPLES = 2
 #: Nats for each point of a piece's score (scores are minus the rank of the merge).
@@ -46,8 +45,6 @@ SEED = 70_007
 CACHE, CACHED_EDGES = 500_000, 8_000_000
 #: Walks under this number go edge by edge, more of them side by side.
 FEW_WALKS = 4
-#: Texts, and bytes of texts, of one batch.
-BATCH, BATCH_BYTES = 256, 1 << 21
 
 SPACE = "▁"
 _UNITS = re.compile(r" *[^ \n]+| +|\n")
@@ -276,7 +273,7 @@ class Lattices:
         if len(self.row) > CACHE or self.edges.n_edges > CACHED_EDGES:
             self._clear()
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self._know(distinct)
         of = np.fromiter(chain.from_iterable(map(self.row.__getitem__, distinct)), dtype=np.int64, count=2 * len(distinct)).reshape(-1, 2)[coded.indices.to_numpy()]
         two = of[:, 1] >= 0
@@ -553,19 +550,6 @@ def segmentations(lat: Lattices, keys: list[int | None], rows: list[np.ndarray],
     return out
 
 
-def portions(it, column: int):
-    """Arrow batches of at most ``BATCH`` rows and, but for single rows, about ``BATCH_BYTES`` of text."""
-    for b in batches(it, BATCH):
-        at = size = 0
-        for i, n in enumerate(pc.binary_length(b.column(column)).to_pylist()):
-            if size and size + n > BATCH_BYTES:
-                yield b.slice(at, i - at)
-                at, size = i, 0
-            size += n
-        if at < b.num_rows:
-            yield b.slice(at)
-
-
 def sample_segmentations(docs: DataFrame, path: str | None = None, k: int = SAMPLES, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row: draw 0 (the plain encoding) and up to ``k`` distinct sampled segmentations, draws 1, 2, ...
 

@@ -21,10 +21,11 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, batches, pieces, shuffle_width, stash, table, text_or_empty
+from .common import as_batch, pieces, portions, shuffle_width, stash, table, text_or_empty
 
 LIMIT = 4096
 END = 1
@@ -36,8 +37,8 @@ ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 6, 10, 2
 WELL_FILLED = 0.998
 MOST_ROUNDS = 8
 SEED = 10_007
-#: Strings in each generation of a worker process's cache.
-CACHE = 600_000
+#: Strings in a worker process's cache.
+CACHE = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -49,9 +50,10 @@ def tokenizer_path() -> str:
 class CachedTokenizer:
     """Ids of whole texts, string by string between spaces and line ends. White space separates tokens, so this equals encoding the text at once.
 
-    New strings are reduced before they are encoded, together: a last full stop or comma after a
-    letter is a token of its own, and ASCII letters are lower-cased anyway. The cache has two
-    generations of bounded size; it never changes a result.
+    The strings of a batch are told apart by Arrow and looked up once each; ids are gathered by arrays. New
+    strings are reduced before they are encoded, together: a last full stop or comma after a letter is a
+    token of its own, and ASCII letters are lower-cased anyway. The cache is emptied when full; it never
+    changes a result.
     """
 
     def __init__(self, path: str):
@@ -59,61 +61,95 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.mark = self.tokenizer.token_to_id(PARTING)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self):
+        #: Of each known string, three times its row, plus 1 or 2 if a stop or a comma follows.
+        self.code: dict[str, int] = {"": 0}
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.start, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.n, self.used = 1, 0  # row 0 is the empty string's
         self._encode([".", ","])
-        self.stops = {c: self.cache[c] for c in ".,"}
-
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE:
-            self.older, self.cache = self.cache, {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.cache
-        new = set().union(*split).difference(known)
-        if new:
-            self._learn(new)
-        end = np.array([END], dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + end, dtype="<u4") for words in split]
-
-    def _learn(self, strings: set[str]) -> None:
-        known, older = self.cache, self.older
+        self.stops = np.array([0, *(self.ids[self.start[self.code[c] // 3]] for c in ".,")], dtype=np.uint32)
+
+    def many(self, texts) -> list[np.ndarray]:
+        """Ids of each text, and the end token."""
+        if len(self.code) > CACHE:
+            self._clear()
+        texts = pa.array(texts, type=pa.string()) if isinstance(texts, list) else texts
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        strings = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([s for s in strings if s not in self.code])
+        code = np.fromiter(map(self.code.__getitem__, strings), dtype=np.int64, count=len(strings))[coded.indices.to_numpy()]
+        row, stop = code // 3, code % 3
+        size = self.size[row]
+        # Ids of every string, then a place for its stop; the last string's of a text is followed by one for the end.
+        room = size + (stop > 0)
+        last = np.cumsum(pc.list_value_length(split).to_numpy()) - 1
+        room[last] += 1
+        ends = np.cumsum(room)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
+        at = np.repeat(ends - room - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out[at] = self.ids[np.repeat(self.start[row] - (np.cumsum(size) - size), size) + np.arange(len(at))]
+        stopped = np.flatnonzero(stop)
+        out[(ends - room + size)[stopped]] = self.stops[stop[stopped]]
+        out[ends[last] - 1] = END
+        return np.split(out, ends[last][:-1])
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.code
         reduced = []
-        for s in strings:
-            ids = older.get(s)
-            if ids is not None:
-                known[s] = ids
-                continue
-            stop = s[-1] if s[-1] in ".," and s[-2:-1].isalpha() else ""
+        for s in new:
+            stop = 1 + ".,".index(s[-1]) if s[-1] in ".," and s[-2:-1].isalpha() else 0
             core = s[:-1] if stop else s
             if core.isascii() and core.isalpha():
                 core = core.lower()
             reduced.append((s, core, stop))
-        need = []
-        for core in {c for _, c, _ in reduced}.difference(known):
-            ids = older.get(core)
-            if ids is None:
-                need.append(core)
-            else:
-                known[core] = ids
+        need = list({c: None for _, c, _ in reduced if c not in known})
         for at in range(0, len(need), 4096):
             self._encode(need[at : at + 4096])
         for s, core, stop in reduced:
-            known[s] = known[core] + self.stops[stop] if stop else known[core]
+            known[s] = known[core] + stop
 
     def _encode(self, strings: list[str]) -> None:
-        """Encode strings in one call, parted by a special token; strings that hold it themselves go alone."""
-        mark = self.tokenizer.token_to_id(PARTING)
-        plain = [s for s in strings if PARTING not in s]
-        for s in strings if len(plain) < len(strings) else ():
+        """Encode strings together: those of letters, one word each, parted by spaces; others by a special token; strings that hold that token go alone."""
+        words, others = [s for s in strings if s.isalpha()], [s for s in strings if not s.isalpha()]
+        if words:
+            ids = self._ids(" ".join(words))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words):
+                self._add(words, ids, np.diff(ends, prepend=0))
+            else:  # some letters are no words to this tokenizer
+                others = strings
+        plain = [s for s in others if PARTING not in s]
+        if plain:
+            ids = self._ids(PARTING.join(plain))
+            marks = np.flatnonzero(ids == self.mark)
+            self._add(plain, ids[ids != self.mark], np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1)
+        for s in others if len(plain) < len(others) else ():
             if PARTING in s:
-                self.cache[s] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if not plain:
-            return
-        (got,) = self.tokenizer.encode_batch_fast([PARTING.join(plain)], add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u4")
-        ends = (4 * np.flatnonzero(ids == mark)).tolist()
-        raw = ids.tobytes()
-        self.cache.update((s, raw[a:b]) for s, a, b in zip(plain, [0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True))
+                ids = self._ids(s)
+                self._add([s], ids, np.array([len(ids)]))
+
+    def _ids(self, text: str) -> np.ndarray:
+        (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(got.ids, dtype=np.uint32)
+
+    def _add(self, strings: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n, used = self.n + len(size), self.used + len(ids)
+        for name, need in (("ids", used), ("start", n), ("size", n)):
+            old = getattr(self, name)
+            if len(old) < need:
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), dtype=old.dtype)]))
+        self.ids[self.used : used] = ids
+        self.size[self.n : n] = size
+        self.start[self.n : n] = self.used + np.cumsum(size) - size
+        self.code.update((s, 3 * k) for k, s in enumerate(strings, self.n))
+        self.n, self.used = n, used
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
@@ -136,9 +172,9 @@ def cut(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_column:
 
     def run(it):
         tok = tokenizer(path)
-        for b in batches(it, 128):
+        for b in portions(it, 1, 1024):
             rows = []
-            for d, ids in zip(b.column(0).to_pylist(), tok.many(b.column(1).to_pylist()), strict=True):
+            for d, ids in zip(b.column(0).to_pylist(), tok.many(b.column(1)), strict=True):
                 for k, at in enumerate(range(0, len(ids), limit)):
                     part = ids[at : at + limit]
                     rows.append((d, k, at, len(part), zlib.crc32(part.tobytes())))
