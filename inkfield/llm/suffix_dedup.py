@@ -16,8 +16,9 @@ what can repeat (sizes for 400 bytes):
    further left are induced from them, carrying common prefixes; neighbours that share a whole
    window mark both starts. (``repeated_starts`` sorts all suffixes of any strings the same way.)
 
-A key with more than ``CROWDED`` items (the edges of a passage that very many texts share, say) is not
-sorted by one task: each of its windows is hashed and the hashes are counted over all tasks.
+A key with more than ``CROWDED`` different items (the edges of a passage that very many texts share, say) is not
+sorted by one task: its items are split into items of an eighth of the starts, which share more bytes and so fall
+under many keys, until no key is crowded or a window is an item of its own.
 
 Sizes are a parameter (``Windows``). *Passages* are stretches of at least ``PASSAGE_WORDS`` words that repeat,
 found with windows of 200 bytes; the query finds them first, and as every 400-byte window that repeats lies in a
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batch, hot_from, join_counted, pieces, shuffle_width, stash, table, text_or_empty
+from .common import as_batch, join_counted, pieces, shuffle_width, stash, table, text_or_empty
 from .induced_sorting import repeated_around, suffix_order
 
 
@@ -68,8 +69,8 @@ _PLACE_BITS = 24
 _PIECE = 1 << 22
 #: Bytes of items sorted in one task.
 TASK_BYTES = 16 << 20
-#: Items of one key that are sorted together; more are compared by the hashes of their windows. Their tasks, for each key.
-CROWDED, SALTS = 512, 64
+#: Different items of one key that are sorted together; more are split, each into so many. Tasks that a crowded key's items are dealt to.
+CROWDED, SPLIT, SALTS = 512, 8, 64
 
 
 # ---------------------------------------------------------------- anchors
@@ -278,22 +279,22 @@ _MARKS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("n", pa
 
 
 def marks_of(group: list[tuple], w: Windows = EXACT) -> list[tuple]:
-    """(key, digest, n, ranges) of one key's items (key, digest, left, right, count)."""
+    """(key, digest, n, ranges) of one key's items (key, digest, left, right, n: rows, copies)."""
     copies: dict[int, int] = {}
-    for _, digest, _, _, count in group:
+    for _, digest, _, _, _, count in group:
         copies[digest] = copies.get(digest, 0) + count
     rows = []
     found = repeated_around([g[2] for g in group], [g[3] for g in group], w.bucket) if len(group) > 1 else [[]]
-    for (key, digest, left, right, _), before in zip(group, found, strict=True):
+    for (key, digest, left, right, n, _), before in zip(group, found, strict=True):
         whole = copies[digest] > 1
         ranges = [(0, len(left) + w.shared + len(right) - w.size)] if whole else as_ranges(sorted({len(left) - d for d in before}))
         if ranges:
-            rows.append((key, digest, copies[digest], [{"a": a, "z": z} for a, z in ranges]))
+            rows.append((key, digest, n, [{"a": a, "z": z} for a, z in ranges]))
     return rows
 
 
 def mark_repeats(counted: DataFrame, w: Windows) -> DataFrame:
-    """(key, digest, n, ranges): repeated starts a to z of each item that has any. ``counted`` rows (key, digest, left, right, count) lie together by key, in order."""
+    """(key, digest, n, ranges): repeated starts a to z of each item that has any. ``counted`` rows lie together by key, in order."""
 
     def run(it):
         group: list[tuple] = []
@@ -312,34 +313,62 @@ def mark_repeats(counted: DataFrame, w: Windows) -> DataFrame:
         if rows:
             yield _listed(rows, _MARKS_SCHEMA)
 
-    return counted.select("key", "digest", "left", "right", "count").mapInArrow(run, _MARKS)
+    return counted.select("key", "digest", "left", "right", "n", "copies").mapInArrow(run, _MARKS)
 
 
-_WINDOWS = "key long, digest long, count long, a int, h1 long, h2 long"
-_WINDOWS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("count", pa.int64()), ("a", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+_PARTS = "key long, digest long, left binary, right binary, copies long, parent long, own long, shift int"
+_PARTS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("copies", pa.int64()), ("parent", pa.int64()), ("own", pa.int64()), ("shift", pa.int32())])
 
 
-def mark_crowded(counted: DataFrame, w: Windows) -> DataFrame:
-    """Like ``mark_repeats``, for items of crowded keys, lying anywhere: windows are hashed (128 bits, the key among them) and counted."""
+def parts_of(key: int, digest: int, left: bytes, right: bytes, copies: int, bucket: int, step: int):
+    """Items of ``step`` starts out of one of ``bucket``: those that begin d bytes before the shared ones, zone by zone of d."""
+    name = key.to_bytes(8, "little", signed=True)
+    for zone in range(0, bucket, step):
+        more = bucket - zone - step  # bytes on the right that all windows of the zone hold
+        if len(left) < zone or len(right) < more:
+            continue
+        at = len(left) - zone
+        a, z = left[max(0, at - step + 1) : at], right[more : more + step - 1]
+        new = xxhash.xxh3_64_intdigest(name + zone.to_bytes(2, "little") + left[at:] + right[:more]) - (1 << 63)
+        yield new, xxhash.xxh3_64_intdigest(bytes([len(a)]) + a + z) - (1 << 63), a, z, copies, key, digest, at - len(a)
 
+
+def split_items(counted: DataFrame, bucket: int, step: int) -> DataFrame:
     def run(it):
         for b in it:
-            for at in range(0, b.num_rows, 256):
-                rows = []
-                for key, digest, left, right, count in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
-                    name = key.to_bytes(8, "little", signed=True)
-                    for d in range(max(0, w.bucket - 1 - len(right)), min(len(left), w.bucket - 1) + 1):
-                        x = xxhash.xxh3_128_intdigest(name + bytes([d]) + left[len(left) - d :] + right[: w.bucket - 1 - d])
-                        rows.append((key, digest, count, len(left) - d, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)))
+            for at in range(0, b.num_rows, 512):
+                rows = [p for row in zip(*(c.to_pylist() for c in b.slice(at, 512).columns), strict=True) for p in parts_of(*row, bucket, step)]
                 if rows:
-                    yield _listed(rows, _WINDOWS_SCHEMA)
+                    yield _listed(rows, _PARTS_SCHEMA)
+
+    return counted.select("key", "digest", "left", "right", "copies").mapInArrow(run, _PARTS)
+
+
+def marked(items: DataFrame, w: Windows, label: str) -> DataFrame:
+    """(key, digest, n, ranges) of the items (key, digest, left, right, copies) that hold repeated windows; n counts their rows in ``items``."""
+    counted = items.groupBy("key", "digest", "left", "right").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"))
+    volume = items.agg(F.coalesce(F.sum(F.octet_length("left") + F.octet_length("right") + 32), F.lit(0))).first()[0]
+    parts = pieces(volume, TASK_BYTES, shuffle_width(items.sparkSession))
+    sort = lambda some: mark_repeats(some.repartition(parts, "key").sortWithinPartitions("key", "digest"), w)
+    if w.bucket == 1:  # items are windows: those of one key are equal
+        return stash(counted.filter("copies > 1").select("key", "digest", "n", F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("z"))).alias("ranges")), f"{label}-marks")
+    crowded = items.groupBy("key", "digest").agg(F.lit(1).alias("one")).groupBy("key").count().filter(F.col("count") > CROWDED).select("key")
+    if crowded.isEmpty():
+        return stash(sort(counted), f"{label}-marks")
+    salted = counted.withColumn("salt", F.pmod("digest", F.lit(SALTS)))
+    tasks = crowded.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    step = max(1, w.bucket // SPLIT)
+    split = stash(split_items(salted.join(tasks, ["key", "salt"], "left_semi"), w.bucket, step), f"{label}-split")
+    hits = join_counted(split.select("key", "digest", "parent", "own", "shift"), marked(split, Windows(w.size, w.gram, step), label), ["key", "digest"], "n", split.count())
+    found = hits.groupBy("parent", "own").agg(F.flatten(F.collect_list(moved("shift"))).alias("ranges"))
+    whole = salted.join(tasks, ["key", "salt"], "left_semi").select(F.col("key").alias("parent"), F.col("digest").alias("own"), "n")
+    fine = found.join(whole, ["parent", "own"]).select(F.col("parent").alias("key"), F.col("own").alias("digest"), "n", "ranges")
+    return stash(sort(salted.join(tasks, ["key", "salt"], "left_anti")).unionByName(fine), f"{label}-marks")
+
 
-    windows = stash(counted.select("key", "digest", "left", "right", "count").mapInArrow(run, _WINDOWS), "op6-windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("all")).filter(F.col("all") > 1).select("h1", "h2", "n")
-    met = join_counted(windows, stash(twice, "op6-twice"), ["h1", "h2"], "n", windows.count(), "left_semi")
-    own = met.groupBy("key", "digest").agg(F.max("count").alias("n"), F.sort_array(F.collect_set("a")).alias("s"))
-    edge = lambda step: F.filter("s", lambda x: ~F.array_contains("s", x + step))
-    return own.select("key", "digest", "n", F.arrays_zip(edge(-1).alias("a"), edge(1).alias("z")).alias("ranges"))
+def moved(by: str):
+    """``ranges``, each by the places in column ``by`` further on."""
+    return F.transform("ranges", lambda r: F.struct((r["a"] + F.col(by)).cast("int").alias("a"), (r["z"] + F.col(by)).cast("int").alias("z")))
 
 
 # ---------------------------------------------------------------- the operator
@@ -403,21 +432,9 @@ def repeated_ranges(rows: DataFrame, w: Windows, label: str) -> tuple[DataFrame,
     # Repeated rows may be met twice here; they are copies, which are told by their class.
     texts = stash(numbered.select(*kept).unionByName(others.select(*kept)), f"{label}-texts")
     items = stash(cut_items(texts, w), f"{label}-items")
-    counted = items.groupBy("key", "digest", "left", "right").count()
-    n_items, volume = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("left") + F.octet_length("right")), F.lit(0))).first()
-    crowded = items.groupBy("key").count().filter(F.col("count") > CROWDED).select("key")
-    parts = pieces(volume, TASK_BYTES, shuffle_width(rows.sparkSession))
-    sort = lambda some: mark_repeats(some.repartition(parts, "key").sortWithinPartitions("key", "digest"), w)
-    if crowded.isEmpty():
-        marks = sort(counted)
-    else:
-        salted = counted.withColumn("salt", F.pmod("digest", F.lit(SALTS)))
-        tasks = crowded.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        marks = sort(salted.join(tasks, ["key", "salt"], "left_anti")).unionByName(mark_crowded(salted.join(tasks, ["key", "salt"], "left_semi"), w))
-    marks = stash(marks, f"{label}-marks")
-    hits = join_counted(items.select("key", "digest", "k1", "k2", "first"), marks, ["key", "digest"], "n", n_items)
-    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["z"] + F.col("first")).alias("z")))
-    ranges = hits.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list(moved))).alias("ranges"))
+    marks = marked(items.select("key", "digest", "left", "right", F.lit(1).cast("long").alias("copies")), w, label)
+    hits = join_counted(items.select("key", "digest", "k1", "k2", "first"), marks, ["key", "digest"], "n", items.count())
+    ranges = hits.groupBy("k1", "k2").agg(F.flatten(F.collect_list(moved("first"))).alias("ranges"))
     return classes.select("k1", "k2", "copies", "wordy"), texts.select("k1", "k2", "raw").join(ranges, ["k1", "k2"])
 
 
@@ -464,8 +481,8 @@ def exact_ranges(runs: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - EXACT.size).alias("z")))
     copied = classes.join(found.select("k1", "k2", "ranges"), ["k1", "k2"], "left").filter("copies > 1 OR ranges IS NOT NULL")
     got = join_counted(named, stash(copied, "op6-found"), ["k1", "k2"], "copies", named.count())
-    own = F.transform(F.when(F.col("copies") > 1, whole).otherwise(F.col("ranges")), lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["z"] + F.col("at")).alias("z")))
-    return got.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2")).agg(F.flatten(F.collect_list(own)).alias("ranges"))
+    got = got.withColumn("ranges", F.when(F.col("copies") > 1, whole).otherwise(F.col("ranges")))
+    return got.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2")).agg(F.flatten(F.collect_list(moved("at"))).alias("ranges"))
 
 
 def cuts_of(found: DataFrame, runs_of, digest: bool) -> DataFrame:
