@@ -69,8 +69,10 @@ _PLACE_BITS = 24
 _PIECE = 1 << 22
 #: Bytes of items sorted in one task.
 TASK_BYTES = 16 << 20
-#: Different items of one key that are sorted together; more are split, each into so many. Tasks that a crowded key's items are dealt to.
-CROWDED, SPLIT, SALTS = 512, 8, 64
+#: Different items of one key that are sorted together; more are split, each into so many. 
+CROWDED, SPLIT = 512, 8
+#: Keys that are broadcast at most, to pick the contents of their items where these lie; and items that a task remembers having written.
+MOST_KEYS, REMEMBERED = 1_000_000, 500_000
 
 
 # ---------------------------------------------------------------- anchors
@@ -199,8 +201,8 @@ def items_of(raw: bytes, repeated: np.ndarray, w: Windows = EXACT):
                 yield xxhash.xxh3_64_intdigest(shared + name + bytes([bucket])) - (1 << 63), a, raw[a : z + w.size], p - zone - a
 
 
-_ITEMS = "key long, digest long, left binary, right binary, k1 long, k2 long, first int"
-_ITEMS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32())])
+_ITEMS = "key long, digest long, span int, left binary, right binary, k1 long, k2 long, first int"
+_ITEMS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("span", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32())])
 
 
 def _listed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -208,19 +210,27 @@ def _listed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def cut_items(texts: DataFrame, w: Windows) -> DataFrame:
-    """Items of texts (k1, k2, raw, hashes), as what is left and right of the shared bytes; the digest stands for all of it."""
+    """Items of texts (k1, k2, raw, hashes). What is left and right of the shared bytes is null where the task has written it before; the digest stands for all of it."""
 
     def run(it):
+        written: set[int] = set()
         for b in it:
             rows = []
             for i in range(b.num_rows):
                 raw = b.column(2)[i].as_buffer().to_pybytes()
                 k1, k2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 for key, first, content, core in items_of(raw, np.asarray(b.column(3)[i].as_py(), dtype=np.int64), w):
-                    rows.append((key, xxhash.xxh3_64_intdigest(content) - (1 << 63), content[:core], content[core + w.shared :], k1, k2, first))
+                    digest = xxhash.xxh3_64_intdigest(content) - (1 << 63)
+                    name = key << 64 ^ digest
+                    new = name not in written
+                    if new:
+                        written.add(name)
+                    rows.append((key, digest, len(content) - w.size, content[:core] if new else None, content[core + w.shared :] if new else None, k1, k2, first))
                 if len(rows) > 4000 or (rows and i == b.num_rows - 1):
                     yield _listed(rows, _ITEMS_SCHEMA)
                     rows = []
+            if len(written) > REMEMBERED:
+                written.clear()
 
     return texts.select("k1", "k2", "raw", "hashes").mapInArrow(run, _ITEMS)
 
@@ -278,33 +288,40 @@ _MARKS = "key long, digest long, n long, ranges array<struct<a:int,z:int>>"
 _MARKS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))])
 
 
-def marks_of(group: list[tuple], w: Windows = EXACT) -> list[tuple]:
-    """(key, digest, n, ranges) of one key's items (key, digest, left, right, n: rows, copies)."""
-    copies: dict[int, int] = {}
-    for _, digest, _, _, _, count in group:
-        copies[digest] = copies.get(digest, 0) + count
+def marks_of(group: dict[tuple, list], w: Windows = EXACT) -> list[tuple]:
+    """(key, digest, n, ranges) of one key's items: (key, digest) with left, right, n (rows) and copies."""
     rows = []
-    found = repeated_around([g[2] for g in group], [g[3] for g in group], w.bucket) if len(group) > 1 else [[]]
-    for (key, digest, left, right, n, _), before in zip(group, found, strict=True):
-        whole = copies[digest] > 1
-        ranges = [(0, len(left) + w.shared + len(right) - w.size)] if whole else as_ranges(sorted({len(left) - d for d in before}))
+    names = list(group)
+    found = repeated_around([group[x][0] for x in names], [group[x][1] for x in names], w.bucket) if len(group) > 1 else [[]]
+    for (key, digest), before in zip(names, found, strict=True):
+        left, right, n, copies = group[key, digest]
+        ranges = [(0, len(left) + w.shared + len(right) - w.size)] if copies > 1 else as_ranges(sorted({len(left) - d for d in before}))
         if ranges:
             rows.append((key, digest, n, [{"a": a, "z": z} for a, z in ranges]))
     return rows
 
 
-def mark_repeats(counted: DataFrame, w: Windows) -> DataFrame:
-    """(key, digest, n, ranges): repeated starts a to z of each item that has any. ``counted`` rows lie together by key, in order."""
+def mark_repeats(items: DataFrame, w: Windows) -> DataFrame:
+    """(key, digest, n, ranges): repeated starts a to z of each item that has any.
+
+    ``items``: rows with the contents of items (key, digest, left, right) and rows with their counts (key, digest, n, copies), lying together by key.
+    """
 
     def run(it):
-        group: list[tuple] = []
+        group: dict[tuple, list] = {}
         rows: list[tuple] = []
+        at = None
         for b in it:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if group and group[0][0] != row[0]:
-                    rows += marks_of(group, w)
-                    group = []
-                group.append(row)
+            for key, digest, left, right, n, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != at:
+                    if group:
+                        rows += marks_of(group, w)
+                    group, at = {}, key
+                own = group.setdefault((key, digest), [b"", b"", 0, 0])
+                if n is None:
+                    own[:2] = left, right
+                else:
+                    own[2:] = n, copies
             if len(rows) > 10_000:
                 yield _listed(rows, _MARKS_SCHEMA)
                 rows = []
@@ -313,11 +330,11 @@ def mark_repeats(counted: DataFrame, w: Windows) -> DataFrame:
         if rows:
             yield _listed(rows, _MARKS_SCHEMA)
 
-    return counted.select("key", "digest", "left", "right", "n", "copies").mapInArrow(run, _MARKS)
+    return items.select("key", "digest", "left", "right", "n", "copies").mapInArrow(run, _MARKS)
 
 
-_PARTS = "key long, digest long, left binary, right binary, copies long, parent long, own long, shift int"
-_PARTS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("copies", pa.int64()), ("parent", pa.int64()), ("own", pa.int64()), ("shift", pa.int32())])
+_PARTS = "key long, digest long, span int, left binary, right binary, copies long, parent long, own long, shift int"
+_PARTS_SCHEMA = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("span", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("copies", pa.int64()), ("parent", pa.int64()), ("own", pa.int64()), ("shift", pa.int32())])
 
 
 def parts_of(key: int, digest: int, left: bytes, right: bytes, copies: int, bucket: int, step: int):
@@ -330,10 +347,12 @@ def parts_of(key: int, digest: int, left: bytes, right: bytes, copies: int, buck
         at = len(left) - zone
         a, z = left[max(0, at - step + 1) : at], right[more : more + step - 1]
         new = xxhash.xxh3_64_intdigest(name + zone.to_bytes(2, "little") + left[at:] + right[:more]) - (1 << 63)
-        yield new, xxhash.xxh3_64_intdigest(bytes([len(a)]) + a + z) - (1 << 63), a, z, copies, key, digest, at - len(a)
+        span = len(a) + len(z) - step + 1
+        if span >= 0:
+            yield new, xxhash.xxh3_64_intdigest(bytes([len(a)]) + a + z) - (1 << 63), span, a, z, copies, key, digest, at - len(a)
 
 
-def split_items(counted: DataFrame, bucket: int, step: int) -> DataFrame:
+def split_items(items: DataFrame, bucket: int, step: int) -> DataFrame:
     def run(it):
         for b in it:
             for at in range(0, b.num_rows, 512):
@@ -341,29 +360,43 @@ def split_items(counted: DataFrame, bucket: int, step: int) -> DataFrame:
                 if rows:
                     yield _listed(rows, _PARTS_SCHEMA)
 
-    return counted.select("key", "digest", "left", "right", "copies").mapInArrow(run, _PARTS)
+    return items.select("key", "digest", "left", "right", "copies").mapInArrow(run, _PARTS)
 
 
 def marked(items: DataFrame, w: Windows, label: str) -> DataFrame:
-    """(key, digest, n, ranges) of the items (key, digest, left, right, copies) that hold repeated windows; n counts their rows in ``items``."""
-    counted = items.groupBy("key", "digest", "left", "right").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"))
-    volume = items.agg(F.coalesce(F.sum(F.octet_length("left") + F.octet_length("right") + 32), F.lit(0))).first()[0]
-    parts = pieces(volume, TASK_BYTES, shuffle_width(items.sparkSession))
-    sort = lambda some: mark_repeats(some.repartition(parts, "key").sortWithinPartitions("key", "digest"), w)
-    if w.bucket == 1:  # items are windows: those of one key are equal
-        return stash(counted.filter("copies > 1").select("key", "digest", "n", F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("z"))).alias("ranges")), f"{label}-marks")
-    crowded = items.groupBy("key", "digest").agg(F.lit(1).alias("one")).groupBy("key").count().filter(F.col("count") > CROWDED).select("key")
-    if crowded.isEmpty():
-        return stash(sort(counted), f"{label}-marks")
-    salted = counted.withColumn("salt", F.pmod("digest", F.lit(SALTS)))
-    tasks = crowded.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    step = max(1, w.bucket // SPLIT)
-    split = stash(split_items(salted.join(tasks, ["key", "salt"], "left_semi"), w.bucket, step), f"{label}-split")
-    hits = join_counted(split.select("key", "digest", "parent", "own", "shift"), marked(split, Windows(w.size, w.gram, step), label), ["key", "digest"], "n", split.count())
-    found = hits.groupBy("parent", "own").agg(F.flatten(F.collect_list(moved("shift"))).alias("ranges"))
-    whole = salted.join(tasks, ["key", "salt"], "left_semi").select(F.col("key").alias("parent"), F.col("digest").alias("own"), "n")
-    fine = found.join(whole, ["parent", "own"]).select(F.col("parent").alias("key"), F.col("own").alias("digest"), "n", "ranges")
-    return stash(sort(salted.join(tasks, ["key", "salt"], "left_anti")).unionByName(fine), f"{label}-marks")
+    """(key, digest, n, ranges) of the items (key, digest, span, left, right, copies) that hold repeated windows; n counts their rows in ``items``.
+
+    Only counts of (key, digest) are shuffled for all items; contents only for keys with different items.
+    """
+    counts = stash(items.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"), F.first("span").alias("span")), f"{label}-counts")
+    several = stash(counts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), f"{label}-keys")
+    n_keys, most = several.agg(F.count(F.lit(1)), F.coalesce(F.max("kinds"), F.lit(0))).first()
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("span").alias("z")))
+    if n_keys <= MOST_KEYS:
+        among = lambda rows, keys, how: rows.join(F.broadcast(keys), "key", how)
+    else:
+        among = lambda rows, keys, how: join_counted(rows, keys, ["key"], "kinds", rows.count(), how)
+    kinds = among(counts, several, "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    alone = kinds.filter("kinds = 1 AND copies > 1").select("key", "digest", "n", whole.alias("ranges"))
+    contents = items.filter("left IS NOT NULL").select("key", "digest", "left", "right")
+    # Keys with a bounded number of items: each in one task.
+    few = several.filter(F.col("kinds") <= CROWDED)
+    rows = among(contents, few, "left_semi").withColumns({"n": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")})
+    numbers = kinds.filter(F.col("kinds").between(2, CROWDED)).select("key", "digest", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"), "n", "copies")
+    parts = pieces(n_keys * 8 * w.bucket, TASK_BYTES, shuffle_width(items.sparkSession))
+    marks = alone.unionByName(mark_repeats(rows.unionByName(numbers).repartition(parts, "key").sortWithinPartitions("key"), w))
+    if most > CROWDED:
+        crowd = several.filter(F.col("kinds") > CROWDED)
+        numbers = kinds.filter(F.col("kinds") > CROWDED).select("key", "digest", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"), "n", "copies")
+        rows = among(contents, crowd, "left_semi").withColumns({"n": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")})
+        own = rows.unionByName(numbers).groupBy("key", "digest").agg(F.first("left", True).alias("left"), F.first("right", True).alias("right"), F.max("n").alias("n"), F.max("copies").alias("copies"))
+        own = stash(own, f"{label}-crowd")
+        step = max(1, w.bucket // SPLIT)
+        split = stash(split_items(own, w.bucket, step), f"{label}-split")
+        hits = join_counted(split.select("key", "digest", "parent", "own", "shift"), marked(split, Windows(w.size, w.gram, step), label), ["key", "digest"], "n", split.count())
+        found = hits.groupBy(F.col("parent").alias("key"), F.col("own").alias("digest")).agg(F.flatten(F.collect_list(moved("shift"))).alias("ranges"))
+        marks = marks.unionByName(found.join(own.select("key", "digest", "n"), ["key", "digest"]).select("key", "digest", "n", "ranges"))
+    return stash(marks, f"{label}-marks")
 
 
 def moved(by: str):
@@ -432,7 +465,7 @@ def repeated_ranges(rows: DataFrame, w: Windows, label: str) -> tuple[DataFrame,
     # Repeated rows may be met twice here; they are copies, which are told by their class.
     texts = stash(numbered.select(*kept).unionByName(others.select(*kept)), f"{label}-texts")
     items = stash(cut_items(texts, w), f"{label}-items")
-    marks = marked(items.select("key", "digest", "left", "right", F.lit(1).cast("long").alias("copies")), w, label)
+    marks = marked(items.select("key", "digest", "span", "left", "right", F.lit(1).cast("long").alias("copies")), w, label)
     hits = join_counted(items.select("key", "digest", "k1", "k2", "first"), marks, ["key", "digest"], "n", items.count())
     ranges = hits.groupBy("k1", "k2").agg(F.flatten(F.collect_list(moved("first"))).alias("ranges"))
     return classes.select("k1", "k2", "copies", "wordy"), texts.select("k1", "k2", "raw").join(ranges, ["k1", "k2"])
