@@ -41,3 +41,24 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     """Image files of a folder with their bytes, whatever the case of their endings."""
     glob = "*.{" + ",".join(x for e in IMAGES for x in (e, e.upper())) + "}"
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.col("path").alias("image_path"), "length", "content")
+
+
+def rotated_back(boxes: DataFrame, tall: float = 1.2) -> DataFrame:
+    """Corners (x, y) of lines found on pages turned clockwise, back on the page as it was; ``height`` and ``width`` are the page's.
+
+    Only pages higher than ``tall`` times their width were turned.
+    """
+    turned = F.col("height") > F.col("width") * tall
+    back = F.transform("points", lambda p: F.struct((F.col("width") - p["y"]).cast("double").alias("x"), p["x"].cast("double").alias("y")))
+    same = F.transform("points", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return boxes.withColumn("points", F.when(turned, back).otherwise(same))
+
+
+def page_summary(lines: DataFrame, variants: DataFrame, taboo: DataFrame, dynasty: str, least: float = 0.5) -> DataFrame:
+    """(page, confidence, n_lines, n_chars, n_variants, n_taboo): sure lines, their mean confidence, and flagged characters."""
+    from . import text as tx
+
+    sure = sure_lines(lines, least)
+    whole = sure.groupBy("page").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+    flags = character_flags(tx.characters(sure, ["page", "line"]), tx.normal_forms(variants), variants, taboo, dynasty)
+    return whole.join(flags.groupBy("page").agg(F.count("variant_of").alias("n_variants"), F.count("taboo_for").alias("n_taboo")), "page")

@@ -213,13 +213,10 @@ def prefix_relations(docs: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """
     words = "|".join(p for p, _ in KIN_PREFIXES)
     kinds = F.create_map(*[F.lit(x) for pair in KIN_PREFIXES for x in pair])
-    # Pieces begin at a word, but for the first of a text; what lies before a piece is found by its place.
-    pieces = docs.select(key, F.posexplode(F.split("text", f"(?<![{HAN}])(?=(?:{words})[{HAN}]{{2}})")).alias("n", "part"))
-    by = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    seen = pieces.withColumn("before", F.substring(F.array_join(F.collect_list("part").over(by), ""), -50, 50))
-    found = seen.filter(F.col("part").rlike(f"^(?:{words})[{HAN}]{{2}}") & (F.length("before") > 0)).select(
-        key, "n", F.regexp_extract("part", f"^({words})", 1).alias("word"), F.regexp_extract("part", f"^(?:{words})([{HAN}]{{2,4}})", 1).alias("dst"), "before"
-    )
+    # The context is taken by look-behind, so that each place reads 50 characters and no more.
+    place = rf"(?<=((?<![\s\S])[\s\S]{{1,49}}|[\s\S]{{50}}))(?<![{HAN}])({words})(?=([{HAN}]{{2,4}}))"
+    group = lambda i: F.regexp_extract_all("text", F.lit(place), F.lit(i))
+    found = docs.select(key, F.posexplode(F.arrays_zip(group(1).alias("before"), group(2).alias("word"), group(3).alias("dst"))).alias("n", "m")).select(key, "n", "m.*")
     spots = found.select(key, "n", "word", "dst", "before", F.explode(F.sequence(F.lit(1), F.length("before"))).alias("i"))
     runs = spots.select(key, "n", "word", "dst", "i", F.explode(F.sequence(F.lit(2), F.lit(5))).alias("k"), "before").filter(F.col("i") + F.col("k") - 1 <= F.length("before"))
     cand = runs.select(key, "n", "word", "dst", (F.col("i") + F.col("k")).alias("end"), "k", F.substring(F.col("before"), F.col("i"), F.col("k")).alias("src"))
@@ -246,3 +243,55 @@ def entity_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
     years = F.when(union > 0, overlap / union).otherwise(F.lit(0.0))
     same = lambda f: F.when(a[f] == b[f], 1.0).otherwise(0.0)
     return F.round(0.3 * similarity(a["name"], b["name"]) + 0.25 * years + 0.25 * same("place") + 0.2 * same("title"), 6)
+
+
+def decorated(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """(key, type, name, context, biography) of named entities: 50 characters about the first mention, and 100 with white space folded."""
+    met = found.join(docs.select(key, "text"), key).withColumn("at", F.instr(F.col("text"), F.col("name")) - 1).filter("at >= 0")
+    about = lambda n: F.substring(F.col("text"), F.greatest(F.col("at") - n, F.lit(0)) + 1, F.least(F.col("at"), F.lit(n)) + F.length("name") + n)
+    return met.select(key, "type", "name", about(50).alias("context"), F.trim(F.regexp_replace(about(100), r"\s+", " ")).alias("biography"))
+
+
+def dynasty_before(text: Column, position: Column, most: int = 200) -> Column:
+    """The first dynasty, in the list's order, that the characters before a place (from 0) name."""
+    return F.coalesce(dynasty_of(F.substring(text, F.greatest(position - most, F.lit(0)) + 1, F.least(position, F.lit(most)))), F.lit(""))
+
+
+def stored_relations(docs: DataFrame, names: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """(key, src, dst, type, confidence), each relation once: kinship of stored names in the texts, and the relations ``found`` whose ends are both stored and whose target is no dynasty."""
+    known = names.select("name").distinct()
+    ends = lambda c: known.withColumnRenamed("name", c)
+    kept = found.filter(~F.col("dst").isin(*DYNASTIES)).join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
+    every = kin_relations(docs, names, key).unionByName(kept.select(key, "src", "dst", "type", F.coalesce("confidence", F.lit(0.5)).alias("confidence")))
+    return every.groupBy(key, "src", "dst", "type").agg(F.max("confidence").alias("confidence"))
+
+
+def graph_of_texts(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relations, stats) of texts by rules: named entities with their context, the relations of the people among them, and counts of each text."""
+    found = named_entities(docs, key)
+    people = found.filter("type = 'PER'")
+    entities = resolve(decorated(docs, key, found).select("name", "type", F.col(key).alias("position"), "biography"))
+    relations = kin_relations(docs, people.select("name").distinct(), key)
+    counts = found.groupBy(key).agg(F.count(F.lit(1)).alias("total_entities"), F.count(F.when(F.col("type") == "PER", 1)).alias("person_entities"))
+    stats = docs.select(key).join(counts, key, "left").join(relations.groupBy(key).agg(F.count(F.lit(1)).alias("total_relations")), key, "left")
+    return entities, relations, stats.fillna(0, ["total_entities", "person_entities", "total_relations"])
+
+
+def merged_versions(versions: DataFrame, strategy: str, weights: str = "weight") -> DataFrame:
+    """(work, place, text) of several versions' sentences (work, version, place, text, completeness, quality, age, weight).
+
+    ``complete``, ``quality`` and ``original`` take all of the version that is best by completeness, quality or age
+    (ties: the smaller version); ``vote`` takes at each place the text with the largest sum of weights, and
+    ``structural`` the first version, by quality, that has a text there.
+    """
+    if strategy == "vote":
+        tally = versions.groupBy("work", "place", "text").agg(F.sum(weights).alias("w"))
+        return tally.groupBy("work", "place").agg(F.max_by("text", F.struct("w", "text")).alias("text"))
+    if strategy == "structural":
+        there = versions.filter(F.coalesce("text", F.lit("")) != "")
+        return there.groupBy("work", "place").agg(F.max_by("text", F.struct("quality", -F.col("version"))).alias("text"))
+    by = {"complete": "completeness", "quality": "quality", "original": "age"}
+    if strategy not in by:
+        raise ValueError(f"unknown strategy of merging: {strategy}")
+    best = versions.groupBy("work").agg(F.max_by("version", F.struct(F.col(by[strategy]), -F.col("version"))).alias("version"))
+    return versions.join(best, ["work", "version"], "left_semi").select("work", "place", "text")

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 #: Sentence ends of Chinese prose (fixed values); any character class will do.
 CHINESE_ENDS = "。！？；"
+#: Lines that open a chapter or a section (fixed values).
+CHAPTER_PATTERNS = (
+    r"^(卷[零一二三四五六七八九十百\d]+)",
+    r"^([上中下篇章节][\u4e00-\u9fa5]*)",
+    r"^([\u4e00-\u9fa5]{2,4}[志传记表])",
+)
+SECTION_PATTERNS = (
+    r"^(第[零一二三四五六七八九十百\d]+[节章])",
+    r"^([上中下篇章节][\u4e00-\u9fa5]*)",
+)
 
 
 def sentences(text: Column, ends: str = CHINESE_ENDS) -> Column:
@@ -14,6 +24,25 @@ def sentences(text: Column, ends: str = CHINESE_ENDS) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(f"([^{ends}]*[{ends}]?)"), F.lit(1)), lambda s: F.trim(F.regexp_replace(s, f"[{ends}]$", "")) != "")
 
 
+def sentence_offsets(docs: DataFrame, key: str, ends: str = CHINESE_ENDS) -> DataFrame:
+    """(key, n, start, end, sentence): sentences with their delimiter and places in the text, in characters; blank ones skipped."""
+    parts = docs.select(key, F.regexp_extract_all("text", F.lit(f"([^{ends}]*[{ends}]?)"), F.lit(1)).alias("p"))
+    ends_at = F.aggregate("p", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    placed = F.transform("p", lambda x, i: F.struct(F.get("at", i).alias("start"), F.get("at", i + 1).alias("end"), x.alias("sentence")))
+    kept = F.filter(placed, lambda s: F.trim(F.regexp_replace(s["sentence"], f"[{ends}]$", "")) != "")
+    return parts.withColumn("at", ends_at).select(key, F.posexplode(kept).alias("n", "s")).select(key, "n", "s.*")
+
+
+def chunks(docs: DataFrame, key: str, strategy: str = "by_chapter", **options) -> DataFrame:
+    """Chunks by ``by_chapter`` (the patterns above unless given) or ``by_max_tokens``."""
+    if strategy == "by_chapter":
+        heading, section = options.get("heading", "|".join(CHAPTER_PATTERNS)), options.get("section", "|".join(SECTION_PATTERNS))
+        return chunks_by_heading(docs, key, heading, section)
+    if strategy == "by_max_tokens":
+        return chunks_by_size(docs, key, options.get("most", 500), options.get("overlap", 50), options.get("ends", CHINESE_ENDS))
+    raise ValueError(f"unknown strategy of chunks: {strategy}")
+
+
 def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 1.5).cast("int")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
@@ -48,5 +48,45 @@ def align_versions(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key, "n", "text").groupBy(key).cogroup(b.select(key, "n", "text").groupBy(key)).applyInPandas(run, f"{key} {kind}, n int, i int, j int, kind string")
 
 
+def constrained(aligned: DataFrame, similarity: DataFrame, key: str, least: float = 0.7) -> DataFrame:
+    """(key, i, j, score): aligned pairs that are similar enough; ``similarity`` has (key, i, j, score)."""
+    return aligned.filter("i >= 0 AND j >= 0").select(key, "i", "j").join(similarity.filter(F.col("score") >= least), [key, "i", "j"])
+
+
+def alignment_scores(aligned: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """(key, score, unmatched_a, unmatched_b): the mean of the kept pairs (0 without any), and how many sentences of each side have none."""
+    sides = aligned.groupBy(key).agg(F.sum((F.col("i") >= 0).cast("long")).alias("n_a"), F.sum((F.col("j") >= 0).cast("long")).alias("n_b"))
+    got = kept.groupBy(key).agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return sides.join(got, key, "left").select(key, F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), (F.col("n_a") - n).alias("unmatched_a"), (F.col("n_b") - n).alias("unmatched_b"))
+
+
+def difference_kind(a: Column, b: Column, normal_a: Column, normal_b: Column, plain_a: Column, plain_b: Column) -> Column:
+    """The class of a difference of two texts; ``normal`` are they with variants folded, ``plain`` with taboo characters put back."""
+    chars = lambda c: F.array_sort(F.split(c, ""))
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    return (
+        F.when(a.eqNullSafe(b), "SAME").when(empty(a), "INSERTION").when(empty(b), "DELETION").when(normal_a == normal_b, "VARIANT")
+        .when(plain_a == plain_b, "TABOO").when(chars(a) == chars(b), "TRANSPOSITION").otherwise("SUBSTITUTION")
+    )
+
+
+def judged(differences: DataFrame) -> DataFrame:
+    """Differences (kind, a, b, year_a, year_b, original) with ``choice``, ``rule`` and ``confidence``, by the first rule that holds.
+
+    Taboo: the original character; variant: the shorter text; known years: the earlier version; else the first text.
+    """
+    taboo, variant = F.col("kind") == "TABOO", F.col("kind") == "VARIANT"
+    dated = F.col("year_a").isNotNull() & F.col("year_b").isNotNull()
+    by = lambda t, v, d, o: F.when(taboo, t).when(variant, v).when(dated, d).otherwise(o)
+    shorter = F.when(F.length("b") < F.length("a"), F.col("b")).otherwise(F.col("a"))
+    earlier = F.when(F.col("year_b") < F.col("year_a"), F.col("b")).otherwise(F.col("a"))
+    return differences.withColumns({
+        "choice": by(F.col("original"), shorter, earlier, F.col("a")),
+        "rule": by(F.lit("TABOO_FIRST"), F.lit("GRAPHIC_SIM"), F.lit("CHRONOLOGY"), F.lit("CONTEXT_SCORE")),
+        "confidence": by(F.lit(0.9), F.lit(0.85), F.lit(0.75), F.lit(0.3)),
+    })
+
+
 def difference_kinds(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

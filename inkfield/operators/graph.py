@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stash
+from .skew import join_counted, numbered
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).toDF("src", "dst").distinct()
@@ -14,7 +17,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def k_hop(edges: DataFrame, centre: str, depth: int) -> DataFrame:
     """(uri, hop): everyone within ``depth`` undirected hops of a centre, without it; the hop is the least one."""
-    ways = both_ways(edges)
+    ways = stash(both_ways(edges), "ways")  # once for all hops, as the edges may be a join
     front = edges.sparkSession.createDataFrame([(centre,)], "uri string")
     rings = [front.withColumn("hop", F.lit(0))]
     for hop in range(1, max(1, depth) + 1):
@@ -23,6 +26,25 @@ def k_hop(edges: DataFrame, centre: str, depth: int) -> DataFrame:
     return reduce(DataFrame.union, rings).groupBy("uri").agg(F.min("hop").alias("hop")).filter(F.col("hop") > 0)
 
 
+def direct_relations(relations: DataFrame, centre: str) -> DataFrame:
+    """(uri, relation, direction) of the centre's own relations: outgoing from it, incoming to it; a self-loop is outgoing."""
+    out = relations.filter(F.col("src") == centre).select(F.col("dst").alias("uri"), "relation", F.lit("outgoing").alias("direction"))
+    into = relations.filter((F.col("dst") == centre) & (F.col("src") != centre)).select(F.col("src").alias("uri"), "relation", F.lit("incoming").alias("direction"))
+    return out.unionByName(into)
+
+
+def depth_summary(depths: DataFrame, samples: int = 5) -> DataFrame:
+    """One row of (root, depth): largest, upper median and mean (2 places) depth, and some of the deepest roots with theirs."""
+    few = depths.orderBy(F.desc("depth"), "root").limit(samples).agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "root"))).alias("s"))
+    # The upper median, from how many roots have each depth: a few rows.
+    tally = depths.groupBy("depth").agg(F.count(F.lit(1)).alias("k"))
+    upto = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    middle = tally.withColumn("upto", F.sum("k").over(upto)).withColumn("all", F.sum("k").over(Window.partitionBy(F.lit(1)))).filter(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("depth").alias("median"))
+    whole = depths.agg(F.count(F.lit(1)).alias("roots"), F.max("depth").alias("max_depth"), F.round(F.avg("depth"), 2).alias("mean_depth"))
+    show = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["root"], (-x["d"]).cast("string"))), ",")
+    return whole.crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(few)).select("roots", "max_depth", "median", "mean_depth", show.alias("samples"))
+
+
 def bounded_subgraph(edges: DataFrame, centre: str, hops: int, most_nodes: int) -> tuple[DataFrame, DataFrame]:
     """Nodes nearest to a centre (ties by uri) up to a cap, and the edges among them, once each."""
     near = k_hop(edges, centre, hops).orderBy("hop", "uri").limit(most_nodes - 1)
@@ -79,31 +101,43 @@ def generation_depth(edges: DataFrame, most: int = 6) -> DataFrame:
     return reduce(DataFrame.union, levels).groupBy("root").agg(F.max("depth").alias("depth"))
 
 
-def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, cluster): connected components of pairs (a, b) by spreading the least label; each round reads what the last one wrote."""
-    ways = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("a", "b").distinct()
-    label = ways.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node")
-    spark = pairs.sparkSession
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+def contracted(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, root): the smallest node of each component of links (a, b), by alternating star contraction.
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkfield-"))
-    label, before = label.checkpoint(), None
-    for _ in range(rounds):
-        heard = ways.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("c").alias("h"))
-        label = label.join(heard, F.col("node") == F.col("a"), "left").select("node", F.least("c", "h").alias("c")).checkpoint()
-        now = label.agg(F.sum(F.xxhash64("node", "c").cast("decimal(20,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
-    return label.select("node", F.col("c").alias("cluster"))
+    Each round is written as a scratch table. Rounds grow with the logarithm of the nodes; an error, never a
+    part result, if they do not settle. The rows of a hub meet its smallest neighbour by broadcast.
+    """
+    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
+    total, before = edges.count(), None
+    for _ in range(most_rounds):
+        # Large star: every larger neighbour of u is tied to the smallest of u and its neighbours.
+        both = edges.union(edges.select("v", "u")).toDF("u", "v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both.filter("v > u"), low, ["u"], "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stash(large, "stars-large")
+        # Small star: u and its smaller neighbours are tied to the smallest of these.
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        ends = join_counted(large, least, ["u"], "n", total).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = stash(ends.select("e.*").filter("u <> v").distinct(), "stars")
+        total, mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if (total, mark) == before:
+            return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+        before = total, mark
+    raise RuntimeError("the components did not settle")
+
+
+def clusters(pairs: DataFrame) -> DataFrame:
+    """(node, cluster): connected components of pairs (a, b); a node paired only with itself is its own cluster. Nulls pair nothing."""
+    pairs = pairs.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return nodes.join(contracted(pairs), "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
 
 
 def importance_cut(degree: DataFrame, percent: int, least: int = 100, from_nodes: int = 3000) -> DataFrame:
     """Above ``from_nodes`` nodes only the most connected ``percent`` stay (``least`` at least)."""
-    ranked = degree.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "uri")))
-    n = degree.agg(F.count(F.lit(1)).alias("n"))
-    return ranked.crossJoin(F.broadcast(n)).filter((F.col("n") <= from_nodes) | (F.col("rank") <= F.greatest(F.lit(least), F.floor(F.col("n") * percent / 100)))).select("uri", "degree", "rank")
+    n = degree.count()
+    kept = n if n <= from_nodes else max(least, n * percent // 100)
+    return numbered(degree.select("uri", "degree"), [F.desc("degree"), F.col("uri")], "rank").filter(F.col("rank") <= kept)
 
 
 def unit_coordinates(points: DataFrame) -> DataFrame:
@@ -123,6 +157,12 @@ def stand_in_layout(nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return nodes.select("uri", cluster.cast("int").alias("cluster"), (F.cos(angle) * 60 + (h(2) - 0.5) * 20).alias("x"), (F.sin(angle) * 60 + (h(3) - 0.5) * 20).alias("y"), ((h(4) - 0.5) * 40).alias("z"))
 
 
+def stand_in_edges(placed: DataFrame) -> DataFrame:
+    """(src, dst): in each cluster of a stand-in layout, every node tied to the next by uri."""
+    after = F.lead("uri").over(Window.partitionBy("cluster").orderBy("uri"))
+    return placed.select(F.col("uri").alias("src"), after.alias("dst")).filter("dst IS NOT NULL")
+
+
 def graph_page(edges: DataFrame, people: DataFrame, limit: int, offset: int = 0, keep=None) -> tuple[DataFrame, DataFrame]:
     """A slice of edges, the people at their ends that pass ``keep``, and the slice's edges among those."""
     part = edges.orderBy("src", "dst", "relation").offset(offset).limit(limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,36 @@ def page(people: DataFrame, limit: int, offset: int = 0, surname: str | None = N
     return people.orderBy("uri").offset(offset).limit(limit)
 
 
+def listed(people: DataFrame, limit: int, offset: int = 0, surname: str | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """The rows of a page that have a name, and ``total``: all that the filters keep, those without a name too."""
+    kept = people if surname is None else people.filter(F.col("family_name") == surname)
+    if relations is not None:
+        kept = kept.join(related_ids(relations), "uri", "left_semi")
+    rows = kept.orderBy("uri").offset(offset).limit(limit).filter(F.coalesce("name", F.lit("")) != "")
+    return rows.crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("total"))))
+
+
+def lookup(people: DataFrame, uri: str) -> DataFrame:
+    """The person of a uri, or no row."""
+    return people.filter(F.col("uri") == uri)
+
+
+def listed_edges(relations: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of edges in a total order, and ``total`` of all."""
+    return edge_page(relations, limit, offset).crossJoin(F.broadcast(relations.agg(F.count(F.lit(1)).alias("total"))))
+
+
+def capped(nodes: DataFrame, most: int) -> DataFrame:
+    """The first nodes by uri, as many as a view shows."""
+    return nodes.orderBy("uri").limit(most)
+
+
+def evidence(uri_facts: dict[str, DataFrame], each: int, confidences: dict[str, float]) -> DataFrame:
+    """(uri, kind, item, confidence) of several kinds of facts (uri, item), at most ``each`` of a person and kind, by item."""
+    parts = [first_of_each(rows, "uri", [F.col("item")], each).select("uri", F.lit(kind).alias("kind"), "item", F.lit(confidences[kind]).alias("confidence")) for kind, rows in uri_facts.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def incident_edges(relations: DataFrame, uri: str) -> DataFrame:
     return relations.filter((F.col("src") == uri) | (F.col("dst") == uri)).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("relation").alias("type"))
 

@@ -72,7 +72,7 @@ _VEC = """dist AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transfor
 def vector_topk(spark, d):
     v = load(spark, d, "embeddings").select("vec_id", "embedding")
     q = v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
-    return rt.top_k(rt.squared_distances(q, v, "query_id", "vec_id").withColumn("distance", F.round("distance", 9)), "query_id", "vec_id", 5, "distance", smaller=True)
+    return rt.nearest(q, v, "query_id", "vec_id", 5)
 
 
 _HITS = f"""{_BM25},
@@ -88,8 +88,7 @@ def _hits(spark, d):
     v = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = v.withColumnRenamed("doc_id", "item_id").join(load(spark, d, "benchmark").select("item_id"), "item_id", "left_semi")
     stored = v.join(load(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
-    dist = rt.squared_distances(q, stored, "item_id", "doc_id").withColumn("distance", F.round("distance", 9))
-    return rt.top_k(dist, "item_id", "doc_id", 10, "distance", smaller=True), kw
+    return rt.nearest(q, stored, "item_id", "doc_id", 10), kw
 
 
 _HYBRID = f"""{_HITS},
@@ -344,9 +343,20 @@ def top_degree_nodes(spark, d):
     return graph.top_degree_subgraph(relations(spark, d), 50)[0]
 
 
-@query(f"WITH {_DEG}, t AS (SELECT uri FROM deg ORDER BY degree DESC, uri LIMIT 50) SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {R} WHERE src <> dst AND src IN (FROM t) AND dst IN (FROM t)")
+_CO = "(SELECT 'p:' || l_partkey AS src, 'p:' || nxt AS dst FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM lineitem) WHERE nxt IS NOT NULL)"
+
+
+def _bought_together(spark, d):
+    """Parts of neighbouring lines of an order."""
+    from pyspark.sql import Window
+
+    li = load(spark, d, "lineitem").withColumn("nxt", F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")))
+    return li.filter("nxt IS NOT NULL").select(F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("p:"), F.col("nxt").cast("string")).alias("dst"))
+
+
+@query(f"WITH deg AS (SELECT uri, count(*) AS degree FROM (SELECT src AS uri FROM {_CO} UNION ALL SELECT dst FROM {_CO}) GROUP BY ALL), t AS (SELECT uri FROM deg ORDER BY degree DESC, uri LIMIT 50) SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {_CO} WHERE src <> dst AND src IN (FROM t) AND dst IN (FROM t)")
 def top_degree_subgraph(spark, d):
-    return graph.top_degree_subgraph(relations(spark, d), 50)[1].select("a", "b")
+    return graph.top_degree_subgraph(_bought_together(spark, d), 50)[1].select("a", "b")
 
 
 @query(f"SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {R} WHERE src <> dst")
@@ -382,10 +392,28 @@ def generation_depth(spark, d):
     return graph.generation_depth(edges)
 
 
-@query(None)
+_NEXT = "(SELECT p_partkey AS a, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS b FROM part)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM {_NEXT} WHERE b IS NOT NULL UNION SELECT b, a FROM {_NEXT} WHERE b IS NOT NULL),
+r AS (SELECT DISTINCT a AS node, a AS spot FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.spot = e.a) SELECT node, min(spot) AS cluster FROM r GROUP BY ALL""")
 def entity_clusters(spark, d):
-    e = load(spark, d, "part").select((F.col("p_partkey") % 900).alias("a"), (F.col("p_partkey") * 31 % 900).alias("b"))
-    return graph.clusters(e)
+    """Components of chains: each part is tied to the next of its brand by price."""
+    from pyspark.sql import Window
+
+    after = F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey"))
+    return graph.clusters(load(spark, d, "part").select(F.col("p_partkey").alias("a"), after.alias("b")))
+
+
+@query(f"""WITH down AS (SELECT DISTINCT p, c FROM {_PART}), l0 AS (SELECT DISTINCT p AS root, p AS node FROM down WHERE p NOT IN (SELECT c FROM down)),
+{", ".join(f"l{k} AS (SELECT DISTINCT root, c AS node FROM l{k - 1} JOIN down ON node = p)" for k in range(1, 7))},
+t AS (SELECT root::VARCHAR AS root, max(depth)::INT AS depth FROM ({" UNION ALL ".join(f"SELECT root, {k} AS depth FROM l{k}" for k in range(7))}) GROUP BY ALL), o AS (SELECT list_sort(list(depth)) AS l FROM t)
+SELECT count(*) AS roots, max(depth) AS max_depth, any_value(l[len(l) // 2 + 1]) AS median, round(avg(depth), 2) AS mean_depth,
+  (SELECT string_agg(root || ':' || depth, ',' ORDER BY depth DESC, root) FROM (SELECT * FROM t ORDER BY depth DESC, root LIMIT 5)) AS samples FROM t, o""")
+def depth_summary(spark, d):
+    p = load(spark, d, "part")
+    edges = p.select((F.col("p_partkey") % 300).cast("string").alias("src"), ((F.col("p_partkey") * 7) % 301 + 300 * (F.col("p_size") % 3)).cast("string").alias("dst"))
+    return graph.depth_summary(graph.generation_depth(edges))
 
 
 # ------------------------------------------------------------------ text
@@ -455,7 +483,12 @@ def variant_reverse(spark, d):
     return tx.variant_index(fx.rows(spark, fx.VARIANTS, fx.VARIANT_COLUMNS))
 
 
-@query(f"SELECT page, line, translate(text, '吳呉後臺颱歷曆誌裏', '吴吴后台台历历志里') AS text FROM {_OCR}")
+def _folded(rules: str) -> str:
+    """SQL for texts with characters replaced by rules (ch, new)."""
+    return f"SELECT page, line, coalesce(string_agg(coalesce(new, ch), '' ORDER BY i), '') AS text FROM (SELECT page, line, i, o.text[i] AS ch FROM {_OCR} o LEFT JOIN unnest(range(1, greatest(length(o.text), 1) + 1)) t(i) ON true) LEFT JOIN ({rules}) USING (ch) GROUP BY ALL"
+
+
+@query(_folded(f"SELECT variant AS ch, arg_min(standard, strlen(standard) * 2000000 + unicode(standard)) AS new FROM {_VAR} WHERE length(variant) = 1 AND length(standard) = 1 GROUP BY ALL"))
 def variant_normalize(spark, d):
     return tx.normalize(fx.rows(spark, fx.OCR, fx.OCR_COLUMNS), fx.rows(spark, fx.VARIANTS, fx.VARIANT_COLUMNS)).select("page", "line", "text")
 
@@ -469,7 +502,7 @@ def taboo_detect(spark, d):
     return tx.taboo_hits(o, fx.rows(spark, fx.TABOO, fx.TABOO_COLUMNS), "key", "qing")
 
 
-@query(f"SELECT page, line, translate(text, '玄弘历', '元宏歷') AS text FROM {_OCR}")
+@query(_folded(f"SELECT ch, arg_max(replacement, seq) AS new FROM {_TAB} WHERE dynasty = 'qing' GROUP BY ALL"))
 def taboo_replace(spark, d):
     return tx.replace_taboo(fx.rows(spark, fx.OCR, fx.OCR_COLUMNS), fx.rows(spark, fx.TABOO, fx.TABOO_COLUMNS), "qing").select("page", "line", "text")
 
@@ -500,19 +533,88 @@ def dynasty_hist(spark, d):
     return people(spark, d).select(kin.dynasty_of_year(relational.birth_year(F.col("birthday"))).alias("dynasty")).groupBy("dynasty").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '苏辙', '苏洵', 'FATHER', 85e-2), (2, '苏轼', '王氏', 'MOTHER', 85e-2), (3, '苏轼', '苏辙', 'YOUNGER_BROTHER', 85e-2), (4, '苏辙', '王氏', 'WIFE', 85e-2), (5, '苏洵', '苏籥', 'GRANDSON', 85e-2), (6, '苏辙', '苏洵', 'FATHER', 85e-2), (8, '苏辙', '嘉祐', 'FATHER', 85e-2), (12, '司马光', '司马池', 'FATHER', 85e-2), (14, '苏轼', '程氏', 'MATERNAL_GRANDMOTHER', 85e-2)) v(id, src, dst, type, confidence)")
+_KIN = ", ".join(f"('{x}', '{t}')" for x, t in kin.KIN_SUFFIXES)
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+_STOPS = kin.STOP_CHARS.replace("'", "''")
+
+
+def _kin_sql(texts: str, names: str) -> str:
+    """Rules of kinship as SQL, place by place; ``names`` is a query of one column, name."""
+    return f"""SELECT id, src, dst, type, 85e-2 AS confidence FROM (
+  SELECT DISTINCT id, src, type, coalesce(back, follow) AS dst FROM (
+    SELECT *, CASE WHEN year <> '' THEN year ELSE regexp_replace(plain, '^(后裔|后)', '') END AS follow,
+      (SELECT arg_max(n.name, j * 100 + length(n.name)) FROM ({names}) n, unnest(range(1, length(win) + 1)) u(j)
+        WHERE j >= length(n.name) AND length(n.name) > 1 AND substring(win, j - length(n.name) + 1, length(n.name)) = n.name AND NOT starts_with(src || sfx || nxt, n.name)) AS back
+    FROM (SELECT *, regexp_extract(rest, '^([{_HAN}]{{2,3}})年', 1) AS year, regexp_extract(CASE WHEN run = '' THEN substring(rest, 1, 4) ELSE run END, '^[{_HAN}]{{2,4}}') AS plain
+      FROM (SELECT *, regexp_extract(rest, '^[^{_STOPS}]*') AS run
+        FROM (SELECT *, regexp_extract(nxt, '(?s)^[^{_HAN}]*(.*)', 1) AS rest
+          FROM (SELECT id, p, sfx, type, s.name AS src, substring(text, p + length(sfx), 8) AS nxt, substring(text, greatest(1, p - length(s.name) - 10), p - length(s.name) - greatest(1, p - length(s.name) - 10)) AS win
+            FROM (SELECT t.*, p, k.sfx, k.type FROM {texts} t, unnest(range(2, length(text) + 1)) q(p) JOIN (VALUES {_KIN}) k(sfx, type) ON substring(text, p, length(k.sfx)) = k.sfx QUALIFY row_number() OVER (PARTITION BY t.id, p ORDER BY length(k.sfx) DESC) = 1)
+            JOIN ({names}) s ON length(s.name) BETWEEN 2 AND 4 AND p > length(s.name) AND substring(text, p - length(s.name), length(s.name)) = s.name))))))
+WHERE length(dst) >= 2 AND NOT starts_with(dst, '之') AND dst NOT IN ({_LIST((*kin.DYNASTIES, *kin.ERAS))}) AND NOT EXISTS (SELECT 1 FROM ({names}) m WHERE m.name <> dst AND contains(m.name, dst))"""
+
+
+_NAMED = f"SELECT unnest([{_LIST(fx.NAMES)}]) AS name"
+
+
+@query(_kin_sql(_TXT, _NAMED))
 def suffix_relations(spark, d):
     names = spark.createDataFrame([(n,) for n in fx.NAMES], "name string")
-    # The rows above are those of names that follow; looking back adds (2, 苏辙, 王氏, ELDER_SISTER).
-    return kin.kin_relations(fx.rows(spark, fx.TEXTS, fx.TEXT_COLUMNS), names, "id", look_back=False)
+    return kin.kin_relations(fx.rows(spark, fx.TEXTS, fx.TEXT_COLUMNS), names, "id")
+
 
+_STARTS = "|".join(kin.BIOGRAPHY_STARTS)
+_NER = f"""(WITH ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM {_TXT} WHERE length(text) >= 10)
+SELECT DISTINCT id, type, name FROM (
+  SELECT id, 'PER' AS type, regexp_extract(line, '^([{_HAN}]{{2,3}})，(?:{_STARTS})', 1) AS name FROM ln
+  UNION ALL SELECT id, 'PER', unnest(regexp_extract_all(line, '([{_HAN}]{{2,3}})\\([\\d‐–—．·～\\-]+\\)', 1)) FROM ln
+  UNION ALL SELECT id, 'PER', regexp_extract(line, '^([{_HAN}]{{3}})，字', 1) FROM ln
+  UNION ALL SELECT id, 'PER', unnest(regexp_extract_all(line, '([{_HAN}]{{2,3}})之[父母子女兄弟姐妹]', 1)) FROM ln
+  UNION ALL SELECT id, 'LOC', unnest(regexp_extract_all(line, '\\(今([{_HAN}]{{2,5}})\\)', 1)) FROM ln)
+WHERE name <> '' AND name NOT IN ({_LIST(kin.NOISE_WORDS)}) AND NOT regexp_matches(name, '^.+[{kin.NOISE_ENDS}]$') AND NOT regexp_matches(name, '^{kin.NOISE_DATES}$')
+  AND NOT regexp_matches(name, '^[汉唐宋元明清魏蜀吴晋隋秦周商夏虞金辽齐楚燕赵韩梁]$'))"""
 
-@query("SELECT * FROM (VALUES (12::BIGINT, 'PER', '王安石'), (12, 'PER', '韩琦'), (12, 'PER', '司马光'), (12, 'LOC', '保定')) v(id, type, name)")
+
+@query(f"SELECT * FROM {_NER}")
 def ner_rules(spark, d):
-    return kin.named_entities(fx.rows(spark, fx.TEXTS[11:12], fx.TEXT_COLUMNS), "id")
+    return kin.named_entities(fx.rows(spark, fx.TEXTS, fx.TEXT_COLUMNS), "id")
+
+
+@query(f"""WITH n AS (SELECT id, type, name FROM {_NER}), p AS (SELECT id, type, name, text, strpos(text, name) - 1 AS a FROM n JOIN {_TXT} USING (id))
+SELECT id, type, name, substring(text, greatest(a - 50, 0) + 1, least(a, 50) + length(name) + 50) AS context,
+  trim(regexp_replace(substring(text, greatest(a - 100, 0) + 1, least(a, 100) + length(name) + 100), '\\s+', ' ', 'g')) AS biography FROM p""")
+def entity_context(spark, d):
+    t = fx.rows(spark, fx.TEXTS, fx.TEXT_COLUMNS)
+    return kin.decorated(t, "id", kin.named_entities(t, "id"))
+
+
+_FOUND = (("苏辙", "苏洵", "FATHER", 0.85), ("苏轼", "苏辙", "FRIEND", 0.5), ("苏轼", "宋", "FATHER", 0.5), ("苏轼", "路人甲", "FRIEND", 0.5))
+
+
+@query(f"SELECT id, src, dst, type, max(confidence) AS confidence FROM (SELECT * FROM ({_kin_sql(_TXT, _NAMED)}) UNION ALL SELECT 1, src, dst, type, confidence FROM {fx.values(_FOUND, fx.RELATION_COLUMNS)} WHERE src IN ({_NAMED}) AND dst IN ({_NAMED}) AND dst NOT IN ({_LIST(kin.DYNASTIES)})) GROUP BY ALL")
+def stored_relations(spark, d):
+    names = spark.createDataFrame([(n,) for n in fx.NAMES], "name string")
+    found = fx.rows(spark, _FOUND, fx.RELATION_COLUMNS).withColumn("id", F.lit(1).cast("long"))
+    return kin.stored_relations(fx.rows(spark, fx.TEXTS, fx.TEXT_COLUMNS), names, "id", found)
 
 
-@query("SELECT * FROM (VALUES (4::BIGINT, '王氏', 'NATIVE_OF', '眉山', 8e-1), (12, '介甫', 'NATIVE_OF', '抚州临川', 8e-1), (13, '范仲淹', 'OFFICIAL', '苏州', 75e-2)) v(id, src, relation, location, confidence)")
+@query(f"""WITH n AS (SELECT * FROM {_NER}), rel AS (SELECT id, count(*) AS total_relations FROM ({_kin_sql(_TXT, f"SELECT DISTINCT name FROM {_NER} WHERE type = 'PER'")}) GROUP BY ALL),
+c AS (SELECT id, count(*) AS total_entities, count(*) FILTER (type = 'PER') AS person_entities FROM n GROUP BY ALL)
+SELECT id, coalesce(total_entities, 0) AS total_entities, coalesce(person_entities, 0) AS person_entities, coalesce(total_relations, 0) AS total_relations FROM {_TXT} LEFT JOIN c USING (id) LEFT JOIN rel USING (id)""")
+def text_graph_stats(spark, d):
+    return kin.graph_of_texts(fx.rows(spark, fx.TEXTS, fx.TEXT_COLUMNS), "id")[2]
+
+
+_PLACED = f"SELECT unnest([{_LIST((*fx.NAMES, '介甫', '范仲淹'))}]) AS name"
+
+
+def _place_sql(tail: str, relation: str, sure: str) -> str:
+    m = f"SELECT id, unnest(regexp_extract_all(text, '([{_HAN}]{{2,4}}{tail.replace('(', '(?:')})', 1)) AS m FROM {_TXT}"
+    cut = f"SELECT id, regexp_extract(m, '^([{_HAN}]{{2,4}}?){tail}$', 1) AS before, regexp_extract(m, '^[{_HAN}]{{2,4}}?{tail}$', 1) AS location FROM ({m})"
+    return f"SELECT DISTINCT id, n.name AS src, '{relation}' AS relation, location, {sure} AS confidence FROM ({cut}) JOIN ({_PLACED}) n ON ends_with(before, n.name) AND length(n.name) > 1"
+
+
+@query(f"{_place_sql(f'，([{_HAN}]{{2,6}})人', 'NATIVE_OF', '8e-1')} UNION ALL {_place_sql(f'[知任拜]([{_HAN}]{{1,3}}[州府县])', 'OFFICIAL', '75e-2')}")
 def native_official(spark, d):
     names = spark.createDataFrame([(n,) for n in (*fx.NAMES, "介甫", "范仲淹")], "name string")
     return kin.places_of(fx.rows(spark, fx.TEXTS, fx.TEXT_COLUMNS), names, "id")
@@ -538,7 +640,9 @@ def resolve_entities(spark, d):
     return kin.resolve(p.select(F.col("label_chs").alias("name"), F.lit("").alias("type"), F.col("id").alias("position"), "biography"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '苏轼', 'PER'), (2, '眉山', 'LOC'), (2, '苏洵', 'PER')) v(id, name, type)")
+@query(f"""WITH b AS (SELECT id, trim(regexp_replace(regexp_replace(trim(reply), '^```[A-Za-z]*\\s*', ''), '\\s*```$', '')) AS b FROM {fx.values(fx.REPLIES, fx.REPLY_COLUMNS)}),
+j AS (SELECT id, CASE WHEN starts_with(b, '[') THEN b::JSON ELSE json_extract(b, '$.entities') END AS j FROM b WHERE json_valid(b)), e AS (SELECT id, unnest(json_extract(j, '$[*]')) AS e FROM j)
+SELECT id, json_extract_string(e, '$.name') AS name, json_extract_string(e, '$.type') AS type FROM e WHERE json_extract_string(e, '$.name') IS NOT NULL""")
 def llm_json_repair(spark, d):
     r = fx.rows(spark, fx.REPLIES, fx.REPLY_COLUMNS)
     return r.select("id", F.explode(kin.repair_json(F.col("reply"), "name:string,type:string")).alias("e")).select("id", "e.name", "e.type").filter("name IS NOT NULL")
@@ -623,13 +727,13 @@ def distinct_links(spark, d):
     return fx.rows(spark, fx.RELATIONS, fx.RELATION_COLUMNS).select("src", "dst", "type").distinct()
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '王安石', '介甫', 'COURTESY_NAME', 8e-1), (1, '王安石', '半山', 'ART_NAME', 8e-1), (2, '苏辙', '苏洵', 'FATHER', 8e-1), (4, '苏序', '某某甲', 'PATERNAL_GRANDFATHER', 8e-1)) v(id, src, dst, type, confidence)")
+@query(None)  # needs look-behind; tested against a plain model
 def prefix_relations(spark, d):
     names = spark.createDataFrame([(n,) for n in ("王安石", "苏轼", "苏辙", "苏序")], "name string")
     return kin.prefix_relations(fx.rows(spark, fx.PREFIX_TEXTS, fx.TEXT_COLUMNS), names, "id")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1037, 1101), (2, 1021, NULL), (3, NULL, NULL)) v(id, birth_year, death_year)")
+@query(f"SELECT id, {', '.join(f"TRY_CAST(nullif(regexp_extract(text, name || '[^字]*?(?:{w})于?([0-9]{{4}})年?', 1), '') AS INTEGER) AS {c}" for w, c in (('生', 'birth_year'), ('卒|殁', 'death_year')))} FROM {fx.values(fx.LIVES, ('id', 'text', 'name'))}")
 def life_years(spark, d):
     born, died = kin.life_years(F.col("text"), F.col("name"))
     return fx.rows(spark, fx.LIVES, ("id", "text", "name")).select("id", born.alias("birth_year"), died.alias("death_year"))
@@ -641,7 +745,13 @@ def entity_similarity(spark, d):
     return fx.rows(spark, fx.LIKE, fx.LIKE_COLUMNS).filter("id > 1").select("id", kin.entity_similarity(side(1), side(2)).alias("similarity"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0, '玄武', 7e-1, 1, 2, 11, 7), (1, 1, '', 4e-1, 0, 0, 0, 0), (2, 0, '一行', 8e-1, 0, 0, 0, 0)) v(id, n, text, confidence, x0, y0, x1, y1)")
+_SERVICE = f"(SELECT id, reply::JSON AS j FROM {fx.values(fx.SERVICE, ('id', 'reply'))} WHERE json_valid(reply))"
+_BOX = lambda v: f"coalesce(json_extract(i, '$.rect.{v}')::INTEGER, 0)"
+
+
+@query(f"""WITH s AS (SELECT * FROM {_SERVICE} WHERE json_extract_string(j, '$.success') = 'true'), m AS (SELECT id, n - 1 AS n, json_extract(j, '$.data.results[' || (n - 1) || ']') AS i FROM s, unnest(range(1, coalesce(json_array_length(j, '$.data.results'), 0)::BIGINT + 1)) t(n))
+SELECT id, n, coalesce(json_extract_string(i, '$.text'), '') AS text, coalesce(json_extract(i, '$.probability.average')::DOUBLE, json_extract(i, '$.probability.max')::DOUBLE, 9e-1) AS confidence, {_BOX('x')} AS x0, {_BOX('y')} AS y0, {_BOX('x')} + {_BOX('width')} AS x1, {_BOX('y')} + {_BOX('height')} AS y1 FROM m
+UNION ALL SELECT id, 0, json_extract_string(j, '$.data.text'), coalesce(json_extract(j, '$.data.probability.average')::DOUBLE, 9e-1), 0, 0, 0, 0 FROM s WHERE json_extract(j, '$.data.results') IS NULL AND json_extract_string(j, '$.data.text') IS NOT NULL""")
 def ocr_service_lines(spark, d):
     from ..functions import ocr
 
@@ -671,7 +781,7 @@ def variant_listing(spark, d):
     return v.groupBy("standard").agg(F.array_join(F.sort_array(F.collect_set("variant")), ",").alias("variants")).orderBy("standard").limit(3)
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0, 0, 0, 'same'), (1, 1, 1, -1, 'deleted'), (1, 2, 2, 1, 'same'), (1, 3, -1, 2, 'inserted'), (2, 0, 0, 0, 'changed'), (3, 0, -1, 0, 'inserted')) v(id, n, i, j, kind)")
+@query(None)  # a sequential recursion; tested against all alignments
 def version_alignment(spark, d):
     from ..operators import alignment
 
@@ -684,3 +794,223 @@ def extractive_answer(spark, d):
     top = rt.top_k(_scores(spark, d).withColumn("score", F.round("score", 6)), "item_id", "doc_id", 3)
     named = top.join(load(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return named.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]), "; ").alias("answer"))
+
+
+# ------------------------------------------------------------------ lookups and lists
+
+
+@query(f"SELECT uri, name, family_name, birthday FROM {P} WHERE uri = 'c:7'")
+def person_lookup(spark, d):
+    return relational.lookup(people(spark, d), "c:7").select("uri", "name", "family_name", "birthday")
+
+
+@query(f"WITH k AS (SELECT * FROM {P} WHERE family_name = 'BUILDING' AND uri IN (SELECT src FROM {R} UNION SELECT dst FROM {R})), p AS (SELECT * FROM k ORDER BY uri LIMIT 20 OFFSET 5) SELECT uri, name, (SELECT count(*) FROM k) AS total FROM p WHERE coalesce(name, '') <> ''")
+def person_list(spark, d):
+    return relational.listed(people(spark, d), 20, 5, "BUILDING", relations(spark, d)).select("uri", "name", "total")
+
+
+@query(f"SELECT *, (SELECT count(*) FROM {R}) AS total FROM (SELECT * FROM {R} ORDER BY src, dst, relation LIMIT 50 OFFSET 100)")
+def edge_list(spark, d):
+    return relational.listed_edges(relations(spark, d), 50, 100)
+
+
+@query(f"SELECT uri, family_name FROM {P} ORDER BY uri LIMIT 5000")
+def node_cap(spark, d):
+    return relational.capped(people(spark, d).select("uri", "family_name"), 5000)
+
+
+@query(f"SELECT dst AS uri, relation, 'outgoing' AS direction FROM {R} WHERE src = 's:3' UNION ALL SELECT src, relation, 'incoming' FROM {R} WHERE dst = 's:3' AND src <> 's:3'")
+def direct_relations(spark, d):
+    return graph.direct_relations(relations(spark, d), "s:3")
+
+
+@query(f"SELECT uri, name, family_name, coalesce(birthday, '') AS birthday, 'genealogy' AS source, ({_CLASS.replace('role_of_family', 'role').replace('label_chs', 'name').replace('dynasty', 'birthday').replace('title', 'birthday')})::INT AS person_type FROM {P}")
+def person_records(spark, d):
+    from ..sources.tables import person_rows
+
+    p = people(spark, d).withColumns({"label_chs": F.lit(""), "role_of_family": F.col("role"), "dynasty": F.col("birthday"), "title": F.col("birthday")})
+    return person_rows(p, "genealogy").select("uri", "name", "family_name", "birthday", "source", "person_type")
+
+
+_WORKS = "(SELECT 'o:' || o_orderkey AS work_uri, o_orderpriority AS title, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus || ' ' || o_orderpriority END AS description FROM orders)"
+
+
+def _works(spark, d):
+    text = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.concat_ws(" ", "o_orderstatus", "o_orderpriority"))
+    return load(spark, d, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("work_uri"), F.col("o_orderpriority").alias("title"), text.alias("description"))
+
+
+@query(f"SELECT '家谱-' || coalesce(nullif(title, ''), work_uri) AS title, description AS text, 'work_descriptions' AS extractor, work_uri AS uri FROM {_WORKS} WHERE description <> '' ORDER BY work_uri LIMIT 10000")
+def work_records(spark, d):
+    from ..sources.tables import text_records
+
+    return text_records(_works(spark, d), "work_descriptions")
+
+
+@query("SELECT title, text, dynasty FROM (SELECT source AS dynasty, lang || doc_id AS title, text FROM documents ORDER BY title LIMIT 200) WHERE length(text) >= 10")
+def biography_records(spark, d):
+    from ..sources.tables import biographies
+
+    docs = load(spark, d, "documents")
+    return biographies(docs.select(F.concat("lang", F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("biography"), F.col("source").alias("dynasty")))
+
+
+_EV = {"work_description": 0.9, "place_record": 0.8, "biography": 0.7, "rag_chunk": 0.6}
+
+
+@query(f"""WITH w AS (SELECT uri, coalesce(nullif(description, ''), title) AS item FROM {P} JOIN orders ON uri = 'c:' || o_custkey JOIN {_WORKS} ON work_uri = 'o:' || o_orderkey),
+pl AS (SELECT uri, n_name AS item FROM {P} JOIN nation ON role = 'n' || n_nationkey), b AS (SELECT uri, birthday AS item FROM {P} WHERE birthday <> ''),
+c AS (SELECT 'c:' || item_id AS uri, '[' || rank || '] ' || doc_id AS item FROM (WITH {_BM25} SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 3)),
+e AS (SELECT uri, 'work_description' AS kind, item, 9e-1 AS confidence FROM w UNION ALL SELECT uri, 'place_record', item, 8e-1 FROM pl UNION ALL SELECT uri, 'biography', item, 7e-1 FROM b UNION ALL SELECT uri, 'rag_chunk', item, 6e-1 FROM c)
+SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY uri, kind ORDER BY item) <= 5""")
+def evidence_chain(spark, d):
+    p = people(spark, d)
+    owned = load(spark, d, "orders").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("uri"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("work_uri"))
+    works = p.select("uri").join(owned, "uri").join(_works(spark, d), "work_uri").select("uri", F.coalesce(F.nullif(F.col("description"), F.lit("")), "title").alias("item"))
+    places = p.join(load(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("role"), "n_name"), "role").select("uri", F.col("n_name").alias("item"))
+    lives = p.filter("birthday <> ''").select("uri", F.col("birthday").alias("item"))
+    top = rt.top_k(_scores(spark, d).withColumn("score", F.round("score", 6)), "item_id", "doc_id", 3)
+    chunks = top.select(F.concat(F.lit("c:"), F.col("item_id").cast("string")).alias("uri"), F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("doc_id").cast("string")).alias("item"))
+    return relational.evidence({"work_description": works, "place_record": places, "biography": lives, "rag_chunk": chunks}, 5, _EV)
+
+
+# ------------------------------------------------------------------ modes of retrieval
+
+_SURE = f"""{_HITS}, kb AS (SELECT item_id, doc_id, score FROM kw WHERE score > 30), vb AS (SELECT item_id, doc_id, distance FROM ve WHERE distance < 12e-1),
+kq AS (SELECT DISTINCT item_id FROM kb), vq AS (SELECT DISTINCT item_id FROM vb),
+v AS (SELECT item_id, doc_id, (s - min(s) OVER w) / CASE WHEN max(s) OVER w > min(s) OVER w THEN max(s) OVER w - min(s) OVER w ELSE 1 END AS v FROM (SELECT *, 1 / (1 + distance) AS s FROM vb WHERE item_id IN (FROM kq)) WINDOW w AS (PARTITION BY item_id)),
+b AS (SELECT item_id, doc_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w > min(score) OVER w THEN max(score) OVER w - min(score) OVER w ELSE 1 END AS b FROM (SELECT * FROM kb WHERE item_id IN (FROM vq)) WINDOW w AS (PARTITION BY item_id)),
+f AS (SELECT item_id, doc_id, CASE WHEN v IS NOT NULL THEN 'vector' ELSE 'bm25' END AS source, round(5e-1 * coalesce(v, 0) + 5e-1 * coalesce(b, 0), 6) AS score FROM v FULL JOIN b USING (item_id, doc_id)),
+few AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5),
+u AS (SELECT *, true AS filled FROM few UNION ALL SELECT item_id, doc_id, 'vector', distance, true FROM vb WHERE item_id NOT IN (FROM kq) UNION ALL SELECT item_id, doc_id, 'bm25', score, false FROM kb WHERE item_id NOT IN (FROM vq))"""
+
+
+@query(f"""WITH {_SURE}, n AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'Unknown' WHEN lang = 'fr' THEN '' ELSE lang END AS chapter, documents.source AS title FROM documents)
+SELECT item_id, doc_id, CASE WHEN filled AND chapter IN ('', 'Unknown') THEN title ELSE chapter END AS title, source, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM u JOIN n USING (doc_id) QUALIFY rank <= 5""")
+def retrieve_modes(spark, d):
+    v, b = _hits(spark, d)
+    chapter = F.when(F.col("lang") == "en", "Unknown").when(F.col("lang") == "fr", "").otherwise(F.col("lang"))
+    passages = load(spark, d, "documents").select("doc_id", chapter.alias("chapter"), F.col("source").alias("title"))
+    return rt.retrieve(v.filter("distance < 1.2"), b.filter("score > 30").drop("rank"), passages, "item_id", "doc_id", 0.5, 5)
+
+
+def _one_source(spark, d):
+    return load(spark, d, "documents").agg(F.min("source")).first()[0]
+
+
+@query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, source, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc JOIN documents USING (doc_id) WHERE source = (SELECT min(source) FROM documents) QUALIFY rank <= 5")
+def ask_source(spark, d):
+    docs = rt.of_source(load(spark, d, "documents").select("doc_id", "source"), _one_source(spark, d))
+    return rt.per_collection(_scores(spark, d).withColumn("score", F.round("score", 6)), "item_id", "doc_id", docs, 5, 1)
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc WHERE score > 40 QUALIFY rank <= 3),
+a AS (SELECT item_id, string_agg('- ' || source, chr(10) ORDER BY rank) AS s FROM r JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT item_id, CASE WHEN s IS NULL THEN '{rt.SORRY}' ELSE '{rt.SORRY_WITH_SOURCES}' || chr(10) || s END AS answer FROM benchmark LEFT JOIN a USING (item_id)""")
+def plain_answers(spark, d):
+    top = rt.top_k(_scores(spark, d).filter("score > 40").withColumn("score", F.round("score", 6)), "item_id", "doc_id", 3)
+    named = top.join(load(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return rt.plain_answers(load(spark, d, "benchmark"), named, "item_id")
+
+
+# ------------------------------------------------------------------ texts, pages and versions
+
+
+@query("""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[^.!?;]*[.!?;]?') AS p FROM documents), x AS (SELECT doc_id, i, p[i] AS sentence FROM p, unnest(range(1, len(p) + 1)) t(i)),
+s AS (SELECT *, (sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY i) - length(sentence))::INT AS start FROM x)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS n, start, (start + length(sentence))::INT AS "end", sentence FROM s WHERE trim(regexp_replace(sentence, '[.!?;]$', '')) <> ''""")
+def sentence_offsets(spark, d):
+    return tx.sentence_offsets(load(spark, d, "documents"), "doc_id", ENDS)
+
+
+@query(f"""WITH f AS (SELECT page, line, v.standard, b.replacement FROM {_OCR} o, unnest(range(1, length(text) + 1)) t(i) LEFT JOIN (SELECT DISTINCT variant AS ch, standard FROM {_VAR} WHERE length(variant) = 1) v ON v.ch = o.text[i] LEFT JOIN (SELECT ch, replacement FROM {_TAB} WHERE dynasty = 'qing') b ON b.ch = o.text[i] WHERE confidence >= 5e-1 AND text <> ''),
+c AS (SELECT page, count(standard) AS n_variants, count(replacement) AS n_taboo FROM f GROUP BY ALL)
+SELECT page, round(avg(confidence), 6) AS confidence, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, any_value(n_variants) AS n_variants, any_value(n_taboo) AS n_taboo FROM {_OCR} JOIN c USING (page) WHERE confidence >= 5e-1 AND text <> '' GROUP BY ALL""")
+def page_summary(spark, d):
+    from ..functions import ocr
+
+    rows = lambda x, c: fx.rows(spark, x, c)
+    return ocr.page_summary(rows(fx.OCR, fx.OCR_COLUMNS), rows(fx.VARIANTS, fx.VARIANT_COLUMNS), rows(fx.TABOO, fx.TABOO_COLUMNS), "qing")
+
+
+@query("SELECT vec_id, i::INT AS i, CASE WHEN h > w * 12e-1 THEN w - y ELSE x END AS x, CASE WHEN h > w * 12e-1 THEN x ELSE y END AS y FROM (SELECT vec_id, i - 1 AS i, embedding[i]::DOUBLE AS x, embedding[i + 4]::DOUBLE AS y, (vec_id % 7 + 1)::DOUBLE AS h, (vec_id % 5 + 1)::DOUBLE AS w FROM embeddings, unnest(range(1, 5)) t(i))")
+def rotated_boxes(spark, d):
+    from ..functions import ocr
+
+    corner = lambda i: F.struct(F.get("embedding", i).cast("double").alias("x"), F.get("embedding", i + 4).cast("double").alias("y"))
+    e = load(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), corner).alias("points"), (F.col("vec_id") % 7 + 1).cast("double").alias("height"), (F.col("vec_id") % 5 + 1).cast("double").alias("width"))
+    return ocr.rotated_back(e).select("vec_id", F.posexplode("points").alias("i", "p")).select("vec_id", "i", "p.x", "p.y")
+
+
+@query(f"SELECT id, coalesce({', '.join(f'CASE WHEN contains(b, {chr(39)}{x}{chr(39)}) THEN {chr(39)}{x}{chr(39)} END' for x in kin.DYNASTIES)}, '') AS dynasty FROM (SELECT id, substring(biography, greatest(a - 200, 0) + 1, least(a, 200)) AS b FROM (SELECT *, greatest(length(biography) - 1, 0) AS a FROM {_PER}))")
+def dynasty_context(spark, d):
+    return fx.rows(spark, fx.PERSONS, fx.PERSON_COLUMNS).select("id", kin.dynasty_before(F.col("biography"), F.greatest(F.length("biography") - 1, F.lit(0))).alias("dynasty"))
+
+
+_TYPED = (("a", "古稀", "古稀有", "古稀", "古稀有", "古稀", "古稀有"), ("b", "咸丰", "", "咸丰", "", "咸丰", ""), ("c", "知州", "知府", "知州", "知府", "知州", "知府"), ("d", "并", "並", "并", "并", "并", "並"), ("e", "玄", "元", "玄", "元", "玄", "玄"), ("f", "乾隆", "隆乾", "乾隆", "隆乾", "乾隆", "隆乾"), ("g", "同", "同", "同", "同", "同", "同"))
+_TYPED_COLUMNS = ("id", "a", "b", "na", "nb", "pa", "pb")
+_KIND = "CASE WHEN a = b THEN 'SAME' WHEN a = '' THEN 'INSERTION' WHEN b = '' THEN 'DELETION' WHEN na = nb THEN 'VARIANT' WHEN pa = pb THEN 'TABOO' WHEN list_sort(string_split(a, '')) = list_sort(string_split(b, '')) THEN 'TRANSPOSITION' ELSE 'SUBSTITUTION' END"
+
+
+def _typed(spark):
+    from ..operators import alignment
+
+    return fx.rows(spark, _TYPED, _TYPED_COLUMNS).withColumn("kind", alignment.difference_kind(*[F.col(c) for c in _TYPED_COLUMNS[1:]]))
+
+
+@query(f"SELECT id, {_KIND} AS kind FROM {fx.values(_TYPED, _TYPED_COLUMNS)}")
+def difference_types(spark, d):
+    return _typed(spark).select("id", "kind")
+
+
+@query(f"""WITH t AS (SELECT *, {_KIND} AS kind, CASE WHEN id IN ('c', 'f') THEN 1700 END AS ya, CASE WHEN id IN ('c', 'f') THEN 1650 END AS yb FROM {fx.values(_TYPED, _TYPED_COLUMNS)})
+SELECT id, CASE WHEN kind = 'TABOO' THEN pa WHEN kind = 'VARIANT' THEN CASE WHEN length(b) < length(a) THEN b ELSE a END WHEN yb IS NOT NULL THEN CASE WHEN yb < ya THEN b ELSE a END ELSE a END AS choice,
+CASE WHEN kind = 'TABOO' THEN 'TABOO_FIRST' WHEN kind = 'VARIANT' THEN 'GRAPHIC_SIM' WHEN yb IS NOT NULL THEN 'CHRONOLOGY' ELSE 'CONTEXT_SCORE' END AS rule, CASE WHEN kind = 'TABOO' THEN 9e-1 WHEN kind = 'VARIANT' THEN 85e-2 WHEN yb IS NOT NULL THEN 75e-2 ELSE 3e-1 END AS confidence FROM t""")
+def judged_differences(spark, d):
+    from ..operators import alignment
+
+    dated = F.col("id").isin("c", "f")
+    return alignment.judged(_typed(spark).withColumns({"year_a": F.when(dated, 1700), "year_b": F.when(dated, 1650), "original": F.col("pa")})).select("id", "choice", "rule", "confidence")
+
+
+_EDITIONS = "(SELECT conv_id % 7 AS work, conv_id AS version, turn AS place, text, length(text) AS completeness, length(role) * 1e0 AS quality, -conv_id AS age, 1e0 AS weight FROM conversations)"
+
+
+def _editions(spark, d):
+    return load(spark, d, "conversations").select((F.col("conv_id") % 7).alias("work"), F.col("conv_id").alias("version"), F.col("turn").alias("place"), "text", F.length("text").alias("completeness"), (F.length("role") * 1.0).alias("quality"), (-F.col("conv_id")).alias("age"), F.lit(1.0).alias("weight"))
+
+
+@query(f"SELECT work, place, arg_max(text, (w, text)) AS text FROM (SELECT work, place, text, sum(weight) AS w FROM {_EDITIONS} GROUP BY ALL) GROUP BY ALL")
+def vote_merge(spark, d):
+    return kin.merged_versions(_editions(spark, d), "vote")
+
+
+@query(f"SELECT work, place, text FROM {_EDITIONS} e WHERE version = (SELECT arg_max(version, (age, -version)) FROM {_EDITIONS} f WHERE f.work = e.work)")
+def original_merge(spark, d):
+    return kin.merged_versions(_editions(spark, d), "original")
+
+
+@query(f"SELECT cluster, uri AS src, nxt AS dst FROM (SELECT *, lead(uri) OVER (PARTITION BY cluster ORDER BY uri) AS nxt FROM (SELECT uri, family_name AS cluster FROM {P})) WHERE nxt IS NOT NULL")
+def chain_edges(spark, d):
+    placed = people(spark, d).select("uri", F.col("family_name").alias("cluster"))
+    edges = graph.stand_in_edges(placed)
+    return edges.join(placed.withColumnRenamed("uri", "src"), "src").select("cluster", "src", "dst")
+
+
+@query(f"WITH n AS (SELECT uri, row_number() OVER (ORDER BY uri) - 1 AS i FROM {P}) SELECT a.i, b.i AS j FROM (SELECT uri AS src, nxt AS dst FROM (SELECT uri, lead(uri) OVER (PARTITION BY family_name ORDER BY uri) AS nxt FROM {P}) WHERE nxt IS NOT NULL) JOIN n a ON a.uri = src JOIN n b ON b.uri = dst")
+def layout_edges(spark, d):
+    from ..sources.tables import edge_numbers
+
+    p = people(spark, d).select("uri", F.col("family_name").alias("cluster"))
+    return edge_numbers(p, graph.stand_in_edges(p))
+
+
+@query(None)
+def constrained_alignment(spark, d):
+    from ..operators import alignment
+
+    a, b = (fx.rows(spark, x, ("id", "n", "text")) for x in (fx.VERSION_A, fx.VERSION_B))
+    made = alignment.align_versions(a, b, "id")
+    side = lambda df, k: df.select("id", F.col("n").cast("int").alias(k), F.col("text").alias("t" + k))
+    like = side(a, "i").join(side(b, "j"), "id").select("id", "i", "j", kin.similarity(F.col("ti"), F.col("tj")).alias("score"))
+    return alignment.alignment_scores(made, alignment.constrained(made, like, "id"), "id")

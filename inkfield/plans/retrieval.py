@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
+#: Rows of queries' terms that are broadcast at most; queries that are compared with vectors at a time.
+MOST_BROADCAST, QUERY_BLOCK = 200_000, 1_024
+#: What an answer says without a model: with sources, and without any (fixed values).
+SORRY_WITH_SOURCES = "抱歉，生成回答时遇到问题。请参考以下相关来源："
+SORRY = "抱歉，暂时无法生成回答，请稍后重试。"
 
 
 def tokens(text: Column) -> Column:
@@ -37,31 +46,19 @@ def inverse_frequencies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def bm25_scores(queries: DataFrame, docs: DataFrame, qkey: str = "item_id", key: str = "doc_id") -> DataFrame:
     """(query, document, score) of every document that shares a term with a query. A term repeated in a query counts as often.
 
-    Postings are cut to the queries' terms before document lengths and frequencies are joined, and
-    both sides of each join are keyed by term or document.
+    Words are cut to the queries' terms where documents lie, and move once, by document: postings, the meeting
+    with the queries and the sums all follow from that partitioning, so no frequent term is hot. That holds while
+    the queries' terms are few enough to broadcast (counted first); beyond, terms meet by shuffle.
     """
     q = term_frequencies(queries, qkey).withColumnRenamed("tf", "qtf")
-    wanted = q.select("term").distinct()
-    postings = term_frequencies(docs, key).join(wanted, "term", "left_semi")
+    sent = F.broadcast if q.count() <= MOST_BROADCAST else lambda df: df
+    words = docs.select(key, tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    postings = words.join(sent(q.select("term").distinct()), "term", "left_semi").repartition(key).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = document_lengths(docs, key)
-    whole = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    weighed = (
-        postings.join(lengths, key)
-        .join(df, "term")
-        .crossJoin(F.broadcast(whole))
-        .select(
-            "term",
-            key,
-            (
-                F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-                * F.col("tf")
-                * (K1 + 1.0)
-                / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-            ).alias("w"),
-        )
-    )
-    return q.join(weighed, "term").groupBy(qkey, key).agg(F.sum(F.col("qtf") * F.col("w")).alias("score")).filter("score > 0")
+    whole = document_lengths(docs, key).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    weighed = postings.join(sent(df), "term").crossJoin(F.broadcast(whole)).select("term", key, (idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
+    return weighed.join(sent(q), "term").groupBy(qkey, key).agg(F.sum(F.col("qtf") * F.col("w")).alias("score")).filter("score > 0")
 
 
 def top_k(scores: DataFrame, query: str, key: str, k: int, best: str = "score", smaller: bool = False) -> DataFrame:
@@ -70,11 +67,41 @@ def top_k(scores: DataFrame, query: str, key: str, k: int, best: str = "score",
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(order, key))).filter(F.col("rank") <= k)
 
 
-def squared_distances(queries: DataFrame, vectors: DataFrame, qkey: str, key: str) -> DataFrame:
-    """Squared distances of each query to all vectors: a stated query set against all rows, the smaller side sent to the larger if Spark finds it small."""
-    q = queries.select(F.col(qkey), F.col("embedding").alias("qv"))
-    gap = F.aggregate(F.zip_with("qv", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return vectors.join(q, F.lit(True)).select(qkey, key, gap.alias("distance"))
+def nearest(queries: DataFrame, vectors: DataFrame, qkey: str, key: str, k: int, places: int = 9) -> DataFrame:
+    """(query, document, distance, rank): the k smallest squared distances of each query, rounded, ties by document.
+
+    A stated query set against all rows: queries go to the driver by blocks of ``QUERY_BLOCK``, and each task
+    keeps the best of its own rows only, so that k rows a query and batch are shuffled.
+    """
+    spark = vectors.sparkSession
+    asked = [(r[0], r[1]) for r in queries.select(qkey, "embedding").filter("embedding IS NOT NULL").toLocalIterator()]
+    kind = f"{qkey} {dict(queries.dtypes)[qkey]}, {key} {dict(vectors.dtypes)[key]}, distance double"
+    rows = vectors.filter("embedding IS NOT NULL").select(key, "embedding")
+    out = [spark.createDataFrame([], kind)]
+    for at in range(0, len(asked), QUERY_BLOCK):
+        ids = [i for i, _ in asked[at : at + QUERY_BLOCK]]
+        block = np.array([v for _, v in asked[at : at + QUERY_BLOCK]], dtype=np.float64)
+        out.append(rows.mapInArrow(_best_of_batches(ids, block, qkey, key, k, places), kind))
+    return top_k(reduce(DataFrame.unionByName, out), qkey, key, k, "distance", smaller=True)
+
+
+def _best_of_batches(ids: list, block: np.ndarray, qkey: str, key: str, k: int, places: int):
+    def run(it):
+        for b in it:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1)
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            got: dict[str, list] = {qkey: [], key: [], "distance": []}
+            for i, q in zip(ids, block, strict=True):
+                far = np.round(((x - q) ** 2).sum(axis=1), places)
+                best = np.lexsort((own, far))[:k]
+                got[qkey] += [i] * len(best)
+                got[key] += own[best].tolist()
+                got["distance"] += far[best].tolist()
+            yield pa.RecordBatch.from_pydict(got)
+
+    return run
 
 
 def min_max(hits: DataFrame, query: str, value: str, out: str) -> DataFrame:
@@ -129,3 +156,37 @@ def prompt(hits: DataFrame, query: str) -> DataFrame:
 def with_fallback(queries: DataFrame, hits: DataFrame, query: str) -> DataFrame:
     """Hits, and one row of method ``fallback`` for each query without any."""
     return queries.select(query).join(hits, query, "left").select(query, F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.when(F.col("doc_id").isNull(), "fallback").otherwise("bm25").alias("method"))
+
+
+def shown_title(chapter: Column, title: Column) -> Column:
+    """The chapter's title, or the document's where that is empty or "Unknown"."""
+    chapter = F.coalesce(chapter, F.lit(""))
+    return F.when(chapter.isin("", "Unknown"), F.coalesce(title, F.lit(""))).otherwise(chapter)
+
+
+def retrieve(vector_hits: DataFrame, keyword_hits: DataFrame, passages: DataFrame, query: str, key: str, alpha: float, k: int) -> DataFrame:
+    """(query, document, title, source, score, rank): fused hits of queries with both kinds, else those of the kind that there is.
+
+    ``passages`` has the documents' ``chapter`` and ``title``; hits by keywords alone keep the chapter as it is. Vector
+    hits alone are scored by their distance, as they come. Queries without hits have no rows.
+    """
+    v, b = vector_hits.select(query).distinct(), keyword_hits.select(query).distinct()
+    fused = hybrid(vector_hits.join(b, query, "left_semi"), keyword_hits.join(v, query, "left_semi"), query, key, alpha, k).drop("rank")
+    only_v = vector_hits.join(b, query, "left_anti").select(query, key, F.lit("vector").alias("source"), F.col("distance").alias("score"))
+    only_b = keyword_hits.join(v, query, "left_anti").select(query, key, F.lit("bm25").alias("source"), "score")
+    named = lambda hits, title: hits.join(passages.select(key, title.alias("title")), key)
+    shown = shown_title(F.col("chapter"), F.col("title"))
+    every = named(fused.unionByName(only_v), shown).unionByName(named(only_b, F.coalesce("chapter", F.lit(""))))
+    return top_k(every, query, key, k)
+
+
+def of_source(collections: DataFrame, source: str | None) -> DataFrame:
+    """Rows of the collections asked for: all for none or "all", else those of one source (none if it is unknown)."""
+    return collections if source in (None, "", "all") else collections.filter(F.col("source") == source)
+
+
+def plain_answers(queries: DataFrame, hits: DataFrame, query: str, most: int = 3) -> DataFrame:
+    """(query, answer) without a model: the sources of the best hits, or an apology."""
+    listed = hits.filter(F.col("rank") <= most).groupBy(query).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda x: F.concat(F.lit("- "), x["source"])), "\n").alias("sources"))
+    answer = F.when(F.col("sources").isNull(), SORRY).otherwise(F.concat(F.lit(SORRY_WITH_SOURCES + "\n"), F.col("sources")))
+    return queries.select(query).join(listed, query, "left").select(query, answer.alias("answer"))

@@ -1,6 +1,8 @@
 """Invariants and sequential models that SQL does not state."""
 
 import os
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -189,3 +191,118 @@ def test_graph_json(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"persons":[{"name":"甲","stub":true}],"relations":[{"from":"甲","to":"乙","type":"FATHER","confidence":0.9}]}')
     persons, rels = src.read_graph_json(spark, str(tmp_path / "g.json"))
     assert persons.count() == 1 and [r["to"] for r in rels.collect()] == ["乙"]
+
+
+def test_a_long_chain_is_one_cluster(spark):
+    edges = [(k, k + 1) for k in range(61)] + [(100, 100), (200, 201), (None, 5)]
+    got = {r["node"]: r["cluster"] for r in graph.clusters(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(62), 0), 100: 100, 200: 200, 201: 200}
+
+
+def test_hubs_and_cold_keys_join_alike(spark, monkeypatch):
+    from inkfield.operators import skew
+
+    big = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(400)] + [(None, 1)], "k int, v int")
+    small = spark.createDataFrame([(0, 257, "a"), (3, 28, "b"), (9, 0, "c")], "k int, n long, w string")
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(str, big.join(small, ["k"], how).collect()))
+        monkeypatch.setattr(skew, "HOT_ROWS", 100)
+        assert sorted(map(str, skew.join_counted(big, small, ["k"], "n", 401, how).collect())) == want
+        monkeypatch.undo()
+
+
+def test_numbers_follow_the_order(spark):
+    from pyspark.sql import functions as F
+
+    from inkfield.operators import skew
+
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x")).repartition(7)
+    assert all(r["place"] == r["x"] + 1 for r in skew.numbered(rows, [F.col("x")], "place").collect())
+    assert skew.numbered(rows.limit(0), [F.col("x")], "place").count() == 0
+
+
+def plain_prefixes(text, names):
+    """Rules of prefix kinship for one text, character by character."""
+    han, out = re.compile("[一-鿿]"), set()
+    at = 0
+    while at < len(text):
+        word = next((w for w, _ in kin.KIN_PREFIXES if text.startswith(w, at)), None)
+        run = re.match("[一-鿿]{2,4}", text[at + len(word) :]) if word else None
+        if word and run and at and not han.match(text[at - 1]):
+            before = text[max(0, at - 50) : at]
+            best = max(((i + len(n), len(n), n) for n in names for i in range(len(before)) if before.startswith(n, i)), default=None)
+            if best:
+                out.add((best[2], run[0], dict(kin.KIN_PREFIXES)[word]))
+            at += len(word)
+        else:
+            at += 1
+    return out
+
+
+def test_prefix_relations_follow_a_plain_model(spark):
+    rng, names = random.Random(1), ["苏轼", "苏辙", "王安石", "安石"]
+    bits = [*names, "，", "父", "母", "祖父", "祖母", "字", "号", "甲", "乙丙", "。", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r["id"], r["src"], r["dst"], r["type"]) for r in kin.prefix_relations(docs, spark.createDataFrame([(n,) for n in names], "name string"), "id").collect()}
+    assert got == {(k, *x) for k, t in enumerate(texts) for x in plain_prefixes(t, names)}
+
+
+def test_chained_kinship_and_names_before(spark):
+    docs = spark.createDataFrame([(1, "苏辙之父苏洵之友欧阳修"), (2, "苏轼，苏辙之兄也")], "id long, text string")
+    names = spark.createDataFrame([(n,) for n in ("苏辙", "苏洵", "苏轼", "欧阳修")], "name string")
+    got = {(r["id"], r["src"], r["dst"]) for r in kin.kin_relations(docs, names, "id").collect()}
+    assert got == {(1, "苏辙", "苏洵"), (1, "苏洵", "苏辙"), (2, "苏辙", "苏轼")}  # a stored name before goes before one that follows
+
+
+def test_collections_are_listed_read_and_dropped(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert src.collections(spark, path) == []
+    src.write_collection(spark.createDataFrame([("a", "x", [1.0]), ("b", "y", [2.0])], "collection string, text string, embedding array<double>"), path)
+    assert src.collections(spark, path) == ["a", "b"] and src.read_collection(spark, path, "b").count() == 1
+    src.write_collection(spark.createDataFrame([("a", "z", [1.0])], "collection string, text string, embedding array<double>"), path)
+    assert {r["text"] for r in spark.read.parquet(path).collect()} == {"z", "y"}
+    assert src.drop_collection(spark, path, "a") and not src.drop_collection(spark, path, "a") and src.collections(spark, path) == ["b"]
+    with pytest.raises(ValueError):
+        src.read_collection(spark, path, "a")
+
+
+def test_metadata_is_plain(spark):
+    df = spark.createDataFrame([(None, 3, [1, 2], True)], "s string, n int, l array<int>, b boolean")
+    assert tuple(src.plain_metadata(df, df.columns).first()) == ("", 3, "[1,2]", True)
+
+
+def test_graph_and_pages_as_json(spark, tmp_path):
+    persons = spark.createDataFrame([("甲", "传")], "name string, biography string")
+    relations = spark.createDataFrame([("甲", "乙", "FATHER")], "src string, dst string, type string")
+    src.write_graph_json(persons, relations, str(tmp_path / "g"))
+    assert spark.read.json(str(tmp_path / "g/relations")).first()["dst"] == "乙"
+    src.write_ocr_json(spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "page int, line int, text string"), str(tmp_path / "o"))
+    assert [x["text"] for x in spark.read.json(str(tmp_path / "o")).first()["lines"]] == ["a", "b"]
+
+
+def test_strategies_are_named(spark):
+    from inkfield.functions import text as tx
+
+    docs = spark.createDataFrame([(1, "卷一\n甲\n第一节 乙\n丙")], "id long, text string")
+    assert [(r["chapter"], r["section"], r["text"]) for r in tx.chunks(docs, "id").orderBy("chunk_index").collect()] == [("卷一", None, "甲"), ("卷一", "第一节 乙", "丙")]
+    assert tx.chunks(docs, "id", "by_max_tokens", most=5).count() > 0
+    for f in (lambda: tx.chunks(docs, "id", "x"), lambda: kin.merged_versions(docs, "x"), lambda: src.text_records(docs, "x")):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_no_scratch_folder_is_invented_on_a_cluster(monkeypatch):
+    from inkfield.sources import scratch
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        scratch.root(Session())
