@@ -1,96 +1,28 @@
-"""What the operators share: table access, the shared scratch folder and small helpers.
-
-A *scratch table* is a Parquet table in the folder that the cluster names in
-``spark.checkpoint.dir``. It cuts lineage the way a reliable checkpoint does (every
-executor can read it, a lost executor loses nothing) but is columnar and compressed.
-"""
+"""What the operators share: table access, scratch tables and small helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_counted, numbered  # noqa: F401
+from ..sources.scratch import drop_path, scope, stash, write_kept  # noqa: F401
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
-#: A key is hot with more than this many rows, and more than a HOT_KEYS-th of all: there are fewer than HOT_KEYS hot keys, whatever the table.
-HOT_ROWS, HOT_KEYS = 2_000, 10_000
-
 #: Texts, and bytes of texts, that ``portions`` puts in one batch.
 BATCH, BATCH_BYTES = 256, 1 << 22
 
-_own_root: str | None = None
-_scope: str | None = None
-_tables: dict[str, list[tuple[SparkSession, str]]] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named and driver and executors are one process (tests)."""
-    global _own_root
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    if _own_root is None:
-        _own_root = "file://" + tempfile.mkdtemp(prefix="inkfield-")
-        atexit.register(_remove_own_root)
-    return _own_root
-
-
-def _remove_own_root() -> None:
-    import shutil
-
-    shutil.rmtree(_own_root.removeprefix("file://"), ignore_errors=True)
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a scratch table and read it back. It lives until its scope is entered again; without a scope, as long as the shared folder."""
-    out, path = write_kept(df, label)
-    if _scope:
-        _tables[_scope].append((df.sparkSession, path))
-    return out
-
-
-@contextmanager
-def scope(name: str):
-    """Scratch tables made inside belong to ``name``; those of its last time are deleted, and no others."""
-    global _scope
-    for spark, path in _tables.pop(name, []):
-        drop_path(spark, path)
-    outer, _scope, _tables[name] = _scope, name, []
-    try:
-        yield
-    finally:
-        _scope = outer
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def write_kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Like ``stash``, but of no scope; returns the path too, for ``drop_path``."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/inkfield/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def keep_table(df: DataFrame, label: str) -> DataFrame:
     return write_kept(df, label)[0]
 
@@ -104,25 +36,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_from(total: int) -> int:
-    return max(HOT_ROWS, total // HOT_KEYS)
-
-
-def join_counted(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small`` (one row a key, whose ``n`` counts the key's rows in ``big``; ``total`` of all).
-
-    Hot keys' rows of ``small``, fewer than HOT_KEYS, are broadcast, so that the rows of a hot key stay
-    spread as they lie; the others meet by shuffle, no key with more than ``hot_from(total)`` rows.
-    """
-    limit = hot_from(total)
-    hot = small.filter(F.col(n) > limit)
-    if hot.isEmpty():
-        return big.join(small, keys, how)
-    hot = F.broadcast(hot)
-    cold = big.join(hot.select(*keys), keys, "left_anti").join(small.filter(F.col(n) <= limit), keys, how)
-    return big.join(hot, keys, "left_semi" if how == "left_semi" else "inner").unionByName(cold)
-
-
 def text_or_empty(df: DataFrame, name: str = "text"):
     return F.coalesce(df[name].cast("string"), F.lit(""))
 

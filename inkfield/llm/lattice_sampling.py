@@ -42,7 +42,7 @@ ALPHA = 0.001
 BYTE_COST = 32_000.0
 SEED = 70_007
 #: Units, and edges of their lattices, that a worker process remembers; the cache is emptied when full and never changes a result.
-CACHE, CACHED_EDGES = 500_000, 8_000_000
+CACHE, CACHED_EDGES = 500_000, 7_000_000
 #: Walks under this number go edge by edge, more of them side by side.
 FEW_WALKS = 4
 

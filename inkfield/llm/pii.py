@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_batch, batches, stash, table, text_or_empty
 
@@ -324,26 +325,37 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data masked and n_chars following the text; null texts stay null."""
-    good = fit(stash(candidates(docs).select("spans"), "op1-candidates")).probability >= ADD_FROM
-    names = docs.columns
-    at = names.index("text")
-    chars = names.index("n_chars") if "n_chars" in names else None
+    """``docs`` with personal data masked and n_chars following the text; null texts stay null.
+
+    Candidates are written beside the rows; rows without any never come to Python again.
+    """
+    at = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = ("kind", "start", "end", "code", "base")
+    span = T.StructType([*(T.StructField(n, T.IntegerType()) for n in names[:-1]), T.StructField("base", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_spans_", T.ArrayType(span))])
+
+    def find(it):
+        for b in batches(it, 256):
+            spans = pa.array([[dict(zip(names, c, strict=True)) for c in find_candidates(t or "")] for t in b.column(at).to_pylist()], type=pa.list_(_SPAN))
+            yield pa.RecordBatch.from_arrays([*b.columns, spans], names=[*b.schema.names, "_spans_"])
+
+    rows = stash(docs.mapInArrow(find, schema), "op1-rows")
+    good = fit(rows.select(F.col("_spans_").alias("spans"))).probability >= ADD_FROM
 
     def run(it):
         for b in batches(it, 256):
-            texts = []
-            for t in b.column(at).to_pylist():
-                spans = [(k, s, e) for k, s, e, c, base in find_candidates(t or "") if base or good[c]]
+            old, texts = b.column(at).to_pylist(), []
+            for t, found in zip(old, b.column(len(b.columns) - 1).to_pylist(), strict=True):
+                spans = [(x["kind"], x["start"], x["end"]) for x in found if x["base"] or good[x["code"]]]
                 texts.append(masked(t, spans) if spans else t)
-            cols = list(b.columns)
+            cols = list(b.columns)[:-1]
             if chars is not None:
-                old = cols[chars].to_pylist()
-                cols[chars] = pa.array([len(new) if new is not None and new is not was else n for new, was, n in zip(texts, b.column(at).to_pylist(), old, strict=True)], type=cols[chars].type)
+                cols[chars] = pa.array([len(new) if new is not was else n for new, was, n in zip(texts, old, cols[chars].to_pylist(), strict=True)], type=cols[chars].type)
             cols[at] = pa.array(texts, type=cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.filter("size(_spans_) > 0").mapInArrow(run, docs.schema).unionByName(rows.filter("size(_spans_) = 0").drop("_spans_"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

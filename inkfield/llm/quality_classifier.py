@@ -15,9 +15,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_batch, batches, stash, table, text_or_empty
 from .quality_rules import STOPWORDS
@@ -176,18 +178,25 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects. Scores depend on the text alone, so rows are scored where they lie."""
-    stats = stash(document_statistics(docs), "op4-stats")
-    marks = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    model = fit(stats.filter(~held_out()).join(marks, "doc_id"))
-    names = docs.columns
-    at = names.index("text")
+    """``docs`` without the rows that the classifier rejects.
+
+    The statistics are written beside the rows, so that texts are read by Python once; scores depend on them alone.
+    """
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_x_", T.ArrayType(T.DoubleType()))])
 
     def run(it):
         for b in batches(it, 256):
-            texts = b.column(at).to_pylist()
-            if texts:
-                x = np.array([statistics(t or "") for t in texts])
-                yield b.filter(pa.array(model.score(x) >= 0.5))
+            x = pa.array([statistics(t or "") for t in b.column(at).to_pylist()], type=pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, x], names=[*b.schema.names, "_x_"])
+
+    rows = stash(docs.mapInArrow(run, schema), "op4-rows")
+    marks = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_x_").alias("x"))
+    model = fit(known.filter(~held_out()).join(marks, "doc_id"))
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else [])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.filter(score("_x_") >= 0.5).drop("_x_")

@@ -3,23 +3,25 @@
 Fingerprints. One Arrow pass over whole texts; equal fingerprints are pre-aggregated, so a
 group of exact copies is one row from there on.
 
-Join. Two fingerprints within 4 of 64 bits agree on one of 5 blocks of bits. For each block,
-the distinct fingerprints that share its value form a binary trie (their sorted bits, the
-shared block rotated to the front). The trie is joined with itself: pairs of nodes are
+Join. Two fingerprints within 4 of 64 bits agree on one of 5 blocks of bits, and on two of 6: the
+keys are single blocks, or pairs of blocks once there are so many fingerprints that a block's values are few for them.
+For each key, the distinct fingerprints that share its value form a binary trie (their sorted bits, a
+single shared block rotated to the front). The trie is joined with itself: pairs of nodes are
 traversed together, differing bits are accumulated, and a pair is pruned once they exceed
 the budget, or once both of its subtrees already lie in the same component. The second rule
 is why a dense cluster emits a spanning forest (at most one link a fingerprint) and never
 all of its pairs; no connection is lost.
 
-A block value that holds far more fingerprints than the average is dealt to several tasks:
+A value that holds more than ``PER_TASK`` fingerprints is dealt to several tasks:
 its fingerprints are salted into c classes, and each task joins two of the classes.
 
-Components. Links become components by alternating star contraction, in DataFrame joins,
-each round written as a scratch table.
+Components. Links become components by alternating star contraction (``operators.graph.contracted``).
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,20 +29,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_batch, batches, pieces, shuffle_width, stash, table, text_or_empty
+from ..operators import graph
+from .common import as_batch, batches, join_counted, pieces, shuffle_width, stash, table, text_or_empty
 
 SEED = 42
 SHINGLE = 4
 BUDGET = 4
-#: (first bit from the top, bits) of each block; one more block than bits may differ.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: A block value is hot beyond this many times the mean (and this many fingerprints).
-HOT_TIMES, HOT_LEAST = 8, 4096
+#: Lengths of the blocks of bits; one more block than bits may differ, or two more.
+FIVE, SIX = (13, 13, 13, 13, 12), (11, 11, 11, 11, 10, 10)
+#: Fingerprints up to which single blocks are the keys; and fingerprints of one key that are joined in one task.
+SINGLE_UP_TO, PER_TASK = 1 << 26, 1 << 16
+#: Hot values that are broadcast at most.
+MOST_HOT = 1_000_000
 ROWS_PER_TASK = 400_000
 #: Trie nodes of at most this many fingerprints are compared outright.
 LEAF = 8
 FRONTIER = 200_000
 
+#: Stands for a null id in joins, beside a flag.
+NO_ID = -1
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else (32 if 9 <= b <= 13 else b) for b in range(256))
 
 
@@ -188,33 +196,49 @@ def _split(bits, lo, hi, depth):
 _LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def block_keys(n: int) -> list[tuple[list[str], int]]:
+    """Keys for ``n`` fingerprints: the SQL terms of a key's value, and the bits to turn left so that a single block is in front (0 for pairs)."""
+    lengths, of = (FIVE, 1) if n <= SINGLE_UP_TO else (SIX, 2)
+    begin = [sum(lengths[:k]) for k in range(len(lengths))]
+    out = []
+    for chosen in combinations(range(len(lengths)), of):
+        terms, up = [], 0
+        for k in reversed(chosen):
+            terms.append(f"shiftleft(shiftrightunsigned(fp, {64 - begin[k] - lengths[k]}) & {(1 << lengths[k]) - 1}L, {up})")
+            up += lengths[k]
+        out.append((terms, begin[chosen[0]] if of == 1 else 0))
+    return out
+
+
 def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(a, b): links between distinct fingerprints that keep every connection of the Hamming graph.
 
-    ``fps`` has one column fp of distinct longs. At most 5 links a fingerprint and class.
+    ``fps`` has one column fp of distinct longs. At most one link a fingerprint, key and class.
     """
     if budget != BUDGET:
         raise ValueError("the blocks are laid out for a budget of 4")
     spark = fps.sparkSession
     n = fps.count()
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.expr(f"cast(shiftrightunsigned(fp, {64 - at - width}) & {(1 << width) - 1} as int)").alias("value")) for k, (at, width) in enumerate(BLOCKS)])
-    keyed = fps.select("fp", F.explode(blocks).alias("k")).select("fp", "k.block", "k.value")
-    mean = n / float(1 << 13)
-    hot_from = int(max(HOT_LEAST, HOT_TIMES * mean))
-    # At most 5 * 8192 block values exist, fewer of them hot: this broadcast is bounded.
-    hot = keyed.groupBy("block", "value").count().filter(F.col("count") > hot_from).select("block", "value", F.ceil(F.col("count") / hot_from).cast("int").alias("c"))
+    keys = block_keys(n)
+    values = F.array(*[F.struct(F.lit(k).alias("block"), F.expr(" | ".join(f"({part})" for part in parts)).alias("value")) for k, (parts, _) in enumerate(keys)])
+    keyed = fps.select("fp", F.explode(values).alias("k")).select("fp", "k.block", "k.value")
+    counted = keyed.groupBy("block", "value").count().filter(F.col("count") > PER_TASK)
+    hot = stash(counted.select("block", "value", "count", F.ceil(F.col("count") / PER_TASK).cast("int").alias("c")), "simhash-hot")
+    if hot.count() <= MOST_HOT:
+        spread = keyed.join(F.broadcast(hot.drop("count")), ["block", "value"], "left")
+    else:
+        spread = join_counted(keyed, hot, ["block", "value"], "count", len(keys) * n, "left").drop("count")
     salted = (
-        keyed.join(F.broadcast(hot), ["block", "value"], "left")
-        .withColumn("c", F.coalesce("c", F.lit(1)))
+        spread.withColumn("c", F.coalesce("c", F.lit(1)))
         .withColumn("s", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         .select("fp", "block", "value", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
     )
-    parts = pieces(5 * n, ROWS_PER_TASK, shuffle_width(spark))
+    parts = pieces(len(keys) * n, ROWS_PER_TASK, shuffle_width(spark))
     dealt = salted.repartition(parts, "block", "value", "i", "j").select(
-        "fp", F.expr("cast(((block * 8192L + value) * 16384L + i) * 16384L + j as long)").alias("g"), "block"
+        "fp", F.xxhash64("block", "value", "i", "j").alias("g"), "block"
     )
-    turn = np.array([at for at, _ in BLOCKS], dtype=np.uint64)
+    turn = np.array([at for _, at in keys], dtype=np.uint64)
 
     def run(it):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in it]
@@ -238,28 +262,6 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node (as a signed long) of each linked node's component; alternating star contraction."""
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc-0")
-    before = None
-    for k in range(1, most_rounds + 1):
-        # Large star: every larger neighbour of u is tied to the smallest of u and its neighbours.
-        both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: u and its smaller neighbours are tied to the smallest of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = stash(small.filter("u <> v").distinct(), f"cc-{k}")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the components did not settle")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-
-
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fp (signed long), component_id and root (the component's least fingerprint), one row for each row of ``docs``.
 
@@ -267,22 +269,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Repeated rows give repeated rows. A null doc_id never becomes a component's id unless all
     of its ids are null (component_id is then null). Empty table: no rows.
     """
-    fp_of = stash(fingerprints(docs, id_column, text_column), "simhash-fp")
-    classes = stash(fp_of.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    tied = components(trie_links(classes.select("fp")))
-    rooted = classes.join(tied, classes.fp == tied.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
-    return fp_of.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    return grouped(stash(fingerprints(docs, id_column, text_column), "simhash-fp"))
+
+
+def grouped(fp_of: DataFrame) -> DataFrame:
+    """``near_duplicates`` of rows (doc_id, fp). Rows of a crowded fingerprint or component meet its name by broadcast."""
+    classes = stash(fp_of.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    links = trie_links(classes.select("fp"))
+    tied = graph.contracted(links)
+    rooted = stash(classes.join(tied, classes.fp == tied.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    names = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "simhash-names")
+    total, rows = rooted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    named = stash(join_counted(rooted, names, ["root"], "members", total).select("fp", "component_id", "root", "n"), "simhash-named")
+    return join_counted(fp_of, named, ["fp"], "n", rows).select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id's (null only if all are), of rows with that id the first by text.
 
     Rows are told apart by id and fingerprint, so other rows of an id stay unless they are near-duplicates too.
+    Fingerprints are written beside the rows, so that texts are read by Python once.
     """
-    first_id = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("fp").alias("f"))
-    found = near_duplicates(docs).groupBy("root").agg(F.min(first_id).alias("k"))
-    kept = stash(found.select(F.col("k.i").alias("_id_"), F.col("k.f").alias("_fp_")), "simhash-kept")
     names = docs.columns
     at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("_own_fp_", T.LongType())])
@@ -292,9 +299,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t or "") for t in b.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "_own_fp_"])
 
-    near = docs.join(kept.select("_id_").distinct(), docs["doc_id"].eqNullSafe(F.col("_id_")), "left_semi").mapInArrow(run, schema)
-    chosen = near.join(kept, near["doc_id"].eqNullSafe(kept["_id_"]) & (near["_own_fp_"] == kept["_fp_"]), "left_semi")
-    first = Window.partitionBy("doc_id", "_own_fp_").orderBy(F.xxhash64("text"), "text")
+    own = stash(docs.mapInArrow(run, schema), "simhash-rows")
+    first_id = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("fp").alias("f"))
+    found = grouped(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_own_fp_").alias("fp"))).groupBy("root").agg(F.min(first_id).alias("k"))
+    kept = stash(found.select(F.coalesce(F.col("k.i"), F.lit(NO_ID)).alias("_id_"), F.col("k.n").alias("_none_"), F.col("k.f").alias("_own_fp_")), "simhash-kept")
+    keyed = own.withColumns({"_none_": F.col("doc_id").isNull(), "_id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    chosen = keyed.join(kept, ["_id_", "_none_", "_own_fp_"], "left_semi")
+    # Of rows with one id and fingerprint, the first by text.
+    first = Window.partitionBy("_id_", "_none_", "_own_fp_").orderBy(F.xxhash64("text"), "text")
     return chosen.withColumn("_nth_", F.row_number().over(first)).filter("_nth_ = 1").select(*names)
 
 

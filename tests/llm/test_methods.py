@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from inkfield.llm import ann, common, induced_sorting, lattice_sampling, license_scan, packing, pii, quality_classifier, quality_rules, registry, sharding, simhash_dedup, suffix_dedup
+from inkfield.llm import ann, induced_sorting, lattice_sampling, license_scan, packing, pii, quality_classifier, quality_rules, registry, sharding, simhash_dedup, suffix_dedup
+from inkfield.operators import graph, skew
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,11 +107,14 @@ def test_simhash_query(spark, texts):
     assert {r["doc_id"]: r["component_id"] for r in rows} == plain_components(fps)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_trie_links_keep_every_connection(spark, monkeypatch, hot):
-    if hot:  # salt groups as if they were crowded
-        monkeypatch.setattr(simhash_dedup, "HOT_LEAST", 8)
-        monkeypatch.setattr(simhash_dedup, "HOT_TIMES", 0)
+@pytest.mark.parametrize("case", ["plain", "crowded", "pairs", "crowded pairs by shuffle"])
+def test_trie_links_keep_every_connection(spark, monkeypatch, case):
+    if "crowded" in case:
+        monkeypatch.setattr(simhash_dedup, "PER_TASK", 4)
+    if "pairs" in case:
+        monkeypatch.setattr(simhash_dedup, "SINGLE_UP_TO", 0)
+    if "shuffle" in case:
+        monkeypatch.setattr(simhash_dedup, "MOST_HOT", -1)
     rng = random.Random(1)
     fps = {rng.getrandbits(64) for _ in range(150)}
     for x in list(fps)[:25]:
@@ -123,7 +127,7 @@ def test_trie_links_keep_every_connection(spark, monkeypatch, hot):
     signed = {x - (1 << 64) if x >> 63 else x: x for x in fps}
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
     links = simhash_dedup.trie_links(df)
-    root = {r["node"]: r["root"] for r in simhash_dedup.components(links).collect()}
+    root = {r["node"]: r["root"] for r in graph.contracted(links).collect()}
     want = plain_components(signed)
     assert {s: root.get(s, s) for s in signed} == want
 
@@ -253,8 +257,8 @@ def test_suffix_query(spark, texts):
 @pytest.mark.parametrize("hot", [False, True])
 def test_planted_passages(spark, monkeypatch, hot):
     if hot:  # every key is hot or crowded
-        monkeypatch.setattr(common, "HOT_ROWS", 1)
-        monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+        monkeypatch.setattr(skew, "HOT_ROWS", 1)
+        monkeypatch.setattr(skew, "HOT_KEYS", 10**9)
         monkeypatch.setattr(suffix_dedup, "CROWDED", 1)
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdefgh é\n") for _ in range(n))
