@@ -424,6 +424,36 @@ def test_nearest_recall_and_scores(spark):
     assert hit >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("hashes, n", [(2, 6000), (3, 1500)])
+def test_buckets_of_several_axes(spark, hashes, n):
+    """Recall of compound buckets, forced on fewer vectors than they are made for, and the share of products that they take."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    probes = {2: 300, 3: 6_000}[hashes]
+    found = defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), f"vec_id % {n // 100} = 0", hashes=hashes, probes=probes).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    x = x.astype(np.float32).astype(np.float64)
+    truth = {q: set(np.argsort(-np.where(np.arange(len(x)) == q, -9, x @ x[q]))[:20].tolist()) for q in found}
+    assert len(found) == 100 and sum(len(truth[q] & found[q]) for q in found) >= 0.9 * 2000
+
+
+def test_probed_buckets_are_the_best():
+    x = ann.unit_rows(np.random.default_rng(9).normal(size=(6, 16)))
+    for k, n in ((1, 5), (2, 40), (3, 200)):
+        near, subs = ann.probed(x, 4, k, n)
+        y = [np.stack([-z, z], axis=2).reshape(len(x), -1) for z in (ann.rotate(x, 4 + 1_000 * j) for j in range(k))]
+        for i in range(len(x)):
+            total = y[0][i]
+            for z in y[1:]:
+                total = (total[:, None] + z[i][None, :]).ravel()
+            want = np.sort(total)[::-1][:n]
+            assert np.allclose(np.sort(total[near[i] * 32 ** (k - 1) + subs[i]])[::-1], want)
+        own, sub = ann.buckets(x, 4, k)
+        assert all((own[i], sub[i]) in set(zip(near[i].tolist(), subs[i].tolist(), strict=True)) for i in range(len(x)))
+
+
 @pytest.mark.parametrize("kind", ["outlier", "one of norm 2", "log-normal", "uniform", "two large bands"])
 def test_nearest_recall_with_uneven_norms(spark, kind):
     rng = np.random.default_rng(3)
