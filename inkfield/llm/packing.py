@@ -271,15 +271,15 @@ def _as_packing(of) -> Packing:
 
 
 def _round(items: DataFrame, blocks: int, limit: int, seed: int) -> DataFrame:
-    """(uid, length, block, bin, place, fill) of the best packing of each block; ``items`` are (uid, length)."""
+    """(_uid_, length, block, bin, place, fill) of the best packing of each block; ``items`` are (_uid_, length)."""
     spark = items.sparkSession
     width = pieces(items.count() * ISLANDS, 20_000, shuffle_width(spark))
-    dealt = items.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(blocks)).cast("int").alias("block"))
+    dealt = items.select("_uid_", "length", F.pmod(F.xxhash64("_uid_", F.lit(seed)), F.lit(blocks)).cast("int").alias("block"))
     on_islands = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
     kind = "block int, island int, bins int, fill double, of array<int>"
 
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(["length", "uid"], ascending=[False, True], ignore_index=True)
+        return rows.sort_values(["length", "_uid_"], ascending=[False, True], ignore_index=True)
 
     def epoch(rows: pd.DataFrame, elite: pd.DataFrame, key, number: int) -> pd.DataFrame:
         block, island = int(key[0]), int(key[1])
@@ -308,20 +308,22 @@ def _round(items: DataFrame, blocks: int, limit: int, seed: int) -> DataFrame:
         ends = rows.groupby("bin")["length"].cumsum()
         rows["place"] = ends - rows["length"]
         rows["fill"] = rows.groupby("bin")["length"].transform("sum")
-        return rows[["uid", "length", "block", "bin", "place", "fill"]]
+        return rows[["_uid_", "length", "block", "bin", "place", "fill"]]
 
-    return dealt.groupBy("block").cogroup(winner.groupBy("block")).applyInPandas(lay_out, "uid long, length long, block int, bin int, place long, fill long")
+    return dealt.groupBy("block").cogroup(winner.groupBy("block")).applyInPandas(lay_out, "_uid_ long, length long, block int, bin int, place long, fill long")
 
 
 def pack(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Add sequence_id and offset to rows that have ``length`` (1 to ``limit``); any other columns stay.
+    """Add sequence_id and offset to rows that have ``length`` (1 to ``limit``); any other columns stay (these two are replaced).
 
-    Equal lengths and repeated rows are told apart by a row number of our own. Empty table: no
-    rows. Every row is packed, none twice, and offsets leave no gaps.
+    Equal lengths, repeated rows and null ids are told apart by a row number of our own. Empty table: no
+    rows. Every row is packed, none twice, and offsets leave no gaps. After ``MOST_ROUNDS`` rounds all bins
+    are final, however full: that can cost sequences, never rows.
     """
-    rows = stash(cut_pieces.withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
-    placed = [rows.filter(F.col("length") >= limit).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    left = rows.filter(F.col("length") < limit).select("uid", "length")
+    cut_pieces = cut_pieces.drop("sequence_id", "offset")
+    rows = stash(cut_pieces.withColumn("_uid_", F.monotonically_increasing_id()), "pack-pieces")
+    placed = [rows.filter(F.col("length") >= limit).select("_uid_", F.col("_uid_").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    left = rows.filter(F.col("length") < limit).select("_uid_", "length")
     n = left.count()
     for number in range(MOST_ROUNDS):
         if not n:
@@ -332,15 +334,15 @@ def pack(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         full = F.lit(True) if final else F.col("fill") >= WELL_FILLED * limit
         # Whole documents' sequences have ids from 0 up; a round's begin at its number plus one times -2**56.
         name = F.lit(-(number + 1) * (1 << 56)) + F.col("block").cast("long") * (1 << 24) + F.col("bin")
-        placed.append(done.filter(full).select("uid", name.alias("sequence_id"), F.col("place").alias("offset")))
+        placed.append(done.filter(full).select("_uid_", name.alias("sequence_id"), F.col("place").alias("offset")))
         if final:
             break
-        left = done.filter(~full).select("uid", "length")
+        left = done.filter(~full).select("_uid_", "length")
         n = left.count()
     every = placed[0]
     for p in placed[1:]:
         every = every.unionByName(p)
-    return rows.join(every, "uid").drop("uid")
+    return rows.join(every, "_uid_").drop("_uid_")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ card-like numbers, IPv6). Four labelers vote for, against or abstain on every ca
 
 * pattern: does it have the kind's strict form (parts, digits, Luhn)?
 * gazetteer: known top-level domains, card issuers, country codes, address ranges;
-* context: words just before it that announce, or rule out, the kind;
-* edges: against what is part of a longer code; a clean cut proves nothing, so it abstains.
+* context: words just before it that announce, or rule out, the kind; without any, for what stands
+  in prose and against what stands among other numbers;
+* edges: for a clean cut, against what is part of a longer code.
 
 Expectation-maximisation on the histogram of vote patterns (at most 4 kinds x 3**4) over all
-documents estimates each labeler's reliability; its posteriors weight the training of the
+documents estimates how often each labeler votes for, against or abstains given the truth, for each kind,
+and the share of true spans; its posteriors weight the training of the
 final span classifier, a regularised logistic regression on votes, kind and length class.
 Looser candidates are added where that classifier is confident and no base span overlaps.
 """
@@ -32,11 +34,11 @@ from .common import as_batch, batches, stash, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ADD_FROM = 0.9
-ROUNDS = 15
-#: The share of true spans among candidates is given, not estimated: with few labelers it could not be told from their reliability.
-BALANCE = 0.5
-#: Pseudo-votes of the accuracy that each labeler starts from.
-START, PSEUDO = 0.8, 10
+ROUNDS = 100
+#: Pseudo-candidates behind the share of true ones among a kind's candidates, a half.
+SHARE_PSEUDO = 20
+#: Pseudo-votes of each labeler, against, abstaining and for, given a true span (turned round for a false one); the strict form is surer.
+PRIOR = ((0.4, 59.6, 140.0), (1.0, 3.0, 6.0), (1.0, 3.0, 6.0), (1.0, 3.0, 6.0))
 CONTEXT = 40
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -167,10 +169,14 @@ def vote(text: str, kind: int, start: int, end: int, strict: bool) -> int:
         gazetteer = 2 if digits[0] in "23456789" else 0
     if any(c in before for c in AGAINST):
         context = 0
+    elif any(c in before for c in CUES[kind]):
+        context = 2
     else:
-        context = 2 if any(c in before for c in CUES[kind]) else 1
+        around = before + text[end : end + CONTEXT]
+        letters = sum(map(str.isalpha, around))
+        context = 2 if 2 * letters >= len(around) > 0 else 0 if 4 * letters < len(around) else 1
     left, right = text[start - 1 : start], text[end : end + 1]
-    edges = 0 if left.isalnum() or right.isalnum() or left in ("-", "_", "/", "=") or right in ("-", "_", "/") else 1
+    edges = 0 if left.isalnum() or right.isalnum() or left in ("-", "_", "/", "=") or right in ("-", "_", "/") else 2
     return ((pattern * 3 + gazetteer) * 3 + context) * 3 + edges
 
 
@@ -194,7 +200,7 @@ class SpanModel:
     def __init__(self, counts: np.ndarray):
         codes = np.flatnonzero(counts)
         self.probability = np.zeros(N_CODES)
-        self.reliability: dict[str, list[float]] = {}
+        self.reliability: dict[str, list[tuple[float, float]]] = {}
         if not len(codes):
             return
         n = counts[codes].astype(np.float64)
@@ -204,25 +210,29 @@ class SpanModel:
         self._classifier(codes, n, kind, votes, posterior)
 
     def _em(self, n, kind, votes):
-        """Labelers err independently given the truth; a vote's accuracy is estimated for each labeler and kind."""
+        """Labelers vote independently given the truth."""
         posterior = np.empty(len(n))
         for k in range(len(KINDS)):
             of = kind == k
             if not of.any():
                 continue
             w, v = n[of], votes[of]
-            q = 1 / (1 + np.exp(-(1.5 * (v == 2).sum(axis=1) - 2.5 * (v == 0).sum(axis=1))))
+            prior = np.array([[p[::-1], p] for p in PRIOR])  # labeler, truth, vote
+            rate = prior / prior.sum(axis=2, keepdims=True)
+            share = 0.5
             for _ in range(ROUNDS):
-                z = np.full(len(w), math.log(BALANCE / (1 - BALANCE)))
-                own = []
+                z = np.full(len(w), math.log(share / (1 - share)))
                 for j in range(4):
-                    said = v[:, j] != 1
-                    right = (w * np.where(v[:, j] == 2, q, 1 - q))[said].sum()
-                    a = float(np.clip((right + START * PSEUDO) / (w[said].sum() + PSEUDO), 0.55, 0.99))
-                    own.append(a)
-                    z += (v[:, j] - 1) * math.log(a / (1 - a))
+                    z = z + np.log(rate[j, 1, v[:, j]] / rate[j, 0, v[:, j]])
                 q = 1 / (1 + np.exp(-z))
-            self.reliability[KINDS[k]] = own
+                seen = prior.copy()
+                for j in range(4):
+                    np.add.at(seen[j, 1], v[:, j], w * q)
+                    np.add.at(seen[j, 0], v[:, j], w * (1 - q))
+                rate = seen / seen.sum(axis=2, keepdims=True)
+                share = float(((w * q).sum() + SHARE_PSEUDO / 2) / (w.sum() + SHARE_PSEUDO))
+            #: Of each labeler: how often it is for a true span, and against a false one.
+            self.reliability[KINDS[k]] = [(float(rate[j, 1, 2]), float(rate[j, 0, 0])) for j in range(4)]
             posterior[of] = q
         return posterior
 

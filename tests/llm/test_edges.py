@@ -120,3 +120,32 @@ def test_vectors_that_take_no_part(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(v, "vec_id % 20 = 0").orderBy("rank").collect()]
     assert got == [(0, 1, 2), (0, 2, 1), (0, 3, 9)]
     assert ann.nearest(v.limit(0), "vec_id % 20 = 0").count() == 0
+
+
+def test_sampling_of_repeated_rows_and_no_rows(spark, docs):
+    rows = [tuple(r) for r in lattice_sampling.sample_segmentations(docs).filter("doc_id = 4").collect()]
+    assert len(rows) == 6 and len(set(rows)) == 3
+    assert lattice_sampling.sample_segmentations(table(spark, [])).count() == 0
+
+
+def test_packing_keeps_a_callers_columns(spark):
+    rows = spark.createDataFrame([(1, 10, "a", 5), (None, 4096, "b", 6), (None, 4086, "c", 7)], "doc_id long, length long, uid string, offset long")
+    got = {r["uid"]: r for r in packing.pack(rows).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"]["sequence_id"] == got["c"]["sequence_id"] != got["b"]["sequence_id"]
+
+
+def test_vectors_with_clashing_columns(spark):
+    rows = [(k, [float(k % 7), 1.0, float(k)], 3, "x", 0.1, 9) for k in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cell string, score double, gid long")
+    assert ann.nearest(v, "vec_id % 20 = 0").count() == 60
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for d in (docs, table(spark, [])):
+            out = stage(spark, d, str(tmp_path))
+            assert name == "packing" or out.columns == docs.columns
+            out.count()

@@ -70,6 +70,18 @@ def test_failed_checksums_are_not_added():
     assert model.probability[bad] < 0.5
 
 
+def test_em_learns_the_labelers_rates():
+    """Votes drawn with given rates: the estimates leave their start and come near."""
+    rng = np.random.default_rng(5)
+    counts = np.zeros(pii.N_CODES)
+    rates = ((0.9, 0.8), (0.95, 0.4), (0.7, 0.7), (0.6, 0.9))  # for if true, against if false; no abstention
+    for true in rng.random(6000) < 0.5:
+        votes = [2 if (rng.random() < (a if true else 1 - b)) else 0 for a, b in rates]
+        counts[((3 * 81) + ((votes[0] * 3 + votes[1]) * 3 + votes[2]) * 3 + votes[3]) * 4 + 1] += 1
+    got = pii.SpanModel(counts).reliability["phone"]
+    assert all(abs(x - y) < 0.06 for own, want in zip(got, rates, strict=True) for x, y in zip(own, want, strict=True))
+
+
 # ---- 2
 
 
@@ -198,6 +210,28 @@ def test_discriminant_equals_densities():
 # ---- 5
 
 
+def test_sharding_sizes_and_checksums(spark, texts):
+    for r in registry.queries()["op5_sharding"](spark, SF).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
+
+
+def test_sharding_with_a_hot_null_id_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 5)
+    rows = spark.createDataFrame([(None if k % 3 else 5, 7, k, 1, 2, 3, 4) for k in range(1500)], "doc_id long, size long, at int, shard int, h int, part int, range int").repartition(6)
+    out = sharding.shuffle_into_shards(rows, tie_columns=("size",), n_shards=7).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(r["at"] for r in out) == list(range(1500)) and {(r["h"], r["part"], r["range"]) for r in out} == {(2, 3, 4)}
+    assert {len(x) for x in slots.values()} <= {214, 215} and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    # Uniform: where a row lay says nothing about where it goes.
+    m = np.zeros((2, 7))
+    for r in out:
+        m[r["at"] % 2, r["shard"]] += 1
+    assert (abs(m - 1500 / 14) < 45).all()
+
+
 def test_sharding_is_exact_and_uniform(spark):
     rows = registry.queries()["op5_sharding"](spark, SF).collect()
     slots = defaultdict(list)
@@ -509,6 +543,9 @@ def test_templates_match_with_lost_words_but_not_without_their_phrases():
     assert index.scan(mit.replace("granted", "given"))[2].get("mit") is None
     assert index.scan("This work is licensed under the GNU General Public License, version 3.")[2] == {"gpl-3": 1.0}
     assert index.scan("a licensed plumber under the sink, general public works")[2] == {}
+    for label, wording, _ in license_scan.TEMPLATES:
+        assert label in index.scan(f"some text before. {wording} and after")[2]
+    assert "agpl-3" not in index.scan(license_scan.TEMPLATES[7][1])[2] and "gpl-3" in index.scan(license_scan.TEMPLATES[7][1])[2]
 
 
 # ---- 10
