@@ -80,10 +80,11 @@ def document_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str
     near = F.expr("filter(transform(_p, (x, k) -> if(shiftright(x ^ get(_p, k + 1), _b) = 0, k, null)), k -> k is not null)")
     d = c.withColumn("_p", packed).withColumn("_k", near)
     d = d.withColumn("_m", F.expr("shiftleft(1L, _b) - 1"))
-    # The whole hashes decide; both ends of each pair of neighbours are starts of a repeated window.
-    pairs = F.expr("transform(_k, k -> struct(cast(get(_p, k) & _m as int) as x, cast(get(_p, k + 1) & _m as int) as y))")
-    d = d.withColumn("_e", F.filter(pairs, lambda e: F.get("_h", e["x"]) == F.get("_h", e["y"])))
-    starts = F.sort_array(F.array_distinct(F.concat(F.transform("_e", lambda e: e["x"]), F.transform("_e", lambda e: e["y"]))))
+    # The whole hashes decide: places with a neighbour of the same leading bits are sorted again, by them.
+    places = F.expr("array_distinct(flatten(transform(_k, k -> array(cast(get(_p, k) & _m as int), cast(get(_p, k + 1) & _m as int)))))")
+    d = d.withColumn("_e", F.sort_array(F.transform(places, lambda p: F.struct(F.get("_h", p).alias("h"), p.alias("p")))))
+    equal = F.expr("filter(_e, (x, k) -> coalesce(x.h = get(_e, k + 1).h, false) or coalesce(x.h = get(_e, k - 1).h, false))")
+    starts = F.sort_array(F.transform(equal, lambda x: x["p"]))
     d = d.withColumn("_r", starts).drop("_h", "_p", "_k", "_m", "_e", "_b")
     # A window covers three words; a window that starts d < 3 words before the next one adds d.
     covered = F.aggregate(
