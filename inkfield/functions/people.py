@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 HAN = "一-鿿"
 
 # ---- Fixed values: they must equal the source's for right results.
-CLAN_SURNAMES = (
-    "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳"
-    "酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝"
+CLAN_SURNAMES = tuple(
+    """
+    赵 钱 孙 李 周 吴 郑 王 冯 陈
+    褚 卫 蒋 沈 韩 杨 朱 秦 尤 许
+    何 吕 施 张 孔 曹 严 华 金 魏
+    陶 姜 戚 谢 邹 喻 柏 水 窦 章
+    云 苏 潘 葛 奚 范 彭 郎 鲁 韦
+    昌 马 苗 凤 花 方 俞 任 袁 柳
+    酆 鲍 史 唐 费 廉 岑 薛 雷 贺
+    倪 汤 滕 殷 罗 毕 郝 邬 安 常
+    乐 于 时 傅 皮 卞 齐 康 伍 余
+    元 卜 顾 孟 平 黄 和 穆 萧 尹
+    姚 邵 湛 汪 祁 毛 禹 狄 米 贝
+    """.split()
 )
 WIFE_WORDS = ("妻", "妾", "孺人", "夫人", "氏")
 DYNASTIES = ("西汉", "东汉", "三国", "晋", "南北朝", "南朝", "北朝", "隋", "唐", "五代", "宋", "辽", "金", "元", "明", "清")
@@ -31,8 +42,18 @@ NOISE_WORDS = (
     "县侯", "列侯", "光禄", "卫尉", "太仆", "大理", "鸿胪", "宗正", "太子", "王世子", "长子", "次子",
     "京兆", "河南", "河北", "山西", "山东", "江南", "江左", "江右", "岭南", "塞北", "辽东", "关中", "塞外", "西域",
 )
-NOISE_ENDS = "年县州府城乡镇村里亭山水江河湖海港澳岛洲守尉监使相伯侯公王君臣郎史民仆位立崩薨卒记志传录典论集编考略图谱表诏令策书学寺观庙宫殿阁院部省司"
-NOISE_DATES = "([一二三四五六七八九十正]+月|[一二三四五六七八九十]+日)"
+NOISE_YEAR_ENDS = ("年",)
+NOISE_PLACE_ENDS = ("县", "州", "府", "城", "乡", "镇", "村", "里", "亭", "山", "水", "江", "河", "湖", "海", "港", "澳", "岛", "洲")
+NOISE_TITLE_ENDS = ("守", "尉", "监", "使", "相", "伯", "侯", "公", "王", "君", "臣", "郎", "史", "民", "仆")
+NOISE_EVENT_ENDS = ("位", "立", "崩", "薨", "卒")
+NOISE_BOOK_ENDS = ("记", "志", "传", "录", "史", "典", "论", "集", "编", "考", "略", "图", "谱", "表", "诏", "令", "策", "书")
+NOISE_HOUSE_ENDS = ("学", "寺", "观", "庙", "宫", "殿", "阁", "院", "府", "部", "省", "司")
+NOISE_STATES = ("汉", "唐", "宋", "元", "明", "清", "魏", "蜀", "吴", "晋", "隋", "秦", "周", "商", "夏", "虞", "金", "辽", "齐", "楚", "燕", "赵", "韩", "梁")
+NOISE_DATES = (
+    "正月", "二月", "三月", "四月", "五月", "六月", "七月", "八月", "九月", "十月", "十一月", "十二月",
+    "一日", "二日", "三日", "四日", "五日", "六日", "七日", "八日", "九日", "十日",
+    "十一日", "十二日", "十三日", "十四日", "十五日", "十六日", "十七日", "十八日", "十九日", "二十日",
+)
 BIOGRAPHY_STARTS = ("西汉", "东汉", "唐朝", "宋代", "元朝", "明朝", "清朝", "南北朝", "字", "号", "仕", "举", "进士", "举人", "生", "卒", "殁", "配", "继", "知", "任", "拜", "授", "封", "赠", "擢", "迁", "史", "公")
 YEAR_DYNASTIES = ((220, "汉"), (420, "魏晋"), (589, "南北朝"), (618, "隋"), (907, "唐"), (960, "五代"), (1279, "宋"), (1368, "元"), (1644, "明"), (1912, "清"))
 # ---- End of fixed values.
@@ -66,7 +87,8 @@ def classify(people: DataFrame) -> DataFrame:
 
 def is_noise(name: Column) -> Column:
     """Offices, places, dates, books and the like, which rules for names must not take for people."""
-    return name.isin(*NOISE_WORDS) | name.rlike(f"^.+[{NOISE_ENDS}]$") | name.rlike(f"^{NOISE_DATES}$") | name.rlike("^[汉唐宋元明清魏蜀吴晋隋秦周商夏虞金辽齐楚燕赵韩梁]$")
+    ends = (*NOISE_YEAR_ENDS, *NOISE_PLACE_ENDS, *NOISE_TITLE_ENDS, *NOISE_EVENT_ENDS, *NOISE_BOOK_ENDS, *NOISE_HOUSE_ENDS)
+    return name.isin(*NOISE_WORDS, *NOISE_STATES, *NOISE_DATES) | ((F.length(name) >= 2) & F.substring(name, -1, 1).isin(*ends))
 
 
 def _all(pattern: str, line: str = "line", group: int = 1) -> Column:

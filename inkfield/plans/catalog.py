@@ -513,7 +513,7 @@ _PER = fx.values(fx.PERSONS, fx.PERSON_COLUMNS)
 _TXT = fx.values(fx.TEXTS, fx.TEXT_COLUMNS)
 _HAN = "\\x{4e00}-\\x{9fff}"
 _CLASS = f"""CASE WHEN regexp_matches(role_of_family, '妻|妾|孺人|夫人|氏') OR regexp_matches(label_chs, '妻|妾|孺人|夫人|^.氏$') THEN 1
-  WHEN contains('{kin.CLAN_SURNAMES}', nullif(coalesce(nullif(regexp_extract(family_name, '[{_HAN}]'), ''), regexp_extract(label_chs, '[{_HAN}]')), '')) THEN 0
+  WHEN contains('{''.join(kin.CLAN_SURNAMES)}', nullif(coalesce(nullif(regexp_extract(family_name, '[{_HAN}]'), ''), regexp_extract(label_chs, '[{_HAN}]')), '')) THEN 0
   WHEN dynasty <> '' AND title <> '' THEN 3 ELSE 2 END"""
 
 
@@ -571,8 +571,8 @@ SELECT DISTINCT id, type, name FROM (
   UNION ALL SELECT id, 'PER', regexp_extract(line, '^([{_HAN}]{{3}})，字', 1) FROM ln
   UNION ALL SELECT id, 'PER', unnest(regexp_extract_all(line, '([{_HAN}]{{2,3}})之[父母子女兄弟姐妹]', 1)) FROM ln
   UNION ALL SELECT id, 'LOC', unnest(regexp_extract_all(line, '\\(今([{_HAN}]{{2,5}})\\)', 1)) FROM ln)
-WHERE name <> '' AND name NOT IN ({_LIST(kin.NOISE_WORDS)}) AND NOT regexp_matches(name, '^.+[{kin.NOISE_ENDS}]$') AND NOT regexp_matches(name, '^{kin.NOISE_DATES}$')
-  AND NOT regexp_matches(name, '^[汉唐宋元明清魏蜀吴晋隋秦周商夏虞金辽齐楚燕赵韩梁]$'))"""
+WHERE name <> '' AND name NOT IN ({_LIST((*kin.NOISE_WORDS, *kin.NOISE_STATES, *kin.NOISE_DATES))})
+  AND NOT (length(name) >= 2 AND name[-1] IN ({_LIST((*kin.NOISE_YEAR_ENDS, *kin.NOISE_PLACE_ENDS, *kin.NOISE_TITLE_ENDS, *kin.NOISE_EVENT_ENDS, *kin.NOISE_BOOK_ENDS, *kin.NOISE_HOUSE_ENDS))})))"""
 
 
 @query(f"SELECT * FROM {_NER}")
