@@ -458,13 +458,12 @@ def test_nearest_recall_and_scores(spark):
     assert hit >= 0.9 * 20 * len(found)
 
 
-@pytest.mark.parametrize("hashes, n", [(2, 6000), (3, 1500)])
-def test_buckets_of_several_axes(spark, hashes, n):
-    """Recall of compound buckets, forced on fewer vectors than they are made for, and the share of products that they take."""
+@pytest.mark.parametrize("hashes, n, dim, probes", [(2, 6000, 64, 300), (3, 3000, 16, 2500)])
+def test_buckets_of_several_axes(spark, hashes, n, dim, probes):
+    """Recall of compound buckets, forced on fewer vectors than they are made for."""
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(n, 64))
+    x = rng.normal(size=(n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    probes = {2: 300, 3: 6_000}[hashes]
     found = defaultdict(set)
     for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), f"vec_id % {n // 100} = 0", hashes=hashes, probes=probes).collect():
         found[r["query_id"]].add(r["vec_id"])
