@@ -70,7 +70,7 @@ _PIECE = 1 << 22
 #: Bytes of items sorted in one task.
 TASK_BYTES = 16 << 20
 #: Different items of one key that are sorted together; more are split, each into so many. 
-CROWDED, SPLIT = 512, 8
+CROWDED, SPLIT = 128, 8
 #: Keys that are broadcast at most, to pick the contents of their items where these lie; and items that a task remembers having written.
 MOST_KEYS, REMEMBERED = 1_000_000, 500_000
 
@@ -302,26 +302,19 @@ def marks_of(group: dict[tuple, list], w: Windows = EXACT) -> list[tuple]:
 
 
 def mark_repeats(items: DataFrame, w: Windows) -> DataFrame:
-    """(key, digest, n, ranges): repeated starts a to z of each item that has any.
-
-    ``items``: rows with the contents of items (key, digest, left, right) and rows with their counts (key, digest, n, copies), lying together by key.
-    """
+    """(key, digest, n, ranges): repeated starts a to z of each item that has any. ``items`` (key, digest, left, right, n, copies), each once, lie together by key."""
 
     def run(it):
         group: dict[tuple, list] = {}
         rows: list[tuple] = []
         at = None
         for b in it:
-            for key, digest, left, right, n, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, digest, *own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != at:
                     if group:
                         rows += marks_of(group, w)
                     group, at = {}, key
-                own = group.setdefault((key, digest), [b"", b"", 0, 0])
-                if n is None:
-                    own[:2] = left, right
-                else:
-                    own[2:] = n, copies
+                group[key, digest] = own
             if len(rows) > 10_000:
                 yield _listed(rows, _MARKS_SCHEMA)
                 rows = []
@@ -378,24 +371,22 @@ def marked(items: DataFrame, w: Windows, label: str) -> DataFrame:
         among = lambda rows, keys, how: join_counted(rows, keys, ["key"], "kinds", rows.count(), how)
     kinds = among(counts, several, "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
     alone = kinds.filter("kinds = 1 AND copies > 1").select("key", "digest", "n", whole.alias("ranges"))
-    contents = items.filter("left IS NOT NULL").select("key", "digest", "left", "right")
-    # Keys with a bounded number of items: each in one task.
-    few = several.filter(F.col("kinds") <= CROWDED)
-    rows = among(contents, few, "left_semi").withColumns({"n": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")})
-    numbers = kinds.filter(F.col("kinds").between(2, CROWDED)).select("key", "digest", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"), "n", "copies")
+    # Keys with different items: each item once, with its contents, from the first of the tasks that wrote them.
+    contents = among(items.filter("left IS NOT NULL").select("key", "digest", "left", "right"), several, "left_semi")
+    none = F.lit(None)
+    contents = contents.select("*", *[none.cast("long").alias(c) for c in ("n", "copies", "kinds")])
+    numbers = kinds.filter("kinds > 1").select("key", "digest", *[none.cast("binary").alias(c) for c in ("left", "right")], "n", "copies", "kinds")
+    own = contents.unionByName(numbers).groupBy("key", "digest").agg(F.first("left", True).alias("left"), F.first("right", True).alias("right"), *[F.max(c).alias(c) for c in ("n", "copies", "kinds")])
+    own = stash(own, f"{label}-own")
     parts = pieces(n_keys * 8 * w.bucket, TASK_BYTES, shuffle_width(items.sparkSession))
-    marks = alone.unionByName(mark_repeats(rows.unionByName(numbers).repartition(parts, "key").sortWithinPartitions("key"), w))
+    marks = alone.unionByName(mark_repeats(own.filter(F.col("kinds") <= CROWDED).repartition(parts, "key").sortWithinPartitions("key"), w))
     if most > CROWDED:
-        crowd = several.filter(F.col("kinds") > CROWDED)
-        numbers = kinds.filter(F.col("kinds") > CROWDED).select("key", "digest", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"), "n", "copies")
-        rows = among(contents, crowd, "left_semi").withColumns({"n": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")})
-        own = rows.unionByName(numbers).groupBy("key", "digest").agg(F.first("left", True).alias("left"), F.first("right", True).alias("right"), F.max("n").alias("n"), F.max("copies").alias("copies"))
-        own = stash(own, f"{label}-crowd")
+        crowd = own.filter(F.col("kinds") > CROWDED)
         step = max(1, w.bucket // SPLIT)
-        split = stash(split_items(own, w.bucket, step), f"{label}-split")
+        split = stash(split_items(crowd, w.bucket, step), f"{label}-split")
         hits = join_counted(split.select("key", "digest", "parent", "own", "shift"), marked(split, Windows(w.size, w.gram, step), label), ["key", "digest"], "n", split.count())
         found = hits.groupBy(F.col("parent").alias("key"), F.col("own").alias("digest")).agg(F.flatten(F.collect_list(moved("shift"))).alias("ranges"))
-        marks = marks.unionByName(found.join(own.select("key", "digest", "n"), ["key", "digest"]).select("key", "digest", "n", "ranges"))
+        marks = marks.unionByName(found.join(crowd.select("key", "digest", "n"), ["key", "digest"]).select("key", "digest", "n", "ranges"))
     return stash(marks, f"{label}-marks")
 
 
