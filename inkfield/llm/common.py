@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import join_counted, numbered  # noqa: F401
+from ..operators.skew import join_counted  # noqa: F401
 from ..sources.scratch import drop_path, scope, stash, write_kept  # noqa: F401
 
 #: Bytes that separate words: space and 0x09 to 0x0D.

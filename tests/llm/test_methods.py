@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from inkfield.llm import ann, induced_sorting, lattice_sampling, license_scan, packing, pii, quality_classifier, quality_rules, registry, sharding, simhash_dedup, suffix_dedup
 from inkfield.operators import graph, skew
@@ -196,6 +197,32 @@ def test_classifier_on_held_out_documents(spark):
     assert sum(p == q for p, q in tested) >= 0.95 * len(tested)
 
 
+def test_classifier_query_equals_densities_over_its_training_rows(spark, texts):
+    marks = defaultdict(int)
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r["quality"] in (0, 1):
+            marks[r["doc_id"]] = max(marks[r["doc_id"]], r["quality"])
+    x = {i: np.array(quality_classifier.statistics(t or "")) for i, t in texts.items()}
+    train = {c: np.array([x[i] for i, y in marks.items() if y == c and i in x and zlib.crc32(str(i).encode()) % 3 != 1]) for c in (0, 1)}
+    n = {c: len(v) for c, v in train.items()}
+    mean = {c: v.mean(axis=0) for c, v in train.items()}
+    own = {c: np.cov(v.T, bias=True) for c, v in train.items()}
+    pooled = sum(n[c] * own[c] for c in (0, 1)) / (n[0] + n[1])
+
+    def log_density(v, c):
+        cov = (1 - quality_classifier.TO_POOLED) * own[c] + quality_classifier.TO_POOLED * pooled
+        cov = (1 - quality_classifier.TO_DIAGONAL) * cov + quality_classifier.TO_DIAGONAL * np.diag(np.diag(cov))
+        cov += quality_classifier.RIDGE * (np.trace(pooled) / len(v) + 1e-6) * np.eye(len(v))
+        d = v - mean[c]
+        return -0.5 * (d @ np.linalg.solve(cov, d) + np.linalg.slogdet(cov)[1])
+
+    odds = math.log((n[1] + quality_classifier.PSEUDO) / (n[0] + quality_classifier.PSEUDO))
+    for r in registry.queries()["op4_quality_classifier"](spark, SF).collect():
+        z = np.clip(odds + log_density(x[r["doc_id"]], 1) - log_density(x[r["doc_id"]], 0), -500, 500)
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-5, abs_tol=1e-9) and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_discriminant_equals_densities():
     rng = np.random.default_rng(2)
     x = [rng.normal(0, 1, (400, 3)), rng.normal(1, 2, (500, 3))]
@@ -570,6 +597,16 @@ def test_packing_query_and_its_bound(spark):
     assert len(bins) <= least * 1.01 + 1
 
 
+def test_packing_query_cuts_what_the_tokenizer_gives(spark, texts):
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    want = set()
+    for i, t in texts.items():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        want |= {(i, k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))}
+    rows = registry.queries()["op10_packing"](spark, SF).collect()
+    assert len(rows) == len(want) and {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+
+
 def test_evolution_beats_plain_best_fit():
     rng = random.Random(9)
     lengths = sorted((rng.randint(900, 2100) for _ in range(240)), reverse=True)
