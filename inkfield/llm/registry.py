@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ann, lattice_sampling, license_scan, packing, pii, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup
+from . import ann, byte_bpe, code_compression, hard_negatives, lattice_sampling, license_scan, packing, pii, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable]:
@@ -22,8 +22,11 @@ def queries() -> dict[str, Callable]:
         "op8_ann": ann.op8_ann,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_packing": packing.op10_packing,
+        "op11_code_compression": code_compression.op11_code_compression,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_byte_bpe": byte_bpe.op13_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.oracle()}
+    return {"op3_quality_rules": quality_rules.oracle(), "op11_code_compression": code_compression.oracle(), "op12_hard_negatives": hard_negatives.oracle()}
