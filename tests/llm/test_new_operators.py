@@ -179,7 +179,7 @@ def library():
 
 
 def own_ids(bpe, text):
-    return np.frombuffer(bpe.encode(text), dtype="<u4").tolist()
+    return np.frombuffer(bpe.encode([text])[0], dtype="<u4").tolist()
 
 
 PIECES = st.sampled_from(["a", "b", "the", " ", "  ", "\n", "\t", "'", "'re", "'r", "e", "s", "1", "22", "é", "梦", "<|endoftext|>", "　", "\x85", "\x1c", "!", "...", "́", "ß", "x" * 50, "\x00", "\U0001f600"])
@@ -203,16 +203,39 @@ def test_long_matches_settle(library, text):
     assert own_ids(byte_bpe.bpe(byte_bpe.ranks_path(), byte_bpe.pattern()), text) == library.encode_ordinary(text)
 
 
-def test_joins_equal_merging_the_whole():
-    """Halves joined against merges over all bytes, under ranks whose merges are not in the order of their parts."""
+def merged_plainly(ranks, own):
+    """Merges over all bytes, one at a time: the lowest rank, the leftmost of equal ones."""
+    pieces = [own[k : k + 1] for k in range(len(own))]
+    while found := [(ranks[a + b], k) for k, (a, b) in enumerate(zip(pieces, pieces[1:])) if a + b in ranks]:  # noqa: B905
+        k = min(found)[1]
+        pieces[k : k + 2] = [pieces[k] + pieces[k + 1]]
+    return [ranks[p] for p in pieces]
+
+
+@pytest.mark.parametrize("listed", [0, 3, 64])
+@pytest.mark.parametrize("leaf", [1, 2, 8])
+def test_joins_equal_merging_the_whole(monkeypatch, leaf, listed):
+    """Halves joined against merges over all bytes, under ranks whose merges are not in the order of their parts; many strings at once."""
+    monkeypatch.setattr(byte_bpe, "OWN_LEAF", leaf)
+    monkeypatch.setattr(byte_bpe, "LISTED", listed)
     rng = random.Random(2)
     ranks = {bytes([c]): c for c in range(256)}
     for n, t in enumerate([b"bc", b"abc", b"ab", b"aa", b"aaa", b"ca", b"cab", b"bb", b"abca", b"aab"]):
         ranks[t] = 300 + n
     merges = byte_bpe.Merges(ranks)
-    for _ in range(3_000):
-        own = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 60)))
-        assert merges.encode(own) == merges.merged(own) == merges.merged_by_heap(own)
+    strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 60))) for _ in range(400)] + [b"", b"a", b"z" * 9]
+    tokens, count = merges.encode(strings)
+    ends = np.cumsum(count)
+    assert [tokens[e - n : e].tolist() for e, n in zip(ends, count, strict=True)] == [merged_plainly(ranks, s) for s in strings]
+
+
+def test_forgetting_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 2)
+    bpe = byte_bpe.ByteBpe(byte_bpe.ranks_path(), byte_bpe.pattern())
+    texts = ["one two  three", "one two\n three four", "", "two three's  ", " one"] * 2
+    for text in texts:
+        assert own_ids(bpe, text) == library.encode_ordinary(text)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in bpe.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_texts_of_tables(spark, library):
