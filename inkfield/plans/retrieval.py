@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.meeting import matrix, meet, squared_distances
+
 K1, B = 1.5, 0.75
-#: Rows of queries' terms that are broadcast at most; queries that are compared with vectors at a time.
+#: Rows of queries' terms that are broadcast at most; queries of a group that vectors are compared with.
 MOST_BROADCAST, QUERY_BLOCK = 200_000, 1_024
 #: What an answer says without a model: with sources, and without any (fixed values).
 SORRY_WITH_SOURCES = "抱歉，生成回答时遇到问题。请参考以下相关来源："
@@ -70,38 +70,43 @@ def top_k(scores: DataFrame, query: str, key: str, k: int, best: str = "score",
 def nearest(queries: DataFrame, vectors: DataFrame, qkey: str, key: str, k: int, places: int = 9) -> DataFrame:
     """(query, document, distance, rank): the k smallest squared distances of each query, rounded, ties by document.
 
-    A stated query set against all rows: queries go to the driver by blocks of ``QUERY_BLOCK``, and each task
-    keeps the best of its own rows only, so that k rows a query and batch are shuffled.
+    A stated query set against all rows, in blocks: queries in groups of ``QUERY_BLOCK``, rows in shards; each row goes once to every group and each
+    query once to every shard. A task holds its queries' k best and passes those on.
     """
     spark = vectors.sparkSession
-    asked = [(r[0], r[1]) for r in queries.select(qkey, "embedding").filter("embedding IS NOT NULL").toLocalIterator()]
-    kind = f"{qkey} {dict(queries.dtypes)[qkey]}, {key} {dict(vectors.dtypes)[key]}, distance double"
-    rows = vectors.filter("embedding IS NOT NULL").select(key, "embedding")
-    out = [spark.createDataFrame([], kind)]
-    for at in range(0, len(asked), QUERY_BLOCK):
-        ids = [i for i, _ in asked[at : at + QUERY_BLOCK]]
-        block = np.array([v for _, v in asked[at : at + QUERY_BLOCK]], dtype=np.float64)
-        out.append(rows.mapInArrow(_best_of_batches(ids, block, qkey, key, k, places), kind))
-    return top_k(reduce(DataFrame.unionByName, out), qkey, key, k, "distance", smaller=True)
-
-
-def _best_of_batches(ids: list, block: np.ndarray, qkey: str, key: str, k: int, places: int):
-    def run(it):
-        for b in it:
-            if not b.num_rows:
-                continue
-            x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1)
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            got: dict[str, list] = {qkey: [], key: [], "distance": []}
-            for i, q in zip(ids, block, strict=True):
-                far = np.round(((x - q) ** 2).sum(axis=1), places)
-                best = np.lexsort((own, far))[:k]
-                got[qkey] += [i] * len(best)
-                got[key] += own[best].tolist()
-                got["distance"] += far[best].tolist()
-            yield pa.RecordBatch.from_pydict(got)
-
-    return run
+    asked = queries.select(F.col(qkey).alias("_query"), F.col("embedding").alias("q")).filter("q IS NOT NULL")
+    rows = vectors.select(F.col(key).alias("_row"), F.col("embedding").alias("x")).filter("x IS NOT NULL")
+    kinds = [f.dataType.simpleString() for f in (asked.schema["_query"], rows.schema["_row"])]
+    groups = max(1, -(-asked.count() // QUERY_BLOCK))
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // groups)
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    held = asked.select("*", every(shards).alias("s")).select((F.col("s") * groups + deal("_query", groups)).cast("long").alias("cell"), "_query", "q")
+    streamed = rows.select("*", every(groups).alias("g")).select((deal("_row", shards) * groups + F.col("g")).cast("long").alias("cell"), "_row", "x")
+
+    def step(state, b):
+        if b is None:
+            i, far, own = state["best"]
+            return pa.RecordBatch.from_arrays([state["ids"].take(pa.array(i)), pa.array(own, type=state["kind"]), pa.array(far)], names=[qkey, key, "distance"])
+        for at in range(0, b.num_rows, 1_024):
+            c = b.slice(at, 1_024)
+            own, far = c.column(4).to_numpy(zero_copy_only=False), np.round(squared_distances(state["q"], matrix(c.column(5))), places)
+            few = np.argpartition(far, k - 1, axis=1)[:, :k] if k < far.shape[1] else None
+            i, j = np.nonzero(far <= np.take_along_axis(far, few, axis=1).max(axis=1)[:, None]) if few is not None else np.nonzero(np.ones(far.shape, dtype=bool))
+            before = state["best"]
+            i, far, own = np.concatenate((before[0], i)), np.concatenate((before[1], far[i, j])), np.concatenate((before[2], own[j]))
+            order = np.lexsort((own, far, i))
+            i, far, own = i[order], far[order], own[order]
+            first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+            kept = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
+            state["best"], state["kind"] = (i[kept], far[kept], own[kept]), b.schema.field(4).type
+        return None
+
+    def start(t: pa.Table):
+        return {"ids": t["_query"].combine_chunks(), "q": matrix(t["q"]), "best": (np.zeros(0, dtype=int), np.zeros(0), np.zeros(0, dtype=int))}
+
+    found = meet(held, streamed, shards * groups, start, step, f"{qkey} {kinds[0]}, {key} {kinds[1]}, distance double")
+    return top_k(found, qkey, key, k, "distance", smaller=True)
 
 
 def min_max(hits: DataFrame, query: str, value: str, out: str) -> DataFrame:

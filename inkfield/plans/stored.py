@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import inverted
+from ..operators import cells, inverted
 from ..sources.scratch import root
 from ..sources.tables import load
 from .catalog import ORACLE, query
@@ -33,3 +33,20 @@ def stored_index_topk(spark, d):
 def stored_index_blocks(spark, d):
     """Of each item's terms, how many blocks there are and how many were read; its documents are those of ``stored_index_topk``."""
     return _answers(spark, d)[1]
+
+
+def _near(spark, d):
+    v = load(spark, d, "embeddings").select("vec_id", "embedding")
+    stored = cells.build(v, _folder(spark, "cells"))
+    return cells.search(stored, v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 5)
+
+
+@query(ORACLE["vector_topk"])
+def stored_cells_topk(spark, d):
+    return _near(spark, d)[0].select("query_id", "vec_id", "distance", "rank")
+
+
+@query(None)
+def stored_cells_visits(spark, d):
+    """Of each query of ``stored_cells_topk``, the cells and blocks that it visited of all."""
+    return _near(spark, d)[1]

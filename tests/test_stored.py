@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from inkfield.operators import inverted
+from inkfield.operators import cells, inverted
+from inkfield.plans import retrieval
 
 K1, B = 1.5, 0.75
 
@@ -64,3 +65,59 @@ def test_index_of_odd_tables(spark, tmp_path, corpus):
     assert [(r["item_id"], r["doc_id"]) for r in inverted.search(index, queries, 3)[0].collect()] == [(1, 5)]
     with pytest.raises(Exception, match="exists"):
         inverted.append(empty, folder(tmp_path, "e"), 1)
+
+
+# ------------------------------------------------------------------ cells of vectors
+
+
+def nearest_of(rows, queries, k):
+    out = []
+    for q, v in queries:
+        far = sorted((round(sum((a - b) ** 2 for a, b in zip(v, x, strict=True)), 9), i) for i, x in rows)[:k]
+        out += [(q, i, n + 1, round(d, 6)) for n, (d, i) in enumerate(far)]
+    return sorted(out)
+
+
+def found(df):
+    return sorted((r["query_id"], r["vec_id"], r["rank"], round(r["distance"], 6)) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    rng = random.Random(8)
+    hearts = [[rng.uniform(-50, 50) for _ in range(4)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 1) for c in rng.choice(hearts)]) for i in range(900)]
+    rows += [(900 + i, rows[0][1]) for i in range(60)] + [(960, [1e3, 0.0, 0.0, 0.0])]
+    return rows, [(i, [c + rng.gauss(0, 0.1) for c in rows[i * 40][1]]) for i in range(20)] + [(90, [0.0] * 4), (91, [1e3, 1.0, 0.0, 0.0])]
+
+
+def test_cells_give_the_nearest_of_all_rows(spark, tmp_path, clustered, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 16)
+    monkeypatch.setattr(cells, "VISITS", 3)
+    rows, queries = clustered
+    kind = "vec_id long, embedding array<double>"
+    store = cells.build(spark.createDataFrame([*rows, (2000, None), (2001, [None, 1.0, 1.0, 1.0]), (2002, [float("nan")] * 4)], kind), folder(tmp_path, "c"))
+    asked = spark.createDataFrame([*queries, (92, None), (90, [0.0] * 4)], "query_id long, embedding array<double>")
+    got, report = cells.search(store, asked, 7)
+    assert found(got) == nearest_of(rows, queries, 7)
+    seen = report.collect()
+    assert len(seen) == len(queries) and all(r["blocks_visited"] <= r["blocks"] and r["cells_visited"] <= r["cells"] for r in seen)
+    assert sum(r["blocks_visited"] for r in seen) < 0.5 * sum(r["blocks"] for r in seen)
+
+
+def test_cells_of_odd_tables(spark, tmp_path):
+    kind = "vec_id long, embedding array<double>"
+    asked = spark.createDataFrame([(1, [0.5])], "query_id long, embedding array<double>")
+    assert cells.search(cells.build(spark.createDataFrame([], kind), folder(tmp_path, "none")), asked, 3)[0].count() == 0
+    few = cells.build(spark.createDataFrame([(5, [1.0]), (4, [0.0]), (5, [1.0])], kind), folder(tmp_path, "few"))
+    assert found(cells.search(few, asked, 9)[0]) == [(1, 4, 1, 0.25), (1, 5, 2, 0.25), (1, 5, 3, 0.25)]
+
+
+@pytest.mark.parametrize("block", [3, 1_024])
+def test_scan_gives_the_nearest_of_all_rows(spark, clustered, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    rows, queries = clustered
+    asked = spark.createDataFrame([*queries, (92, None)], "query_id long, embedding array<double>")
+    for part in (rows, rows[:3]):
+        table = spark.createDataFrame([*part, (2000, None)], "vec_id long, embedding array<double>")
+        assert found(retrieval.nearest(asked, table, "query_id", "vec_id", 7)) == nearest_of(part, queries, 7)
