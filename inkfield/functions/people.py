@@ -124,7 +124,8 @@ def kin_relations(docs: DataFrame, names: DataFrame, key: str, look_back: bool =
     ``look_back``, Y follows: "Y年" of 2 or 3 characters, or else 2 to 4 characters to the next stop
     character, less a leading 后裔 or 后. Y is not a dynasty, an era, or a proper part of a stored name.
     """
-    place = rf"(?<=(\A[\s\S]{{0,13}}|[\s\S]{{14}}))({_SUFFIX_PATTERN})(?=([\s\S]{{0,8}}))"
+    # The look-ahead comes first, so that only places of a suffix look back.
+    place = rf"(?=(?:{_SUFFIX_PATTERN}))(?<=(\A[\s\S]{{0,13}}|[\s\S]{{14}}))({_SUFFIX_PATTERN})(?=([\s\S]{{0,8}}))"
     group = lambda i: F.regexp_extract_all("text", F.lit(place), F.lit(i))
     hit = docs.select(key, F.explode(F.arrays_zip(group(1).alias("before"), group(2).alias("suffix"), group(3).alias("after"))).alias("m")).select(key, "m.*").distinct()
     rest = F.regexp_extract("after", rf"^[^{HAN}]*([\s\S]*)", 1)
@@ -235,8 +236,8 @@ def prefix_relations(docs: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """
     words = "|".join(p for p, _ in KIN_PREFIXES)
     kinds = F.create_map(*[F.lit(x) for pair in KIN_PREFIXES for x in pair])
-    # The context is taken by look-behind, so that each place reads 50 characters and no more.
-    place = rf"(?<=((?<![\s\S])[\s\S]{{1,49}}|[\s\S]{{50}}))(?<![{HAN}])({words})(?=([{HAN}]{{2,4}}))"
+    # The context is taken by look-behind, so that each place reads 50 characters and no more; the look-ahead comes first, so that only words do.
+    place = rf"(?=(?:{words})[{HAN}]{{2}})(?<=((?<![\s\S])[\s\S]{{1,49}}|[\s\S]{{50}}))(?<![{HAN}])({words})(?=([{HAN}]{{2,4}}))"
     group = lambda i: F.regexp_extract_all("text", F.lit(place), F.lit(i))
     found = docs.select(key, F.posexplode(F.arrays_zip(group(1).alias("before"), group(2).alias("word"), group(3).alias("dst"))).alias("n", "m")).select(key, "n", "m.*")
     spots = found.select(key, "n", "word", "dst", "before", F.explode(F.sequence(F.lit(1), F.length("before"))).alias("i"))

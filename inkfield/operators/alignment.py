@@ -2,39 +2,77 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
+#: Twice the scores, so that they are whole numbers.
+MATCH, MISMATCH, GAP = 2, -1, -1
+
+
+def _rows(top: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """The rows of best scores that follow ``top``, one for each of ``a``: a pair or a gap from above first, then gaps from the left, whose best start is a running maximum."""
+    slope = np.arange(len(top)) * GAP
+    row = top
+    for x in a:
+        here = np.concatenate(([row[0] + GAP], np.maximum(row[:-1] + np.where(b == x, MATCH, MISMATCH), row[1:] + GAP)))
+        row = np.maximum.accumulate(here - slope) + slope
+        yield row
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
-    """Needleman-Wunsch: index pairs in order, None for a gap; of equal ways a pair before a gap in ``b`` before one in ``a``."""
-    n, m = len(a), len(b)
-    best = [[GAP * (i + j) if not i or not j else 0.0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i][j] = max(best[i - 1][j - 1] + (MATCH if a[i - 1] == b[j - 1] else MISMATCH), best[i - 1][j] + GAP, best[i][j - 1] + GAP)
+    """Needleman-Wunsch: index pairs in order, None for a gap; of equal ways a pair before a gap in ``b`` before one in ``a``.
+
+    Every root-th row of scores is kept, and the way back fills in one strip of rows at a time: memory is that of two strips, the longer side times twice the root of the
+    shorter, and each score is taken twice.
+    """
+    if len(a) > len(b):  # the longer side along the rows; ties are the same, as a pair comes first either way
+        turned = _traced(b, a, True)
+        return [(j, i) for i, j in turned]
+    return _traced(a, b, False)
+
+
+def _traced(a: list[str], b: list[str], turned: bool) -> list[tuple[int | None, int | None]]:
+    number = {s: k for k, s in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.fromiter(map(number.__getitem__, s), dtype=np.int64, count=len(s)) for s in (a, b))
+    strip = math.isqrt(len(x)) + 1
+    kept = {0: np.arange(len(y) + 1, dtype=np.int64) * GAP}
+    for i, row in enumerate(_rows(kept[0], x, y), 1):
+        if i % strip == 0:
+            kept[i] = row
     out: list[tuple[int | None, int | None]] = []
-    i, j = n, m
-    while i or j:
-        if i and j and best[i][j] == best[i - 1][j - 1] + (MATCH if a[i - 1] == b[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and best[i][j] == best[i - 1][j] + GAP:
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
+    i, j = len(x), len(y)
+    while i:
+        begin = (i - 1) // strip * strip
+        rows = [kept[begin], *_rows(kept[begin], x[begin:i], y)]
+        while i > begin:
+            here, above = rows[i - begin], rows[i - begin - 1]
+            up, left = here[j] == above[j] + GAP, j > 0 and here[j] == here[j - 1] + GAP
+            if j and here[j] == above[j - 1] + (MATCH if x[i - 1] == y[j - 1] else MISMATCH):
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif up and not (turned and left):
+                i -= 1
+                out.append((i, None))
+            else:
+                j -= 1
+                out.append((None, j))
+    out += [(None, k) for k in range(j - 1, -1, -1)]
     return out[::-1]
 
 
+def alignment_score(a: list[str], b: list[str], pairs: list[tuple[int | None, int | None]]) -> float:
+    """What an alignment scores: 1 a match, -0.5 a changed sentence or a gap."""
+    return sum(GAP if i is None or j is None else MATCH if a[i] == b[j] else MISMATCH for i, j in pairs) / 2
+
+
 def align_versions(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, n, i, j, kind) for each key's two sentence tables (key, n, text): same, changed, deleted or inserted.
 
-    The dynamic program is sequential, so each key's two versions meet in one task; keys are texts' ids.
+    Each key's two versions meet in one task, whose memory grows with the longer version times the root of the shorter.
     """
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:

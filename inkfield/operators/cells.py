@@ -55,6 +55,10 @@ def fitted(sample: np.ndarray, n: int) -> np.ndarray:
     return c
 
 
+def _points(rows: list) -> np.ndarray:
+    return np.array([r["v"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+
+
 def build(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding", tasks: int | None = None) -> Cells:
     """Store all vectors; null ones and those with null or non-finite components are left out. Other columns are not kept. An empty table gives an empty store."""
     spark = vectors.sparkSession
@@ -62,10 +66,9 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "emb
     rows = vectors.select(key, F.col(vector).cast("array<double>").alias("v")).filter(_SOUND.format("v"))
     n = rows.count()
     some = rows.filter(F.pmod(F.xxhash64("v"), F.lit(max(1, n // (SAMPLE // 2)))) == 0).orderBy(F.xxhash64("v", F.lit(1)), key).limit(SAMPLE).collect()
-    centres = fitted(np.array([r["v"] for r in some], dtype=np.float64).reshape(len(some), -1), min(MOST_CENTRES, math.isqrt(n) + 1))
+    centres = fitted(_points(some), min(MOST_CENTRES, math.isqrt(n) + 1))
     if not len(centres):  # the sample's hash met no row, or there is none
-        first = rows.orderBy(key).limit(1).collect()
-        centres = np.array([r["v"] for r in first], dtype=np.float64).reshape(len(first), -1)
+        centres = _points(rows.orderBy(key).limit(1).collect())
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
     kind = rows.schema[key].dataType.simpleString()
 

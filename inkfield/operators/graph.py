@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stash
+from .quantiles import percentiles
 from .skew import join_counted, numbered
 
 
@@ -21,7 +22,7 @@ def k_hop(edges: DataFrame, centre: str, depth: int) -> DataFrame:
     front = edges.sparkSession.createDataFrame([(centre,)], "uri string")
     rings = [front.withColumn("hop", F.lit(0))]
     for hop in range(1, max(1, depth) + 1):
-        front = ways.join(front.withColumnRenamed("uri", "src"), "src", "left_semi").select(F.col("dst").alias("uri")).distinct()
+        front = stash(ways.join(front.withColumnRenamed("uri", "src"), "src", "left_semi").select(F.col("dst").alias("uri")).distinct(), "ring")
         rings.append(front.withColumn("hop", F.lit(hop)))
     return reduce(DataFrame.union, rings).groupBy("uri").agg(F.min("hop").alias("hop")).filter(F.col("hop") > 0)
 
@@ -74,17 +75,17 @@ def top_degree_subgraph(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]
 
 def hubs(degree: DataFrame, share: float = 0.95) -> DataFrame:
     """Nodes with a size: three times as large from the given percentile of degrees on."""
-    cut = degree.agg(F.percentile("degree", F.lit(share)).alias("cut"))
-    return degree.crossJoin(F.broadcast(cut)).select("uri", "degree", F.when(F.col("degree") >= F.col("cut"), 3.0).otherwise(1.0).alias("size"))
+    cut = percentiles(degree, "degree", [share])[0]
+    return degree.select("uri", "degree", F.when(F.col("degree") >= F.lit(cut), 3.0).otherwise(1.0).alias("size"))
 
 
 def recentred(points: DataFrame, share: float = 0.99, to: float = 100.0) -> DataFrame:
     """Coordinates about their mean, clipped at a percentile of the distance and scaled to +-``to``."""
     mean = points.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     moved = points.crossJoin(F.broadcast(mean)).select("uri", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
-    cut = moved.agg(F.percentile(F.abs("x"), F.lit(share)).alias("cx"), F.percentile(F.abs("y"), F.lit(share)).alias("cy"))
-    clip = lambda v, c: F.greatest(-F.col(c), F.least(F.col(c), F.col(v))) / F.col(c) * to
-    return moved.crossJoin(F.broadcast(cut)).select("uri", clip("x", "cx").alias("x"), clip("y", "cy").alias("y"))
+    cut = {c: percentiles(moved.select(F.abs(c).alias(c)), c, [share])[0] for c in "xy"}
+    clip = lambda c: F.greatest(F.lit(-cut[c]), F.least(F.lit(cut[c]), F.col(c))) / F.lit(cut[c]) * to
+    return moved.select("uri", *[(clip(c) if cut[c] is not None else F.lit(None).cast("double")).alias(c) for c in "xy"])
 
 
 def generation_depth(edges: DataFrame, most: int = 6) -> DataFrame:
@@ -159,8 +160,9 @@ def stand_in_layout(nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def stand_in_edges(placed: DataFrame) -> DataFrame:
     """(src, dst): in each cluster of a stand-in layout, every node tied to the next by uri."""
-    after = F.lead("uri").over(Window.partitionBy("cluster").orderBy("uri"))
-    return placed.select(F.col("uri").alias("src"), after.alias("dst")).filter("dst IS NOT NULL")
+    placed = stash(numbered(placed.select("cluster", "uri"), [F.col("cluster"), F.col("uri")], "place"), "placed")
+    after = placed.select("cluster", (F.col("place") - 1).alias("place"), F.col("uri").alias("dst"))
+    return placed.join(after, ["cluster", "place"]).select(F.col("uri").alias("src"), "dst")
 
 
 def graph_page(edges: DataFrame, people: DataFrame, limit: int, offset: int = 0, keep=None) -> tuple[DataFrame, DataFrame]:

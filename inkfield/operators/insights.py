@@ -16,7 +16,7 @@ def top_surnames(people: DataFrame, n: int) -> DataFrame:
 def surname_concentration(people: DataFrame) -> DataFrame:
     """Shares of the first and the first five surnames in all people, and the label that follows."""
     ranked = people.filter("family_name <> ''").groupBy("family_name").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "family_name")))
+    ranked = ranked.orderBy(F.desc("n"), "family_name").limit(20).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "family_name")))  # 20 rows
     total = people.agg(F.count(F.lit(1)).alias("total"))
     s = ranked.agg(*[F.sum(F.when(F.col("r") <= k, F.col("n")).otherwise(0)).alias(f"top{k}") for k in (1, 5, 20)])
     return s.crossJoin(total).select("total", "top1", "top5", "top20", F.round(F.col("top1") / F.col("total"), 6).alias("share1"), F.round(F.col("top5") / F.col("total"), 6).alias("share5"), F.when(F.col("top1") / F.col("total") > 0.05, "concentrated").otherwise("spread").alias("label"))

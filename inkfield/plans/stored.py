@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, inverted
+from ..operators import cells, inverted, pages
 from ..sources.scratch import root
-from ..sources.tables import load
+from ..sources.tables import RELATIONS_SQL, load, relations
 from .catalog import ORACLE, query
 
 
@@ -50,3 +50,25 @@ def stored_cells_topk(spark, d):
 def stored_cells_visits(spark, d):
     """Of each query of ``stored_cells_topk``, the cells and blocks that it visited of all."""
     return _near(spark, d)[1]
+
+
+_EDGES = ["src", "dst", "relation"]
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY src, dst, relation) - 1 AS i, count(*) OVER () AS n FROM {RELATIONS_SQL})
+SELECT p AS tenth, src, dst, relation FROM r, (VALUES (0), (5), (9)) t(p) WHERE i BETWEEN n * p // 10 AND n * p // 10 + 49""")
+def deep_page(spark, d):
+    """Fifty edges from the beginning, the middle and nine tenths on, each from the one or two files that hold them."""
+    stored = pages.store(relations(spark, d), _folder(spark, "pages"), _EDGES, 10_000)
+    n = stored.total()
+    every = [stored.page(50, n * p // 10).select(F.lit(p).alias("tenth"), *_EDGES) for p in (0, 5, 9)]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY src, dst, relation) AS i, count(*) OVER () AS n FROM {RELATIONS_SQL}),
+k AS (SELECT src, dst, relation FROM r WHERE i = n // 2) SELECT r.src, r.dst, r.relation FROM r, k WHERE (r.src, r.dst, r.relation) > (k.src, k.dst, k.relation) ORDER BY i LIMIT 30""")
+def page_after(spark, d):
+    """Thirty edges after the one in the middle, found by its key."""
+    stored = pages.store(relations(spark, d), _folder(spark, "pages"), _EDGES, 10_000)
+    last = stored.page(1, stored.total() // 2 - 1).first()
+    return stored.after(tuple(last[c] for c in _EDGES) if last else ("", "", ""), 30)

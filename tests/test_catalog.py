@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from inkfield.plans import catalog, stored  # noqa: F401
+from inkfield.plans import catalog, naming, stored  # noqa: F401
 
 from .conftest import SF
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from inkfield.operators import cells, inverted
+from inkfield.operators import cells, inverted, pages, quantiles
 from inkfield.plans import retrieval
 
 K1, B = 1.5, 0.75
@@ -121,3 +121,45 @@ def test_scan_gives_the_nearest_of_all_rows(spark, clustered, monkeypatch, block
     for part in (rows, rows[:3]):
         table = spark.createDataFrame([*part, (2000, None)], "vec_id long, embedding array<double>")
         assert found(retrieval.nearest(asked, table, "query_id", "vec_id", 7)) == nearest_of(part, queries, 7)
+
+
+# ------------------------------------------------------------------ pages and order statistics
+
+
+def test_pages_at_any_depth_read_few_files(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "hot", "hot", None]), rng.randint(0, 30), "x") for _ in range(1_000)]
+    table = spark.createDataFrame(rows, "k string, n int, part string").drop("part")
+    stored = pages.store(table.repartition(5), folder(tmp_path, "p"), ["k", "n"], 50)
+    order = sorted(((k, n) for k, n, _ in rows), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert stored.total() == 1_000 and stored.files.count() > 12
+    for limit, offset in ((10, 0), (10, 501), (25, 990), (7, 5_000), (120, 300), (0, 3)):
+        page = stored.page(limit, offset)
+        assert [tuple(r) for r in page.collect()] == order[offset : offset + limit]
+        assert len(page.inputFiles()) <= 2 + limit // 20
+    last = order[700]
+    got = stored.after(last, 15)
+    assert [tuple(r) for r in got.collect()] == [r for r in order if r[0] is not None and r > last][:15] and len(got.inputFiles()) <= 4
+    assert stored.after(("zz", 0), 5).count() == 0
+
+
+def test_pages_of_an_empty_table(spark, tmp_path):
+    stored = pages.store(spark.createDataFrame([], "k string, n int"), folder(tmp_path, "q"), ["k"])
+    assert stored.total() == 0 and stored.page(5, 2).columns == ["k", "n"] and stored.page(5).count() == 0 and stored.after(("a",), 3).count() == 0
+
+
+@pytest.mark.parametrize("bins", [64, 4_096])
+def test_percentiles_equal_sorting(spark, bins):
+    rng = random.Random(1)
+    columns = {
+        "even": [rng.uniform(-5, 5) for _ in range(501)], "steep": [math.exp(rng.uniform(-300, 300)) for _ in range(300)], "hot": [7.0] * 400 + [rng.gauss(0, 1) for _ in range(100)],
+        "wide": [-1.7e308, 1.7e308, 0.0, 5e-324, 1.0], "one": [3.5], "two": [1.0, 2.0],
+    }
+    for name, values in columns.items():
+        table = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
+        s = sorted(values)
+        for share, got in zip((0.0, 0.5, 0.95, 1.0), quantiles.percentiles(table, "x", [0.0, 0.5, 0.95, 1.0], bins), strict=True):
+            at = share * (len(s) - 1)
+            low, high = s[int(at)], s[min(int(at) + 1, len(s) - 1)]
+            assert got == low + (high - low) * (at - int(at)), (name, share)
+    assert quantiles.percentiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
