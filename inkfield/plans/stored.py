@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, inverted, pages
+from ..operators import cells, inverted, pages, spatial
+from ..sources import formats, people_store
 from ..sources.scratch import root
-from ..sources.tables import RELATIONS_SQL, load, relations
-from .catalog import ORACLE, query
+from ..sources.tables import PEOPLE_SQL, RELATIONS_SQL, load, people, relations
+from .catalog import ORACLE, _points, query
 
 
 def _folder(spark, label: str) -> str:
@@ -72,3 +73,50 @@ def page_after(spark, d):
     stored = pages.store(relations(spark, d), _folder(spark, "pages"), _EDGES, 10_000)
     last = stored.page(1, stored.total() // 2 - 1).first()
     return stored.after(tuple(last[c] for c in _EDGES) if last else ("", "", ""), 30)
+
+
+def _box(spark, d):
+    return spatial.store_layout(_points(spark, d), _folder(spark, "layout"), 20).box("-0.1,-0.1,0.1,0.2")
+
+
+@query(ORACLE["bbox_slice"])
+def stored_box_slice(spark, d):
+    return _box(spark, d)[0].orderBy("uri").offset(5).limit(100)
+
+
+@query(None)
+def stored_box_reads(spark, d):
+    """How many files and rows of the stored layout the box of ``stored_box_slice`` reads."""
+    return _box(spark, d)[1]
+
+
+_CHANGES = ("family_name", "birthday")
+
+
+@query(f"""WITH c AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'n:' || o_custkey ELSE 'c:' || o_custkey END AS uri, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS family_name,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate::DATE::VARCHAR ELSE '' END AS birthday FROM orders WHERE o_orderpriority <> '5-LOW'),
+f AS (SELECT uri, arg_max(family_name, seq) FILTER (family_name <> '') AS family_name, arg_max(birthday, seq) FILTER (birthday <> '') AS birthday FROM c GROUP BY ALL)
+SELECT uri, name, coalesce(f.family_name, p.family_name, '') AS family_name, coalesce(f.birthday, p.birthday, '') AS birthday, balance FROM {PEOPLE_SQL} p FULL JOIN f USING (uri)""")
+def stored_people(spark, d):
+    """People after the changes that orders make, read from the second version of their store."""
+    kept = people_store.create(people(spark, d), _folder(spark, "people"), "uri", 400)
+    number = F.col("o_custkey").cast("string")
+    changes = load(spark, d, "orders").filter("o_orderpriority <> '5-LOW'").select(
+        F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("n:"), number)).otherwise(F.concat(F.lit("c:"), number)).alias("uri"),
+        F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("family_name"),
+        F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("").alias("birthday"),
+    )
+    kept.upsert(changes, list(_CHANGES))
+    return kept.read().select("uri", "name", *_CHANGES, "balance")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 12 AND c_acctbal >= 0")
+def sqlite_customers(spark, d):
+    """Customers written as SQLite files and read from them with pushed filters."""
+    formats.register(spark)
+    path = _folder(spark, "sqlite")
+    customers = load(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_acctbal")
+    customers.write.format("sqlite_files").option("table", "customer").mode("append").save(path)
+    stored = spark.read.format("sqlite_files").option("table", "customer").option("split", "500").load(path)
+    return stored.filter("c_nationkey < 12 AND c_acctbal >= 0").drop("_error")
