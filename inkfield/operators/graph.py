@@ -102,6 +102,50 @@ def generation_depth(edges: DataFrame, most: int = 6) -> DataFrame:
     return reduce(DataFrame.union, levels).groupBy("root").agg(F.max("depth").alias("depth"))
 
 
+def descent_depth(edges: DataFrame) -> DataFrame:
+    """(root, depth): for parents that are nobody's child, how many generations away their farthest descendant is, without a cap on levels.
+
+    Where nobody has two parents, each row points to an ancestor and pointers double: the rounds grow with the logarithm of the longest line, and people below
+    a cycle have no root. Otherwise levels are taken one by one; a descendant met before is not followed again, so cycles end. Nulls and self-parents are left out.
+    """
+    down = stash(edges.select(F.col("src").alias("parent"), F.col("dst").alias("child")).filter("parent IS NOT NULL AND child IS NOT NULL AND parent <> child").distinct(), "down")
+    children = down.groupBy("child").agg(F.count(F.lit(1)).alias("parents"))
+    roots = down.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).join(children.select(F.col("child").alias("parent")), "parent", "left_anti")
+    if children.filter("parents > 1").isEmpty():
+        return _by_doubling(down, roots)
+    front = stash(roots.select(F.col("parent").alias("root"), F.col("parent").alias("at")), "front")
+    seen, levels, depth = [front], [front.select("root", F.lit(0).alias("depth"))], 0
+    while True:
+        depth += 1
+        met = front.join(down, F.col("at") == F.col("parent")).select("root", F.col("child").alias("at")).distinct()
+        front = stash(met.join(reduce(DataFrame.unionByName, seen), ["root", "at"], "left_anti"), "front")
+        if front.isEmpty():
+            return reduce(DataFrame.union, levels).groupBy("root").agg(F.max("depth").alias("depth"))
+        seen = [stash(reduce(DataFrame.unionByName, [*seen, front]), "seen")] if len(seen) > 8 else [*seen, front]
+        levels.append(front.select("root").distinct().withColumn("depth", F.lit(depth)))
+
+
+def _by_doubling(down: DataFrame, roots: DataFrame) -> DataFrame:
+    total = down.count()
+    roots = stash(roots, "roots")
+    # (node, up, steps): an ancestor and how far it is; rows whose ancestor is a root are done.
+    done = [join_counted(down, roots, ["parent"], "n", total).select(F.col("parent").alias("root"), F.lit(1).cast("long").alias("steps"), F.col("child").alias("node"))]
+    done = [stash(done[0], "reached")]
+    up = stash(down.join(done[0].select(F.col("node").alias("child")), "child", "left_anti").select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps")), "up")
+    for _ in range(max(1, total).bit_length() + 1):
+        left = up.count()
+        if not left:
+            break
+        # What the ancestors point to: to a root, or farther up.
+        reached = reduce(DataFrame.unionByName, done)
+        asked = up.groupBy("up").agg(F.count(F.lit(1)).alias("n"))
+        there = reached.select(F.col("node").alias("up"), "root", F.col("steps").alias("more")).join(asked, "up")
+        higher = up.select(F.col("node").alias("up"), F.col("up").alias("to"), F.col("steps").alias("more")).join(asked, "up")
+        done.append(stash(join_counted(up, there, ["up"], "n", left).select("root", (F.col("steps") + F.col("more")).alias("steps"), "node"), "reached"))
+        up = stash(join_counted(up, higher, ["up"], "n", left).select("node", F.col("to").alias("up"), (F.col("steps") + F.col("more")).alias("steps")), "up")
+    return reduce(DataFrame.unionByName, done).groupBy(F.col("root")).agg(F.max("steps").cast("int").alias("depth"))
+
+
 def contracted(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node of each component of links (a, b), by alternating star contraction.
 

@@ -405,6 +405,16 @@ def entity_clusters(spark, d):
     return graph.clusters(load(spark, d, "part").select(F.col("p_partkey").alias("a"), after.alias("b")))
 
 
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM {_NEXT} WHERE b IS NOT NULL), r AS (SELECT a AS root, a AS node, 0 AS depth FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT root, b, depth + 1 FROM r JOIN e ON node = a)
+SELECT root, max(depth)::INT AS depth FROM r GROUP BY ALL""")
+def descent_depth(spark, d):
+    """Lines of parts, each followed by the next of its brand by price, at their whole length."""
+    from pyspark.sql import Window
+
+    after = F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey"))
+    return graph.descent_depth(load(spark, d, "part").select(F.col("p_partkey").alias("src"), after.alias("dst")))
+
+
 @query(f"""WITH down AS (SELECT DISTINCT p, c FROM {_PART}), l0 AS (SELECT DISTINCT p AS root, p AS node FROM down WHERE p NOT IN (SELECT c FROM down)),
 {", ".join(f"l{k} AS (SELECT DISTINCT root, c AS node FROM l{k - 1} JOIN down ON node = p)" for k in range(1, 7))},
 t AS (SELECT root::VARCHAR AS root, max(depth)::INT AS depth FROM ({" UNION ALL ".join(f"SELECT root, {k} AS depth FROM l{k}" for k in range(7))}) GROUP BY ALL), o AS (SELECT list_sort(list(depth)) AS l FROM t)
