@@ -205,9 +205,9 @@ def resolve(entities: DataFrame) -> DataFrame:
 
 
 def repair_json(reply: Column, schema: str) -> Column:
-    """Rows of a model's reply: code fences cut off, a bare list or one under ``entities``; null if it is no JSON."""
+    """Rows of a model's reply: code fences cut off, a bare list or one under ``entities`` or else ``relations``; null if it is no JSON."""
     body = F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
-    rows = F.when(body.startswith("["), body).otherwise(F.get_json_object(body, "$.entities"))
+    rows = F.when(body.startswith("["), body).otherwise(F.coalesce(F.get_json_object(body, "$.entities"), F.get_json_object(body, "$.relations")))
     return F.from_json(rows, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
 
 

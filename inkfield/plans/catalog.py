@@ -129,6 +129,16 @@ def tfidf_weights(spark, d):
     return rt.tfidf(load(spark, d, "documents")).withColumn("weight", F.round("weight", 6))
 
 
+@query(f"""WITH {_BM25}, kept AS (SELECT term, df, row_number() OVER (ORDER BY term) AS place FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY ALL ORDER BY total DESC, term LIMIT 768)),
+w AS (SELECT item_id, place, qtf * (ln((1 + n) / (1 + df)) + 1) AS w FROM q JOIN kept USING (term), st)
+SELECT item_id, place::INT AS place, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM w""")
+def tfidf_new_texts(spark, d):
+    """Vectors of ``benchmark`` under the model of ``documents``, without their zeros; places from 1."""
+    model = rt.tfidf_fit(load(spark, d, "documents"))
+    v = rt.tfidf_vectors(model, load(spark, d, "benchmark"), "item_id").select("item_id", F.posexplode("vector").alias("place", "weight"))
+    return v.filter("weight <> 0").select("item_id", (F.col("place") + 1).alias("place"), F.round("weight", 6).alias("weight"))
+
+
 @query(f"""WITH {_BM25}, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 3)
 SELECT item_id, string_agg('[' || rank || '] ' || source || chr(10) || substring(text, 1, 80), chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents USING (doc_id) GROUP BY ALL""")
 def prompt_context(spark, d):
@@ -652,7 +662,7 @@ def resolve_entities(spark, d):
 
 
 @query(f"""WITH b AS (SELECT id, trim(regexp_replace(regexp_replace(trim(reply), '^```[A-Za-z]*\\s*', ''), '\\s*```$', '')) AS b FROM {fx.values("replies")}),
-j AS (SELECT id, CASE WHEN starts_with(b, '[') THEN b::JSON ELSE json_extract(b, '$.entities') END AS j FROM b WHERE json_valid(b)), e AS (SELECT id, unnest(json_extract(j, '$[*]')) AS e FROM j)
+j AS (SELECT id, CASE WHEN starts_with(b, '[') THEN b::JSON ELSE coalesce(json_extract(b, '$.entities'), json_extract(b, '$.relations')) END AS j FROM b WHERE json_valid(b)), e AS (SELECT id, unnest(json_extract(j, '$[*]')) AS e FROM j)
 SELECT id, json_extract_string(e, '$.name') AS name, json_extract_string(e, '$.type') AS type FROM e WHERE json_extract_string(e, '$.name') IS NOT NULL""")
 def llm_json_repair(spark, d):
     r = fx.rows(spark, d, "replies")

@@ -41,7 +41,7 @@ PHRASES = [
 KIN_LETTERS = ("fgpbwvyk.etaoinshrdlucmjxqz ,", "之父母子苏轼洵弟。")
 LINE_LETTERS = ("etaoinshrdlucm. ", "玄弘历吳後臺之三年氏居焉一里")
 BIOGRAPHIES = ["北宋苏洵子", "宋临川人", "唐诗人", "", "明余姚人", "清刻本载", "西汉元鼎", "宋吉州永丰人，明道间", "无年"]
-REPLIES = ['```json~[«"name":"<x>","type":"PER"»]~```', '«"entities":[«"name":"<x>","type":"LOC"»,«"name":"<y>","type":"PER"»]»', "none", "[]"]
+REPLIES = ['```json~[«"name":"<x>","type":"PER"»]~```', '«"entities":[«"name":"<x>","type":"LOC"»,«"name":"<y>","type":"PER"»]»', "none", "[]", '«"relations":[«"name":"<y>","type":"FATHER"»]»', '```~«"entities":[]»~```']
 SERVICES = [
     '«"success":true,"data":«"results":[«"text":"<x>","rect":«"x":<n>,"y":2,"width":10,"height":5»,"probability":«"average":0.7»»,«"text":"","probability":«"max":0.4»»]»»',
     '«"success":true,"data":«"text":"<y>","probability":«"average":0.8»»»', '«"success":false,"error_code":"<x>"»', "broken",

@@ -143,15 +143,33 @@ def per_collection(scores: DataFrame, query: str, key: str, collections: DataFra
     return top_k(few, query, key, k)
 
 
-def tfidf(docs: DataFrame, key: str = "doc_id", features: int = 768) -> DataFrame:
-    """(document, term, weight): smoothed TF-IDF over the most frequent terms, rows of unit length."""
-    tf = term_frequencies(docs, key)
-    kept = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)
+def tfidf_fit(docs: DataFrame, key: str = "doc_id", features: int = 768) -> DataFrame:
+    """The model (term, place, idf): the most frequent terms of a corpus, with their places in a vector, in order of the terms."""
+    kept = term_frequencies(docs, key).groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    raw = tf.join(F.broadcast(kept), "term").crossJoin(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
+    place = (F.row_number().over(Window.orderBy("term")) - 1).alias("place")  # as many rows as features
+    return kept.crossJoin(F.broadcast(n)).select("term", place, (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def tfidf_weights(model: DataFrame, texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term, place, weight): texts, of the corpus or new, under a fitted model; rows of unit length. Texts without a term of the model have no rows."""
+    raw = term_frequencies(texts, key, text).join(F.broadcast(model), "term").select(key, "term", "place", (F.col("tf") * F.col("idf")).alias("w"))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).drop("w")
 
 
+def tfidf_vectors(model: DataFrame, texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, vector) of every text under a fitted model; zeros where it has none of the model's terms."""
+    size = F.broadcast(model.agg(F.count(F.lit(1)).cast("int").alias("size")))
+    own = tfidf_weights(model, texts, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("m"))
+    each = texts.select(key).distinct().join(own, key, "left").crossJoin(size)
+    return each.select(key, F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).otherwise(F.array().cast("array<double>")).alias("vector"))
+
+
+def tfidf(docs: DataFrame, key: str = "doc_id", features: int = 768) -> DataFrame:
+    """(document, term, weight): smoothed TF-IDF over the most frequent terms, rows of unit length."""
+    return tfidf_weights(tfidf_fit(docs, key, features), docs, key).drop("place")
+
+
 def prompt(hits: DataFrame, query: str) -> DataFrame:
     """Numbered context blocks of each query's hits, in rank order."""
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("source"), F.lit("\n"), F.col("text"))
