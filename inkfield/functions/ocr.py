@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPLY = "success boolean, data struct<text:string, probability:struct<average:double>, results:array<struct<text:string, rect:struct<x:int,y:int,width:int,height:int>, probability:struct<average:double,max:double>>>>"
@@ -43,6 +45,19 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.col("path").alias("image_path"), "length", "content")
 
 
+#: How files of each kind begin, in hexadecimal (fixed values).
+BEGINNINGS = {"jpeg": ("FFD8FF",), "png": ("89504E470D0A1A0A",), "tiff": ("49492A00", "4D4D002A"), "bmp": ("424D",)}
+
+
+def page_files(files: DataFrame) -> DataFrame:
+    """(image_path, length, kind, content, error) of ``image_files``: pages that can be read have a kind and their bytes, the others a row that says what is wrong. By path, as pages are numbered. Spark lists no empty files."""
+    begins = F.hex(F.substring("content", 1, 8))
+    kind = F.coalesce(*[F.when(reduce(Column.__or__, [begins.startswith(m) for m in marks]), k) for k, marks in BEGINNINGS.items()])
+    error = F.when(F.col("kind").isNull(), "not an image")
+    known = files.withColumn("kind", kind)
+    return known.select("image_path", "length", "kind", F.when(F.col("kind").isNotNull(), F.col("content")).alias("content"), error.alias("error")).orderBy("image_path")
+
+
 def rotated_back(boxes: DataFrame, tall: float = 1.2) -> DataFrame:
     """Corners (x, y) of lines found on pages turned clockwise, back on the page as it was; ``height`` and ``width`` are the page's.
 

@@ -5,10 +5,9 @@ import sqlite3
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
+from inkfield.functions import ocr
 from inkfield.operators import spatial
-from inkfield.sources import formats, people_store
+from inkfield.sources import formats, people_store, tables
 
 
 def test_sqlite_files_round_trip(spark, tmp_path):
@@ -95,3 +94,22 @@ def test_ranges_of_a_box_hold_its_cells():
             held = {z for a, b in ranges for z in range(a, b + 1)}
             inside = {code(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)}
             assert inside <= held and (most == 4 or held == inside)
+
+
+def test_unreadable_pages_have_error_rows(spark, tmp_path):
+    for name, data in (("2.JPG", b"\xff\xd8\xff\xe0rest"), ("1.png", b"\x89PNG\r\n\x1a\nrest"), ("3.tif", b"MM\x00*x"), ("4.bmp", b"plain words"), ("6.txt", b"no page")):
+        (tmp_path / name).write_bytes(data)
+    got = ocr.page_files(ocr.image_files(spark, str(tmp_path))).collect()
+    assert [(r["image_path"].rsplit("/", 1)[1], r["kind"], r["error"]) for r in got] == [("1.png", "png", None), ("2.JPG", "jpeg", None), ("3.tif", "tiff", None), ("4.bmp", None, "not an image")]
+    assert all((r["content"] is None) == (r["error"] is not None) for r in got)
+
+
+def test_an_environment_variable_overrides_a_path(monkeypatch, tmp_path):
+    known = tables.SourceRegistry()
+    known.add(tables.Source("poems", path=str(tmp_path / "absent")))
+    with pytest.raises(FileNotFoundError):
+        known.require_enabled("poems")
+    monkeypatch.setenv("INKFIELD_SOURCE_POEMS", str(tmp_path))
+    assert known.path("poems") == str(tmp_path) and known.require_enabled("poems").name == "poems"
+    with pytest.raises(ValueError, match="unknown"):
+        known.get("songs")
