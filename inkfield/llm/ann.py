@@ -5,8 +5,8 @@ Each of several tables applies pseudo-random rotations, three rounds of random s
 fast Hadamard transform each, to the unit vector and files it under the nearest signed axis of each: a
 bucket is one axis of each rotation, and there are as many rotations in a table as keep buckets small
 (``hashes_for``). A query probes, in every table, the buckets whose axes have the largest sums of signed
-coordinates. Buckets are dealt by hash to cells of about ``PER_CELL`` entries; entries and queries meet by (table, cell), where a
-query carries its probed buckets; a cell that a crowded bucket overfills is salted over several tasks.
+coordinates. Buckets are dealt by their leading axes to cells of about ``PER_CELL`` entries, so that a query's buckets share cells; entries and queries meet by (table, cell), where a
+query carries its probed buckets; a cell that crowded buckets overfill is salted over several tasks.
 
 Every query is compared with a bounded sample of the entries too: its k-th best there is a lower bound
 of its k-th best of all, and what probing finds below it is dropped at once. The rest is merged.
@@ -33,7 +33,7 @@ N_NEAREST = 20
 #: Tables; buckets of two axes that a query probes in each at 2,000 entries, and the power of the entries by which they grow fewer,
 #: as the nearest get nearer; buckets of three and four axes.
 TABLES = 16
-PROBES, PROBES_POWER, PROBES_3, PROBES_4 = 300, -0.3, 1_200, 12_000
+PROBES, PROBES_POWER, PROBES_3, PROBES_4 = 300, -0.3, 2_000, 12_000
 #: Entries of one bucket on average, up to which a table needs no further rotation.
 BUCKET_ENTRIES = 64
 #: Entries that every query is compared with, about, and never more than an eighth of all.
@@ -131,10 +131,21 @@ def probed(x: np.ndarray, table: int, k: int, probes: int) -> np.ndarray:
     return code
 
 
-def cells(code: np.ndarray, table: int, n_cells: int) -> np.ndarray:
-    """The cells that buckets of a table are dealt to."""
-    mixed = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return table * n_cells + ((mixed >> np.uint64(33)) % np.uint64(n_cells)).astype(np.int64)
+def cells(code: np.ndarray, table: int, n_cells: int, k: int, width: int) -> np.ndarray:
+    """The cells that buckets of ``k`` axes are dealt to: by the leading axis, and by the second one where there are more cells than axes.
+
+    The buckets that a query probes share few leading axes, so it goes to few cells.
+    """
+
+    def mixed(x: np.ndarray, n: int) -> np.ndarray:
+        x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+
+    first = code // width ** (k - 1)
+    if n_cells <= width or k == 1:
+        return table * n_cells + mixed(first, n_cells)
+    each = -(-n_cells // width)
+    return table * (each * width) + first * each + mixed(code // width ** (k - 2), each)
 
 
 def _vector_type(double: bool) -> pa.DataType:
@@ -153,7 +164,7 @@ def file_entries(entries: DataFrame, dim: int, k: int, tables: int, n_cells: int
                 u = unit_rows(_matrix(c.column(1), dim))
                 for t in range(tables):
                     code = buckets(u, t, k)
-                    yield as_batch({"gid": c.column(0), "cell": cells(code, t, n_cells), "bucket": code, "embedding": c.column(1), "ids": c.column(2)}, schema)
+                    yield as_batch({"gid": c.column(0), "cell": cells(code, t, n_cells, k, 2 * u.shape[1]), "bucket": code, "embedding": c.column(1), "ids": c.column(2)}, schema)
 
     return entries.select("gid", "embedding", "ids").mapInArrow(run, f"gid long, cell long, bucket long, embedding array<{'double' if double else 'float'}>, ids array<long>")
 
@@ -165,7 +176,7 @@ def filled(entries: DataFrame, dim: int, k: int, tables: int, n_cells: int) -> D
         for b in it:
             u = unit_rows(_matrix(b.column(0), dim))
             for t in range(tables):
-                cell, n = np.unique(cells(buckets(u, t, k), t, n_cells), return_counts=True)
+                cell, n = np.unique(cells(buckets(u, t, k), t, n_cells, k, 2 * u.shape[1]), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"cell": cell, "n": n.astype(np.int64)})
 
     return entries.select("embedding").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -185,7 +196,7 @@ def file_queries(queries: DataFrame, dim: int, k: int, tables: int, probes: int,
                 for t in range(tables):
                     code = probed(u, t, k, probes)
                     row, code = np.repeat(np.arange(len(u)), code.shape[1]), code.ravel()
-                    cell = cells(code, t, n_cells)
+                    cell = cells(code, t, n_cells, k, 2 * u.shape[1])
                     order = np.lexsort((cell, row))
                     row, cell, code = row[order], cell[order], code[order]
                     first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1]))))
