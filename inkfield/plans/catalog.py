@@ -747,7 +747,12 @@ def distinct_links(spark, d):
     return fx.rows(spark, d, "relations").select("src", "dst", "type").distinct()
 
 
-@query(None)  # needs look-behind; tested against a plain model
+@query(f"""SELECT DISTINCT id, src, dst, type, 8e-1 AS confidence FROM (
+  SELECT id, type, dst, (SELECT arg_max(n.name, j * 100 + length(n.name)) FROM ({_NAMED}) n, unnest(range(1, length(before) + 1)) u(j)
+    WHERE length(n.name) BETWEEN 2 AND 5 AND j >= length(n.name) AND substring(before, j - length(n.name) + 1, length(n.name)) = n.name) AS src
+  FROM (SELECT id, type, regexp_extract(substring(text, p + length(w), 4), '^[{_HAN}]{{2,4}}') AS dst, substring(text, greatest(1, p - 50), least(50, p - 1)) AS before
+    FROM {fx.values("prefix_texts")} t, unnest(range(2, length(text) + 1)) q(p) JOIN (VALUES {", ".join(f"('{w}', '{k}')" for w, k in kin.KIN_PREFIXES)}) k(w, type) ON substring(text, p, length(w)) = w
+    WHERE NOT regexp_matches(substring(text, p - 1, 1), '[{_HAN}]')) WHERE dst <> '') WHERE src IS NOT NULL""")
 def prefix_relations(spark, d):
     return kin.prefix_relations(fx.rows(spark, d, "prefix_texts"), fx.rows(spark, d, "names"), "id")
 
