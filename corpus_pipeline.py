@@ -13,7 +13,10 @@ from inkfield.llm import common, packing, pii, quality_classifier, simhash_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from ``labels`` of the documents given."""
+    """Documents that the classifier rejects go. It learns from ``labels`` of the documents given.
+
+    A null text is scored as an empty one. A score depends on the text alone, so repeated rows stay or go together; even scores (no labels) stay. An empty table stays empty.
+    """
     with common.scope("pipeline"):
         return quality_classifier.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
@@ -31,13 +34,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become the name of their kind in brackets."""
+    """Spans of personal data become the name of their kind in brackets. Every row stays; null and empty texts stay as they are, and equal texts are masked alike."""
     with common.scope("pipeline"):
         return pii.mask_pii(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens in sequences."""
+    """Pieces of at most 4096 tokens in sequences. A null or empty text is one piece of its end token; repeated rows are packed as often as they occur; an empty table gives no pieces."""
     with common.scope("pipeline"):
         return packing.packed_documents(docs)
 
