@@ -354,7 +354,8 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
     """``docs`` with the ids of every whole text, little-endian 32-bit integers in one binary; special tokens' strings are plain text.
 
     A null text counts as empty, an empty text has no ids. Nulls, repeated rows and other columns stay as they are; a column named
-    ``out`` is replaced. An empty table: no rows.
+    ``out`` is replaced. An empty table: no rows. ``split`` is a pattern of the kind of the given one: its matches cover the text, look at most ``MARGIN``
+    characters behind their end, and take a single space in front of what follows it.
     """
     path, split = path or ranks_path(), split or pattern()
     plain = docs.withColumn("_bpe_text", text_or_empty(docs, text))
