@@ -92,12 +92,14 @@ def append(docs: DataFrame, path: str, segment: int, key: str = "doc_id", text:
     """
     spark = docs.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.array_sort("t").alias("t"))
+    # Sorted before they are cut into words, as the sort samples what it is given.
+    sorted_docs = docs.select(key, text).repartitionByRange(tasks, key).sortWithinPartitions(key)
+    own = sorted_docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.sort_array("t").alias("t"))
     # The places where a sorted list of words has a new one give the terms, and their distances the frequencies.
     placed = own.select(key, "dl", "t", F.expr("array_compact(transform(t, (x, i) -> if(i = 0 OR x <> t[i - 1], i, null)))").alias("at"))
     counted = placed.select(key, "dl", F.expr("transform(at, x -> t[x])").alias("terms"), F.expr("transform(at, (x, i) -> coalesce(get(at, i + 1), dl) - x)").alias("tfs"))
     at = f"{path}/documents/segment={segment}"
-    counted.repartitionByRange(tasks, key).sortWithinPartitions(key).write.parquet(at)
+    counted.write.parquet(at)
     stored = spark.read.parquet(at)
     totals = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("words"))
     totals.write.parquet(f"{path}/totals/segment={segment}")
