@@ -2,7 +2,7 @@
 
 Vectors become integers, so a score is an exact integer product. The rotation is the eigenvectors of the
 integers' second moments (one small matrix a task), largest first. Anchors and rows meet in a
-grid: anchors in groups of bounded size, rows in shards by a hash of their id; each row goes once to every
+grid: anchors in groups of bounded size, rows in shards by a hash of id and vector; each row goes once to every
 group, each anchor once to every shard. A task holds one group and reads its shard in batches:
 
 * products are accumulated over the leading components, a stage at a time;
@@ -219,11 +219,11 @@ def met(anchors: DataFrame, rows: DataFrame, rotation: Rotation, kind: str, k: i
     n, asked = rows.count(), anchors.count()
     groups = max(1, -(-asked // GROUP))
     shards = max(1, -(-n // SHARD_ROWS), min(-(-n // ROWS_AT_ONCE), -(-shuffle_width(rows.sparkSession) // groups)))
-    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    deal = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     scores = F.col("scores") if windows else F.lit(None).cast("array<long>")
-    a = anchors.select(every(shards).alias("shard"), deal("vec_id", groups).alias("group"), F.lit(False).alias("row"), "vec_id", "label", "v", scores.alias("scores"))
-    e = rows.select(deal("vec_id", shards).alias("shard"), every(groups).alias("group"), F.lit(True).alias("row"), "vec_id", "label", "v", F.lit(None).cast("array<long>").alias("scores"))
+    a = anchors.select(every(shards).alias("shard"), deal(groups, "vec_id").alias("group"), F.lit(False).alias("row"), "vec_id", "label", "v", scores.alias("scores"))
+    e = rows.select(deal(shards, "vec_id", "v").alias("shard"), every(groups).alias("group"), F.lit(True).alias("row"), "vec_id", "label", "v", F.lit(None).cast("array<long>").alias("scores"))
     schema = pa.schema([("anchor_id", pa.int64()), ("slot", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(it):
