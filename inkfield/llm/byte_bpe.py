@@ -324,11 +324,25 @@ class ByteBpe:
         return [], []
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids: halves, decoded alike, concatenated. Unknown ids raise."""
-        if len(ids) <= IDS_LEAF:
-            return b"".join(map(self.merges.tokens.__getitem__, ids.tolist()))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        return concatenated(ids, self.merges.tokens)
+
+
+def concatenated(ids: np.ndarray, tokens: list[bytes]) -> bytes:
+    """The bytes of ids: halves, decoded alike, concatenated. Unknown ids raise."""
+    if len(ids) <= IDS_LEAF:
+        return b"".join(map(tokens.__getitem__, ids.tolist()))
+    half = len(ids) // 2
+    return concatenated(ids[:half], tokens) + concatenated(ids[half:], tokens)
+
+
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> list[bytes]:
+    """The bytes of every id, by id; ids that the table skips are empty."""
+    ranks = read_ranks(path)
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for t, r in ranks.items():
+        tokens[r] = t
+    return tokens
 
 
 @lru_cache(maxsize=2)
@@ -362,10 +376,10 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
     return _through(plain, "_bpe_text", out, lambda texts: bpe(path, split).encode(texts)).drop("_bpe_text")
 
 
-def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None, split: str | None = None) -> DataFrame:
+def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``rows`` with the bytes that the ids stand for; null ids: no bytes. Ids that the table does not have raise."""
-    path, split = path or ranks_path(), split or pattern()
-    return _through(rows, ids, out, lambda many: [bpe(path, split).decode(np.frombuffer(x or b"", dtype="<u4")) for x in many])
+    path = path or ranks_path()
+    return _through(rows, ids, out, lambda many: [concatenated(np.frombuffer(x or b"", dtype="<u4"), tokens_of(path)) for x in many])
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
