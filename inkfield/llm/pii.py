@@ -1,13 +1,15 @@
 """Operator 1: personal data by weak supervision.
 
-Candidates are spans of four kinds: those of the base patterns (which always stay) and looser
-forms that the base leaves out (spelled-out addresses, phone numbers without a plus sign,
-card-like numbers, IPv6). Four labelers vote for, against or abstain on every candidate:
+Candidates are spans of four kinds: those of the base patterns (which always stay), what has a
+base pattern's shape but fails its checks (parts over 255, digits that fail Luhn, too few or too
+many digits after a plus sign, a domain without a dot), and looser forms that the base leaves out
+(addresses that are spelled out, bracketed or spaced; IPv6; quads with bracketed or spelled dots;
+phone numbers without a plus sign). Four labelers vote for, against or abstain on every candidate:
 
-* pattern: does it have the kind's strict form (parts, digits, Luhn)?
+* pattern: for the strict form, against what fails its checks, abstaining on looser forms;
 * gazetteer: known top-level domains, card issuers, country codes, address ranges;
-* context: words just before it that announce, or rule out, the kind; without any, for what stands
-  in prose and against what stands among other numbers;
+* context: whole words just before it that announce, or rule out, the kind; without any, for what
+  stands in prose and against what stands among other numbers;
 * edges: for a clean cut, against what is part of a longer code.
 
 Expectation-maximisation on the histogram of vote patterns (at most 4 kinds x 3**4) over all
@@ -20,6 +22,7 @@ Looser candidates are added where that classifier is confident and no base span
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 from bisect import bisect_right
@@ -48,24 +51,49 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_LOOSE = {
-    0: re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]{1,63})+"),
-    1: re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    3: re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
-}
+_FLAGS = re.IGNORECASE | re.ASCII
+_NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}"
+_LABEL = "[A-Za-z0-9-]+"
+#: Kind, what a text must contain for a match, the form.
+_LOOSE = (
+    (0, re.compile(r"[\[({](?:at|@)[\])}]", _FLAGS), re.compile(rf"{_NAME} ?[\[({{](?:at|@)[\])}}] ?{_LABEL}(?:(?:\.| ?[\[({{](?:dot|\.)[\])}}] ?){_LABEL})+", _FLAGS)),
+    (0, re.compile(r" at [a-z0-9-]+ dot ", _FLAGS), re.compile(rf"{_NAME} at {_LABEL}(?: dot {_LABEL})+", _FLAGS)),
+    (0, re.compile(" @|@ "), re.compile(rf"{_NAME}(?: @ ?| ?@ ){_LABEL}(?:\.{_LABEL})+", _FLAGS)),
+    (1, re.compile(r"[0-9] ?(?:[\[(](?:\.|dot)[\])]|\.|dot) ?[0-9]", _FLAGS), re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?: ?[\[(](?:\.|dot)[\])] ?| \. | dot )[0-9]{1,3}){3}(?![0-9])", _FLAGS)),
+    (3, re.compile("00[1-9]"), re.compile(r"(?<![0-9+(])00[1-9][0-9]{0,2}(?:[\x20.-]\(?[0-9]{2,4}\)?){2,4}(?![0-9])")),
+    (3, re.compile("0[1-9]"), re.compile(r"(?<![0-9+(])\(?0[1-9][0-9]{1,3}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,4}(?![0-9])")),
+    (3, None, re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")),
+)
+_UNDOTTED = re.compile(rf"{_NAME}@{_LABEL}(?![A-Za-z0-9.@-])", re.ASCII)
+_HEX_RUN = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f:]{6,39}(?![0-9A-Za-z:])")
 
 #: Gazetteers and cue words (fixed values).
-TOP_DOMAINS = frozenset("com org net edu gov mil int info biz name io co de fr es it uk us eu ca au nl be ch at pt pl se no dk fi ie jp cn in br mx ru".split())
-COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro io co ai app dev tv me xyz online site shop"
+    " ae ar at au be bg br by ca ch cl cn cz de dk ee eg es eu fi fr gr hk hr hu id ie il in iq ir is it jp ke kr kz"
+    " lb lt lu lv ma mx my ng nl no nz pe ph pk pl pt ro rs ru sa se sg si sk th tn tr tw ua uk us uy vn za".split()
+)
+COUNTRY_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+    " 212 213 216 218 234 254 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 380 381 385 386 420 421 852 853 855 880 886 961 962 963 964 965 966 971 972 974".split()
+)
 CUES = {
-    0: ("email", "e-mail", "mail", "contact", "write to", "correo", "courriel"),
-    1: ("ip", "host", "server", "addr", "client", "from"),
+    0: ("email", "e-mail", "mail", "mailto", "contact", "write to", "correo", "courriel"),
+    1: ("ip", "ipv4", "ipv6", "host", "server", "addr", "address", "client", "gateway", "dns", "subnet", "peer"),
     2: ("card", "visa", "mastercard", "amex", "credit", "debit", "carte", "karte", "tarjeta"),
-    3: ("phone", "tel", "call", "fax", "mobile", "cell", "whatsapp", "telefon"),
+    3: ("phone", "telephone", "tel", "call", "fax", "mobile", "cell", "whatsapp", "telefon", "telefono", "teléfono", "téléphone", "handy"),
 }
 AGAINST = ("version", "isbn", "order", "invoice", "serial", "sku", "build", "release", "section", "page", "part no")
 
 
+def _whole_words(words) -> re.Pattern:
+    return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, words))})s?(?![^\W\d_])", re.IGNORECASE)
+
+
+_CUES = {k: _whole_words(words) for k, words in CUES.items()}
+_AGAINST = _whole_words(AGAINST)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, ch in enumerate(reversed(digits)):
@@ -92,12 +120,13 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(kind, start, end) of the base patterns, by kind and start; and card-like runs that fail its checks."""
-    found = [(0, s, e) for s, e in emails(text)]
+    """(kind, start, end) of the base patterns, by kind and start; and what has their shape but fails their checks."""
+    found, failed = [(0, s, e) for s, e in emails(text)], []
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             found.append((1, *m.span()))
-    failed = []
+        elif m.end() - m.start() <= 15:
+            failed.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() < 13:
             continue
@@ -108,22 +137,42 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             failed.append((2, *m.span()))
     if "+" in text:
         for m in _PHONE.finditer(text):
-            if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            n = sum(c.isdigit() for c in m[0])
+            if 8 <= n <= 15:
                 found.append((3, *m.span()))
+            elif 6 <= n <= 18:
+                failed.append((3, *m.span()))
+    if "@" in text:
+        failed += [(0, *m.span()) for m in _UNDOTTED.finditer(text)]
     return found, failed
 
 
-_HAS_LOOSE = re.compile(r"[\[(][aA][tT][\])]")
-
-
-def loose_spans(text: str, base: list, failed: list) -> list[tuple[int, int, int]]:
-    """Candidates beyond the base that overlap none of its spans, nor each other."""
-    more = list(failed)
-    if _HAS_LOOSE.search(text):
-        more += [(0, *m.span()) for m in _LOOSE[0].finditer(text)]
+def _fits(kind: int, span: str) -> bool:
+    """Checks of looser forms that their patterns leave open: parts of a quad, digits of an international number, a known domain behind plain words."""
+    if kind == 0:
+        return " at " not in span.lower() or span.rsplit(" ", 1)[-1].lower() in TOP_DOMAINS
+    if kind == 1:
+        return all(int(p) <= 255 for p in re.findall("[0-9]+", span))
+    return not span.startswith("00") or 8 <= sum(c.isdigit() for c in span) - 2 <= 15
+
+
+def _is_ipv6(run: str) -> bool:
+    try:
+        ipaddress.IPv6Address(run)
+    except ValueError:
+        return False
+    return True
+
+
+def loose_spans(text: str, base: list, failed: list) -> list[tuple[int, int, int, int]]:
+    """(kind, start, end, form) of candidates beyond the base that overlap none of its spans, nor each other: of those that do, the leftmost,
+    then the longest, then the looser form, then the first kind. Form 0 fails the base's checks, form 1 is looser. Patterns are local: linear in the text."""
+    more = [(*f, 0) for f in failed]
+    for kind, needs, form in _LOOSE:
+        if needs is None or needs.search(text):
+            more += [(kind, *m.span(), 1) for m in form.finditer(text) if _fits(kind, m[0])]
     if ":" in text:
-        more += [(1, *m.span()) for m in _LOOSE[1].finditer(text)]
-    more += [(3, *m.span()) for m in _LOOSE[3].finditer(text)]
+        more += [(1, *m.span(), 1) for m in _HEX_RUN.finditer(text) if _is_ipv6(m[0])]
     if not more:
         return more
     starts, ends = [], []  # the base's spans, overlapping ones as one
@@ -134,45 +183,47 @@ def loose_spans(text: str, base: list, failed: list) -> list[tuple[int, int, int
             starts.append(s)
             ends.append(e)
     out = []
-    for k, s, e in sorted(more, key=lambda x: (x[1], -x[2], x[0])):
+    for k, s, e, form in sorted(more, key=lambda x: (x[1], -x[2], -x[3], x[0])):
         if out and s < out[-1][2]:
             continue
         i = bisect_right(ends, s)
         if i < len(starts) and starts[i] < e:
             continue
-        out.append((k, s, e))
+        out.append((k, s, e, form))
     return sorted(out)
 
 
-def vote(text: str, kind: int, start: int, end: int, strict: bool) -> int:
-    """The four labelers' votes as a base-3 number (0 against, 1 abstains, 2 for)."""
+def _gazetteer(kind: int, span: str, digits: str) -> int:
+    if kind == 0:
+        return 2 if re.split("[^A-Za-z0-9-]+", span)[-1].lower() in TOP_DOMAINS else 0
+    if kind == 1:
+        if ":" in span:  # unicast, link-local and local ranges
+            return 2 if int(span.split(":")[0] or "0", 16) >> 13 == 1 or span[:2].lower() in ("fe", "fc", "fd") else 0
+        return 0 if re.match("[0-9]+", span)[0].lstrip("0") in ("", "255") else 2
+    if kind == 2:
+        issuer = digits[0] == "4" or "51" <= digits[:2] <= "55" or digits[:2] in ("34", "37", "65") or digits[:4] == "6011"
+        return 2 if issuer else 1
+    abroad = digits if span[0] == "+" else digits[2:] if digits[:2] == "00" else ""
+    if abroad:
+        return 2 if any(abroad[:n] in COUNTRY_CODES for n in (1, 2, 3)) else 1
+    return 1 if digits[0] == "0" else 2 if digits[0] != "1" else 0
+
+
+def vote(text: str, kind: int, start: int, end: int, form: int) -> int:
+    """The four labelers' votes as a base-3 number (0 against, 1 abstains, 2 for). ``form``: 2 for a base span, 1 for a looser one, 0 for a failed one."""
     span = text[start:end]
     digits = "".join(c for c in span if "0" <= c <= "9")
-    before = text[max(0, start - CONTEXT) : start].lower()
-    if strict:
-        pattern = 2
-    elif kind == 2:
+    pattern = form
+    if kind == 2 and form < 2:
         pattern = 2 if 13 <= len(digits) <= 15 and luhn(digits) and digits[0] in "34" else 0
-    else:
-        pattern = 1
-    if kind == 0:
-        gazetteer = 2 if re.split(r"[.\])\x20]", span.rstrip(")] "))[-1].lower() in TOP_DOMAINS else 0
-    elif kind == 1:
-        first = span.split(".")[0] if "." in span else ""
-        gazetteer = 1 if not first else (0 if first in ("0", "255") else 2)
-    elif kind == 2:
-        issuer = digits[0] == "4" or "51" <= digits[:2] <= "55" or digits[:2] in ("34", "37", "65") or digits[:4] == "6011"
-        gazetteer = 2 if issuer else 1
-    elif span[0] == "+":
-        gazetteer = 2 if any(digits[:n] in COUNTRY_CODES for n in (1, 2)) else 1
-    else:
-        gazetteer = 2 if digits[0] in "23456789" else 0
-    if any(c in before for c in AGAINST):
+    gazetteer = _gazetteer(kind, span, digits)
+    low = max(0, start - CONTEXT)
+    if _AGAINST.search(text, low, start):
         context = 0
-    elif any(c in before for c in CUES[kind]):
+    elif _CUES[kind].search(text, low, start):
         context = 2
     else:
-        around = before + text[end : end + CONTEXT]
+        around = text[low:start] + text[end : end + CONTEXT]
         letters = sum(map(str.isalpha, around))
         context = 2 if 2 * letters >= len(around) > 0 else 0 if 4 * letters < len(around) else 1
     left, right = text[start - 1 : start], text[end : end + 1]
@@ -180,10 +231,10 @@ def vote(text: str, kind: int, start: int, end: int, strict: bool) -> int:
     return ((pattern * 3 + gazetteer) * 3 + context) * 3 + edges
 
 
-def pattern_code(text: str, kind: int, start: int, end: int, strict: bool) -> int:
+def pattern_code(text: str, kind: int, start: int, end: int, form: int) -> int:
     """Kind, votes and a length class: what the classifier sees of a span."""
     size = 0 if end - start < 12 else 1 if end - start < 18 else 2 if end - start < 26 else 3
-    return (kind * 81 + vote(text, kind, start, end, strict)) * 4 + size
+    return (kind * 81 + vote(text, kind, start, end, form)) * 4 + size
 
 
 N_CODES = len(KINDS) * 81 * 4
@@ -263,8 +314,8 @@ _CAND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
 def find_candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
     """(kind, start, end, pattern code, is a base span) of every candidate."""
     base, failed = base_spans(text)
-    out = [(k, s, e, pattern_code(text, k, s, e, True), True) for k, s, e in base]
-    return out + [(k, s, e, pattern_code(text, k, s, e, False), False) for k, s, e in loose_spans(text, base, failed)]
+    out = [(k, s, e, pattern_code(text, k, s, e, 2), True) for k, s, e in base]
+    return out + [(k, s, e, pattern_code(text, k, s, e, form), False) for k, s, e, form in loose_spans(text, base, failed)]
 
 
 def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
