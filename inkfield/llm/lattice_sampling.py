@@ -25,10 +25,12 @@ import heapq
 import math
 import re
 import zlib
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +43,7 @@ ALPHA = 0.001
 #: Points lost for each byte of a character that is spelled out in bytes.
 BYTE_COST = 32_000.0
 SEED = 70_007
-#: Units, and edges of their lattices, that a worker process remembers; the cache is emptied when full and never changes a result.
+#: Units, and edges of their lattices, that a worker process remembers; when full, the cache keeps at most half, units seen in most batches. It never changes a result.
 CACHE, CACHED_EDGES = 500_000, 7_000_000
 #: Walks under this number go edge by edge, more of them side by side.
 FEW_WALKS = 4
@@ -65,14 +67,40 @@ def units(text: str) -> list[str]:
     return _UNITS.findall(" " + text)
 
 
+def marked(text: str) -> str:
+    """The text's units, each ended or parted by zero characters; the text has none itself."""
+    if text and text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text:
+        return " " + text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+    return "\0".join(units(text))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Edges:
     """Edges by node: next node (-1: the end), content, log-probability at the node, and that of all others there."""
 
-    def __init__(self):
+    def __init__(self, room: int = 4096):
         self.n_nodes = self.n_edges = 0
-        self.first = np.zeros(1025, dtype=np.int64)  # of each node, and after the last one
-        self.next, self.content = np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.int32)
-        self.cum, self.logp, self.others = np.zeros(4096), np.zeros(4096), np.zeros(4096)
+        self.first = np.zeros(room // 4 + 1, dtype=np.int64)  # of each node, and after the last one
+        self.next, self.content = np.empty(room, dtype=np.int32), np.empty(room, dtype=np.int32)
+        self.cum, self.logp, self.others = np.empty(room), np.empty(room), np.empty(room)
+
+    def keep(self, roots: np.ndarray, sizes: np.ndarray) -> None:
+        """Only these lattices, by their roots and numbers of nodes, in this order; their nodes are numbered anew."""
+        nodes, first = ranges(roots, sizes), self.first[roots]
+        count = self.first[roots + sizes] - first
+        some = ranges(first, count)
+        degree = self.first[nodes + 1] - self.first[nodes]
+        after = self.next[some]
+        after = np.where(after >= 0, after + np.repeat(np.cumsum(sizes) - sizes - roots, count), -1)
+        self.n_nodes, self.n_edges = len(nodes), len(some)
+        self.next[: len(some)] = after
+        for a in (self.content, self.cum, self.logp, self.others):
+            a[: len(some)] = a[some]
+        self.first[1 : len(nodes) + 1] = np.cumsum(degree)
 
     def add(self, degree: np.ndarray, after: np.ndarray, content: np.ndarray, logp: np.ndarray) -> None:
         """More nodes, numbered on, by their numbers of edges (one at least), and these edges, node by node."""
@@ -109,7 +137,7 @@ class Edges:
         for name, need in (("first", nodes + 1), ("next", edges), ("content", edges), ("cum", edges), ("logp", edges), ("others", edges)):
             old = getattr(self, name)
             if len(old) < need:
-                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), dtype=old.dtype)]))
+                setattr(self, name, np.concatenate([old, np.empty(max(need, len(old) + len(old) // 2) - len(old), dtype=old.dtype)]))
 
     def walk(self, starts: np.ndarray, shift: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges drawn from each start to its end, start by start, and the number of each one's start.
@@ -154,30 +182,27 @@ class Edges:
 
 
 class Pool:
-    """Byte strings end to end, for gathering many of them at once."""
-
-    def __init__(self, strings=()):
-        self.bytes = np.zeros(1 << 16, dtype=np.uint8)
-        self.start, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
-        self.n = self.used = 0
-        self.add(list(strings))
-
-    def add(self, strings: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
-        raw = np.frombuffer(b"".join(strings), dtype=np.uint8)
-        for name, need in (("bytes", self.used + len(raw)), ("start", self.n + len(sizes)), ("size", self.n + len(sizes))):
-            old = getattr(self, name)
-            if len(old) < need:
-                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), dtype=old.dtype)]))
-        self.bytes[self.used : self.used + len(raw)] = raw
-        self.size[self.n : self.n + len(sizes)] = sizes
-        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.n, self.used = self.n + len(sizes), self.used + len(raw)
+    """Sequences of ids end to end, for gathering many of them at once."""
 
-    def take(self, which: np.ndarray) -> bytes:
-        size = self.size[which]
-        shift = self.start[which] - (np.cumsum(size) - size)
-        return self.bytes[np.repeat(shift, size) + np.arange(int(size.sum()))].tobytes()
+    def __init__(self):
+        self.ids, self.start, self.size = np.zeros(1 << 16, dtype="<u2"), Numbers(), Numbers()
+        self.used = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), dtype="<u2")])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start.add(self.used + np.cumsum(sizes) - sizes)
+        self.size.add(sizes)
+        self.used += len(ids)
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        return self.ids[ranges(self.start[which], self.size[which])]
+
+    def keep(self, which: np.ndarray) -> None:
+        ids, sizes = self.take(which), self.size[which]
+        self.used = self.start.n = self.size.n = 0
+        self.add(ids, sizes)
 
 
 class Numbers:
@@ -197,7 +222,7 @@ class Numbers:
 
 
 class Lattices:
-    """Lattices of units, with caches: row numbers for each known unit (two if a stop ends it), and tables by row."""
+    """Lattices of units, with caches: for each known unit four times its row, and the number of the stop that ends it (0: none); tables by row."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -219,7 +244,7 @@ class Lattices:
         self.raw = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.encode() for i, p in enumerate(self.pieces)]
         self.contents = [np.array([i], dtype="<u2").tobytes() for i in range(n)]
         self.spelled: dict[tuple[int, ...], int] = {}
-        self.shown = Pool(b.replace(SPACE.encode(), b" ") for b in self.raw)
+        self.shown = pa.array([b.replace(SPACE.encode(), b" ") for b in self.raw], type=pa.large_binary())
         self._make_trie({p: hit[1][0] for p, hit in self.cost.items() if hit})
         self.points = np.zeros(n)
         for cost, (i,) in filter(None, self.cost.values()):
@@ -249,10 +274,42 @@ class Lattices:
                 self.piece_at[k] = pieces.get(p, -1)
 
     def _clear(self):
-        self.row: dict[str, tuple[int, int]] = {}
+        self.row: dict[str, int] = {}
         self.plain = Pool()
-        self.roots, self.sizes = Numbers(), Numbers()
-        self.edges = Edges()
+        self.roots, self.sizes, self.batches = Numbers(), Numbers(), Numbers()
+        self.edges = Edges(CACHED_EDGES + CACHED_EDGES // 8)
+        # The first rows, which are never forgotten: a line end, and the stops.
+        alone = [self.line_end, *(self.cost[c][1][0] for c in self.stops)]
+        self.fixed = np.arange(len(alone))
+        self.row["\n"] = 0
+        self.plain.add(np.array(alone), np.ones_like(self.fixed))
+        self._add_rows(self.fixed, np.ones_like(self.fixed))
+        self.edges.add(np.ones_like(self.fixed), np.full(len(alone), -1), np.array(alone), np.zeros(len(alone)))
+
+    def _add_rows(self, roots: np.ndarray, sizes: np.ndarray) -> None:
+        self.roots.add(roots)
+        self.sizes.add(sizes)
+        self.batches.add(np.zeros_like(sizes))
+
+    def _forget(self) -> None:
+        """Keep the rows seen in most batches, of those in two at least, and half of what may be remembered at most."""
+        n = self.roots.n
+        value = np.fromiter(self.row.values(), dtype=np.int64, count=len(self.row))
+        roots, sizes, batches = self.roots[:n], self.sizes[:n], self.batches[:n]
+        edges, names = self.edges.first[roots + sizes] - self.edges.first[roots], np.bincount(value >> 2, minlength=n)
+        order = np.argsort(-batches, kind="stable")
+        few = (2 * np.cumsum(edges[order]) <= CACHED_EDGES) & (2 * np.cumsum(names[order]) <= CACHE) & (batches[order] > 1)
+        stay = np.zeros(n, dtype=bool)
+        stay[order[few]] = stay[self.fixed] = True
+        rows = np.flatnonzero(stay)
+        self.edges.keep(roots[rows], sizes[rows])
+        self.plain.keep(rows)
+        sizes, batches = sizes[rows], batches[rows] // 2  # what is no longer seen goes in time
+        self.roots.n = self.sizes.n = self.batches.n = 0
+        self._add_rows(np.cumsum(sizes) - sizes, sizes)
+        self.batches.all[: len(rows)] = batches
+        value = np.where(stay[value >> 2], (np.cumsum(stay) - 1)[value >> 2] * 4 + (value & 3), -1)
+        self.row = {u: v for u, v in zip(self.row, value.tolist(), strict=True) if v >= 0}
 
     def _content(self, ids: tuple[int, ...]) -> int:
         """The number of an edge's ids: a piece's own, further ones for characters in bytes."""
@@ -271,53 +328,46 @@ class Lattices:
     def rows_of(self, flat: pa.Array, n_units: np.ndarray) -> list[np.ndarray]:
         """``flat`` are the units of texts, end to end."""
         if len(self.row) > CACHE or self.edges.n_edges > CACHED_EDGES:
-            self._clear()
+            self._forget()
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._know(distinct)
-        of = np.fromiter(chain.from_iterable(map(self.row.__getitem__, distinct)), dtype=np.int64, count=2 * len(distinct)).reshape(-1, 2)[coded.indices.to_numpy()]
-        two = of[:, 1] >= 0
-        every = of.ravel()[np.flatnonzero(np.stack([np.ones(len(two), dtype=bool), two], axis=1))]
-        cuts = np.concatenate(([0], np.cumsum(1 + two)))[np.cumsum(n_units)]
-        return np.split(every, cuts[:-1])
-
-    def _know(self, units: list[str]) -> None:
-        """Rows for units: one, or two if a stop ends it (else -1)."""
-        known = self.row
-        new = [u for u in units if u not in known]
-        stops = {c: "\0" + c for c in self.stops}  # no unit: a stop without the encoder's space
-        ended = [u for u in new if u[-1] in stops and u[-2:-1].isalpha()]
-        whole = set(new).difference(ended)
-        whole.update(u[:-1] for u in ended if u[:-1] not in known)
-        self._learn(sorted(whole))
-        for u in ended:
-            if stops[u[-1]] not in known:
-                self._learn_stop(u[-1], stops[u[-1]])
-            known[u] = known[u[:-1]][0], known[stops[u[-1]]][0]
-
-    def _learn_stop(self, stop: str, name: str) -> None:
-        ids = self.cost[stop][1]
-        self.row[name] = (self.plain.n, -1)
-        self.plain.add([np.array(ids, dtype="<u2").tobytes()])
-        self.roots.add([self.edges.n_nodes])
-        self.sizes.add([1])
-        self.edges.add(np.ones(1, dtype=np.int64), np.array([-1]), np.array([self._content(ids)]), np.zeros(1))
-
-    def _learn_line_end(self) -> None:
-        raw = np.array([self.line_end], dtype="<u2").tobytes()
-        self.row["\n"] = (self.plain.n, -1)
-        self.plain.add([raw])
-        self.roots.add([self.edges.n_nodes])
-        self.sizes.add([1])
-        self.edges.add(np.ones(1, dtype=np.int64), np.array([-1]), np.array([self.line_end]), np.zeros(1))
+        value = self._know(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        self.batches.all[value >> 2] += 1
+        value = value[coded.indices.to_numpy()]
+        stop = value & 3
+        at = np.cumsum(1 + (stop > 0))
+        every = np.empty(int(at[-1]) if len(at) else 0, dtype=np.int64)
+        every[at - 1] = stop  # a stop's row is its number
+        every[at - 1 - (stop > 0)] = value >> 2
+        return np.split(every, np.concatenate(([0], at))[np.cumsum(n_units)][:-1])
+
+    def rows_of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The rows of every text's units."""
+        if any("\0" in t for t in texts):
+            return self.rows([units(t) for t in texts])
+        parts = pc.split_pattern(pa.array(map(marked, texts), type=pa.large_string()), "\0")
+        flat, cuts = parts.values, parts.offsets.to_numpy()
+        some = pc.binary_length(flat).to_numpy() > 0
+        n_units = np.diff(np.concatenate(([0], np.cumsum(some)))[cuts])
+        return self.rows_of(flat.filter(pa.array(some)), n_units)
+
+    def _know(self, distinct: list[str]) -> np.ndarray:
+        """Values for units, new ones learned first."""
+        known, stops = self.row, {c: k for k, c in enumerate(self.stops, 1)}
+        value = np.fromiter(map(known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        missing = np.flatnonzero(value < 0)
+        new = [distinct[i] for i in missing.tolist()]
+        ended = {u: u[:-1] for u in new if u[-1] in stops and u[-2:-1].isalpha()}
+        self._learn(list(dict.fromkeys(w for u in new if (w := ended.get(u, u)) not in known)))
+        for u, w in ended.items():
+            known[u] = known[w] + stops[u[-1]]
+        value[missing] = np.fromiter(map(known.__getitem__, new), dtype=np.int64, count=len(new))
+        return value
 
     def _learn(self, new: list[str]) -> None:
         """Plain encodings and lattices of new units."""
-        if "\n" in new:
-            new = [u for u in new if u != "\n"]
-            self._learn_line_end()
         if not new:
             return
+        new = self._add_plain(new)
         # Characters of all units, each unit closed by a line end, which no piece has. A unit that is a line end comes alone.
         size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
         joined = "\n".join(new).replace(" ", SPACE) + "\n"
@@ -371,37 +421,44 @@ class Lattices:
         base = self.edges.n_nodes
         after = np.where(inner[end], base + node[end], -1)
         self.edges.add(degree, after, piece, weight - tail[start])
-        for k, u in enumerate(new):
-            self.row[u] = (self.plain.n + k, -1)
-        self.plain.add(self._encoded(new))
-        self.roots.add(base + np.cumsum(size) - size)
-        self.sizes.add(size)
-
-    def _encoded(self, new: list[str]) -> list[bytes]:
-        """The library's ids of units, encoded together with line ends between them; it puts a space before the first, as the units have one."""
-        out: dict[str, bytes] = {" ": np.array(self.cost[SPACE][1], dtype="<u2").tobytes()}
-        for own in ([u for u in new if u[0] == " " and u != " "], [u for u in new if u[0] not in " \n"]):
-            if own:
-                text = "\n".join(own)
-                ids = np.array(self.model.encode(text[1:] if own[0][0] == " " else "\n" + text), dtype="<u2")
-                ends = np.flatnonzero(ids == self.line_end)
-                starts = np.concatenate(([0], ends + 1)) if own[0][0] == " " else ends + 1
-                ends = np.concatenate((ends, [len(ids)]))[-len(own) :]
-                raw = ids.tobytes()
-                out.update((u, raw[2 * a : 2 * z]) for u, a, z in zip(own, starts.tolist(), ends.tolist(), strict=True))
-        return [out[u] for u in new]
-
-    def ids(self, path: np.ndarray) -> np.ndarray:
-        """The ids of a path's edges."""
-        c = self.edges.content[path]
+        self.row.update(zip(new, range(4 * self.roots.n, 4 * (self.roots.n + len(new)), 4), strict=True))
+        self._add_rows(base + np.cumsum(size) - size, size)
+
+    def _add_plain(self, new: list[str]) -> list[str]:
+        """The units in the order in which the library's ids of them are added; it encodes them together with line ends between them, and puts a space before the first, as the units have one."""
+        spaced, bare, space = [u for u in new if u[0] == " " and u != " "], [u for u in new if u[0] != " "], [u for u in new if u == " "]
+        for own in filter(None, (spaced, bare)):
+            text = "\n".join(own)
+            ids = np.array(self.model.encode(text[1:] if own is spaced else "\n" + text), dtype="<u2")
+            ends = np.concatenate((np.flatnonzero(ids == self.line_end), [len(ids)]))
+            starts = np.concatenate(([0], ends[:-1] + 1))[-len(own) :]
+            ids, ends = ids[starts[0] :], ends[-len(own) :]
+            self.plain.add(ids[ids != self.line_end], ends - starts)
+        if space:
+            self.plain.add(np.array(self.cost[SPACE][1]), np.ones(1, dtype=np.int64))
+        return spaced + bare + space
+
+    def ids(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of each path's edges."""
+        if not paths:
+            return []
+        c = self.edges.content[np.concatenate(paths)]
+        cuts = np.cumsum([len(p) for p in paths])[:-1]
         if not len(c) or c.max() < len(self.pieces):
-            return c.astype("<u2")
-        return np.frombuffer(b"".join(map(self.contents.__getitem__, c.tolist())), dtype="<u2")
+            return np.split(c.astype("<u2"), cuts)
+        return [np.frombuffer(b"".join(map(self.contents.__getitem__, own.tolist())), dtype="<u2") for own in np.split(c, cuts)]
 
     def shown_bytes(self, ids: np.ndarray) -> bytes:
         """What ids of an encoding decode to, in UTF-8: pieces without the dummy space."""
-        raw = self.shown.take(ids)
-        return raw[1:] if raw[:1] == b" " else raw
+        return next(self.each_shown([ids]))
+
+    def each_shown(self, sequences: list[np.ndarray]) -> Iterator[bytes]:
+        """``shown_bytes`` of every sequence."""
+        _, offsets, raw = self.shown.take(pa.array(np.concatenate(sequences).astype(np.int32))).buffers()
+        at = np.cumsum([0, *map(len, sequences)])
+        at = np.frombuffer(offsets, dtype=np.int64)[at].tolist()
+        raw = raw.to_pybytes() if raw else b""
+        return (raw[a + raw.startswith(b" ", a, z) : z] for a, z in pairwise(at))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces, with bytes joined to characters and the dummy space taken away."""
@@ -429,7 +486,7 @@ class Chain:
         self.found: list[tuple[float, float, np.ndarray]] = []
         self.pushed = 0
         # What the next path shares with one before, its first edge of its own, and where the walk goes on.
-        self.kept = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        self.kept = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
         self.at, self.closed = 0, frozenset()
         self.value = float(-np.log(-np.log(rng.random())))
         self.starts, self.units = roots, np.arange(len(roots))
@@ -438,32 +495,31 @@ class Chain:
         """Take the best region that is left, and its first edge; false if there is none or enough are found."""
         if len(self.found) >= self.k or not self.queue:
             return False
-        value, _, own, base, at, closed = heapq.heappop(self.queue)
+        value, _, own, base, logp, at, closed = heapq.heappop(self.queue)
         every, p = self._open(base[at], closed)
         edge = every[min(int((self.rng.random() * p.sum() >= np.cumsum(p)).sum()), int(np.flatnonzero(p)[-1]))]
         unit, mid = int(own[at]), int(self.edges.next[edge])
         self.value, self.at, self.closed = -value, at, closed
-        self.kept = np.concatenate((own[:at], [unit])), np.concatenate((base[:at], [edge]))
+        self.kept = np.append(own[:at], unit), np.append(base[:at], edge), np.append(logp[:at], self.edges.logp[edge]), self.edges.others[edge : edge + 1].copy()
         inside = mid >= 0
         self.starts = np.concatenate(([mid], self.roots[unit + 1 :])) if inside else self.roots[unit + 1 :]
         self.units = np.arange(unit if inside else unit + 1, len(self.roots))
         return True
 
-    def add(self, which: np.ndarray, walked: np.ndarray) -> None:
-        """The path whose rest was walked; the regions beside it go into the queue."""
-        own, path = np.concatenate((self.kept[0], self.units[which])), np.concatenate((self.kept[1], walked))
-        self.found.append((self.value, float(self.edges.logp[path].sum()), path))
-        for top, at, shut in self._regions(path):
-            heapq.heappush(self.queue, (-top, self.pushed, own, path, at, shut))
+    def add(self, which: np.ndarray, walked: np.ndarray, logp: np.ndarray, others: np.ndarray) -> None:
+        """The path whose rest was walked, with its edges' logarithms; the regions beside it go into the queue."""
+        own, path, logp, others = map(np.concatenate, zip(self.kept, (self.units[which], walked, logp, others), strict=True))
+        self.found.append((self.value, float(logp.sum()), path))
+        for top, at, shut in self._regions(path, logp, others):
+            heapq.heappush(self.queue, (-top, self.pushed, own, path, logp, at, shut))
             self.pushed += 1
 
-    def _regions(self, path: np.ndarray) -> list[tuple[float, int, frozenset]]:
-        """The best regions beside ``path`` in the region that it came from."""
-        frm, closed, edges, k = self.at, self.closed, self.edges, self.k
+    def _regions(self, path: np.ndarray, own: np.ndarray, others: np.ndarray) -> list[tuple[float, int, frozenset]]:
+        """The best regions beside ``path`` in the region that it came from; ``others`` from that region's edge on."""
+        frm, closed, k = self.at, self.closed, self.k
         if frm >= len(path):
             return []
-        own = edges.logp[path]
-        mass = (np.cumsum(own) - own)[frm:] + edges.others[path[frm:]]
+        mass = (np.cumsum(own) - own)[frm:] + others
         shut = closed | {int(path[frm])}
         if closed:
             left = self._open(path[frm], shut)[1].sum()
@@ -485,8 +541,7 @@ class Chain:
     def _open(self, edge: int, closed: frozenset) -> tuple[np.ndarray, np.ndarray]:
         edges = self.edges
         node = np.searchsorted(edges.first[: edges.n_nodes + 1], edge, side="right") - 1
-        every = np.arange(edges.first[node], edges.first[node + 1])
-        every = every[[int(e) not in closed for e in every]]
+        every = [e for e in range(int(edges.first[node]), int(edges.first[node + 1])) if e not in closed]
         return every, np.exp(edges.logp[every])
 
 
@@ -498,10 +553,11 @@ def top_paths(edges: Edges, chains: list[Chain]) -> None:
         begin = np.cumsum([0] + [c.nodes for c in going])
         shift = np.concatenate([c.shift[c.units] + b for c, b in zip(going, begin[:-1].tolist(), strict=True)])
         which, walked = edges.walk(np.concatenate([c.starts for c in going]), shift, u)
+        logp, others = edges.logp[walked], edges.others[walked]
         first = np.cumsum([0] + [len(c.starts) for c in going])
         cuts = np.searchsorted(which, first)
         for c, f, a, z in zip(going, first[:-1].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            c.add(which[a:z] - f, walked[a:z])
+            c.add(which[a:z] - f, walked[a:z], logp[a:z], others[a:z])
         going = [c for c in going if c.next_start()]
 
 
@@ -539,12 +595,12 @@ def segmentations(lat: Lattices, keys: list[int | None], rows: list[np.ndarray],
         rng = np.random.Generator(np.random.PCG64([SEED, (key or 0) & (2**64 - 1)]))
         chains.append(Chain(lat.edges, lat.roots[own], lat.sizes[own], k, rng))
     top_paths(lat.edges, [c for c in chains if len(c.roots)])
-    out = []
-    for c, own in zip(chains, rows, strict=True):
-        plain = np.frombuffer(lat.plain.take(own), dtype="<u2")
-        if len(own):
+    out, ids = [], iter(lat.ids([path for c in chains for _, _, path in c.found]))
+    plains = np.split(lat.plain.take(np.concatenate(rows)), np.cumsum([int(lat.plain.size[own].sum()) for own in rows])[:-1]) if rows else []
+    for c, plain in zip(chains, plains, strict=True):
+        if len(c.roots):
             least = threshold_of(c)
-            out.append([(0, plain, None, None, None), *((i, lat.ids(path), logp, value, inclusion(logp, least)) for i, (value, logp, path) in enumerate(c.found, 1))])
+            out.append([(0, plain, None, None, None), *((i, next(ids), logp, value, inclusion(logp, least)) for i, (value, logp, _) in enumerate(c.found, 1))])
         else:
             out.append([(0, plain, None, None, None), (1, plain, 0.0, c.value, 1.0)])
     return out
@@ -565,13 +621,14 @@ def sample_segmentations(docs: DataFrame, path: str | None = None, k: int = SAMP
         lat = lattices(path)
         for b in portions(it, 1):
             keys, whole = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = lat.rows([units(t) for t in whole])
+            found = segmentations(lat, keys, lat.rows_of_texts(whole), k)
+            shown = lat.each_shown([ids for own in found for _, ids, *_ in own])
             out: dict[str, list] = {n: [] for n in schema.names}
-            for key, text, own in zip(keys, whole, segmentations(lat, keys, rows, k), strict=True):
+            for key, text, own in zip(keys, whole, found, strict=True):
                 raw = text.encode()
                 for draw, ids, logp, value, incl in own:
-                    decoded = lat.shown_bytes(ids)
-                    row = (key, draw, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, value, incl, zlib.crc32(decoded), decoded == raw) + ((ids.astype(np.int32),) if with_ids else ())
+                    decoded = next(shown)
+                    row = (key, draw, len(ids), zlib.crc32(ids.astype("<u4")), logp, value, incl, zlib.crc32(decoded), decoded == raw) + ((ids.astype(np.int32),) if with_ids else ())
                     for name, x in zip(schema.names, row, strict=True):
                         out[name].append(x)
             yield as_batch(out, schema)

@@ -550,6 +550,34 @@ def test_draws_do_not_depend_on_batches_or_cache(texts):
         assert [(d[0], d[1].tolist(), *d[2:]) for d in own] == [(d[0], d[1].tolist(), *d[2:]) for d in once[k]]
 
 
+def test_full_cache_keeps_what_is_seen_often(monkeypatch, texts):
+    monkeypatch.setattr(lattice_sampling, "CACHED_EDGES", 6000)
+    monkeypatch.setattr(lattice_sampling, "CACHE", 500)
+    some = [f"{t} seldom{k}ly The often, often." for k, t in enumerate(list(texts.values())[:80]) if t]
+    once = drawn(lattice_sampling.Lattices(lattice_sampling.model_path()), some)
+    lat = lattice_sampling.Lattices(lattice_sampling.model_path())
+    learned, forgotten, learn, root = Counter(), 0, lat._learn, lat.edges.n_edges
+    monkeypatch.setattr(lat, "_learn", lambda new: (learned.update(new), learn(new)))
+    for k, t in enumerate(some):
+        before = lat.edges.n_edges
+        rows = lat.rows([lattice_sampling.units(t)])
+        (own,) = lattice_sampling.segmentations(lat, [k], rows)
+        assert [(d[0], d[1].tolist(), *d[2:]) for d in own] == [(d[0], d[1].tolist(), *d[2:]) for d in once[k]]
+        forgotten += lat.edges.n_edges < before
+    assert forgotten > 1 and root < lat.edges.n_edges < 6000 + 50 * max(map(len, some))
+    assert learned[" often"] == 1 and max(learned.values()) > 1  # seldom ones are learned anew
+
+
+def test_units_of_many_texts_are_those_of_each():
+    odd = ["", " ", "a  b", " \n", "a \nb", "\na", "a\n\nb", "x.\ny, z.", "a.. b., c", ".", "\n.\n", "😀 \U000e0001é", "plain words, here.", "▁ x"]
+    for some in (odd, odd[:1], [*odd, "e\0f g"]):
+        lat = lattice_sampling.Lattices(lattice_sampling.model_path())
+        got = lat.rows_of_texts(some)
+        assert [r.tolist() for r in got] == [r.tolist() for r in lat.rows([lattice_sampling.units(t) for t in some])]
+        shown = list(lat.each_shown([lat.plain.take(r) for r in got]))
+        assert shown == [t.replace("▁", " ").encode() for t in some]
+
+
 def test_draws_without_replacement_have_the_right_law():
     lp = np.log(np.array([[0.6, 0.4, 0], [0.5, 0.3, 0.2]]) + 1e-300)
     lp[lp < -600] = -np.inf
