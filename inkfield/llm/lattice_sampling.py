@@ -45,6 +45,8 @@ BYTE_COST = 32_000.0
 SEED = 70_007
 #: Units, and edges of their lattices, that a worker process remembers; when full, the cache keeps at most half, units seen in most batches. It never changes a result.
 CACHE, CACHED_EDGES = 500_000, 7_000_000
+#: Characters of new units that are learned together, and ids that are decoded together: bounds for memory.
+LEARNED, DECODED = 1 << 16, 1 << 20
 #: Walks under this number go edge by edge, more of them side by side.
 FEW_WALKS = 4
 
@@ -79,6 +81,12 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def runs(sizes: list[int], most: int) -> list[slice]:
+    """Runs of neighbouring items whose sizes sum up to ``most`` and one item at most."""
+    cuts = np.flatnonzero(np.diff(np.cumsum([0, *sizes])[:-1] // most)) + 1
+    return [slice(a, z) for a, z in pairwise([0, *cuts.tolist(), len(sizes)])]
+
+
 class Edges:
     """Edges by node: next node (-1: the end), content, log-probability at the node, and that of all others there."""
 
@@ -357,7 +365,9 @@ class Lattices:
         missing = np.flatnonzero(value < 0)
         new = [distinct[i] for i in missing.tolist()]
         ended = {u: u[:-1] for u in new if u[-1] in stops and u[-2:-1].isalpha()}
-        self._learn(list(dict.fromkeys(w for u in new if (w := ended.get(u, u)) not in known)))
+        whole = list(dict.fromkeys(w for u in new if (w := ended.get(u, u)) not in known))
+        for run in runs(list(map(len, whole)), LEARNED):
+            self._learn(whole[run])
         for u, w in ended.items():
             known[u] = known[w] + stops[u[-1]]
         value[missing] = np.fromiter(map(known.__getitem__, new), dtype=np.int64, count=len(new))
@@ -454,11 +464,11 @@ class Lattices:
 
     def each_shown(self, sequences: list[np.ndarray]) -> Iterator[bytes]:
         """``shown_bytes`` of every sequence."""
-        _, offsets, raw = self.shown.take(pa.array(np.concatenate(sequences).astype(np.int32))).buffers()
-        at = np.cumsum([0, *map(len, sequences)])
-        at = np.frombuffer(offsets, dtype=np.int64)[at].tolist()
-        raw = raw.to_pybytes() if raw else b""
-        return (raw[a + raw.startswith(b" ", a, z) : z] for a, z in pairwise(at))
+        for run in runs(list(map(len, sequences)), DECODED):
+            _, offsets, raw = self.shown.take(pa.array(np.concatenate(sequences[run]).astype(np.int32))).buffers()
+            at = np.frombuffer(offsets, dtype=np.int64)[np.cumsum([0, *map(len, sequences[run])])].tolist()
+            raw = raw.to_pybytes() if raw else b""
+            yield from (raw[a + raw.startswith(b" ", a, z) : z] for a, z in pairwise(at))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces, with bytes joined to characters and the dummy space taken away."""
@@ -495,23 +505,26 @@ class Chain:
         """Take the best region that is left, and its first edge; false if there is none or enough are found."""
         if len(self.found) >= self.k or not self.queue:
             return False
-        value, _, own, base, logp, at, closed = heapq.heappop(self.queue)
+        value, _, own, base, at, closed = heapq.heappop(self.queue)
         every, p = self._open(base[at], closed)
         edge = every[min(int((self.rng.random() * p.sum() >= np.cumsum(p)).sum()), int(np.flatnonzero(p)[-1]))]
         unit, mid = int(own[at]), int(self.edges.next[edge])
         self.value, self.at, self.closed = -value, at, closed
-        self.kept = np.append(own[:at], unit), np.append(base[:at], edge), np.append(logp[:at], self.edges.logp[edge]), self.edges.others[edge : edge + 1].copy()
+        path = np.append(base[:at], edge)
+        self.kept = np.append(own[:at], unit), path, self.edges.logp[path], self.edges.others[path[at:]]
         inside = mid >= 0
         self.starts = np.concatenate(([mid], self.roots[unit + 1 :])) if inside else self.roots[unit + 1 :]
         self.units = np.arange(unit if inside else unit + 1, len(self.roots))
         return True
 
     def add(self, which: np.ndarray, walked: np.ndarray, logp: np.ndarray, others: np.ndarray) -> None:
-        """The path whose rest was walked, with its edges' logarithms; the regions beside it go into the queue."""
-        own, path, logp, others = map(np.concatenate, zip(self.kept, (self.units[which], walked, logp, others), strict=True))
-        self.found.append((self.value, float(logp.sum()), path))
-        for top, at, shut in self._regions(path, logp, others):
-            heapq.heappush(self.queue, (-top, self.pushed, own, path, logp, at, shut))
+        """The path that was walked, or whose rest was, with its edges' logarithms; the regions beside it go into the queue."""
+        own = self.units[which]
+        if len(self.kept[0]):
+            own, walked, logp, others = map(np.concatenate, zip(self.kept, (own, walked, logp, others), strict=True))
+        self.found.append((self.value, float(logp.sum()), walked))
+        for top, at, shut in self._regions(walked, logp, others):
+            heapq.heappush(self.queue, (-top, self.pushed, own, walked, at, shut))
             self.pushed += 1
 
     def _regions(self, path: np.ndarray, own: np.ndarray, others: np.ndarray) -> list[tuple[float, int, frozenset]]:
@@ -558,6 +571,7 @@ def top_paths(edges: Edges, chains: list[Chain]) -> None:
         cuts = np.searchsorted(which, first)
         for c, f, a, z in zip(going, first[:-1].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             c.add(which[a:z] - f, walked[a:z], logp[a:z], others[a:z])
+        del u, shift, which, walked, logp, others  # long texts' arrays
         going = [c for c in going if c.next_start()]
 
 

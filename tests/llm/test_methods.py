@@ -578,6 +578,20 @@ def test_units_of_many_texts_are_those_of_each():
         assert shown == [t.replace("▁", " ").encode() for t in some]
 
 
+def test_new_units_and_draws_are_taken_in_bounded_runs(monkeypatch, texts):
+    some = [t or "" for t in list(texts.values())[:40]]
+    once = drawn(lattice_sampling.Lattices(lattice_sampling.model_path()), some)
+    monkeypatch.setattr(lattice_sampling, "LEARNED", 500)
+    monkeypatch.setattr(lattice_sampling, "DECODED", 300)
+    lat = lattice_sampling.Lattices(lattice_sampling.model_path())
+    most, learn = [], lat._learn
+    monkeypatch.setattr(lat, "_learn", lambda new: (most.append(sum(map(len, new)) - max(map(len, new), default=0)), learn(new)))
+    got = drawn(lat, some)
+    assert len(most) > 5 and max(most) <= 500
+    assert [[(d[0], d[1].tolist(), *d[2:]) for d in own] for own in got] == [[(d[0], d[1].tolist(), *d[2:]) for d in own] for own in once]
+    assert list(lat.each_shown([d[1] for own in got for d in own])) == [t.replace("▁", " ").encode() for t, own in zip(some, got, strict=True) for _ in own]
+
+
 def test_draws_without_replacement_have_the_right_law():
     lp = np.log(np.array([[0.6, 0.4, 0], [0.5, 0.3, 0.2]]) + 1e-300)
     lp[lp < -600] = -np.inf
