@@ -228,24 +228,37 @@ KIN_PREFIXES = (("祖父", "PATERNAL_GRANDFATHER"), ("祖母", "PATERNAL_GRANDMO
 # ---- End of fixed values.
 
 
+#: Names, and heads of names, that are broadcast at most.
+MOST_BROADCAST = 200_000
+
+
 def prefix_relations(docs: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """(key, src, dst, type, confidence) of "父Y", "字Y" and the like where no Chinese character stands before the word.
 
-    The source is the nearest stored name in the 50 characters before (of those that end at the same
-    place, the longest): candidates are the runs of characters there, met with the names by an equi-join.
+    The source is the nearest stored name of 2 to 5 characters in the 50 characters before (of those that end
+    at the same place, the longest). Texts are cut in one pass where such a word stands, and the 50 characters
+    are put together from the ends of the pieces. Names are met by equi-joins: the pairs of characters there
+    with the first two of the names, and only the runs that begin so with the names. Names and pairs are
+    broadcast where they are few (counted first); beyond, they meet by shuffle.
     """
     words = "|".join(p for p, _ in KIN_PREFIXES)
     kinds = F.create_map(*[F.lit(x) for pair in KIN_PREFIXES for x in pair])
-    # The context is taken by look-behind, so that each place reads 50 characters and no more; the look-ahead comes first, so that only words do.
-    place = rf"(?=(?:{words})[{HAN}]{{2}})(?<=((?<![\s\S])[\s\S]{{1,49}}|[\s\S]{{50}}))(?<![{HAN}])({words})(?=([{HAN}]{{2,4}}))"
-    group = lambda i: F.regexp_extract_all("text", F.lit(place), F.lit(i))
-    found = docs.select(key, F.posexplode(F.arrays_zip(group(1).alias("before"), group(2).alias("word"), group(3).alias("dst"))).alias("n", "m")).select(key, "n", "m.*")
-    spots = found.select(key, "n", "word", "dst", "before", F.explode(F.sequence(F.lit(1), F.length("before"))).alias("i"))
-    runs = spots.select(key, "n", "word", "dst", "i", F.explode(F.sequence(F.lit(2), F.lit(5))).alias("k"), "before").filter(F.col("i") + F.col("k") - 1 <= F.length("before"))
-    cand = runs.select(key, "n", "word", "dst", (F.col("i") + F.col("k")).alias("end"), "k", F.substring(F.col("before"), F.col("i"), F.col("k")).alias("src"))
-    known = names.select(F.col("name").alias("src")).distinct()
-    best = cand.join(known, "src", "left_semi").groupBy(key, "n", "word", "dst").agg(F.max_by("src", F.struct("end", "k")).alias("src"))
-    return best.select(key, "src", "dst", kinds[F.col("word")].alias("type"), F.lit(0.8).alias("confidence")).distinct()
+    cut = F.split("text", f"(?<![{HAN}])(?=(?:{words})[{HAN}]{{2}})")
+    pieces = docs.select(key, F.transform(cut, lambda p: F.struct(F.right(p, F.lit(50)).alias("tail"), F.substring(p, 1, 6).alias("head"))).alias("pieces"))
+    # A piece after the first has a word, two characters and one that is not Chinese, so that 13 hold 50.
+    ends = lambda i: F.concat(*[F.coalesce(F.get("pieces", i - j)["tail"], F.lit("")) for j in range(13, 0, -1)])
+    found = pieces.select(key, F.explode(F.transform("pieces", lambda p, i: F.struct(F.right(ends(i), F.lit(50)).alias("before"), p["head"].alias("head")))).alias("m")).select(key, "m.*")
+    spots = found.filter(F.length("before") >= 2).select(key, "before", "head", F.explode(F.sequence(F.lit(1), F.length("before") - 1)).alias("i"))
+    sent = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    known = names.filter(F.length("name").between(2, 5)).select(F.col("name").alias("src")).distinct()
+    pairs = known.select(F.substring("src", 1, 2).alias("pair"), F.length("src").alias("k")).distinct()
+    runs = spots.withColumn("pair", F.substring(F.col("before"), F.col("i"), F.lit(2))).join(sent(pairs), "pair").filter(F.col("i") + F.col("k") - 1 <= F.length("before"))
+    cand = runs.select(key, "before", "head", "i", "k", F.substring(F.col("before"), F.col("i"), F.col("k")).alias("src")).join(sent(known), "src", "left_semi")
+    # The end and the length as one number, of which a hash aggregate takes the largest.
+    best = cand.groupBy(key, "before", "head").agg(F.max((F.col("i") + F.col("k")) * 10 + F.col("k")).alias("at"))
+    end, k = F.floor(F.col("at") / 10).cast("int"), (F.col("at") % 10).cast("int")
+    part = lambda i: F.regexp_extract("head", f"^({words})([{HAN}]{{2,4}})", i)
+    return best.select(key, F.substring(F.col("before"), end - k, k).alias("src"), part(2).alias("dst"), kinds[part(1)].alias("type"), F.lit(0.8).alias("confidence")).distinct()
 
 
 def life_years(text: Column, name: Column) -> tuple[Column, Column]:

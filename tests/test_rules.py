@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -248,6 +249,24 @@ def test_prefix_relations_follow_a_plain_model(spark):
     assert got == {(k, *x) for k, t in enumerate(texts) for x in plain_prefixes(t, names)}
 
 
+def test_prefix_relations_look_back_over_any_character(spark, monkeypatch):
+    names = ["苏轼", "王安石", "甲乙丙丁戊", "𠮷，", "甲乙丙丁戊己", "苏"]
+    texts = ["。" * 60 + "苏轼😀，父苏洵也", "苏轼𠮷，父苏洵", "苏轼" + "。" * 48 + "父苏洵", "苏轼" + "。" * 49 + "父苏洵", "父苏洵，父苏序，", "苏轼" + "，父某某" * 13, "甲乙丙丁戊己，号某某", "", None]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "王安石，父王益")], "id long, text string")
+    want = {(k, *x) for k, t in [*enumerate(texts), (0, "王安石，父王益")] for x in plain_prefixes(t or "", [n for n in names if 2 <= len(n) <= 5])}
+    for most in (kin.MOST_BROADCAST, -1):
+        monkeypatch.setattr(kin, "MOST_BROADCAST", most)
+        got = [(r["id"], r["src"], r["dst"], r["type"]) for r in kin.prefix_relations(docs, spark.createDataFrame([(n,) for n in [*names, None]], "name string"), "id").collect()]
+        assert len(want) == 6 and sorted(got) == sorted(want)
+
+
+def test_prefix_relations_read_dense_texts_once(spark):
+    docs = spark.createDataFrame([(1, "苏轼，" + "父" * 300_000 + "，父苏洵")], "id long, text string")
+    began = time.monotonic()
+    got = [(r["src"], r["dst"]) for r in kin.prefix_relations(docs, spark.createDataFrame([("苏轼",)], "name string"), "id").collect()]
+    assert got == [("苏轼", "父父父父")] and time.monotonic() - began < 30  # two minutes, where each 父 looks back
+
+
 def test_chained_kinship_and_names_before(spark):
     docs = spark.createDataFrame([(1, "苏辙之父苏洵之友欧阳修"), (2, "苏轼，苏辙之兄也")], "id long, text string")
     names = spark.createDataFrame([(n,) for n in ("苏辙", "苏洵", "苏轼", "欧阳修")], "name string")
